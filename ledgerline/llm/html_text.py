@@ -27,7 +27,7 @@ from .html_training import labelled_page
 #: Pages that the model is fitted on, and the steps of that fit.
 TRAINING_PAGES, STEPS = 400, 200
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 
@@ -88,6 +88,9 @@ def parse(page: str) -> list[Node]:
         position = m.end()
         slash, tag, rest, text = m.groups()
         if text is not None:
+            if text == "<" and page[position : position + 1].isalpha() or page.startswith("/", position) and text == "<":
+                position = page.find(">", position) + 1 or end  # a tag cut off, or with a quote that never ends
+                continue
             if skipping:
                 continue
             if run < 0:

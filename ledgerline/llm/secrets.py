@@ -14,6 +14,7 @@ import binascii
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,15 +130,18 @@ def _percent(run: str) -> str | None:
 
 
 def _inflate(raw: bytes, most: int) -> bytes | None:
-    """Decompressed gzip or zlib data; None if it isn't any, or is longer than most."""
+    """Decompressed gzip or zlib data; None if it isn't any, OverflowError if it is longer
+    than most."""
     if not (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and raw[1:2] in b"\x01\x5e\x9c\xda"):
         return None
     try:
         d = zlib.decompressobj(47)
         out = d.decompress(raw, most + 1)
-        return out if len(out) <= most and d.eof else None
     except zlib.error:
         return None
+    if len(out) > most:
+        raise OverflowError
+    return out if d.eof else None
 
 
 def _readable(raw: bytes) -> str | None:
@@ -148,29 +152,33 @@ def _readable(raw: bytes) -> str | None:
     return text if text and not CONTROL.search(text) else None
 
 
-def _base64_layers(layer: Layer, most: int):
+def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
+    """The layers of the base64 runs; None for one that expands beyond most."""
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1:
             continue
         try:
             raw = base64.b64decode(run.translate(URL_SAFE) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
+            plain = _inflate(raw, most)
+        except binascii.Error:
             continue
-        if (plain := _inflate(raw, most)) is not None:
-            if (text := _readable(plain)) is not None:
-                n = len(text)
-                yield layer.child("base64", "", np.zeros(0, int), np.zeros(0, int)).path, layer.child(
-                    "compressed", text, np.full(n, m.start()), np.full(n, m.end())
-                )
-        elif (text := _readable(raw)) is not None:
+        except OverflowError:
+            yield None
+            continue
+        text = _readable(raw if plain is None else plain)
+        if text is None:
+            continue
+        if plain is not None:
+            n = len(text)
+            yield layer.child("base64>compressed", text, np.full(n, m.start()), np.full(n, m.end()))
+        else:
             # byte k of the data lies in characters 4k/3 and the next one of the run
             size = np.fromiter((len(c.encode()) for c in text), int, len(text))
             last = np.cumsum(size) - 1
             first = last - size + 1
-            yield None, layer.child(
-                "base64", text, m.start() + first // 3 * 4 + first % 3, m.start() + last // 3 * 4 + last % 3 + 2
-            )
+            start, end = first // 3 * 4 + first % 3, last // 3 * 4 + last % 3 + 2
+            yield layer.child("base64", text, m.start() + start, m.start() + end)
 
 
 @dataclass
@@ -198,11 +206,10 @@ def unwrap(text: str, max_expanded: int) -> Found:
             children.append(x)
         if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, "unicode", ESCAPES, _escape)):
             children.append(x)
-        for path, x in _base64_layers(layer, left):
-            if path:
-                x.path = (*path, "compressed")
-            children.append(x)
-        for x in children:
+        for x in [*children, *_base64_layers(layer, left)]:
+            if x is None:
+                out.truncated = True
+                continue
             key = (x.text, *x.span(0, len(x.text)))
             if key in known:  # a cycle, or the same run met by way of another layer
                 continue

@@ -206,8 +206,8 @@ def near_links(distinct: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (a, b), root being the least node that
-    it reaches. Alternates large-star and small-star rounds, each written to the shared
+    """(node, root) for every node of the links (a, b) that reaches a lesser one, root
+    being the least. Alternates large-star and small-star rounds, each written to the shared
     folder, until nothing changes; minima are pre-aggregated and joined back, so that a
     node with very many links is no task of its own."""
 
