@@ -203,7 +203,7 @@ SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1024.0 ** 2 THEN p
   WHEN n < 1024.0 ** 4 THEN printf('%.1f', round(n / 1024.0 ** 3, 1)) || ' GiB' ELSE printf('%.1f', round(n / 1024.0 ** 4, 1)) || ' TiB' END AS size_text,
   CASE WHEN ms < 60000 THEN printf('%.1f', round(ms / 1000.0, 1)) || ' s' ELSE (ms // 60000) || ' min ' || printf('%.1f', round((ms % 60000) / 1000.0, 1)) || ' s' END AS duration_text FROM t""",
     "ignored_paths": f"""WITH {PATHS}, parts AS (SELECT doc_id, relative_path, string_split(relative_path, '/') AS segments FROM files)
-SELECT doc_id, len(list_filter(segments, s -> {IGNORE_ANY} OR regexp_full_match(s, '.*[.]lp.'))) > 0 OR list_contains(segments, 'bin')
+SELECT doc_id, len(list_filter(segments, lambda s: {IGNORE_ANY} OR regexp_full_match(s, '.*[.]lp.'))) > 0 OR list_contains(segments, 'bin')
   OR regexp_full_match(relative_path, 'src.*/gradle') OR regexp_full_match(relative_path, 'src1/.*[.]lock') AS ignored FROM parts""",
     "classified": f"WITH {CLASSIFIED} SELECT doc_id, artifact_type, ecosystem, parser, partial, status FROM gated",
     "artifact_counters": f"""WITH {CLASSIFIED} SELECT count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes, count(*) FILTER (status = 'parsed') AS parsed,
