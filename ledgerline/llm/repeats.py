@@ -409,7 +409,7 @@ def remove_repeats(
     total = own.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = max(n_tasks, int(total // block_bytes) + 1)
-    n_buckets = max(4 * n_tasks, int(total // (16 << 20)) + 1)
+    n_buckets = max(n_tasks, int(total // (32 << 20)) + 1)
     texts = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_blocks))).repartition(n_blocks, "block")
     schemas = {k: arrow_schema(spark, d) for k, d in (("a", ANCHORS), ("r", ANSWERS), ("b", BODIES), ("o", RESULT))}
 
