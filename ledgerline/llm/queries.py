@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, quality, repeats, secrets, sharding, simhash, token_counts, warc
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -33,7 +36,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    # distances as whole millionths, which compare exactly; -1 where a guard held
+    ppm = lambda c: F.coalesce(F.round(F.col(c) * 1_000_000).cast("long"), F.lit(-1).cast("long")).alias(f"{c}_ppm")
+    judged = quality.quality(table(spark, sf_dir, "documents"))
+    distances = ("class_distance", "word_distance")
+    return judged.select(*[c for c in judged.columns if c not in distances], *[ppm(c) for c in distances])
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
     )
 }
-
-ORACLES: dict[str, str] = {}
