@@ -39,27 +39,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least doc_id, the least
-    of all its columns where rows repeat that id."""
-    prints = simhash.near_duplicates(docs)
-    roots = prints.groupBy("component_id", "fp").agg(F.min("doc_id").alias("_id"))
-    keep = roots.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    left = docs.join(keep, docs.doc_id.eqNullSafe(keep["_id"]), "left_semi")
-    repeats = saved(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeats")
-    if repeats.isEmpty():
-        return left
-    once = left.join(repeats, left.doc_id.eqNullSafe(repeats["_id"]), "left_anti")
-    more = left.join(repeats, left.doc_id.eqNullSafe(repeats["_id"]), "left_semi")
+    """One row of each group of near-duplicates: of its least doc_id (null if it has no
+    other), of that id's least fingerprint, and of equal rows the least by its columns."""
+    marked = simhash.with_fingerprint(docs, "_fp")
+    prints = saved(marked.select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
+    groups = simhash.grouped(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = groups.groupBy("root").agg(F.min_by(F.struct("doc_id", "fp"), "fp").alias("k")).select("k.*")
+    kept = saved(least.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print")), "kept")
+    same = marked.doc_id.eqNullSafe(kept["_id"]) & (marked["_fp"] == kept["_print"])
+    left = marked.join(kept, same, "left_semi")
+    several = saved(
+        prints.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print")), "repeats"
+    )
+    if several.isEmpty():
+        return left.select(docs.columns)
+    again = left.doc_id.eqNullSafe(several["_id"]) & (left["_fp"] == several["_print"])
+    once = left.join(several, again, "left_anti").select(docs.columns)
     others = [c for c in docs.columns if c != "doc_id"]
-    least = more.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", *[F.col(f"r.`{c}`") for c in others])
-    return once.unionByName(least.select(docs.columns))
+    first = left.join(several, again, "left_semi").groupBy("doc_id", "_fp").agg(F.min(F.struct(*others)).alias("r"))
+    return once.unionByName(first.select("doc_id", *[F.col(f"r.`{c}`") for c in others]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.find_contaminated(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_id"]), "left_anti")
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,19 +146,50 @@ def find_contaminated(
     kept; empty tables give an empty result; other columns are ignored.
     """
     own = keyed(docs, id_col, text_col)
-    tests = keyed(items, item_id_col, item_text_col)
+    found = [
+        map_batches(own, partial(_pairs, index), PAIRS)
+        for index in _blocks(items, item_id_col, item_text_col, width, threshold)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = 5,
+    threshold: float = 0.8,
+) -> DataFrame:
+    """The rows of docs, with all their columns, whose text contains no item. Rows are
+    dropped where they are read, each by its own text, so null and repeated ids need no
+    join."""
+    at = docs.columns.index(text_col)
+    for index in _blocks(items, item_id_col, item_text_col, width, threshold):
+        docs = docs.mapInArrow(partial(_clean, index, at), docs.schema)
+    return docs
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Iterator[Broadcast]:
+    """Indexes of the items, each of a block of about BLOCK_CHARS of their text."""
+    tests = keyed(items, id_col, text_col)
     total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = int(total // BLOCK_CHARS) + 1
-    found = []
     for b in range(n_blocks):
         block = tests.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)) == b).collect()
         index = build_index([(r["doc_id"], r["text"]) for r in block], width, threshold)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found.append(map_batches(own, lambda batch, shared=shared: _pairs(batch, shared.value), PAIRS))
-    return reduce(DataFrame.unionByName, found)
+        yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def _clean(shared: Broadcast, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = shared.value
+    for batch in batches:
+        yield batch.filter(pa.array([not index.probe(t) for t in texts_of(batch.column(at))], pa.bool_()))
 
 
-def _pairs(batch: pa.RecordBatch, index: ItemIndex) -> dict:
+def _pairs(shared: Broadcast, batch: pa.RecordBatch) -> dict:
+    index: ItemIndex = shared.value
     rows = [
         (doc, index.items[i][0], shared, n, shared / n)
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True)

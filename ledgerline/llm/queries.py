@@ -32,7 +32,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp", "root")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

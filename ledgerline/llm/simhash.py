@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bytes_of, keyed, map_batches, saved
 
@@ -238,7 +239,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the
     smallest doc_id reachable over links of distance 2 or less), fp (the fingerprint as
-    a signed long).
+    a signed long), root (the component's own name, a fingerprint).
 
     Texts without words, null ones too, have fingerprint 0 and link like any other.
     Repeated rows are kept. Null ids never become a component_id, unless a component has
@@ -249,7 +250,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(prints)
 
 
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with one more column, the fingerprint of each row's text."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([signed(fingerprint(raw)) for raw in bytes_of(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def grouped(prints: DataFrame) -> DataFrame:
+    """near_duplicates() from rows of doc_id and fp."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = saved(least, "distinct-fingerprints")
     roots = saved(components(near_links(least.select("fp"))), "roots")
@@ -257,7 +271,7 @@ def grouped(prints: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = member.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id")
+    of_fp = member.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
     return prints.join(of_fp, prints.fp == F.col("_fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root"
     )

@@ -206,6 +206,10 @@ def test_containment_matches_brute_force(spark):
                 if len(wanted & held) >= 0.8 * len(wanted):
                     want.append((doc_id, item_id, len(wanted & held), len(wanted)))
     assert got == sorted(want, key=str) and len(want) > 30
+    left = decontaminate.drop_contaminated(docs(spark, rows), bench)
+    bad = {d for d, *_ in want}
+    assert left.columns == docs(spark, rows).columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
     old, decontaminate.BLOCK_CHARS = decontaminate.BLOCK_CHARS, 1000
     try:  # several blocks of items give the same
         again = decontaminate.find_contaminated(docs(spark, rows), bench)
