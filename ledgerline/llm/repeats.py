@@ -204,9 +204,11 @@ class Block:
         self.texts = table.column("raw").to_pylist()
         keys, docs, starts, ends = [], [], [], []
         chunk: list[int] = []
+        held = 0
         for d in range(len(self.texts)):
             chunk.append(d)
-            if d + 1 == len(self.texts) or sum(len(self.texts[x]) for x in chunk) + len(self.texts[d + 1]) > CHUNK_BYTES:
+            held += len(self.texts[d])
+            if d + 1 == len(self.texts) or held + len(self.texts[d + 1]) > CHUNK_BYTES:
                 sizes = np.array([len(self.texts[x]) for x in chunk])
                 base = np.cumsum(sizes) - sizes
                 text = np.frombuffer(b"".join(self.texts[x] for x in chunk), np.uint8)
@@ -216,7 +218,7 @@ class Block:
                 docs.append(np.array(chunk)[k])
                 starts.append(s - base[k])
                 ends.append(e - base[k])
-                chunk = []
+                chunk, held = [], 0
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
         self.key, self.doc = join(keys, np.uint64), join(docs, np.int64)
         self.start, self.end = join(starts, np.int64), join(ends, np.int64)
