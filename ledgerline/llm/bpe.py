@@ -190,3 +190,21 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
         }
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """encode_documents and decode_documents in one Arrow map, so that a task needs one
+    worker with one model: doc_id, ids, decoded. Nulls, repeated rows and empty tables as
+    in encode_documents."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        own, ids, decoded = codec(ranks_path, pattern), [], []
+        for block in blocks(texts_of(batch.column("text"))):
+            found = own.encode(block)
+            ids += found
+            decoded += map(own.decode, found)
+        return {"doc_id": batch.column("doc_id"), "ids": ids, "decoded": decoded}
+
+    return map_batches(keyed(docs, id_col, text_col), run, "doc_id long, ids binary, decoded binary")

@@ -57,8 +57,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode_documents(ids, path, pattern).select(
+    return bpe.round_trip_documents(table(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

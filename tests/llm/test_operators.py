@@ -418,6 +418,8 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, corpus):
     more = [(1000, "don't  we'll\n\n x\t 12345 日本語 😀 \x00\x1c\x85 "), (1001, "<|endoftext|>"), (1002, " lead"), (1003, "a" * 5000), (1004, "tail ")]
     df = corpus.unionByName(docs(spark, more))
     got = bpe.decode_documents(bpe.encode_documents(df, RANKS, PATTERN), RANKS, PATTERN).collect()
+    at_once = bpe.round_trip_documents(df, RANKS, PATTERN).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     rows = sorted(pairs(df), key=str)
     assert len(got) == len(rows)
     for r, (doc_id, text) in zip(sorted(got, key=lambda r: str((r["doc_id"], bytes(r["decoded"]).decode()))), rows, strict=True):
