@@ -29,24 +29,30 @@ TRAINING_PAGES, STEPS = 400, 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
 
 #: Sorts of HTML elements.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
-SKIPPED = {"head", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "datalist"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "annotation", "annotation-xml"}
+SKIPPED = {"svg", "select", "button", "object", "canvas", "audio", "video", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var",
+    "math", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts",
+    "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder",
+    "munderover", "semantics",
 }
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dt", "dd", "td", "th", "figcaption"}
 #: Elements that an opening tag of the named kind closes when they are open.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "body": {"head"},
+    "option": {"option"},
 }
 LISTS = {"ul", "ol", "dl", "table"}
+#: Opening tags that end a skipped element without an end tag of its own.
+FLOW = TEXT_BLOCKS | LISTS | {"body", "div", "article", "section", "main", "header", "footer", "nav", "aside", "form", "figure", "tr"}
 #: Words in class, id and role that speak for or against content.
 HINTS = {
     "content": "content article post entry story main body text".split(),
@@ -73,12 +79,35 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def _hidden(rest: str) -> bool:
+    """Whether a tag's attributes hide its element: hidden, or the style display: none."""
+    if not MAY_HIDE.search(rest):
+        return False
+    values: dict[str, str] = {}
+    for m in ANY_ATTRIBUTE.finditer(rest):
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in values:
+        return True
+    rules = [r.partition(":") for r in unescape(values.get("style", "")).lower().split(";")]
+    shown = [v.replace("!important", "").strip() for name, _, v in rules if name.strip() == "display"]
+    return bool(shown) and shown[-1] == "none"
+
+
+def _has_end(page: str, tag: str, position: int) -> bool:
+    """Whether the next tag of this name is an end tag; only objects lie in each other."""
+    m = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(page, position)
+    return m is not None and (m[1] == "/" or tag == "object")
+
+
 def parse(page: str) -> list[Node]:
     """The nodes in page order, parents first. Inline elements dissolve into runs of
-    text; comments, scripts, styles, forms' controls and hidden elements are left out."""
+    text; comments, scripts, styles, forms' controls and hidden elements are left out.
+    What is left out ends like any element: by its end tag, an ancestor's, or an opening
+    tag that implies it. A head has no text of its own, so its tags are passed over."""
     nodes = [Node("#root")]
-    open_tags: list[tuple[str, int]] = [("#root", 0)]  # every open element and its node
-    here, run, links, skipping, skip_depth = 0, -1, 0, "", 0
+    # every open element, its node (-1 where it is left out), and whether FLOW ends it
+    open_tags: list[tuple[str, int, bool]] = [("#root", 0, False)]
+    here, run, links = 0, -1, 0
     position = 0
     end = len(page)
     while position < end:
@@ -91,7 +120,7 @@ def parse(page: str) -> list[Node]:
             if text == "<" and page[position : position + 1].isalpha() or page.startswith("/", position) and text == "<":
                 position = page.find(">", position) + 1 or end  # a tag cut off, or with a quote that never ends
                 continue
-            if skipping:
+            if here < 0:
                 continue
             if run < 0:
                 if text.isspace():
@@ -106,12 +135,6 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         tag = tag.lower()
-        if skipping:
-            if tag == skipping:
-                skip_depth += -1 if slash else (0 if rest.endswith("/") else 1)
-                if skip_depth == 0:
-                    skipping = ""
-            continue
         if tag in RAW:
             if not slash and not rest.endswith("/"):
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, position)
@@ -128,6 +151,8 @@ def parse(page: str) -> list[Node]:
                 links = 0 if slash else 1
             continue
         run, links = -1, 0
+        if tag == "head":
+            continue
         if slash:
             for k in range(len(open_tags) - 1, 0, -1):
                 if open_tags[k][0] == tag:
@@ -137,23 +162,33 @@ def parse(page: str) -> list[Node]:
                     break
             here = open_tags[-1][1]
             continue
-        if tag in SKIPPED or HIDDEN.search(rest):
-            if not rest.endswith("/"):
-                skipping, skip_depth = tag, 1
+        if here < 0 and tag in FLOW:
+            loose = [k for k, x in enumerate(open_tags) if x[2]]
+            if loose:
+                del open_tags[loose[0] :]
+                here = open_tags[-1][1]
+        left_out = tag in SKIPPED or _hidden(rest)
+        if (left_out or here < 0) and rest.endswith("/"):
             continue
         closes = CLOSED_BY.get(tag, set())
         for k in range(len(open_tags) - 1, 0, -1):
+            if tag in SKIPPED:  # stands inside a paragraph
+                break
             if open_tags[k][0] == "p" or open_tags[k][0] in closes:
                 del open_tags[k:]
                 break
-            if open_tags[k][0] in LISTS:
+            if open_tags[k][0] in LISTS or open_tags[k][0] in SKIPPED:
                 break
         here = open_tags[-1][1]
+        if left_out or here < 0:
+            here = -1
+            open_tags.append((tag, here, tag in SKIPPED and not _has_end(page, tag, position)))
+            continue
         words = [w for a in ATTRIBUTE.finditer(rest) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower())]
         nodes.append(Node(tag, tuple(sorted({HINT_OF[w] for w in words if w in HINT_OF})), here))
         nodes[here].children.append(len(nodes) - 1)
         here = len(nodes) - 1
-        open_tags.append((tag, here))
+        open_tags.append((tag, here, False))
     return nodes
 
 

@@ -482,6 +482,35 @@ def test_page_text(spark):
     assert html_text.extract_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>x</title><body><p>AAA<p>BBB</body>",
+        "<head><title>x</title><p>AAA<p>BBB",
+        "<div><button>Go</div><p>AAA<p>BBB",
+        "<button>Go<p>AAA</p><p>BBB</p><button>Go</button>",
+        "<div><select><option>x</div><p>AAA<p>BBB",
+        "<select><option>x<p>AAA<p>BBB",
+        "<svg><text>x</text><p>AAA<p>BBB",
+        "<p hidden>x<p>AAA<p>BBB",
+        "<ul><li hidden>x<li>AAA<li>BBB</ul>",
+        '<div style="color:red;display : none !important">x<div>x</div></div><p>AAA<p>BBB',
+        "<p>AAA</p><button><div>x</div><p>x</p></button><div hidden=''><p>x</div><p>BBB",
+        '<div class="overflow-hidden"><p>AAA</p></div><p style="overflow:hidden">BBB',
+        '<div aria-hidden="false"><p>AAA</p></div><p data-x="hidden gems" data-style="display:none">BBB',
+        "<p>AAA</p><p><math><semantics><mi>B</mi><mo>B</mo><mn>B</mn><annotation>x</annotation></semantics></math></p>",
+    ],
+)
+def test_only_what_is_left_out_is_lost(page):
+    texts = [html_text.block_text(v) for v in html_text.parse(page) if v.tag == "#text"]
+    assert texts == ["AAA", "BBB"]
+
+
+def test_text_goes_on_behind_a_control_in_its_paragraph():
+    nodes = html_text.parse("<p>AAA <button><div>x</div></button> BBB</p>")
+    assert [nodes[v.parent].tag for v in nodes if v.tag == "#text"] == ["p", "p"]
+
+
 # 10 repeats
 
 
