@@ -1,16 +1,16 @@
 """Operator 2: secret scans through nested encodings.
 
 A document is the first layer of a worklist. Each layer is scanned for secrets, then
-decoded in every way that applies: percent escapes, Unicode escapes, base64 runs, and
-gzip or zlib data inside base64. Every decoded text is a further layer, until nothing
-new appears. Layers carry, for each of their characters, the span of the document that
+decoded in every way that applies: percent escapes, Unicode escapes, base64 runs (in
+each alignment, and joined over line breaks), and gzip or zlib streams inside base64 or
+inside each other. Every decoded text is a further layer, until nothing new appears. Layers carry, for each of their characters, the span of the document that
 it came from, so that what is found in any layer is reported as a span of the document.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import hashlib
 import re
 import zlib
 from collections import deque
@@ -37,8 +37,16 @@ MIN_ASSIGNED = 6
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64: runs that reach the line's end and go on in the next line.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+BREAKS = re.compile(r"[ \t]*\r?\n[ \t]*")
 URL_SAFE = str.maketrans("-_", "+/")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: The shortest secret, and what may be readable in bytes or in their text with escapes.
+LEAST = len("token=") + MIN_ASSIGNED
+PRINTED = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{%d}" % LEAST)
+STRETCH = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{%d,}" % LEAST)
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -129,19 +137,26 @@ def _percent(run: str) -> str | None:
         return None
 
 
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """Decompressed gzip or zlib data; None if it isn't any, OverflowError if it is longer
-    than most."""
-    if not (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and raw[1:2] in b"\x01\x5e\x9c\xda"):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(raw, most + 1)
-    except zlib.error:
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out if d.eof else None
+def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int] | None:
+    """The data of the gzip or zlib stream at a place, with all gzip members that follow
+    it, and where they end; None if there is none, OverflowError if it is longer than most."""
+    parts, size = [], 0
+    while True:
+        try:
+            d = zlib.decompressobj(47)
+            out = d.decompress(memoryview(raw)[at:], most - size + 1)
+        except zlib.error:
+            break
+        size += len(out)
+        if size > most:
+            raise OverflowError
+        if not d.eof:
+            break
+        parts.append(out)
+        at = len(raw) - len(d.unused_data)
+        if not raw.startswith(b"\x1f\x8b\x08", at):
+            break
+    return (b"".join(parts), at) if parts else None
 
 
 def _readable(raw: bytes) -> str | None:
@@ -152,33 +167,89 @@ def _readable(raw: bytes) -> str | None:
     return text if text and not CONTROL.search(text) else None
 
 
+def _sizes(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.ones(len(text), np.int64)
+    return np.fromiter((len(c.encode("utf-8", "surrogateescape")) for c in text), np.int64, len(text))
+
+
+def _stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The readable stretches of bytes that are long enough for a secret, with the first
+    and last byte of each character; the whole, where it is readable."""
+    whole = _readable(raw)
+    if whole is None and not PRINTED.search(raw):
+        return
+    text = raw.decode("utf-8", "surrogateescape") if whole is None else whole
+    spans = [(0, len(text))] if whole is not None else [m.span() for m in STRETCH.finditer(text)]
+    if spans:
+        size = _sizes(text)
+        last = np.cumsum(size) - 1
+        for a, z in spans:
+            yield text[a:z], last[a:z] - size[a:z] + 1, last[a:z]
+
+
+def _compressed_layers(layer: Layer, raw: bytes, how: str, place, most: int) -> Iterator[Layer | None]:
+    """The layers of all streams in raw, and of streams in what they hold; None for a
+    stream that expands beyond most. place(first, last byte) is its span in the layer."""
+    todo = [(raw, how, None)]
+    known = set()
+    while todo:
+        data, path, span = todo.pop()
+        at = 0
+        while m := MAGIC.search(data, at):
+            at = m.start() + 1
+            own = span
+            try:
+                found = _inflate(data, m.start(), most)
+            except OverflowError:
+                yield None
+                continue
+            if found is None:
+                continue
+            plain, at = found
+            if own is None:
+                own = place(m.start(), at - 1)
+            for text, first, _ in _stretches(plain):
+                n = len(first)
+                yield layer.child(path, text, np.full(n, own[0]), np.full(n, own[1]))
+            key = hashlib.blake2b(plain, digest_size=16).digest()
+            if key not in known:  # a stream can hold itself
+                known.add(key)
+                todo.append((plain, f"{path}>compressed", own))
+
+
 def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
     """The layers of the base64 runs; None for one that expands beyond most."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.translate(URL_SAFE) + "=" * (-len(run) % 4))
-            plain = _inflate(raw, most)
-        except binascii.Error:
-            continue
-        except OverflowError:
-            yield None
-            continue
-        text = _readable(raw if plain is None else plain)
-        if text is None:
-            continue
-        if plain is not None:
-            n = len(text)
-            yield layer.child("base64>compressed", text, np.full(n, m.start()), np.full(n, m.end()))
-        else:
+    runs = [(m, None) for m in BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        runs += [(m, BREAKS) for m in WRAPPED.finditer(layer.text)]
+    for m, breaks in runs:
+        run, at = m[0].rstrip("="), np.arange(m.start(), m.end())
+        if breaks:
+            inside = np.ones(len(run), bool)
+            for b in breaks.finditer(run):
+                inside[b.start() : b.end()] = False
+            run, at = breaks.sub("", run), at[: len(run)][inside]
+        run = run.translate(URL_SAFE)
+        for skip in range(4):  # glued to other characters, a value begins anywhere
+            n = len(run) - skip
+            n -= n % 4 == 1
+            if n < 16:
+                break
+            raw = base64.b64decode(run[skip : skip + n] + "=" * (-n % 4))
+
             # byte k of the data lies in characters 4k/3 and the next one of the run
-            size = np.fromiter((len(c.encode()) for c in text), int, len(text))
-            last = np.cumsum(size) - 1
-            first = last - size + 1
-            start, end = first // 3 * 4 + first % 3, last // 3 * 4 + last % 3 + 2
-            yield layer.child("base64", text, m.start() + start, m.start() + end)
+            def place(first, last, skip=skip, at=at):
+                return at[skip + first // 3 * 4 + first % 3], at[skip + last // 3 * 4 + last % 3 + 1] + 1
+
+            def stream(first, last, skip=skip, size=len(raw), m=m, place=place):
+                return m.span() if skip == first == 0 and last == size - 1 else place(first, last)
+
+            yield from _compressed_layers(layer, raw, "base64>compressed", stream, most)
+            for text, first, last in _stretches(raw):
+                yield layer.child("base64", text, *place(first, last))
+            if skip == 0 and _readable(raw) is not None:
+                break
 
 
 @dataclass

@@ -157,6 +157,38 @@ def test_nested_secrets_map_to_the_document(how):
         assert bytes.fromhex(text[s:e].replace("%", "")).decode() == "token=abcdef123"
 
 
+def wrapped(raw, width):
+    text = base64.b64encode(raw).decode()
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+SECRET, FILL = b"token=abcdef123", bytes(random.Random(1).choices(b"ghijklmnop ", k=300))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        base64.b64encode(gzip.compress(gzip.compress(SECRET))).decode(),
+        base64.b64encode(gzip.compress(zlib.compress(gzip.compress(SECRET)))).decode(),
+        base64.b64encode(gzip.compress(FILL) + gzip.compress(SECRET)).decode(),
+        base64.b64encode(gzip.compress(b"x toke") + gzip.compress(b"n=abcdef123")).decode(),
+        base64.b64encode(gzip.compress(b"\x00\xff" + SECRET + b"\x00")).decode(),
+        wrapped(gzip.compress(FILL + SECRET), 64),
+        wrapped(FILL[:50] + SECRET, 76),
+        wrapped(FILL[:50] + SECRET, 76).replace("\n", "\r\n  ") + "\nnext line",
+        *[f"{glue}{base64.b64encode(b' ' + SECRET + b' ').decode()}" for glue in ("/x/y/", "data_", "a", "ab", "abc", "abcd")],
+        *[f"{glue}{base64.b64encode(gzip.compress(SECRET)).decode()}" for glue in ("/x/y/", "data_", "a", "ab", "abc", "abcd")],
+        base64.b64encode(b"\xff\x00 " + SECRET + b" \x00\xfe").decode(),
+        base64.b64encode(b" " + SECRET + b" ..").decode().rstrip("=") + "a",
+    ],
+)
+def test_secrets_in_streams_lines_and_glued_runs(text):
+    found = secrets.unwrap(f"head {text} tail", 1 << 20)
+    assert [k for k, *_ in found.rows].count("assign") >= 1 and not found.truncated
+    left = secrets.redact(f"head {text} tail", found.rows)
+    assert not secrets.unwrap(left, 1 << 20).rows and left.startswith("head ") and left.endswith(" tail")
+
+
 def test_decoding_ends_on_cycles_and_bombs():
     text = nest("a" * 100000 + " token=abcdef", "gzip")
     assert secrets.unwrap(text, 50).truncated
