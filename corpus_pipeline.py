@@ -65,16 +65,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret's span replaced and n_chars counted anew where
-    a text changed."""
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str, max_expanded: int = 64 << 20) -> DataFrame:
+    """All documents, with every secret's span replaced, and that of every compressed run
+    which was not read as a whole; n_chars is counted anew where a text changed."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, changed = [], []
             for t in texts_of(batch.column("text")):
-                rows = secrets.unwrap(t, 64 << 20).rows
+                found = secrets.unwrap(t, max_expanded)
+                rows = found.rows + [("unread", s, e, "") for s, e in found.unread]
                 changed.append(bool(rows))
                 texts.append(secrets.redact(t, rows) if rows else None)
             columns = dict(zip(names, batch.columns, strict=True))

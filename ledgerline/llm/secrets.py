@@ -13,7 +13,6 @@ import base64
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +45,10 @@ CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 LEAST = len("token=") + MIN_ASSIGNED
 PRINTED = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{%d}" % LEAST)
 STRETCH = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{%d,}" % LEAST)
+#: Bytes that pieces of a long stream share.
+OVERLAP = 1 << 20
+#: Pieces of a document's streams that are read at most.
+MOST_PIECES = 64
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
@@ -75,6 +78,9 @@ class Layer:
             return s, e
         return int(self.start[s]), int(self.end[e - 1])
 
+    def outer(self, s: int, e: int) -> tuple[int, int]:
+        return tuple(map(int, self.span(s, e)))
+
     def child(self, how: str, text: str, start: np.ndarray, end: np.ndarray) -> Layer:
         """start, end: in this layer's characters."""
         if self.start is not None:
@@ -82,6 +88,17 @@ class Layer:
         return Layer(text, (*self.path, how), start, end)
 
 
+@dataclass
+class Room:
+    """How streams of one document are read: most bytes in one piece, bytes left for all,
+    and the spans of those that were not read as a whole."""
+
+    most: int
+    left: int
+    unread: set[tuple[int, int]] = field(default_factory=set)
+    known: set[tuple] = field(default_factory=set)
+
+
 def _escape(run: str) -> str | None:
     try:
         if run[0] == "&":
@@ -137,26 +154,29 @@ def _percent(run: str) -> str | None:
         return None
 
 
-def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int] | None:
-    """The data of the gzip or zlib stream at a place, with all gzip members that follow
-    it, and where they end; None if there is none, OverflowError if it is longer than most."""
-    parts, size = [], 0
+def _inflate(raw: bytes, at: int, most: int) -> Iterator[tuple[bytes, int | None]]:
+    """The data of the gzip or zlib stream at a place and of all gzip members that follow
+    it, with where they end: in one piece if that is at most most bytes, else in pieces of
+    most bytes that overlap, each but the last with None. Nothing if there is no stream."""
+    held, ended, pieces = bytearray(), None, False
     while True:
+        d, left = zlib.decompressobj(47), memoryview(raw)[at:]
         try:
-            d = zlib.decompressobj(47)
-            out = d.decompress(memoryview(raw)[at:], most - size + 1)
+            while left and not d.eof:
+                held += d.decompress(left, max(1, most + 1 - len(held)))
+                left = d.unconsumed_tail
+                if len(held) > most:
+                    yield bytes(held), None
+                    pieces, held = True, held[-min(OVERLAP, most // 2) :]
         except zlib.error:
             break
-        size += len(out)
-        if size > most:
-            raise OverflowError
         if not d.eof:
             break
-        parts.append(out)
-        at = len(raw) - len(d.unused_data)
+        ended = at = len(raw) - len(d.unused_data)
         if not raw.startswith(b"\x1f\x8b\x08", at):
             break
-    return (b"".join(parts), at) if parts else None
+    if ended is not None or pieces:
+        yield bytes(held), ended or len(raw)
 
 
 def _readable(raw: bytes) -> str | None:
@@ -188,38 +208,45 @@ def _stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             yield text[a:z], last[a:z] - size[a:z] + 1, last[a:z]
 
 
-def _compressed_layers(layer: Layer, raw: bytes, how: str, place, most: int) -> Iterator[Layer | None]:
-    """The layers of all streams in raw, and of streams in what they hold; None for a
-    stream that expands beyond most. place(first, last byte) is its span in the layer."""
-    todo = [(raw, how, None)]
-    known = set()
-    while todo:
-        data, path, span = todo.pop()
+def _compressed_layers(layer: Layer, raw: bytes, how: str, place, room: Room) -> Iterator[Layer]:
+    """The layers of all streams in raw, and of streams in what they hold. place(first,
+    last byte) is a stream's span in the layer."""
+
+    def inside(raw: bytes, how: str, span: tuple | None) -> Iterator:
+        """Layers, and iterators like this one over what a stream holds."""
         at = 0
-        while m := MAGIC.search(data, at):
+        while m := MAGIC.search(raw, at):
             at = m.start() + 1
-            own = span
-            try:
-                found = _inflate(data, m.start(), most)
-            except OverflowError:
-                yield None
-                continue
-            if found is None:
-                continue
-            plain, at = found
-            if own is None:
-                own = place(m.start(), at - 1)
-            for text, first, _ in _stretches(plain):
-                n = len(first)
-                yield layer.child(path, text, np.full(n, own[0]), np.full(n, own[1]))
-            key = hashlib.blake2b(plain, digest_size=16).digest()
-            if key not in known:  # a stream can hold itself
-                known.add(key)
-                todo.append((plain, f"{path}>compressed", own))
-
-
-def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
-    """The layers of the base64 runs; None for one that expands beyond most."""
+            for plain, end in _inflate(raw, m.start(), room.most):
+                own = span or place(m.start(), (end or len(raw)) - 1)
+                outer = layer.outer(*own)
+                room.left -= len(plain)
+                if end is None or room.left < 0:
+                    room.unread.add(outer)
+                if room.left < 0:
+                    return
+                for text, first, _ in _stretches(plain):
+                    n = len(first)
+                    yield layer.child(how, text, np.full(n, own[0]), np.full(n, own[1]))
+                key = (hashlib.blake2b(plain, digest_size=16).digest(), *outer)
+                if key not in room.known:  # a stream can hold itself
+                    room.known.add(key)
+                    yield inside(plain, f"{how}>compressed", own)
+                at = max(at, end or 0)
+
+    way = [inside(raw, how, None)]
+    while way:
+        x = next(way[-1], None)
+        if x is None:
+            way.pop()
+        elif isinstance(x, Layer):
+            yield x
+        else:
+            way.append(x)
+
+
+def _base64_layers(layer: Layer, room: Room) -> Iterator[Layer]:
+    """The layers of the base64 runs."""
     runs = [(m, None) for m in BASE64.finditer(layer.text)]
     if "\n" in layer.text:
         runs += [(m, BREAKS) for m in WRAPPED.finditer(layer.text)]
@@ -245,7 +272,7 @@ def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
             def stream(first, last, skip=skip, size=len(raw), m=m, place=place):
                 return m.span() if skip == first == 0 and last == size - 1 else place(first, last)
 
-            yield from _compressed_layers(layer, raw, "base64>compressed", stream, most)
+            yield from _compressed_layers(layer, raw, "base64>compressed", stream, room)
             for text, first, last in _stretches(raw):
                 yield layer.child("base64", text, *place(first, last))
             if skip == 0 and _readable(raw) is not None:
@@ -254,43 +281,50 @@ def _base64_layers(layer: Layer, most: int) -> Iterator[Layer | None]:
 
 @dataclass
 class Found:
-    """What one document holds: (kind, start, end, path) with path '' for its own text."""
+    """What one document holds: (kind, start, end, path) with path '' for its own text;
+    and the spans of compressed runs that were read in pieces, or not to their end."""
 
     rows: list[tuple[str, int, int, str]] = field(default_factory=list)
     n_layers: int = 1
     truncated: bool = False
+    unread: list[tuple[int, int]] = field(default_factory=list)
+
+
+def _layers(layer: Layer, room: Room) -> Iterator[Layer]:
+    if "%" in layer.text and (x := _replaced(layer, "url", PERCENT, _percent)):
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, "unicode", ESCAPES, _escape)):
+        yield x
+    yield from _base64_layers(layer, room)
 
 
 def unwrap(text: str, max_expanded: int) -> Found:
+    """Layers are followed in depth, so that only those on the way to one are held; none
+    is left out but the rest of streams that expand beyond MOST_PIECES pieces."""
     out, seen, known = Found(), set(), set()
-    todo = deque([Layer(text)])
-    left = max(max_expanded, 4 * len(text))
-    while todo:
-        layer = todo.popleft()
+    most = max(max_expanded, 4 * len(text))
+    room = Room(most, MOST_PIECES * most)
+    way = [iter([Layer(text)])]
+    while way:
+        layer = next(way[-1], None)
+        if layer is None:
+            way.pop()
+            continue
+        if layer.path:
+            raw = layer.text.encode("utf-8", "surrogatepass")
+            key = (hashlib.blake2b(raw, digest_size=16).digest(), *layer.outer(0, len(layer.text)))
+            if key in known:  # a cycle, or the same run met by way of another layer
+                continue
+            known.add(key)
+            out.n_layers += 1
         for kind, s, e in scan(layer.text):
             span = (kind, *layer.span(s, e))
             if span not in seen:
                 seen.add(span)
                 out.rows.append((*span, ">".join(layer.path)))
-        children = []
-        if "%" in layer.text and (x := _replaced(layer, "url", PERCENT, _percent)):
-            children.append(x)
-        if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, "unicode", ESCAPES, _escape)):
-            children.append(x)
-        for x in [*children, *_base64_layers(layer, left)]:
-            if x is None:
-                out.truncated = True
-                continue
-            key = (x.text, *x.span(0, len(x.text)))
-            if key in known:  # a cycle, or the same run met by way of another layer
-                continue
-            if len(x.text) > left:
-                out.truncated = True
-                continue
-            known.add(key)
-            left -= len(x.text)
-            out.n_layers += 1
-            todo.append(x)
+        way.append(_layers(layer, room))
+    out.unread = sorted(room.unread)
+    out.truncated = bool(out.unread)
     return out
 
 
@@ -303,9 +337,10 @@ def scan_secrets(
     """One row per input row: doc_id, findings (kind, start, end in code points of the
     document, path of decoders, '' for the text itself), n_layers, truncated.
 
-    Whole texts are scanned; null texts are empty and have no findings. max_expanded
-    bounds the decoded characters of one document (at least four times its length),
-    against decompression bombs; where it stops a layer, truncated is true. Null ids and
+    Whole texts are scanned; null texts are empty and have no findings. max_expanded (at
+    least four times the document's length) bounds the bytes of a compressed stream that
+    are held at once: a longer one is read in overlapping pieces, up to MOST_PIECES of them
+    a document, and truncated is true. No other layer is bounded. Null ids and
     repeated rows are kept as they are; an empty table gives an empty result; other
     columns are ignored.
     """

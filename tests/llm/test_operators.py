@@ -196,6 +196,25 @@ def test_decoding_ends_on_cycles_and_bombs():
     assert secrets.unwrap(nest("token=abcdef", *["base64"] * 12), 1 << 20).rows
 
 
+def test_no_layer_is_skipped_after_a_large_one(monkeypatch):
+    bomb, small = nest("a" * 100_000 + " token=abcdef " + "a" * 100_000, "gzip"), nest("a token=abcdefg z", "base64")
+    text = f"{bomb} {small} {nest('b' * 300_000, 'gzip')}"
+    found = secrets.unwrap(text, 50)
+    spans = {text[s:e] for _, s, e, _ in found.rows}
+    assert found.truncated and bomb in spans and any(small.startswith(x[:8]) or x in small for x in spans)
+    assert text[slice(*found.unread[0])] == bomb and len(found.unread) == 2
+    monkeypatch.setattr(secrets, "MOST_PIECES", 2)
+    found = secrets.unwrap(text, 50)  # the first run is not read to its end
+    assert found.truncated and any(x in small for x in {text[s:e] for _, s, e, _ in found.rows})
+    assert bomb in {text[s:e] for s, e in found.unread}
+    many = "%41" * 2000 + " " + nest("a token=abcdefg z", "base64", "url")
+    deep = SECRET
+    for _ in range(1500):
+        deep = zlib.compress(deep)
+    assert secrets.unwrap(base64.b64encode(deep).decode(), 16 << 20).rows
+    assert secrets.unwrap(many, 1).rows and not secrets.unwrap(many, 1).truncated
+
+
 def test_secret_report_and_redaction(spark, corpus):
     rows = [(1, "a token=abcdef b"), (2, None), (None, "AKIA" + "Z" * 17), (4, nest("secret: qwertyuiop", "url") + " password=%41bcdefgh")]
     got = {r["doc_id"]: r for r in secrets.secret_report(secrets.scan_secrets(docs(spark, rows))).collect()}

@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version on a small documents table."""
 
 import base64
+import gzip
 
 import numpy as np
 import public_tokenizers
@@ -56,3 +57,11 @@ def test_stages_return_the_columns_of_documents_even_when_empty(spark, tmp_path,
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     out = stage(spark, empty, str(tmp_path))
     assert out.dtypes == empty.dtypes and out.collect() == []
+
+
+def test_runs_that_are_not_read_as_a_whole_are_redacted(spark, tmp_path):
+    run = base64.b64encode(gzip.compress(b"a" * 300_000)).decode()
+    write(spark, str(tmp_path), [(1, f"head {run} tail"), (2, "plain text")], [(1, "a b c d e f")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.secret_redaction(spark, docs, str(tmp_path), max_expanded=50)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("head [SECRET] tail", 18), 2: ("plain text", 10)}
