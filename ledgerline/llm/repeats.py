@@ -3,100 +3,188 @@
 Every 50-byte window of every text belongs to the partition of its anchor, the 16-byte
 piece of least hash inside it, so that equal windows meet. Runs of windows with one
 anchor are cut out as segments; long repeats are cut alike in every document, as the cuts
-depend on the text alone. A partition builds the enhanced suffix array (suffixes, common
-prefixes, bytes to the left) of its distinct segments, scans the common-prefix intervals
-with a stack, keeps intervals of 50 bytes or more whose left bytes differ (the maximal
-repeats), and reports for each segment which parts of it also start in a document of
-smaller id. All occurrences count, not only neighbours in the array.
+depend on the text alone (but for one cut in every CHUNK_BYTES, which costs time only).
+A partition builds the enhanced suffix array (suffixes, common prefixes, bytes to the
+left) of its distinct segments, scans the common-prefix intervals with a stack, and
+keeps intervals of 50 bytes or more whose left bytes differ: the maximal repeats. All
+occurrences count, not only neighbours in the array. Only the part of the array that can
+hold such intervals is sorted: suffixes that share their first 50 bytes with another, in
+groups whose left bytes differ. A segment that several documents have is an interval of
+its own, with all of them as occurrences.
 
 Documents are dealt to blocks of bounded size by a hash of their id, and a block asks
 about each distinct anchor and segment once, however many of its documents hold it, so a
 passage in a third of all documents costs one question per block. Anchors that only one
-document has are sorted out first by their hashes alone.
+document has are sorted out first by their hashes alone. An anchor with very many
+different segments (a short phrase in many surroundings) is dealt again, by the hashes of
+its windows, so no partition depends on one anchor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keyed
+from .common import NO_ID, arrow_schema, keyed
 
 LENGTH = 50
 PIECE = 16
-#: Text bytes of a block, and bytes that are searched for anchors at once.
-BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
-PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Text bytes of a block, and windows that are searched for anchors at once.
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 256 << 10
+#: Different segments around one anchor beyond which its windows are dealt on their own.
+CROWDED = 1 << 14
+#: Fixed odd factors of the hashes.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+KEY_BITS = 47
+
+U = np.uint64
+NONE = np.zeros(0, np.int64)
+
+
+def words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; beyond the end, zeros."""
+    padded = np.zeros(len(text) + 16, np.uint8)
+    padded[: len(text)] = text
+    out = np.empty(len(padded) - 7, "<u8")
+    for shift in range(8):
+        out[shift::8] = np.frombuffer(padded, "<u8", (len(padded) - shift) // 8, shift)[: len(out[shift::8])]
+    return out[: len(text)]
+
+
+def _stirred(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h ^= h >> U(32)
+    h += word
+    h *= FACTORS[1]
+    return h
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+def _finished(h: np.ndarray) -> np.ndarray:
+    h ^= h >> U(32)
+    h *= FACTORS[2]
+    h ^= h >> U(29)
+    return h
 
 
-def piece_hashes(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the PIECE bytes from each position on, by doubling."""
-    h = _mixed(text.astype(np.uint64) + np.uint64(1))
-    width = 1
-    while width < PIECE:
-        h = _mixed(h[:-width] * PRIME + h[width:])
-        width *= 2
-    return h
+def body_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each text[start:end]; starts ascend, each has 8 bytes at least."""
+    out = np.empty(len(start), U)
+    longest = int((end - start).max()) if len(start) else 0
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        upto = max(at + 1, int(np.searchsorted(start, low + CHUNK_BYTES)))
+        w = words(text[low : int(end[at:upto].max())])
+        s, last = start[at:upto] - low, end[at:upto] - low - 8
+        h = (last - s + 8 + (seed << 20)).astype(U) * FACTORS[0]
+        for k in range(0, longest, 8):
+            h = _stirred(h, w[np.minimum(s + k, last)])
+        out[at:upto] = _finished(h)
+        at = upto
+    return out
 
 
-def segments(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, start and end of each segment of concatenated texts that begin at
-    starts. A segment is the bytes of consecutive windows, within one text, that have
-    the same anchor."""
-    n_windows = len(text) - length + 1
-    if n_windows <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = piece_hashes(text)
-    # least hash first, then leftmost: 40 bits of hash over 24 bits of position
-    least = (h & ~np.uint64(0xFFFFFF)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(0xFFFFFF))
-    need, width = length - PIECE + 1, 1
-    while 2 * width <= need:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if need > width:
-        least = np.minimum(least[: len(least) - (need - width)], least[need - width :])
-    window = np.arange(n_windows)
-    at = window + (((least & np.uint64(0xFFFFFF)).astype(np.int64) - window) & 0xFFFFFF)
-    owner = np.zeros(len(text), np.int32)
-    np.add.at(owner, starts[(starts > 0) & (starts < len(text))], 1)
-    owner = np.cumsum(owner, dtype=np.int32)
-    doc = owner[:n_windows]
-    inside = doc == owner[length - 1 :]
-    new = np.ones(n_windows, bool)
-    new[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], n_windows) - 1
-    keep = inside[first]
-    first, last = first[keep], last[keep]
-    return h[at[first]], first, last + length
+def window_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the length bytes from each position on."""
+    n = len(text) - length + 1
+    more = [*range(8, length - 8, 8), length - 8] if length > 8 else []
+    used = U((1 << 8 * min(length, 8)) - 1)
+    out = np.empty(max(n, 0), U)
+    for a in range(0, n, CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, n)
+        w = words(text[a : b + length - 1])
+        h = (w[: b - a] & used) * FACTORS[0]
+        for k in more:
+            h = _stirred(h, w[k : k + b - a])
+        out[a:b] = _finished(h)
+    return out
 
 
-def suffix_order(text: np.ndarray, where: np.ndarray, limit: np.ndarray) -> np.ndarray:
+def segments(text: np.ndarray, edges: np.ndarray, length: int = LENGTH, chunk: int = CHUNK_BYTES) -> tuple[np.ndarray, ...]:
+    """Anchor hash, document, start and end of each segment of concatenated texts whose
+    edges are given (one more than there are texts). A segment is the bytes of
+    consecutive windows, within one text, that have the same anchor."""
+    n_windows = len(text) - length + 1
+    after = np.maximum(edges[:-1], edges[1:] - length + 1)  # one past each text's last window
+    found = []
+    position = U((1 << 24) - 1)
+    for a in range(0, n_windows, chunk):
+        b = min(a + chunk, n_windows)
+        w = words(text[a : b + length - 1])
+        n = b - a + length - PIECE
+        h = w[:n] * FACTORS[0]
+        for k in range(8, PIECE, 8):
+            h = _stirred(h, w[k : k + n])
+        h = _finished(h)
+        # least hash first, then leftmost: 40 bits of hash over 24 bits of position
+        least = (h & ~position) | np.arange(n, dtype=U)
+        need, width = length - PIECE + 1, 1
+        while 2 * width <= need:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if need > width:
+            least = np.minimum(least[: len(least) - (need - width)], least[need - width :])
+        cuts = [np.zeros(1, np.int64), np.flatnonzero(least[1:] != least[:-1]) + 1]
+        for of in (edges, after):
+            low, high = np.searchsorted(of, [a + 1, b])
+            cuts.append(of[low:high] - a)
+        cut = np.sort(np.concatenate(cuts), kind="stable")
+        cut = cut[np.append(True, cut[1:] != cut[:-1])]
+        first, last = cut + a, np.append(cut[1:], b - a) + a
+        doc = np.searchsorted(edges[1:], first, "right")
+        inside = first < after[doc]
+        # the least hashes are small numbers: stirred, they spread over all buckets
+        key = _finished(h[(least[cut[inside]] & position).astype(np.int64)])
+        found.append((key, doc[inside], first[inside], last[inside] + length - 1))
+    if not found:
+        return np.zeros(0, U), NONE, NONE, NONE
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def gathered(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of text[start:start + size], one after the other."""
+    before = np.cumsum(size) - size
+    return text[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... start + size - 1 of each, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def alike(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal texts, and the set of each."""
+    for seed in count(0, 2):
+        _, first, which = np.unique(body_hashes(text, start, end, seed), return_index=True, return_inverse=True)
+        check = body_hashes(text, start, end, seed + 1)
+        if (check == check[first][which]).all():
+            return first, which
+    raise AssertionError
+
+
+def suffix_order(
+    text: np.ndarray, where: np.ndarray, limit: np.ndarray, group: np.ndarray | None = None, depth: int = 0
+) -> np.ndarray:
     """Positions where (with limit bytes each up to their segment's end) in the order of
     their suffixes; equal suffixes of different lengths put the shorter one first. Sorts
-    by eight bytes at a time, going on only inside runs that still tie."""
+    by eight bytes at a time, going on only inside runs that still tie. A group (ascending,
+    the first place of each run) may say which are known to share their first depth bytes."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
     order = np.arange(len(where))
-    group = np.zeros(len(where), np.int64)
+    group = np.zeros(len(where), np.int64) if group is None else group.copy()
     live = np.arange(len(where))  # places in the order that still tie
-    depth = 0
     while len(live):
         own = order[live]
         left = np.clip(limit[own] - depth, 0, 8)
-        raw = words[np.minimum(where[own] + depth, len(text))].copy()
-        key = raw.view(">u8").reshape(-1).astype(np.uint64)
-        shift = (8 * (8 - left)).astype(np.uint64)
-        key = np.where(left > 0, (key >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)), np.uint64(0))
+        raw = view[np.minimum(where[own] + depth, len(text))].copy()
+        key = raw.view(">u8").reshape(-1).astype(U)
+        shift = np.minimum((8 * (8 - left)).astype(U), U(63))
+        key = np.where(left > 0, (key >> shift) << shift, U(0))
         ranked = np.lexsort((left, key, group[live]))
         order[live] = own[ranked]
         key, left, old = key[ranked], left[ranked], group[live]
@@ -104,8 +192,7 @@ def suffix_order(text: np.ndarray, where: np.ndarray, limit: np.ndarray) -> np.n
         start = np.flatnonzero(change)
         size = np.diff(np.append(start, len(live)))
         group[live] = live[start][np.cumsum(change) - 1]
-        tie = np.repeat((size > 1) & (left[start] == 8), size)
-        live = live[tie]
+        live = live[np.repeat((size > 1) & (left[start] == 8), size)]
         depth += 8
     return order
 
@@ -117,11 +204,11 @@ def common_prefixes(text: np.ndarray, where: np.ndarray, limit: np.ndarray) -> n
     live = np.arange(1, n)
     depth = 0
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
     most = np.minimum(limit[1:], limit[:-1])
     while len(live):
-        a = words[np.minimum(where[live - 1] + depth, len(text))]
-        b = words[np.minimum(where[live] + depth, len(text))]
+        a = view[np.minimum(where[live - 1] + depth, len(text))]
+        b = view[np.minimum(where[live] + depth, len(text))]
         differ = a != b
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
         out[live] += same
@@ -136,6 +223,8 @@ def maximal_repeats(prefix: np.ndarray, left: np.ndarray, owner: np.ndarray, len
     owner) of each interval of length or more whose left bytes differ. left is the byte
     before each suffix, negative and different for each text's beginning."""
     out: list[tuple[int, int, int, int]] = []
+    if not len(prefix):
+        return out
     deep = prefix >= length
     ends = np.append(deep[:-1] & ~deep[1:], False)  # the places where the last interval closes
     steps = np.flatnonzero(deep | np.append(False, ends[:-1])).tolist()
@@ -164,34 +253,102 @@ def maximal_repeats(prefix: np.ndarray, left: np.ndarray, owner: np.ndarray, len
     return out
 
 
+class Intervals:
+    """The maximal repeats of distinct segments (concatenated, with their sizes) whose
+    least document ids are given."""
+
+    def __init__(self, text: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int = LENGTH):
+        base = np.cumsum(sizes) - sizes
+        counts = np.maximum(sizes - length + 1, 0)
+        where = ranges(base, counts)
+        of = np.repeat(np.arange(len(sizes)), counts)
+        where, of, group = self._meeting(text, where, of, base, length)
+        order = suffix_order(text, where, base[of] + sizes[of] - where, group, length)
+        self.where, self.of = where[order], of[order]
+        self.offset = self.where - base[self.of]
+        self.owner = owners[self.of]
+        prefix = common_prefixes(text, self.where, sizes[self.of] - self.offset)
+        left = np.where(self.offset > 0, text[np.maximum(self.where - 1, 0)].astype(np.int64), -1 - self.of)
+        self.found = maximal_repeats(prefix, left, self.owner, length)
+
+    @staticmethod
+    def _meeting(text, where, of, base, length):
+        """The suffixes that share their first bytes with another, in groups (the place
+        of a group's first suffix) whose left bytes differ: no other can stand in an
+        interval that is a maximal repeat."""
+        if not len(where):
+            return where, of, where
+        h = window_hashes(text, length)[where]
+        # most stand alone, which 40 bits of the hash tell: over 24 bits of position, again
+        position = U((1 << 24) - 1)
+        if len(h) <= int(position):
+            alone = np.ones(len(h), bool)
+            ranked = np.sort((h & ~position) | np.arange(len(h), dtype=U))
+            same = (ranked[1:] ^ ranked[:-1]) <= position
+            alone[(ranked[1:][same] & position).astype(np.int64)] = False
+            alone[(ranked[:-1][same] & position).astype(np.int64)] = False
+            where, of, h = where[~alone], of[~alone], h[~alone]
+        order = np.argsort(h)
+        new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(order)]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        several = np.repeat(size > 1, size)
+        order, new = order[several], new[several]
+        where, of = where[order], of[order]
+        if not len(where):
+            return where, of, where
+        left = np.where(where > base[of], text[np.maximum(where - 1, 0)].astype(np.int64), -1 - of)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(where)))
+        differ = np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first)
+        keep = np.repeat(differ, size)
+        where, of, size = where[keep], of[keep], size[differ]
+        first = np.cumsum(size) - size
+        # equal hashes of unequal bytes would hide an order: then sort from the start
+        padded = np.lib.stride_tricks.sliding_window_view(text, length)
+        leader = np.repeat(where[first], size)
+        step = max(1, (16 << 20) // length)
+        for a in range(0, len(where), step):
+            if (padded[where[a : a + step]] != padded[leader[a : a + step]]).any():
+                fresh = suffix_order(text, where, np.full(len(where), length))
+                where, of = where[fresh], of[fresh]
+                differs = (padded[where[1:]] != padded[where[:-1]]).any(axis=1)
+                first = np.flatnonzero(np.append(True, differs))
+                size = np.diff(np.append(first, len(where)))
+                break
+        return where, of, np.repeat(first, size)
+
+    def later_parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, start, end, least id) of the occurrences that a smaller id has too."""
+        if not self.found:
+            return NONE, NONE, NONE, NONE
+        first, last, top, low = np.array(self.found, np.int64).T
+        size = last - first + 1
+        at, top, low = ranges(first, size), np.repeat(top, size), np.repeat(low, size)
+        later = self.owner[at] > low
+        at, top, low = at[later], top[later], low[later]
+        return self.of[at], self.offset[at], self.offset[at] + top, low
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, start, end) of every occurrence of every maximal repeat."""
+        if not self.found:
+            return NONE, NONE, NONE
+        first, last, top, _ = np.array(self.found, np.int64).T
+        size = last - first + 1
+        at = ranges(first, size)
+        return self.of[at], self.offset[at], self.offset[at] + np.repeat(top, size)
+
+
 def shared_parts(bodies: list[bytes], owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """For distinct segments and the least document id of each: the parts that also
-    start in a smaller document. Returns (segment, start, end, that document's id); of
-    parts of one segment that begin alike, those with ever smaller ids and shorter ends."""
-    if not bodies:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+    start in a smaller document, as (segment, start, end, that document's id)."""
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    text = np.frombuffer(b"".join(bodies), np.uint8)
-    base = np.cumsum(sizes) - sizes
-    counts = sizes - length + 1
-    of = np.repeat(np.arange(len(bodies)), counts)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    where, limit = base[of] + offset, sizes[of] - offset
-    order = suffix_order(text, where, limit)
-    of, offset, where, limit = of[order], offset[order], where[order], limit[order]
-    prefix = common_prefixes(text, where, limit)
-    left = np.where(offset > 0, text[np.maximum(where - 1, 0)].astype(np.int64), -1 - of)
-    owner = owners[of]
-    parts = [(at, top, low) for first, last, top, low in maximal_repeats(prefix, left, owner, length) for at in (first + np.flatnonzero(owner[first : last + 1] > low)).tolist()]
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    at, top, low = np.array(parts, np.int64).T
-    return of[at], offset[at], offset[at] + top, low
-
-
-KEY = np.uint64((1 << 47) - 1)
+    return Intervals(np.frombuffer(b"".join(bodies), np.uint8), sizes, owners, length).later_parts()
+
+
+def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets are ranges of keys, so what is sorted by key is sorted by bucket."""
+    return ((key >> U(16)) * U(n_buckets) >> U(KEY_BITS - 16)).astype(np.int64)
 
 
 class Block:
@@ -199,190 +356,264 @@ class Block:
 
     def __init__(self, table: pa.Table, n_buckets: int):
         self.n_buckets = n_buckets
-        self.ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
         self.own_ids = table.column("doc_id")
-        self.texts = table.column("raw").to_pylist()
-        keys, docs, starts, ends = [], [], [], []
-        chunk: list[int] = []
-        held = 0
-        for d in range(len(self.texts)):
-            chunk.append(d)
-            held += len(self.texts[d])
-            if d + 1 == len(self.texts) or held + len(self.texts[d + 1]) > CHUNK_BYTES:
-                sizes = np.array([len(self.texts[x]) for x in chunk])
-                base = np.cumsum(sizes) - sizes
-                text = np.frombuffer(b"".join(self.texts[x] for x in chunk), np.uint8)
-                h, s, e = segments(text, base)
-                k = np.searchsorted(base, s, "right") - 1  # the last document that begins there, which has bytes
-                keys.append(h & KEY)
-                docs.append(np.array(chunk)[k])
-                starts.append(s - base[k])
-                ends.append(e - base[k])
-                chunk, held = [], 0
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.key, self.doc = join(keys, np.uint64), join(docs, np.int64)
-        self.start, self.end = join(starts, np.int64), join(ends, np.int64)
-        self.id_of = np.array(self.ids, np.int64)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors by bucket, and whether two documents of the block have it."""
-        order = np.lexsort((self.doc, self.key))
-        key, doc = self.key[order], self.doc[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(key)) - 1 if len(key) else first
-        unique, several = key[first], doc[first] != doc[last]
-        by_bucket = np.argsort(unique % np.uint64(self.n_buckets), kind="stable")
-        return unique[by_bucket], several[by_bucket]
-
-    def shared(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
-        """The segments whose anchors another document has too, by the first answers."""
-        unique, _ = self.anchors()
-        bucket = (unique % np.uint64(self.n_buckets)).astype(np.int64)
-        known = []
-        for b, bits in answers:
-            own = unique[slice(*np.searchsorted(bucket, [b, b + 1]))]
-            known.append(own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)])
-        found = np.concatenate(known) if known else np.zeros(0, np.uint64)
-        return np.flatnonzero(np.isin(self.key, found))
-
-    def bodies(self, of: np.ndarray) -> list[tuple[int, dict[bytes, list[int]]]]:
-        """By bucket: the distinct bytes of the given segments, and which have them."""
-        out: dict[int, dict[bytes, list[int]]] = {}
-        bucket = (self.key[of] % np.uint64(self.n_buckets)).tolist()
-        for b, k, d, s, e in zip(bucket, of.tolist(), self.doc[of].tolist(), self.start[of].tolist(), self.end[of].tolist(), strict=True):
-            out.setdefault(b, {}).setdefault(self.texts[d][s:e], []).append(k)
-        return sorted(out.items())
+        self.id_of = np.array([NO_ID if x is None else x for x in self.own_ids.to_pylist()], np.int64)
+        raw = pa.concat_arrays(table.column("raw").cast(pa.large_binary()).chunks)
+        _, edges, data = raw.buffers()
+        edges = np.frombuffer(edges, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.text, self.edges = held[edges[0] : edges[-1]], edges - edges[0]
+        key, self.doc, self.start, self.end = segments(self.text, self.edges)
+        self.key = key >> U(64 - KEY_BITS)
+        self.body = body_hashes(self.text, self.start, self.end)
+        # by key, then by the body's first bits; equal bodies apart are only asked about twice
+        self.order = np.argsort(self.key << U(64 - KEY_BITS) | self.body >> U(KEY_BITS))
+        ranked = self.key[self.order]
+        self.new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        self.first = np.flatnonzero(self.new)
+        self.anchors = ranked[self.first]
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct anchor: whether two documents of the block have it, and how
+        many different segments, as a power of two."""
+        if not len(self.first):
+            return NONE, NONE
+        doc, body = self.doc[self.order], self.body[self.order]
+        several = np.minimum.reduceat(doc, self.first) != np.maximum.reduceat(doc, self.first)
+        other = np.append(True, body[1:] != body[:-1]) | self.new
+        different = np.add.reduceat(other.astype(np.int64), self.first)
+        return several, np.ceil(np.log2(different)).astype(np.int64)
+
+    def pieces(self, answers: list[tuple[int, bytes, bytes | None]]) -> Pieces:
+        """What the block asks the second time, by the first answers."""
+        bucket = bucket_of(self.anchors, self.n_buckets)
+        shared, crowded = np.zeros(len(self.anchors), bool), np.zeros(len(self.anchors), bool)
+        for b, bits, more in answers:
+            low, high = np.searchsorted(bucket, [b, b + 1])
+            for flags, found in ((shared, bits), (crowded, more)):
+                if found is not None:
+                    flags[low:high] = np.unpackbits(np.frombuffer(found, np.uint8), count=high - low)
+        anchor = np.cumsum(self.new) - 1
+        whole = self.order[(shared & ~crowded)[anchor]]
+        split = np.sort(self.order[crowded[anchor]])
+        key, body, doc = self.key[whole], self.body[whole], self.doc[whole]
+        start, end = self.start[whole], self.end[whole]
+        if len(split):  # one piece for each window
+            n = self.end[split] - self.start[split] - LENGTH + 1
+            at = ranges(self.start[split], n)
+            h = body_hashes(self.text, at, at + LENGTH)
+            key, body = np.append(key, h >> U(64 - KEY_BITS)), np.append(body, h)
+            doc, start, end = np.append(doc, np.repeat(self.doc[split], n)), np.append(start, at), np.append(end, at + LENGTH)
+            order = np.lexsort((body, key))
+            key, body, doc, start, end = key[order], body[order], doc[order], start[order], end[order]
+        return Pieces(self, key, body, doc, start, end)
+
+
+class Pieces:
+    """Segments (or windows) of a block in the order of their keys and bodies; equal ones
+    are asked about once."""
+
+    def __init__(self, block: Block, key, body, doc, start, end):
+        self.doc, self.start, self.end = doc, start, end
+        new = np.append(True, (key[1:] != key[:-1]) | (body[1:] != body[:-1]))[: len(key)]
+        self.first = np.flatnonzero(new)
+        self.which = np.cumsum(new) - 1
+        self.ids = block.id_of[doc]
+        bucket = bucket_of(key[self.first], block.n_buckets)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        self.parts = [(int(bucket[a]), int(a), int(z)) for a, z in zip(cut, np.append(cut[1:], len(bucket)), strict=True)]
 
 
 ANCHORS = "bucket int, block long, anchors binary"
 ANSWERS = "block long, step int, bucket int, a binary, b binary"
-BODIES = "bucket int, block long, sizes binary, keys binary, owners binary, bodies binary"
+BODIES = "bucket int, block long, sizes binary, least binary, most binary, bodies binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+GROUPS = "repeat binary, doc_id long, start long, end long"
+ASKED_BYTES = 7  # a key, a bit for several documents, seven for the power of two
 
 
 def ask_anchors(block_id: int, block: Block) -> list[tuple]:
-    unique, several = block.anchors()
-    bucket = (unique % np.uint64(block.n_buckets)).astype(np.int64)
-    stored = (unique << np.uint64(1) | several.astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    several, power = block.asked()
+    bucket = bucket_of(block.anchors, block.n_buckets)
+    stored = block.anchors << U(8) | several.astype(U) << U(7) | power.astype(U)
+    stored = stored.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ASKED_BYTES]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
     return [
         (int(bucket[a]), block_id, stored[a:z].tobytes())
         for a, z in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)
     ]
 
 
-def answer_anchors(bucket: int, blocks: list[int], asked: list[bytes]) -> list[tuple]:
-    """For each block, a bit for each anchor it asked about: whether two documents have it."""
-    sizes = [len(a) // 6 for a in asked]
+def answer_anchors(bucket: int, blocks: list[int], asked: list[bytes], crowded: int = CROWDED) -> list[tuple]:
+    """For each block, a bit for each anchor it asked about: whether two documents have
+    it; and another, if any is set: whether its segments are too many for one place."""
+    sizes = [len(a) // ASKED_BYTES for a in asked]
     wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(asked), np.uint8).reshape(-1, 6)
+    wide[:, :ASKED_BYTES] = np.frombuffer(b"".join(asked), np.uint8).reshape(-1, ASKED_BYTES)
     stored = wide.view("<u8").reshape(-1)
-    key = stored >> np.uint64(1)
-    order = np.argsort(key, kind="stable")
+    key = stored >> U(8)
+    order = np.argsort(key)
     ranked = key[order]
-    same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    twice |= (stored & np.uint64(1)).astype(bool)
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
+    size = np.diff(np.append(first, len(key)))
+    held = stored[order]
+    several = np.maximum.reduceat((held >> U(7)) & U(1), first).astype(bool) | (size > 1)
+    many = np.add.reduceat(np.int64(1) << (held & U(127)).astype(np.int64), first) > crowded
+    shared, split = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    shared[order] = np.repeat(several, size)
+    split[order] = np.repeat(several & many, size)
     edges = np.cumsum([0, *sizes])
     return [
-        (block, 1, bucket, np.packbits(twice[a:z]).tobytes(), None)
+        (block, 1, bucket, np.packbits(shared[a:z]).tobytes(), np.packbits(split[a:z]).tobytes() if split[a:z].any() else None)
         for block, a, z in zip(blocks, edges[:-1], edges[1:], strict=True)
-        if twice[a:z].any()
+        if shared[a:z].any()
     ]
 
 
-def ask_bodies(block_id: int, block: Block, answers: list[tuple[int, bytes]]) -> list[tuple]:
+def ask_bodies(block_id: int, block: Block, pieces: Pieces) -> list[tuple]:
     import zstandard
 
-    out = []
-    for bucket, found in block.bodies(block.shared(answers)):
-        least = [int(block.id_of[block.doc[ks]].min()) for ks in found.values()]
-        key = block.key[[ks[0] for ks in found.values()]]
-        out.append((
+    if not len(pieces.first):
+        return []
+    least = np.minimum.reduceat(pieces.ids, pieces.first)
+    most = np.maximum.reduceat(pieces.ids, pieces.first)
+    start = pieces.start[pieces.first]
+    size = pieces.end[pieces.first] - start
+    packer = zstandard.ZstdCompressor(level=1)
+    return [
+        (
             bucket,
             block_id,
-            np.fromiter(map(len, found), np.uint8, len(found)).tobytes(),
-            key.astype("<u8").tobytes(),
-            np.array(least, "<i8").tobytes(),
-            zstandard.ZstdCompressor(level=1).compress(b"".join(found)),
-        ))
-    return out
+            size[a:z].astype(np.uint8).tobytes(),
+            least[a:z].astype("<i8").tobytes(),
+            (most[a:z] != least[a:z]).astype(np.uint8).tobytes(),
+            packer.compress(gathered(block.text, start[a:z], size[a:z]).tobytes()),
+        )
+        for bucket, a, z in pieces.parts
+    ]
 
 
-def answer_bodies(bucket: int, asked: list[tuple[int, bytes, bytes, bytes, bytes]]) -> list[tuple]:
+class Bucket:
+    """The distinct segments of a bucket: which blocks have them, and their intervals."""
+
+    def __init__(self, asked: list[tuple[int, bytes, bytes, bytes, bytes]]):
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        self.blocks = [block for block, *_ in asked]
+        n = [len(sizes) for _, sizes, *_ in asked]
+        self.edges = np.cumsum([0, *n])
+        size = np.frombuffer(b"".join(a[1] for a in asked), np.uint8).astype(np.int64)
+        self.mine = np.frombuffer(b"".join(a[2] for a in asked), "<i8")
+        several = np.frombuffer(b"".join(a[3] for a in asked), np.uint8)
+        text = np.frombuffer(b"".join(unpacker.decompress(a[4]) for a in asked), np.uint8)
+        end = np.cumsum(size)
+        first, self.which = alike(text, end - size, end)
+        self.text = gathered(text, (end - size)[first], size[first])
+        self.sizes = size[first]
+        order = np.argsort(self.which, kind="stable")
+        runs = np.searchsorted(self.which[order], np.arange(len(first)))
+        self.least = np.minimum.reduceat(self.mine[order], runs)
+        # two documents have it: two in one block, or different least ones in two blocks
+        self.repeated = (np.maximum.reduceat(self.mine[order], runs) != self.least) | np.maximum.reduceat(several[order], runs).astype(bool)
+        self.intervals = Intervals(self.text, self.sizes, self.least)
+
+    def parts_by_block(self, of: np.ndarray, start: np.ndarray, end: np.ndarray, only_least: bool):
+        """(block, range of its questions, question, row of the given parts)."""
+        order = np.argsort(of, kind="stable")
+        of, start, end = of[order], start[order], end[order]
+        for block, a, z in zip(self.blocks, self.edges[:-1], self.edges[1:], strict=True):
+            w = self.which[a:z]
+            own = np.flatnonzero(self.mine[a:z] == self.least[w]) if only_least else np.arange(len(w))
+            low, high = np.searchsorted(of, w[own]), np.searchsorted(of, w[own], "right")
+            rows = ranges(low, high - low)
+            yield block, w, np.repeat(own, high - low), start[rows], end[rows], of[rows]
+
+
+def answer_bodies(bucket: int, asked: list[tuple]) -> list[tuple]:
     """For each block and segment it asked about: the least document id that has these
     bytes, and for the block of that document the parts that smaller ids have."""
-    import zstandard
+    held = Bucket(asked)
+    of, start, end, _ = held.intervals.later_parts()
+    return [
+        (block, 2, bucket, held.least[w].astype("<i8").tobytes(), np.stack([k, s, e], axis=1).astype("<i4").tobytes())
+        for block, w, k, s, e, _ in held.parts_by_block(of, start, end, True)
+    ]
+
 
-    number: dict[bytes, int] = {}
-    blocks, which, mine, keys = [], [], [], []
-    for block, sizes, key, owners, packed in asked:
-        text = zstandard.ZstdDecompressor().decompress(packed)
-        ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64).tolist()
-        blocks.append(block)
-        which.append(np.array([number.setdefault(text[a:z], len(number)) for a, z in zip([0, *ends], ends, strict=False)], np.int64))
-        mine.append(np.frombuffer(owners, "<i8"))
-        keys.append(np.frombuffer(key, "<u8"))
-    least = np.full(len(number), NO_ID, np.int64)
-    key_of = np.zeros(len(number), np.uint64)
-    for w, m, k in zip(which, mine, keys, strict=True):
-        np.minimum.at(least, w, m)
-        key_of[w] = k
-    _, inverse, count = np.unique(key_of, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(count[inverse] > 1)  # anchors around which texts differ
-    everything = list(number)
-    part, start, end, _ = shared_parts([everything[i] for i in mixed], least[mixed])
-    part = mixed[part]
-    order = np.argsort(part, kind="stable")
-    part, start, end = part[order], start[order], end[order]
+def answer_groups(bucket: int, asked: list[tuple]) -> list[tuple]:
+    """For each block: every occurrence of every maximal repeat in the segments it asked
+    about, with the repeat's digest (16 bytes each)."""
+    import hashlib
+
+    held = Bucket(asked)
+    of, start, end = held.intervals.occurrences()
+    whole = np.flatnonzero(held.repeated)
+    parts = np.unique(np.stack([np.append(of, whole), np.append(start, np.zeros_like(whole)), np.append(end, held.sizes[whole])]), axis=1)
+    base = np.cumsum(held.sizes) - held.sizes
     out = []
-    for block, w, m in zip(blocks, which, mine, strict=True):
-        own = np.flatnonzero(m == least[w])
-        low, high = np.searchsorted(part, w[own]), np.searchsorted(part, w[own], "right")
-        n = high - low
-        rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        parts = np.stack([np.repeat(own, n), start[rows], end[rows]], axis=1).astype("<i4")
-        out.append((block, 2, bucket, least[w].astype("<i8").tobytes(), parts.tobytes()))
+    for block, _, k, s, e, f in held.parts_by_block(*parts, False):
+        at = base[f]
+        digests = [hashlib.md5(held.text[a:z].tobytes()).digest() for a, z in zip((at + s).tolist(), (at + e).tolist(), strict=True)]
+        out.append((block, 2, bucket, b"".join(digests), np.stack([k, s, e], axis=1).astype("<i4").tobytes()))
     return out
 
 
-def apply_answers(block: Block, first: list[tuple[int, bytes]], second: dict[int, tuple[bytes, bytes]]) -> list[tuple]:
+def apply_answers(block: Block, pieces: Pieces, second: dict[int, tuple[bytes, bytes]]) -> pa.Table:
     """doc_id, n_bytes, n_removed, n_spans and kept bytes of each document."""
-    cuts: list[tuple[int, int, int]] = []
-    for bucket, found in block.bodies(block.shared(first)):
-        least, parts = second[bucket]
-        least = np.frombuffer(least, "<i8").tolist()
-        own: dict[int, list] = {}
-        for k, s, e in np.frombuffer(parts, "<i4").reshape(-1, 3).tolist():
-            own.setdefault(k, []).append((s, e))
-        for k, ks in enumerate(found.values()):
-            for seg in ks:
-                d, s, e = int(block.doc[seg]), int(block.start[seg]), int(block.end[seg])
-                if block.ids[d] > least[k]:
-                    cuts.append((d, s, e))
-                else:
-                    cuts += [(d, s + a, s + z) for a, z in own.get(k, ())]
-    cuts.sort()
-    out, at = [], 0
-    for d, (doc_id, raw) in enumerate(zip(block.own_ids.to_pylist(), block.texts, strict=True)):
-        kept, upto, spans, removed = [], 0, 0, 0
-        last = -1
-        while at < len(cuts) and cuts[at][0] == d:
-            _, s, e = cuts[at]
-            at += 1
-            if s > last:
-                spans += 1
-                kept.append(raw[upto:s])
-                removed += e - s
-                upto = last = e
-            elif e > last:
-                removed += e - last
-                upto = last = e
-        kept.append(raw[upto:])
-        out.append((doc_id, len(raw), removed, spans, b"".join(kept)))
-    return out
+    least = np.full(len(pieces.first), NO_ID, np.int64)
+    rows = [np.zeros((0, 3), np.int64)]
+    for bucket, a, z in pieces.parts:
+        own, parts = second[bucket]
+        least[a:z] = np.frombuffer(own, "<i8")
+        rows.append(np.frombuffer(parts, "<i4").reshape(-1, 3).astype(np.int64) + [a, 0, 0])
+    later = pieces.ids > least[pieces.which]
+    group, low, high = np.concatenate(rows).T
+    # a part belongs to every piece of its group whose document is the least one
+    edges = np.append(pieces.first, len(pieces.which))
+    n = edges[group + 1] - edges[group] if len(group) else NONE
+    piece = ranges(edges[group], n) if len(group) else NONE
+    mine = ~later[piece]
+    piece, low, high = piece[mine], np.repeat(low, n)[mine], np.repeat(high, n)[mine]
+    start = np.concatenate([pieces.start[later], pieces.start[piece] + low])
+    end = np.concatenate([pieces.end[later], pieces.start[piece] + high])
+    order = np.argsort(start)
+    start, end = start[order], end[order]
+    doc = np.searchsorted(block.edges[1:], start, "right")
+    reach = np.maximum.accumulate(end) if len(end) else end
+    new = np.append(True, (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1]))[: len(start)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    start, end, doc = start[first], reach[last], doc[first]
+    n_docs = len(block.id_of)
+    n_spans = np.bincount(doc, minlength=n_docs)
+    n_removed = np.bincount(doc, weights=end - start, minlength=n_docs).astype(np.int64)
+    n_bytes = np.diff(block.edges)
+    kept = np.ones(len(block.text), bool)
+    kept[ranges(start, end - start)] = False
+    offsets = np.append(0, np.cumsum(n_bytes - n_removed)).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_binary(), n_docs, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(block.text[kept].tobytes())])
+    columns = [block.own_ids.combine_chunks(), pa.array(n_bytes), pa.array(n_removed), pa.array(n_spans), texts.cast(pa.binary())]
+    return pa.Table.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def apply_groups(block: Block, pieces: Pieces, second: dict[int, tuple[bytes, bytes]]) -> pa.Table:
+    """Each occurrence of a maximal repeat: its digest, the document, start and end."""
+    found = []
+    edges = np.append(pieces.first, len(pieces.which))
+    for bucket, a, _ in pieces.parts:
+        digests, parts = second.get(bucket, (b"", b""))
+        group, low, high = np.frombuffer(parts, "<i4").reshape(-1, 3).astype(np.int64).T
+        n = edges[group + a + 1] - edges[group + a]
+        piece = ranges(edges[group + a], n)
+        names = np.frombuffer(digests, "V16")[np.repeat(np.arange(len(group)), n)]
+        base = pieces.start[piece] - block.edges[pieces.doc[piece]]
+        found.append((names, pieces.doc[piece], base + np.repeat(low, n), base + np.repeat(high, n)))
+    if not found:
+        found = [(np.zeros(0, "V16"), NONE, NONE, NONE)]
+    names, doc, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    ids = block.own_ids.combine_chunks().take(pa.array(doc))
+    return pa.Table.from_arrays([pa.array(names.tolist(), pa.binary()), ids, pa.array(start), pa.array(end)], names=["repeat", "doc_id", "start", "end"])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -390,20 +621,9 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+def _repeats(
+    docs: DataFrame, id_col: str, text_col: str, block_bytes: int, crowded: int, answer, apply, result: str
 ) -> DataFrame:
-    """One row per input row: doc_id, n_bytes of its UTF-8 text, n_removed and n_spans
-    (maximal runs) of the bytes that some 50-byte string covers which also starts in a
-    document of smaller doc_id, and kept, the other bytes in order.
-
-    Null texts are empty. Null ids come after all others. Repeated rows of one id do not
-    remove each other. Texts under 50 bytes lose nothing. An empty table gives an empty
-    result; other columns are ignored. A task holds one block of documents, or one
-    bucket of segments.
-    """
-    from .common import arrow_schema
-
     spark = docs.sparkSession
     own = keyed(docs, id_col, text_col).select(
         "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
@@ -413,35 +633,64 @@ def remove_repeats(
     n_blocks = max(n_tasks, int(total // block_bytes) + 1)
     n_buckets = max(n_tasks, int(total // (32 << 20)) + 1)
     texts = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_blocks))).repartition(n_blocks, "block")
-    schemas = {k: arrow_schema(spark, d) for k, d in (("a", ANCHORS), ("r", ANSWERS), ("b", BODIES), ("o", RESULT))}
+    schemas = {k: arrow_schema(spark, d) for k, d in (("a", ANCHORS), ("r", ANSWERS), ("b", BODIES), ("o", result))}
 
     def first(key, table):
         return _table(ask_anchors(key[0].as_py(), Block(table, n_buckets)), schemas["a"])
 
     def first_answer(key, table):
-        return _table(
-            answer_anchors(key[0].as_py(), table.column("block").to_pylist(), table.column("anchors").to_pylist()),
-            schemas["r"],
-        )
+        asked = table.column("block").to_pylist(), table.column("anchors").to_pylist()
+        return _table(answer_anchors(key[0].as_py(), *asked, crowded), schemas["r"])
+
+    def told(answers):
+        got = answers.to_pylist()
+        return [(r["bucket"], r["a"], r["b"]) for r in got if r["step"] == 1], {r["bucket"]: (r["a"], r["b"]) for r in got if r["step"] == 2}
 
     def second(key, table, answers):
-        if not table.num_rows:
+        if not table.num_rows or not answers.num_rows:
             return _table([], schemas["b"])
-        got = list(zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist(), strict=True))
-        return _table(ask_bodies(key[0].as_py(), Block(table, n_buckets), got), schemas["b"])
+        block = Block(table, n_buckets)
+        return _table(ask_bodies(key[0].as_py(), block, block.pieces(told(answers)[0])), schemas["b"])
 
     def second_answer(key, table):
-        asked = list(zip(*(table.column(c).to_pylist() for c in ("block", "sizes", "keys", "owners", "bodies")), strict=True))
-        return _table(answer_bodies(key[0].as_py(), asked), schemas["r"])
+        asked = list(zip(*(table.column(c).to_pylist() for c in ("block", "sizes", "least", "most", "bodies")), strict=True))
+        return _table(answer(key[0].as_py(), asked), schemas["r"])
 
     def last(key, table, answers):
-        got = answers.to_pylist()
-        one = [(r["bucket"], r["a"]) for r in got if r["step"] == 1]
-        two = {r["bucket"]: (r["a"], r["b"]) for r in got if r["step"] == 2}
-        return _table(apply_answers(Block(table, n_buckets), one, two), schemas["o"])
+        block = Block(table, n_buckets)
+        one, two = told(answers)
+        return apply(block, block.pieces(one), two).cast(schemas["o"])
 
     anchors = texts.groupBy("block").applyInArrow(first, ANCHORS)
     known = anchors.groupBy("bucket").applyInArrow(first_answer, ANSWERS)
     bodies = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(second, BODIES)
     parts = bodies.groupBy("bucket").applyInArrow(second_answer, ANSWERS)
-    return texts.groupBy("block").cogroup(known.unionByName(parts).groupBy("block")).applyInArrow(last, RESULT)
+    return texts.groupBy("block").cogroup(known.unionByName(parts).groupBy("block")).applyInArrow(last, result)
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, crowded: int = CROWDED
+) -> DataFrame:
+    """One row per input row: doc_id, n_bytes of its UTF-8 text, n_removed and n_spans
+    (maximal runs) of the bytes that some 50-byte string covers which also starts in a
+    document of smaller doc_id, and kept, the other bytes in order.
+
+    Null texts are empty. Null ids come after all others. Repeated rows of one id do not
+    remove each other. Texts under 50 bytes lose nothing. An empty table gives an empty
+    result; other columns are ignored. A task holds one block of documents, or one
+    bucket of segments.
+    """
+    return _repeats(docs, id_col, text_col, block_bytes, crowded, answer_bodies, apply_answers, RESULT)
+
+
+def repeat_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, crowded: int = CROWDED
+) -> DataFrame:
+    """The maximal repeat groups behind remove_repeats, one row per occurrence: repeat
+    (the MD5 of its bytes), doc_id, start and end (bytes, end exclusive) in its text.
+
+    Groups are those of the segments around one anchor, 50 to 84 bytes: a longer repeat
+    comes as a chain of overlapping groups. A repeat that stands in one document only is
+    no group. Nulls, repeated ids, short texts and empty tables: as for remove_repeats.
+    """
+    return _repeats(docs, id_col, text_col, block_bytes, crowded, answer_groups, apply_groups, GROUPS)

@@ -583,8 +583,7 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_match_brute_force(spark, seed):
+def repeating_rows(seed):
     r = random.Random(seed)
     passages = [prose(500 + k, 14, 40) for k in range(6)] + ["ab" * 60, "a" * 130, "é" * 60]
     rows = [(i, t) for i, t in EDGES if len(t or "") < 5000]
@@ -593,8 +592,13 @@ def test_repeats_match_brute_force(spark, seed):
         parts += r.sample(passages, r.randrange(0, 4))
         r.shuffle(parts)
         rows.append((r.randrange(10, 70), r.choice((" ", "")).join(parts)))
-    rows += [(200 + i, rows[10 + i][1]) for i in range(4)] + [(300, rows[12][1][3:]), (301, rows[12][1][:-7])]
-    got = repeats.remove_repeats(docs(spark, rows), block_bytes=2000).collect()
+    return rows + [(200 + i, rows[10 + i][1]) for i in range(4)] + [(300, rows[12][1][3:]), (301, rows[12][1][:-7])]
+
+
+@pytest.mark.parametrize(("seed", "crowded"), [(0, 1 << 14), (1, 1 << 14), (2, 3), (3, 1)])
+def test_repeats_match_brute_force(spark, seed, crowded):
+    rows = repeating_rows(seed)
+    got = repeats.remove_repeats(docs(spark, rows), block_bytes=2000, crowded=crowded).collect()
     want = []
     for (i, t), flags in zip(rows, brute_repeats(rows), strict=True):
         raw = (t or "").encode()
@@ -604,6 +608,43 @@ def test_repeats_match_brute_force(spark, seed):
     assert repeats.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_short_phrase_in_many_surroundings(spark):
+    """One anchor in every document, always with other neighbours, and some passages around it that do repeat."""
+    phrase = " the very same phrase in all of them "
+    rows = [(i, prose(i, 6, 10**6) + phrase + prose(1000 + i % 50, 6, 10**6)) for i in range(120)]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(docs(spark, rows), block_bytes=4000, crowded=8).collect()}
+    for (i, t), flags in zip(rows, brute_repeats(rows), strict=True):
+        assert got[i] == bytes(b for b, f in zip(t.encode(), flags, strict=True) if not f)
+
+
+def test_long_text_with_repeats(spark):
+    """Texts longer than a chunk, whose repeats lie across its edge."""
+    body = " ".join(prose(k, 40, 10**6) for k in range(1500))
+    rows = [(2, body), (1, body[1000:9000]), (3, "x" + body[300:]), (4, prose(99_999, 40, 10**6))]
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 8000, len(body) - 300, 0] and bytes(got[3]["kept"]) == b"x"
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    rows = [(k, (t or "").encode()) for k, (_, t) in enumerate(repeating_rows(5)) if len(t or "") < 5000]
+    texts = dict(rows)
+    groups = {}
+    for r in repeats.repeat_groups(docs(spark, [(i, t.decode()) for i, t in rows]), block_bytes=2000).collect():
+        text = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert hashlib.md5(text).digest() == bytes(r["repeat"]) and len(text) >= 50
+        groups.setdefault(text, set()).add((r["doc_id"], r["start"]))
+    covered = {i: bytearray(len(t)) for i, t in rows}
+    for text, found in groups.items():
+        assert found == {(i, m.start()) for i, t in rows for m in re.finditer(b"(?=" + re.escape(text) + b")", t)}
+        least = min(i for i, _ in found)
+        assert len({i for i, _ in found}) > 1
+        for i, at in found:
+            if i > least:
+                covered[i][at : at + len(text)] = b"\x01" * len(text)
+    assert [covered[i] for i, _ in rows] == brute_repeats([(i, t.decode()) for i, t in rows])
+    assert repeats.repeat_groups(docs(spark, [])).collect() == []
+
+
 def test_suffix_array_and_intervals():
     bodies = [b"xx" + b"common part" + b"1", b"yy" + b"common part" + b"2", b"common pa"]
     of, start, end, low = repeats.shared_parts(bodies, np.array([5, 3, 9]), length=5)
