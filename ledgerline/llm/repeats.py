@@ -366,7 +366,7 @@ class Block:
         key, self.doc, self.start, self.end = segments(self.text, self.edges)
         self.key = key >> U(64 - KEY_BITS)
         self.body = body_hashes(self.text, self.start, self.end)
-        # by key, then by the body's first bits; equal bodies apart are only asked about twice
+        # by key, then by the body's first bits, which is enough to estimate how many differ
         self.order = np.argsort(self.key << U(64 - KEY_BITS) | self.body >> U(KEY_BITS))
         ranked = self.key[self.order]
         self.new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
@@ -404,9 +404,9 @@ class Block:
             h = body_hashes(self.text, at, at + LENGTH)
             key, body = np.append(key, h >> U(64 - KEY_BITS)), np.append(body, h)
             doc, start, end = np.append(doc, np.repeat(self.doc[split], n)), np.append(start, at), np.append(end, at + LENGTH)
-            order = np.lexsort((body, key))
-            key, body, doc, start, end = key[order], body[order], doc[order], start[order], end[order]
-        return Pieces(self, key, body, doc, start, end)
+        # questions are numbered alike in whatever order the block's rows come
+        order = np.lexsort((body, key))
+        return Pieces(self, key[order], body[order], doc[order], start[order], end[order])
 
 
 class Pieces:

@@ -608,6 +608,18 @@ def test_repeats_match_brute_force(spark, seed, crowded):
     assert repeats.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_questions_do_not_depend_on_the_order_of_rows():
+    rows = [(i, (t or "").encode()) for i, t in repeating_rows(7)] * 3
+    asked = []
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        block = repeats.Block(repeats.pa.table({"doc_id": [i for i, _ in rows], "raw": [t for _, t in rows]}), 3)
+        anchors = repeats.ask_anchors(0, block)
+        answers = [(b, *repeats.answer_anchors(b, [0], [a], 2)[0][3:]) for b, _, a in anchors]
+        asked.append((anchors, repeats.ask_bodies(0, block, block.pieces(answers))))
+    assert all(a == asked[0] for a in asked)
+
+
 def test_short_phrase_in_many_surroundings(spark):
     """One anchor in every document, always with other neighbours, and some passages around it that do repeat."""
     phrase = " the very same phrase in all of them "
