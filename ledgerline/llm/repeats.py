@@ -3,7 +3,8 @@
 Every 50-byte window of every text belongs to the partition of its anchor, the 16-byte
 piece of least hash inside it, so that equal windows meet. Runs of windows with one
 anchor are cut out as segments; long repeats are cut alike in every document, as the cuts
-depend on the text alone (but for one cut in every CHUNK_BYTES, which costs time only).
+depend on the text alone (but for one cut in every CHUNK_BYTES of a very long text, which
+costs time only).
 A partition builds the enhanced suffix array (suffixes, common prefixes, bytes to the
 left) of its distinct segments, scans the common-prefix intervals with a stack, and
 keeps intervals of 50 bytes or more whose left bytes differ: the maximal repeats. All
@@ -111,8 +112,11 @@ def segments(text: np.ndarray, edges: np.ndarray, length: int = LENGTH, chunk: i
     after = np.maximum(edges[:-1], edges[1:] - length + 1)  # one past each text's last window
     found = []
     position = U((1 << 24) - 1)
-    for a in range(0, n_windows, chunk):
-        b = min(a + chunk, n_windows)
+    b = 0
+    while b < n_windows:
+        # at texts' edges where possible, else at a distance from the text's beginning
+        a, edge = b, int(edges[np.searchsorted(edges, b + chunk, "right") - 1])
+        b = min(edge if edge > a else a + chunk, n_windows)
         w = words(text[a : b + length - 1])
         n = b - a + length - PIECE
         h = w[:n] * FACTORS[0]

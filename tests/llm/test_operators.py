@@ -609,7 +609,7 @@ def test_repeats_match_brute_force(spark, seed, crowded):
 
 
 def test_questions_do_not_depend_on_the_order_of_rows():
-    rows = [(i, (t or "").encode()) for i, t in repeating_rows(7)] * 3
+    rows = [(i, (t or "").encode()) for i, t in repeating_rows(7)] * 9 + [(i, prose(i, 20_000, 10**6).encode()) for i in range(12)]
     asked = []
     for seed in range(4):
         random.Random(seed).shuffle(rows)
