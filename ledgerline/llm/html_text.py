@@ -59,12 +59,12 @@ HINTS = {
     "menu": "nav navigation navbar menu breadcrumb breadcrumbs toc pagination tabs".split(),
     "header": "header banner masthead topbar".split(),
     "footer": "footer copyright colophon legal contentinfo".split(),
-    "side": "sidebar related widget aside recommended complementary more".split(),
+    "side": "sidebar related widget aside recommended complementary".split(),
     "notice": "cookie cookies consent notice alert popup modal gdpr overlay".split(),
     "ad": "ad ads advert adverts advertisement sponsor sponsored promo promotion".split(),
     "form": "form newsletter subscribe search login signup".split(),
     "comments": "comment comments disqus reply replies respond discussion thread".split(),
-    "share": "share social sharing tags meta".split(),
+    "share": "share social sharing".split(),
 }
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws}
 
@@ -75,7 +75,9 @@ class Node:
     hints: tuple[str, ...] = ()
     parent: int = -1
     parts: list[str] = field(default_factory=list)
-    linked: int = 0  # characters inside links
+    size: int = 0  # characters in and below it
+    linked: int = 0  # those inside links
+    share: int = 0  # fifths of the page's text outside links that are in and below it
     children: list[int] = field(default_factory=list)
 
 
@@ -184,11 +186,20 @@ def parse(page: str) -> list[Node]:
             here = -1
             open_tags.append((tag, here, tag in SKIPPED and not _has_end(page, tag, position)))
             continue
-        words = [w for a in ATTRIBUTE.finditer(rest) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower())]
+        # classes of the whole page tell of its parts ("has-sidebar"), not of its text
+        words = [] if tag in ("html", "body") else [w for a in ATTRIBUTE.finditer(rest) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower())]
         nodes.append(Node(tag, tuple(sorted({HINT_OF[w] for w in words if w in HINT_OF})), here))
         nodes[here].children.append(len(nodes) - 1)
         here = len(nodes) - 1
         open_tags.append((tag, here, False))
+    for node in reversed(nodes):
+        node.size += sum(map(len, node.parts))
+        if node.parent >= 0:
+            nodes[node.parent].size += node.size
+            nodes[node.parent].linked += node.linked
+    plain = max(nodes[0].size - nodes[0].linked, 1)
+    for node in nodes:
+        node.share = min(4, 5 * (node.size - node.linked) // plain)
     return nodes
 
 
@@ -212,10 +223,9 @@ def sort_of(nodes: list[Node], v: int) -> int:
 
 def features(node: Node) -> list[str]:
     out = ["bias", f"tag={node.tag}", *[f"hint={h}" for h in node.hints]]
-    if node.tag == "#text":
-        size = sum(map(len, node.parts))
-        out.append(f"size={min(8, size.bit_length())}")
-        out.append(f"links={min(4, 4 * node.linked // max(size, 1))}")
+    kind = "text" if node.tag == "#text" else "all"
+    out.append(f"text size={min(8, node.size.bit_length())}" if kind == "text" else f"share={node.share}")
+    out.append(f"{kind} links={min(4, 4 * node.linked // max(node.size, 1))}")
     return out
 
 

@@ -15,6 +15,12 @@ ARTICLES = (
     "<article>", '<div class="content">', '<main>', '<div id="main-content">', '<section class="post">',
     '<div class="article-body">', '<div class="entry">', '<div role="main">', "<div>", "<section>",
 )
+#: The same, named after something that an article has or is about.
+MISLEADING = (
+    '<div class="post-tags-content">', '<div class="meta">', '<article class="post share-enabled">', '<div class="has-sidebar">',
+    '<article class="with-comments">', '<main class="header-large">', '<div class="entry ad-free">', '<section class="discussion-paper">',
+    '<div id="story-promo">', '<article data-share="1" class="legal-notice">', '<div class="search-result-article">', '<div class="menu-planning">',
+)
 NOISE = {
     "menu": ("<nav>", '<ul class="menu">', '<div id="navigation">', '<div class="navbar">', '<div role="navigation">'),
     "header": ("<header>", '<div id="header">', '<div class="banner">', '<div class="site-header">'),
@@ -24,7 +30,12 @@ NOISE = {
     "ad": ('<div class="ad">', '<div class="advert">', '<div class="sponsored">', '<div id="ads">', '<div class="promo">', '<aside class="advertisement">'),
     "form": ("<form>", '<form class="newsletter">', '<form id="search">', '<div class="subscribe">'),
     "comments": ('<div class="comments">', '<section id="comments">', '<ul class="comment-list">', '<div id="disqus_thread">', '<section class="reader-comments">', '<div class="comment">'),
-    "share": ('<div class="share">', '<div class="social">', '<ul class="breadcrumb">', '<div class="tags">'),
+    "share": ('<div class="share">', '<div class="social">', '<ul class="breadcrumb">', '<div class="tags">', '<div class="post-meta">'),
+}
+#: Classes of noise with words that speak for content.
+INNER = {
+    "header": '<div class="header-content">', "footer": '<div class="footer-content">', "side": '<div class="sidebar-content">',
+    "ad": '<div class="ad-body">', "comments": '<div class="comment-content">', "notice": '<div class="cookie-text">',
 }
 
 
@@ -61,7 +72,7 @@ def article(r: random.Random) -> str:
 
 
 def noise(r: random.Random, kind: str) -> str:
-    tag = r.choice(NOISE[kind])
+    tag = INNER[kind] if kind in INNER and r.random() < 0.07 else r.choice(NOISE[kind])
     link = lambda: f'<a href="/{r.choice(WORDS)}">{sentence(r, 1, 3)}</a>'
     item = "li" if tag.startswith("<ul") else r.choice(("p", "div", "span"))
     if kind in ("menu", "share"):
@@ -89,7 +100,7 @@ def labelled_page(seed: int) -> str:
     """A page whose content lies between the marks \\x01 and \\x02, both control
     characters that no text has."""
     r = random.Random(seed)
-    tag = r.choice(ARTICLES)
+    tag = r.choice(MISLEADING if r.random() < 0.15 else ARTICLES)
     inner = article(r)
     if r.random() < 0.3:
         where = r.choice(("ad", "share", "comments", "form", "side"))

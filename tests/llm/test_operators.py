@@ -557,6 +557,32 @@ def test_only_what_is_left_out_is_lost(page):
     assert texts == ["AAA", "BBB"]
 
 
+LONG = [f"Paragraph {k} of the article is long enough to be read as one, with a comma, some words and a full stop." for k in range(3)]
+
+
+#: Written by hand, apart from the generator: what surrounds and wraps the article LONG. None of the rest is content.
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("<body>", ""),
+        ("<article style='overflow:hidden'>", "</article>"),
+        ("<article title='a hidden gem'>", "</article>"),
+        ("<article data-state='hidden-lg' aria-hidden='false'>", "</article>"),
+        ("<html><head><title>x</title><body><article>", "</article>"),
+        ("<div class='post-tags-content'>", "</div>"),
+        ("<div class='meta'>", "</div>"),
+        ("<body class='single has-sidebar has-ads'><nav><a href=/>Home</a> <a href=/a>About</a></nav><div class='post'>", "</div><footer>(c) The owner of the site</footer>"),
+        ("<header><a href=/>Site</a></header><div class='c12'><div class='row'>", "</div></div><aside><h3>Related</h3><ul><li><a href=/x>Another one</a><li><a href=/y>One more</a></ul></aside>"),
+        ("<div id=cookie-banner>We use cookies. <button>OK</button></div><main>", "</main><section class='comments'><h3>2 comments</h3><div class='comment'><p>I liked this one a lot, thank you for it!</p></div><div class='comment'><p>So did I, and I will be back for more.</p></div></section>"),
+        ("<ul class='menu'><li><a href=/>Start</a><li><a href=/n>News</a></ul><div class='story'>", "<div class='share'><a href=/f>Share</a> <a href=/t>Post</a></div></div><form action=/s><label>Mail</label><input name=q><p>Get our letter each week.</p></form>"),
+        ("<table><tr><td class='nav'><a href=/>Index</a></td><td>", "</td></tr></table><div class='ad'>Buy two, get one free. Only this week.</div>"),
+    ],
+)
+def test_article_by_hand(before, after):
+    page = "<!DOCTYPE html>" + before + "".join(f"<p>{x}</p>" for x in LONG) + after
+    assert html_text.main_text(page, html_text.trained()) == "\n".join(LONG)
+
+
 def test_text_goes_on_behind_a_control_in_its_paragraph():
     nodes = html_text.parse("<p>AAA <button><div>x</div></button> BBB</p>")
     assert [nodes[v.parent].tag for v in nodes if v.tag == "#text"] == ["p", "p"]
