@@ -2,8 +2,8 @@
 
 A document is the first layer of a worklist. Each layer is scanned for secrets, then
 decoded in every way that applies: percent escapes, Unicode escapes, base64 runs (in
-each alignment, and joined over line breaks), and gzip or zlib streams inside base64 or
-inside each other. Every decoded text is a further layer, until nothing new appears. Layers carry, for each of their characters, the span of the document that
+each alignment, and joined over line breaks), and gzip or zlib streams inside base64,
+inside escaped bytes or inside each other. Every decoded text is a further layer, until nothing new appears. Layers carry, for each of their characters, the span of the document that
 it came from, so that what is found in any layer is reported as a span of the document.
 """
 
@@ -35,6 +35,12 @@ MIN_ASSIGNED = 6
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+#: Escaped bytes among plain characters, which stand for themselves: bytes, not all of
+#: them text, in URLs (no white space or quotes inside) and in string literals (to the line's end).
+URL_BYTES = re.compile(r"[^\s%]?(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*+)+")
+LITERAL_BYTES = re.compile(r"[^\s\\]?(?:\\(?:x[0-9A-Fa-f]{2}|[abfnrtv0\\'\"])[^\r\n\\]*+)+")
+ONE_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\(.)|([\s\S])")
+LETTERS = dict(zip("abfnrtv0\\'\"", b"\x07\x08\x0c\n\r\t\x0b\x00\\'\"", strict=True))
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64: runs that reach the line's end and go on in the next line.
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
@@ -279,6 +285,42 @@ def _base64_layers(layer: Layer, room: Room) -> Iterator[Layer]:
                 break
 
 
+def _escaped_layers(layer: Layer, room: Room) -> Iterator[Layer]:
+    """The layers of escaped bytes that aren't text as a whole: readable stretches of them,
+    and of the streams inside."""
+    for how, mark, pattern in (("url", "%", URL_BYTES), ("unicode", "\\x", LITERAL_BYTES)):
+        if mark not in layer.text:
+            continue
+        for m in pattern.finditer(layer.text):
+            if mark not in m[0]:
+                continue
+            parts, sizes, widths = [], [], []
+            for one in ONE_BYTE.finditer(m[0]):
+                code = one[1] if how == "url" else one[2]
+                letter = one[3] if how == "unicode" else None
+                if code:
+                    part = bytes.fromhex(code)
+                elif letter in LETTERS:
+                    part = bytes([LETTERS[letter]])
+                else:
+                    part = one[0].encode("utf-8", "surrogatepass")
+                parts.append(part)
+                sizes.append(len(part))
+                widths.append(len(one[0]))
+            raw = b"".join(parts)
+            if _readable(raw) is not None and not MAGIC.search(raw):
+                continue  # whole text, which is a layer of its own
+            end = m.start() + np.cumsum(widths)
+            start, end = np.repeat(end - widths, sizes), np.repeat(end, sizes)
+
+            def place(first, last, start=start, end=end):
+                return start[first], end[last]
+
+            yield from _compressed_layers(layer, raw, f"{how}>compressed", place, room)
+            for text, first, last in _stretches(raw):
+                yield layer.child(how, text, *place(first, last))
+
+
 @dataclass
 class Found:
     """What one document holds: (kind, start, end, path) with path '' for its own text;
@@ -295,6 +337,7 @@ def _layers(layer: Layer, room: Room) -> Iterator[Layer]:
         yield x
     if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, "unicode", ESCAPES, _escape)):
         yield x
+    yield from _escaped_layers(layer, room)
     yield from _base64_layers(layer, room)
 
 

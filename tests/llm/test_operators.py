@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from urllib.parse import quote_from_bytes
 
 import numpy as np
 import public_tokenizers
@@ -180,6 +181,14 @@ SECRET, FILL = b"token=abcdef123", bytes(random.Random(1).choices(b"ghijklmnop "
         *[f"{glue}{base64.b64encode(gzip.compress(SECRET)).decode()}" for glue in ("/x/y/", "data_", "a", "ab", "abc", "abcd")],
         base64.b64encode(b"\xff\x00 " + SECRET + b" \x00\xfe").decode(),
         base64.b64encode(b" " + SECRET + b" ..").decode().rstrip("=") + "a",
+        "".join(f"%{b:02x}" for b in gzip.compress(SECRET)),
+        quote_from_bytes(gzip.compress(FILL + SECRET)),
+        quote_from_bytes(zlib.compress(SECRET)),
+        "".join(f"\\x{b:02x}" for b in gzip.compress(SECRET)),
+        repr(zlib.compress(FILL + SECRET))[2:-1],
+        "%FF" + "".join(f"%{b:02x}" for b in SECRET),
+        "\\xff\\xfe" + "".join(f"\\x{b:02x}" for b in SECRET),
+        quote_from_bytes(base64.b64encode(b"\xff" + gzip.compress(zlib.compress(SECRET)))),
     ],
 )
 def test_secrets_in_streams_lines_and_glued_runs(text):
