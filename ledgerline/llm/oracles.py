@@ -32,7 +32,9 @@ lines AS (SELECT d, count(*) - count(DISTINCT l) AS n FROM (SELECT d, unnest(str
 classes AS (SELECT d, lang, k, n FROM (SELECT d, lang, unnest([0, 1, 2, 3, 4, 5, 6]) AS k, unnest([{", ".join(_count(c) for c in CLASSES)}, 0, {_count("[^" + chr(92) + "x00-" + chr(92) + "x7F]")}]) AS n, length(t) AS size FROM doc)),
 whole AS (SELECT d, lang, k, CASE WHEN k = 5 THEN size - known ELSE n END AS n, size FROM (
   SELECT c.*, length(doc.t) AS size, sum(c.n) OVER (PARTITION BY c.d) AS known FROM classes c JOIN doc USING (d))),
-class_ref AS (SELECT lang, k, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM whole GROUP BY lang, k),
+pooled AS (SELECT k, sum(n) AS pn, sum(sum(n)) OVER () AS pt, sum(sum(CASE WHEN k IN (0, 1, 6) THEN n ELSE 0 END)) OVER () AS pl FROM whole GROUP BY k),
+class_sum AS (SELECT lang, k, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total, sum(sum(CASE WHEN k IN (0, 1, 6) THEN n ELSE 0 END)) OVER (PARTITION BY lang) AS letters FROM whole GROUP BY lang, k),
+class_ref AS (SELECT lang, k, total + 30000 AS total, n + 30000 * CASE WHEN k IN (0, 1, 6) AND letters > 0 THEN pl / pt * n / letters ELSE pn / pt END AS n FROM class_sum JOIN pooled USING (k)),
 class_d AS (SELECT d, any_value(size) AS size, sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) AS v
   FROM (SELECT d, size, x.n / size AS p, r.n / r.total AS q FROM whole x JOIN class_ref r USING (lang, k) WHERE size > 0) GROUP BY d),
 word AS (SELECT d, lang, {LOWER.format("unnest(w)")} AS x FROM doc),
@@ -46,10 +48,10 @@ word_d AS (SELECT d, sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) AS v FR
   FROM doc JOIN parts USING (lang) JOIN totals USING (lang) JOIN rest USING (d) LEFT JOIN own ON own.d = doc.d AND own.x = parts.x WHERE len(w) > 0) GROUP BY d),
 judged AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(repeated.n, 0) > 30 * len(w) AS base_failed,
-    CASE WHEN totals.total >= 5000 AND length(t) >= 200 THEN class_d.v END AS cd, CASE WHEN totals.total >= 5000 AND len(w) >= 40 THEN word_d.v END AS wd
+    CASE WHEN length(t) >= 200 THEN class_d.v END AS cd, CASE WHEN len(w) >= 40 THEN word_d.v END AS wd, totals.total
   FROM doc LEFT JOIN lines USING (d) LEFT JOIN repeated USING (d) LEFT JOIN class_d USING (d) LEFT JOIN word_d USING (d) LEFT JOIN totals USING (lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(cd > 0.33, false) AND NOT coalesce(wd > 0.36 + 0.9 / sqrt(n_words), false) AS kept,
+  NOT base_failed AND NOT coalesce(cd > 0.33, false) AND NOT coalesce(wd > 0.36 + 0.9 / sqrt(n_words) + 0.9 / sqrt(total), false) AS kept,
   coalesce(CAST(round(cd * 1000000) AS BIGINT), -1) AS class_distance_ppm, coalesce(CAST(round(wd * 1000000) AS BIGINT), -1) AS word_distance_ppm FROM judged"""
 
 OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS largest, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY h)

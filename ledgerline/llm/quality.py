@@ -3,7 +3,11 @@
 Each document's histograms of character classes and of its language's common words are
 compared with the language's reference by Jensen-Shannon distance. References are summed
 over every document of the language. Short documents have noisy histograms, so each
-comparison has a guard on the document's length.
+comparison has a guard on the document's length. Small languages have noisy references:
+to every reference of classes some characters of all languages together are added, which
+say much where the language says little (only how many are letters, not which), and the
+limit of the words' distance is wider the fewer words the language has. The rules are the
+same at every size.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Character classes, by byte: 0 lower, 1 upper, 2 digit, 3 space, 4 symbol, 5 other
 #: punctuation and controls, 6 first byte of a non-ASCII character, 7 its other bytes.
 N_CLASSES = 7
+LETTERS = [0, 1, 6]
 
 
 def _classes() -> np.ndarray:
@@ -44,17 +49,18 @@ CLASS_OF = _classes()
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the verdict. A reference made of fewer than min_reference_words words
-    judges nothing."""
+    """Limits of the verdict."""
 
     common_words: int = 48
     min_class_chars: int = 200
     max_class_distance: float = 0.33
     min_word_count: int = 40
     max_word_distance: float = 0.36
-    #: added to max_word_distance, divided by the root of the number of words
+    #: added to max_word_distance, divided by the root of the number of words, and again
+    #: by the root of the number of words of the language
     word_noise: float = 0.9
-    min_reference_words: int = 5_000
+    #: characters of all languages that are added to each reference
+    pooled_chars: int = 30_000
 
 
 def class_counts(raw: bytes) -> np.ndarray:
@@ -111,6 +117,17 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(d / 2, 0.0)))
 
 
+def with_pooled(own: np.ndarray, pooled: np.ndarray, n: int) -> np.ndarray:
+    """Class counts with n characters more, of all languages' shares; among letters, of
+    the language's own."""
+    if not pooled.sum():
+        return own
+    share = pooled / pooled.sum()
+    if own[LETTERS].sum():
+        share[LETTERS] = share[LETTERS].sum() * own[LETTERS] / own[LETTERS].sum()
+    return own + n * share
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums of a task: (lang, word or null, class, n)."""
     words: dict[str, Counter] = defaultdict(Counter)
@@ -163,7 +180,9 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, lis
     common: dict[str, list] = defaultdict(list)
     for r in top.collect():
         common[r["lang"]].append((-r["n"], bytes(r["word"])))
+    pooled = sum(classes.values(), np.zeros(N_CLASSES))
     for lang, c in classes.items():
+        c = with_pooled(c, pooled, rules.pooled_chars)
         pairs = sorted(common[lang])
         counts = [-n for n, _ in pairs]
         out[lang] = (c, [w for _, w in pairs], np.array([*counts, totals.get(lang, 0) - sum(counts)], float))
@@ -184,18 +203,16 @@ def judge(texts: list[bytes], langs: list[str | None], refs: dict, rules: Rules)
         failed = n < 20 or 100 * repeat > 30 * n
         class_ref, common, word_ref = refs.get(lang or "", (np.zeros(N_CLASSES), [], np.zeros(1)))
         class_d = word_d = None
-        if word_ref.sum() >= rules.min_reference_words:
-            counts = class_counts(raw)
-            if counts.sum() >= rules.min_class_chars:
-                class_d = js_distance(counts, class_ref)
-            if n >= rules.min_word_count:
-                seen = Counter(raw.lower().split())
-                own = [seen[w] for w in common]
-                word_d = js_distance(np.array([*own, n - sum(own)], float), word_ref)
-        verdict = not (
-            (class_d is not None and class_d > rules.max_class_distance)
-            or (word_d is not None and word_d > rules.max_word_distance + rules.word_noise / n**0.5)
-        )
+        counts = class_counts(raw)
+        if counts.sum() >= rules.min_class_chars:
+            class_d = js_distance(counts, class_ref)
+        verdict = class_d is None or class_d <= rules.max_class_distance
+        if n >= rules.min_word_count:
+            seen = Counter(raw.lower().split())
+            own = [seen[w] for w in common]
+            word_d = js_distance(np.array([*own, n - sum(own)], float), word_ref)
+            noise = rules.word_noise / n**0.5 + rules.word_noise / max(word_ref.sum(), 1) ** 0.5
+            verdict = verdict and word_d <= rules.max_word_distance + noise
         for name, value in zip(
             out, (n, chars, symbols, dup_lines, repeat, failed, verdict and not failed, class_d, word_d), strict=True
         ):

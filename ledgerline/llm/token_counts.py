@@ -73,6 +73,19 @@ def attribute(
     return owner, crossing
 
 
+def apart(spans: list[tuple[int | None, int | None]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans in the order of their text, cut so that none overlaps one before it:
+    which span each is, start and end. Spans without text come first, as empty ones."""
+    bad = [a is None or b is None or not 0 <= a <= b for a, b in spans]
+    pairs = np.array([(0, 0) if x else p for p, x in zip(spans, bad, strict=True)], np.int64).reshape(-1, 2)
+    start, end = np.minimum(pairs, size).T
+    order = np.lexsort((end, start, ~np.array(bad, bool)))
+    start, end = start[order], end[order]
+    reach = np.maximum.accumulate(np.append(0, end))[:-1]
+    start = np.maximum(start, reach)
+    return order, start, np.maximum(start, end)
+
+
 def count_tokens(
     docs: DataFrame,
     ranks_path: str,
@@ -85,9 +98,11 @@ def count_tokens(
     where tokens lie outside every section: n_tokens, n_crossing (of those, tokens that
     touch another section too) and doc_tokens of the whole document.
 
-    sections_col names an array<struct<start, end>> column of spans in code points, in
-    order and apart from each other (else ValueError); without it, the lines are the
-    sections. Spans are cut at the text's end. Null texts are empty: their one line gets
+    sections_col names an array<struct<start, end>> column of spans in code points;
+    without it, the lines are the sections. Spans are cut at the text's end. Of spans that
+    overlap, those which begin first (of them, the one that ends first) have the shared
+    part. A null span, or one with a null or negative bound or with its end before its
+    start, is a section without text; start and end are given back as they are. Null texts are empty: their one line gets
     a row with no tokens. Null sections are none. Null ids and repeated rows are kept; an
     empty table gives an empty result; other columns are ignored.
     """
@@ -111,19 +126,22 @@ def count_tokens(
                 if lines:
                     s0, s1 = line_sections(text)
                 else:
-                    pairs = np.array([(x["start"], x["end"]) for x in spans or []], np.int64).reshape(-1, 2)
-                    s0, s1 = np.minimum(pairs, len(text)).T
-                    if (s0 > s1).any() or (s0[1:] < s1[:-1]).any():
-                        raise ValueError(f"the sections of document {doc} overlap or are out of order")
+                    given = [(None, None) if x is None else (x["start"], x["end"]) for x in spans or []]
+                    order, s0, s1 = apart(given, len(text))
                 ids = np.array(codec.encode_ordinary(text), np.int64)
                 owner, crossing = attribute(*token_spans(text, ids, sizes), s0, s1)
+                if lines:
+                    starts, ends = s0.tolist(), s1.tolist()
+                else:
+                    owner = np.append(order, -1)[owner]
+                    starts, ends = ([None if x is None else min(x, len(text)) for x in xs] for xs in zip(*given, strict=True)) if given else ([], [])
                 n = np.bincount(owner + 1, minlength=len(s0) + 1)
                 c = np.bincount(owner[crossing] + 1, minlength=len(s0) + 1)
                 first = 0 if n[0] else 1
                 k = np.arange(first - 1, len(s0))
                 pad = [None] if first == 0 else []
                 parts.append(
-                    ([doc] * len(k), k, [*pad, *s0.tolist()], [*pad, *s1.tolist()], n[first:], c[first:], [len(ids)] * len(k))
+                    ([doc] * len(k), k, [*pad, *starts], [*pad, *ends], n[first:], c[first:], [len(ids)] * len(k))
                 )
                 if len(parts) >= 2000:
                     yield _batch(parts, schema)

@@ -88,9 +88,24 @@ def test_token_counts_with_given_sections(spark):
     one = {r["section"]: r["n_tokens"] for r in rows if r["doc_id"] == 1}
     assert set(one) == {-1, 0, 1} and sum(one.values()) == [r["doc_tokens"] for r in rows if r["doc_id"] == 1][0]
     assert [r["section"] for r in rows if r["doc_id"] == 3] == [-1]
-    bad = spark.createDataFrame([(1, "abcdef", [(0, 4), (2, 6)])], df.schema)
-    with pytest.raises(Exception, match="overlap"):
-        token_counts.count_tokens(bad, RANKS, PATTERN, sections_col="parts").collect()
+    assert token_counts.count_tokens(df.limit(0), RANKS, PATTERN, sections_col="parts").collect() == []
+
+
+def test_token_counts_with_odd_sections(spark):
+    """Overlapping, unordered, null, half null, negative, reversed and too long spans."""
+    text = "one two three four five six"  # a token each, with the space before it
+    odd = [(14, 18), None, (None, 3), (0, 7), (4, 13), (-1, 5), (9, 2), (18, 999), (18, 23)]
+    df = spark.createDataFrame([(1, text, odd), (1, text, odd)], "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    rows = token_counts.count_tokens(df, RANKS, PATTERN, sections_col="parts").collect()
+    n = {r["section"]: r["n_tokens"] for r in rows}
+    assert len(rows) == 18 and n == {0: 1, 1: 0, 2: 0, 3: 2, 4: 1, 5: 0, 6: 0, 7: 1, 8: 1} | ({-1: n[-1]} if -1 in n else {})
+    assert {r["section"]: (r["start"], r["end"]) for r in rows}[6] == (9, 2) and rows[0]["doc_tokens"] == 6
+    order, s, e = token_counts.apart([x or (None, None) for x in odd], len(text))
+    assert sorted(order.tolist()) == list(range(9)) and (s[1:] >= e[:-1]).all() and (s <= e).all()
+
+
+def test_token_counts_of_no_rows(spark):
+    assert token_counts.count_tokens(docs(spark, []), RANKS, PATTERN).collect() == []
 
 
 def test_crossing_token_goes_to_the_larger_share_then_the_earlier():
@@ -383,6 +398,24 @@ def test_divergence_rejects_junk_and_keeps_prose(spark):
     assert quality.quality(docs(spark, [])).collect() == []
 
 
+def test_small_languages_are_judged_like_large_ones(spark):
+    """Junk in a language of one document goes, prose of any script and language stays."""
+    def row(i, text, lang):
+        return (i, text, lang, "s", len(text), "x", "y", "z")
+
+    other = str.maketrans("woabcdefghijklmnpqrstuvxyz", "шолвырапдежзикмнптуфхцчщэю")
+    large = [row(i, prose(i, 150, 80).replace("w", "wo"), "en") for i in range(200)]
+    small = [row(300 + i, prose(400 + i, 120, 900).replace("w", f"q{i}zu"), f"x{i}") for i in range(6)]
+    small += [row(320 + i, prose(500 + i, 120, 80).replace("w", "wo").translate(other), "ru") for i in range(3)]
+    small += [row(330, prose(600, 120, 80).replace("w", "wo"), None)]
+    junk = [row(340 + i, " ".join(f"{w}*** |" for w in prose(700 + i, 150, 900).split()), f"y{i}") for i in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(large + small + junk, DOCS)).collect()}
+    assert all(got[r[0]] for r in small) and not any(got[r[0]] for r in junk)
+    own = np.array([5.0, 5, 0, 0, 0, 0, 0])
+    assert quality.with_pooled(own, np.array([0.0, 0, 0, 5, 0, 0, 5]), 100).tolist() == [30, 30, 0, 50, 0, 0, 0]
+    assert quality.with_pooled(own * 0, own * 0, 100).tolist() == [0] * 7
+
+
 # 6 WARC
 
 
