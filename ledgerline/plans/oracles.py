@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.text import LOWER, UPPER
 from ..operators.classify import LIMITS, RULES
 from ..sources.adapters import FILES, LICENSES
+from . import formats
 from .queries import ECOSYSTEMS, LIBRARIES, NAMES, PURL_VERSIONS, PURLS, VERSIONS
 
 
@@ -248,11 +249,5 @@ SELECT (SELECT count(*) FROM raw) AS components, (SELECT count(*) FROM raw WHERE
 SELECT n.id AS comparison_id, (SELECT d.id FROM done d WHERE d.id <> n.id ORDER BY d.target_root_name = n.target_root_name DESC, d.created_utc DESC, d.id LIMIT 1) AS baseline_id FROM newest n""",
     "strong_identities": """WITH o AS (SELECT p_partkey AS id, ['pkg:npm/%40a/b@1?z=1&a=%41#x/y', 'PKG:Npm//a@1', 'pkg:npm/a?b', 'pkg:npm/%7ea@1', 'pkg:npm/a@1', 'bad', '', 'pkg:deb/debian/c?arch=i386'] AS l FROM part)
 SELECT id, l[id % 8 + 1] AS package_url, ['purl:pkg:npm/%40a/b?a=A&z=1#x/y', 'purl:pkg:npm/a', '', 'purl:pkg:npm/~a', 'purl:pkg:npm/a', '', '', 'purl:pkg:deb/debian/c?arch=i386'][id % 8 + 1] AS strong FROM o""",
-    "parsed_requirements": """SELECT p_brand || '/manifest' AS relative_path, 'Part_' || p_partkey AS name, CASE WHEN p_partkey % 3 = 1 THEN '>=' ELSE '' END || p_size || '.0' AS version,
-  'runtime' AS dependency_scope, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE 'pkg:pypi/part-' || p_partkey || '@' || p_size || '.0' END AS package_url FROM part""",
-    "parsed_cargo_lock": """SELECT p_brand || '/manifest' AS relative_path, 'part-' || p_partkey AS name, '1.' || p_size || '.0' AS version, 'resolved' AS dependency_scope,
-  'pkg:cargo/part-' || p_partkey || '@1.' || p_size || '.0' AS package_url FROM part""",
-    "parsed_package_json": """SELECT p_brand || '/manifest' AS relative_path, '@s/part-' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN '^' ELSE '' END || '1.2.' || p_size AS version,
-  'development' AS dependency_scope, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'pkg:npm/%40s/part-' || p_partkey || '@1.2.' || p_size END AS package_url FROM part
-UNION ALL SELECT DISTINCT p_brand || '/manifest', 'app', '1.0.0', 'project', 'pkg:npm/app@1.0.0' FROM part""",
+    **formats.ORACLES,
 }

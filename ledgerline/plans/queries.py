@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, hashes, identity, patterns, purl, text, versions
-from ..operators import advisories, classify, compare, graph, normalize, parse, views
+from ..operators import advisories, classify, compare, graph, normalize, views
 from ..sources import adapters
+from . import formats
 
 #: Texts that the scalar queries run over, picked by row number.
 VERSIONS = (
@@ -266,36 +267,6 @@ def strong_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("strong", purl.strong_identity(F.col("package_url")))
 
 
-def _generated(spark: SparkSession, sf_dir: str, parser: str, line: Column, start: str = "", end: str = "", between: str = "\n") -> DataFrame:
-    """One file per brand, made of a line for each of its parts in key order."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    listed = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).getField("line")
-    files = part.groupBy("p_brand").agg(F.concat(F.lit(start), F.array_join(listed, between), F.lit(end)).alias("content"))
-    return files.select(F.concat("p_brand", F.lit("/manifest")).alias("relative_path"), F.lit(parser).alias("parser"), "content")
-
-
-def _parsed(files: DataFrame, parser: str) -> DataFrame:
-    return parse.components(files, [parser]).select("relative_path", "name", "version", "dependency_scope", "package_url")
-
-
-def parsed_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    operator = F.when(key % 3 == 0, "==").when(key % 3 == 1, ">=").otherwise("===")
-    line = F.concat(F.lit("Part_"), key, F.lit("[extra] "), operator, F.col("p_size"), F.lit(".0  # note"))
-    return _parsed(_generated(spark, sf_dir, "requirements-text", line), "requirements-text")
-
-
-def parsed_cargo_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit('[[package]]\nname = "part-'), F.col("p_partkey"), F.lit('"\nversion = "1.'), F.col("p_size"), F.lit('.0"\n'))
-    return _parsed(_generated(spark, sf_dir, "conservative-cargo-lock", line, "version = 3\n\n"), "conservative-cargo-lock")
-
-
-def parsed_package_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit('"@s/part-'), F.col("p_partkey"), F.lit('": "'), F.when(F.col("p_size") % 2 == 0, "^").otherwise(""), F.lit("1.2."), F.col("p_size"), F.lit('"'))
-    files = _generated(spark, sf_dir, "package-json", line, '{"name": "app", "version": "1.0.0", "devDependencies": {', "}}", ", ")
-    return _parsed(files, "package-json")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -303,6 +274,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         integrity_hashes, display_texts, ignored_paths, classified, artifact_counters, artifact_facets, artifact_search, normalized,
         live_components, compare_changes, compare_counts, compare_warnings, compare_search, component_references, component_view,
         component_facets, advisory_matches, scan_summary, dependency_edges, dependency_sets, task_list, previous_tasks,
-        initial_selection, strong_identities, parsed_requirements, parsed_cargo_lock, parsed_package_json,
+        initial_selection, strong_identities,
     )
-}
+} | formats.QUERIES
