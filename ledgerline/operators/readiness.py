@@ -27,7 +27,8 @@ DOCUMENT = (
 )
 URI = r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s]+\z"
 EMAIL = r"^[^\s@<>()\[\],;.][^\s@<>()\[\],;]*@[^\s@<>()\[\],;.\-][^\s@<>()\[\],;]*\z"
-RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+\-]\d{2}:\d{2})\z"
+#: A leap second is allowed, year 0 is not.
+RFC3339 = r"^(?!0000)\d{4}-\d{2}-\d{2}[Tt]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+\-]([01]\d|2[0-3]):[0-5]\d)\z"
 
 
 def is_token(c: Column, limit: int = 4096) -> Column:
@@ -37,7 +38,7 @@ def is_token(c: Column, limit: int = 4096) -> Column:
 
 def is_timestamp(c: Column) -> Column:
     value = present(c)
-    return value.rlike(RFC3339) & F.try_to_timestamp(value).isNotNull()
+    return value.rlike(RFC3339) & F.try_to_timestamp(F.substring(value, 1, 10)).isNotNull()
 
 
 def _any(values: Column, test) -> Column:
