@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -184,21 +184,43 @@ def strong_identity(purl: Column) -> Column:
 
 
 
-def lookup_parts(purl: Column) -> tuple[Column, Column]:
-    """(reason, canonical) for an advisory lookup: the reason is empty where the package
-    URL is eligible; reasons are tested in their fixed order."""
+#: path@version in which nothing is left to normalise, and whose segments are no dots.
+PLAIN_LOOKUP = r"^(?!(?:.*/)?\.{1,2}[/@])[A-Za-z0-9._~:\-]+(?:/[A-Za-z0-9._~:\-]+)*@[A-Za-z0-9._~:\-]+\z"
+
+
+def _lookup_path_of(purl: Column) -> Column:
+    """lookup_path of a package URL's path and version; those in plain form, nearly all
+    of them, never leave the JVM."""
+    core = F.substring(purl, 5, MAX_LOOKUP_BYTES)
+    rest = F.regexp_extract(core, r"(?s)^[A-Za-z][A-Za-z0-9.+\-]*/([^@]+@[^@]+)\z", 1)
+    plain = rest.rlike(PLAIN_LOOKUP)
+    return F.when(plain, rest).otherwise(_lookup_udf(F.when(~plain & (rest != ""), rest)))
+
+
+def with_lookup(rows: DataFrame, purl: Column) -> DataFrame:
+    """Adds reason and canonical for an advisory lookup: the reason is empty where the
+    package URL is eligible; reasons are tested in their fixed order. Parts and reason are
+    generated columns, so that filters on them don't repeat what they are made of."""
     core = F.substring(purl, 5, MAX_LOOKUP_BYTES)
-    kind = lower(F.regexp_extract(core, r"(?s)^([^/]*)/", 1))
-    rest = F.regexp_extract(core, r"(?s)^[^/]*/(.*)\z", 1)
-    shaped = core.rlike(r"(?s)^[A-Za-z][A-Za-z0-9.+\-]*/.")
-    path = F.regexp_extract(rest, r"(?s)^([^@]*)@", 1)
-    version = F.regexp_extract(rest, r"(?s)@(.*)\z", 1)
-    made = _lookup_udf(F.when(shaped & rest.rlike(r"(?s)^[^@]+@[^@]+\z"), F.concat(path, F.lit("@"), version)))
+    parts = F.struct(
+        lower(F.regexp_extract(core, r"(?s)^([^/]*)/", 1)).alias("kind"),
+        core.rlike(r"(?s)^[^/]*/[^@]*@").alias("versioned"),
+        core.rlike(r"(?s)^[A-Za-z][A-Za-z0-9.+\-]*/.").alias("shaped"),
+        F.col("_made").alias("made"),
+    )
+    out = rows.withColumn("_made", _lookup_path_of(purl)).withColumn("_parts", F.explode(F.array(parts)))
+    kind, versioned, shaped, made = (F.col(f"_parts.{c}") for c in ("kind", "versioned", "shaped", "made"))
+    out = out.withColumn("reason", F.explode(F.array(_reason(purl, kind, versioned, shaped, made))))
+    canonical = F.when(F.col("reason") == "", F.concat(F.lit("pkg:"), kind, F.lit("/"), made)).otherwise("")
+    return out.withColumn("canonical", canonical).drop("_made", "_parts")
+
+
+def _reason(purl: Column, kind: Column, versioned: Column, shaped: Column, made: Column) -> Column:
     space = F.split_part(made, F.lit("/"), F.lit(1))
     known = F.lit(True)
     for t, names in DISTRIBUTIONS.items():
         known = F.when(kind == t, made.contains("/") & space.isin(*names)).otherwise(known)
-    reason = (
+    return (
         F.when(purl == "", "empty")
         .when(F.octet_length(purl) > MAX_LOOKUP_BYTES, "too-long")
         .when(~F.is_valid_utf8(purl), "invalid-utf8")
@@ -209,13 +231,11 @@ def lookup_parts(purl: Column) -> tuple[Column, Column]:
         .when(~shaped, "malformed-package-url")
         .when(kind == "generic", "generic-package-url")
         .when(~kind.isin(*ADVISORY_TYPES), "unsupported-ecosystem")
-        .when(~rest.contains("@"), "version-required")
+        .when(~versioned, "version-required")
         .when(made.isNull(), "malformed-package-url")
         .when(~known, "unsupported-ecosystem")
         .otherwise("")
     )
-    canonical = F.when(reason == "", F.concat(F.lit("pkg:"), kind, F.lit("/"), made)).otherwise("")
-    return reason, canonical
 
 
 def lookup_path(value: str) -> str | None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.purl import lookup_parts
+from ..functions.purl import with_lookup
 from ..functions.text import present
 
 #: Fixed value: candidates of one request.
@@ -15,14 +15,19 @@ BATCH = 128
 
 def candidates(rows: DataFrame, purl: str = "package_url") -> DataFrame:
     """Adds reason ('' if eligible) and canonical."""
-    reason, canonical = lookup_parts(present(purl))
-    return rows.withColumn("reason", reason).withColumn("canonical", canonical)
+    return with_lookup(rows, present(purl))
+
+
+def distinct_candidates(rows: DataFrame, purl: str = "package_url") -> DataFrame:
+    """purl, how many rows have it, reason and canonical: one row per package URL, so that
+    each is judged once."""
+    return candidates(rows.groupBy(present(purl).alias("purl")).agg(F.count(F.lit(1)).alias("n")), "purl")
 
 
 def candidate_counts(rows: DataFrame, purl: str = "package_url") -> DataFrame:
     """One row: eligible (distinct), duplicates, rejected. Counts per canonical form come
     first, so that the total needs one row per form."""
-    per = candidates(rows, purl).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+    per = distinct_candidates(rows, purl).groupBy("canonical").agg(F.sum("n").alias("n"))
     ok = F.col("canonical") != ""
     return per.agg(
         F.count_if(ok).alias("eligible"),
@@ -32,14 +37,14 @@ def candidate_counts(rows: DataFrame, purl: str = "package_url") -> DataFrame:
 
 
 def rejections(rows: DataFrame, purl: str = "package_url") -> DataFrame:
-    return candidates(rows, purl).where("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return distinct_candidates(rows, purl).where("reason <> ''").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 def batches(rows: DataFrame, purl: str = "package_url") -> DataFrame:
     """canonical and its batch: distinct eligible candidates in batches of at most BATCH.
     Batches follow a hash of the candidate, numbered inside each hash bucket, so that no
     task numbers them all."""
-    distinct = candidates(rows, purl).where("reason = ''").select("canonical").distinct()
+    distinct = distinct_candidates(rows, purl).where("reason = ''").select("canonical").distinct()
     bucket = F.pmod(F.xxhash64("canonical"), F.lit(256))
     rank = F.row_number().over(W.partitionBy("bucket").orderBy("canonical")) - 1
     return distinct.withColumn("bucket", bucket).select("canonical", "bucket", F.floor(rank / BATCH).cast("int").alias("batch"))
@@ -48,7 +53,7 @@ def batches(rows: DataFrame, purl: str = "package_url") -> DataFrame:
 def matches(rows: DataFrame, advisories: DataFrame, purl: str = "package_url") -> DataFrame:
     """package_url (canonical), advisory_id, and the latest modified of the pair. Which
     side is broadcast, if one is small enough, is left to Spark's size check."""
-    wanted = candidates(rows, purl).where("reason = ''").select(F.col("canonical").alias("package_url")).distinct()
+    wanted = distinct_candidates(rows, purl).where("reason = ''").select(F.col("canonical").alias("package_url")).distinct()
     known = advisories.groupBy("package_url", "advisory_id").agg(F.max("modified").alias("modified"))
     return known.join(wanted, "package_url")
 

@@ -58,29 +58,33 @@ LIMITS = {
 }
 
 
-def _matches(path: Column, how: str, what: str) -> Column:
-    slashed, name = F.translate(path, "\\", "/"), base_name(path)
-    if how == "dist-info":
-        return slashed.rlike(r"(^|/)[^/]+\.dist-info/METADATA\z")
-    if how == "installed":
-        return (name == what) & F.concat(F.lit("/"), slashed, F.lit("/")).contains("/node_modules/")
-    if how == "gradle-lock":
-        locks = F.concat(F.lit("/"), lower(slashed)).contains("/gradle/dependency-locks/")
-        return (lower(name) == "gradle.lockfile") | (lower(name).endswith(".lockfile") & locks)
-    return lower(name).rlike(f"(?s){what}") if how == "like" else lower(name) == what
-
-
 def classify(files: DataFrame, path: str = "relative_path") -> DataFrame:
     """Adds artifact_type, ecosystem, parser and partial by the first rule that matches;
-    they are null for files that are no artifacts. The rules are one CASE over the path,
-    evaluated before any content is read."""
-    chosen = F.lit(None)
-    for how, what, kind, ecosystem, parser, partial in reversed(RULES):
-        row = F.struct(*[F.lit(v).alias(n) for n, v in (("artifact_type", kind), ("ecosystem", ecosystem), ("parser", parser), ("partial", partial))])
-        chosen = F.when(_matches(F.col(path), how, what), row).otherwise(chosen)
-    return files.withColumn("_rule", chosen).select(
-        *files.columns, *[F.col(f"_rule.{c}").alias(c) for c in ("artifact_type", "ecosystem", "parser", "partial")]
-    )
+    they are null for files that are no artifacts. Names come first as columns, exact
+    ones are found in one map, and the least number of a matching rule picks the row, so
+    that nothing is evaluated twice and the stage compiles."""
+    slashed, low = F.translate(path, "\\", "/"), F.col("_low")
+    named = files.withColumns({"_name": base_name(F.col(path))}).withColumn("_low", lower(F.col("_name")))
+    exact = {what: n for n, (how, what, *_) in reversed(list(enumerate(RULES))) if how == "name"}
+    numbers = [F.element_at(F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]), low)]
+    for n, (how, what, *_) in enumerate(RULES):
+        if how == "dist-info":
+            test = slashed.rlike(r"(^|/)[^/]+\.dist-info/METADATA\z")
+        elif how == "installed":
+            test = (F.col("_name") == what) & F.concat(F.lit("/"), slashed, F.lit("/")).contains("/node_modules/")
+        elif how == "gradle-lock":
+            locks = F.concat(F.lit("/"), lower(slashed)).contains("/gradle/dependency-locks/")
+            test = (low == "gradle.lockfile") | (low.endswith(".lockfile") & locks)
+        elif how == "like":
+            test = low.rlike(f"(?s){what}")
+        else:
+            continue
+        numbers.append(F.when(test, F.lit(n)))
+    # a generated column: filters on what follows from it don't repeat the tests
+    ruled = named.withColumn("_rule", F.explode(F.array(F.least(*numbers))))
+    pick = lambda at: F.get(F.array(*[F.lit(r[at]) for r in RULES]), F.col("_rule"))
+    names = ("artifact_type", "ecosystem", "parser", "partial")
+    return ruled.select(*files.columns, *[pick(at).alias(c) for at, c in enumerate(names, 2)])
 
 
 def size_limit(parser: Column) -> Column:

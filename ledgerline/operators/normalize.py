@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identity import merge_key
@@ -54,9 +55,10 @@ def normalize(raw: DataFrame, by: list[str] | None = None, ordinal: str = "ordin
         rows.select(*keys, ordinal, F.posexplode("declared_hashes").alias("place", "hash"))
         .groupBy(*keys, "hash")
         .agg(F.min(F.struct(ordinal, "place")).alias("at"))
+        .withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at", "hash")))
+        .where(F.col("rank") <= MAX_HASHES)
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("at", "hash")).alias("found"))
-        .select(*keys, F.array_sort(F.slice(F.array_sort("found"), 1, MAX_HASHES).getField("hash")).alias("declared_hashes"))
+        .agg(F.array_sort(F.collect_list("hash")).alias("declared_hashes"))
     )
     out = scalars.join(listed, keys, "left").join(hashes, keys, "left")
     none = F.array().cast("array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.display import duration_ms, issue_text, needs_review
-from ..functions.purl import lookup_parts
+from ..functions.purl import with_lookup
 from ..functions.text import contains_text, join_values, lower, present, trim
 
 
@@ -31,16 +31,16 @@ def component_rows(components: DataFrame, artifacts: DataFrame, issues: DataFram
     """Components with the status of their artifact (parsed where it isn't known) and
     their number of issues. Of artifacts with one path the first in order counts."""
     status = artifacts.groupBy(F.col("relative_path").alias("source_artifact")).agg(F.min_by("status", "ordinal").alias("status"))
-    reason, _ = lookup_parts(present("package_url"))
-    rows = components.join(status, "source_artifact", "left").join(issues, "package_url", "left")
+    rows = with_lookup(components, present("package_url"))
+    rows = rows.join(status, "source_artifact", "left").join(issues, "package_url", "left")
     rows = rows.withColumns({"status": F.coalesce("status", F.lit("parsed")), "issues": F.coalesce("issues", F.lit(0)).cast("long")})
     return rows.withColumns(
         {
-            "known_issues": issue_text(F.lit(requested), F.lit(complete), reason == "", F.col("issues")),
+            "known_issues": issue_text(F.lit(requested), F.lit(complete), F.col("reason") == "", F.col("issues")),
             "licenses": join_values(F.col("declared_licenses")),
             "publishers": join_values(F.col("declared_publishers")),
         }
-    )
+    ).drop("reason", "canonical")
 
 
 COMPONENT_SEARCH = ["name", "version", "ecosystem", "component_type", "status", "known_issues", "licenses", "publishers", "dependency_scope", "source_artifact"]

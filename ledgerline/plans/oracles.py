@@ -32,21 +32,22 @@ def _trim(x: str) -> str:
 
 
 ECO = "CASE p_type WHEN 'ECONOMY' THEN 'npm' WHEN 'PROMO' THEN 'PyPI' WHEN 'LARGE' THEN 'Maven' WHEN 'SMALL' THEN 'NuGet' WHEN 'MEDIUM' THEN 'Cargo' WHEN 'STANDARD' THEN 'Composer' END"
-PURL_START = f"'pkg:' || lower({ECO}) || '/' || lower(replace(p_brand, '#', '')) || '/' || replace(p_name, ' ', '-') || '@'"
+PURL_FOLDER = f"'pkg:' || lower({ECO}) || '/' || lower(replace(p_brand, '#', '')) || '/'"
+PURL_START = f"{PURL_FOLDER} || replace(p_name, ' ', '-') || '@'"
 
 RAW = f"""raw AS (
   SELECT * FROM (
     SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN 'baseline' ELSE 'current' END AS side,
-      ['library', 'application', 'file'][p_size % 3 + 1] AS component_type, replace(p_name, ' ', '-') AS name,
+      ['library', 'application', 'file'][p_size % 3 + 1] AS component_type,
+      replace(p_name, ' ', '-') || CASE WHEN side = 'baseline' AND p_partkey % 5 = 1 THEN '-old' WHEN side = 'current' AND p_partkey % 5 = 0 THEN '-new' ELSE '' END AS name,
       (p_partkey % 7) || '.' || CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' AND p_partkey % 6 = 2 THEN '1' ELSE '0' END || '.0' AS version,
-      {ECO} AS ecosystem, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE {PURL_START} || version END AS package_url,
+      {ECO} AS ecosystem, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE {PURL_FOLDER} || name || '@' || version END AS package_url,
       CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS company_name,
       'supplier-' || l_suppkey || '/manifest.json' AS source_artifact,
       ['package-json', 'package-lock-json'][l_linenumber % 2 + 1] AS source_parser,
       CASE l_returnflag WHEN 'A' THEN 'development' WHEN 'N' THEN 'runtime' ELSE 'optional, peer' END AS dependency_scope,
       {_list(LICENSES)}[p_size % 4 + 1] AS license, l_orderkey * 10 + l_linenumber AS ordinal, p_partkey
-    FROM lineitem JOIN part ON l_partkey = p_partkey)
-  WHERE NOT (side = 'baseline' AND p_partkey % 5 = 1) AND NOT (side = 'current' AND p_partkey % 5 = 0)),
+    FROM lineitem JOIN part ON l_partkey = p_partkey)),
 keyed AS (
   SELECT *, CASE WHEN package_url <> '' THEN 'purl:' || package_url
     ELSE 'fields:' || lower(ecosystem) || chr(1) || lower(name) || chr(1) || version || chr(1) || lower(component_type) END AS k FROM raw)"""
@@ -158,7 +159,7 @@ reasoned AS (SELECT *, CASE WHEN package_url = '' THEN 'empty' WHEN package_url
 looked AS (SELECT id, package_url, reason, CASE WHEN reason = '' THEN 'pkg:' || t || '/' || path || '@' || ver ELSE '' END AS canonical FROM reasoned)"""
 
 ADVISORIES = f"""adv AS (SELECT {PURL_START} || (p_partkey % 7) || '.0.0' AS package_url, 'ADV-' || (p_partkey % 40) AS advisory_id, '2024-0' || (1 + p_partkey % 9) || '-01T00:00:00Z' AS modified
-  FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 1),
+  FROM part),
 known AS (SELECT package_url, advisory_id, max(modified) AS modified FROM adv GROUP BY 1, 2)"""
 
 TASKS = """tasks AS (
@@ -169,9 +170,9 @@ TASKS = """tasks AS (
     FROM events GROUP BY user_id, CAST(ts AS DATE)))"""
 
 REFS = """all_rows AS (
-  SELECT 'tool-' || o_orderkey AS name, 'bin/tool-' || o_orderkey AS path, 'binary-header' AS parser, false AS runtime FROM orders WHERE o_orderkey % 7 <> 0
+  SELECT 'tool-' || o_orderkey AS name, 'bin/tool-' || o_orderkey AS path, 'binary-header' AS parser, false AS runtime FROM orders WHERE o_orderstatus <> 'P'
   UNION ALL SELECT 'lib' || l_partkey || '.so.1', 'bin/tool-' || l_orderkey, CASE WHEN l_linenumber = 1 THEN 'package-json' ELSE 'binary-dependency-table' END, l_returnflag <> 'A' FROM lineitem
-  UNION ALL SELECT 'pkg-' || p_partkey, 'app/package.json', 'package-json', true FROM part WHERE p_partkey % 3 = 0),
+  UNION ALL SELECT 'pkg-' || p_partkey, 'app/package.json', 'package-json', true FROM part),
 refs AS (SELECT *, 'urn:ledgerline:component:' || substr(sha256('native' || chr(1) || name || chr(1) || '1' || chr(1) || 'library'), 1, 32) AS ref FROM all_rows),
 owners AS (SELECT path, ref AS owner_ref FROM refs WHERE parser = 'binary-header'),
 linked AS (SELECT DISTINCT owner_ref, ref AS dep_ref FROM refs JOIN owners USING (path) WHERE runtime AND ref <> owner_ref),

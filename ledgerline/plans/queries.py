@@ -204,10 +204,10 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _binaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as binaries, their lines as linked libraries: components and artifacts."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     path = lambda c: F.concat(F.lit("bin/tool-"), F.col(c).cast("string"))
-    headers = orders.where("o_orderkey % 7 <> 0").select(
+    headers = orders.where("o_orderstatus <> 'P'").select(  # those in progress have no header
         F.concat(F.lit("tool-"), F.col("o_orderkey").cast("string")).alias("name"),
         path("o_orderkey").alias("source_artifact"),
         F.lit("binary-header").alias("source_parser"),
@@ -222,7 +222,7 @@ def _binaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_ordinal"),
     )
     # one more row per part, from a manifest outside of any binary
-    declared = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 = 0").select(
+    declared = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.concat(F.lit("pkg-"), F.col("p_partkey").cast("string")).alias("name"),
         F.lit("app/package.json").alias("source_artifact"),
         F.lit("package-json").alias("source_parser"),

@@ -55,6 +55,8 @@ class Work:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
         self.folder = f"{named or 'file://' + tempfile.mkdtemp(prefix='ledgerline-')}/scan-{uuid.uuid4().hex}"
 
     def saved(self, df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -181,7 +183,9 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> Sca
     gated = classify.gate(classify.classify(files))
     unnamed = F.col("parser").isNull()  # its first bytes decide
     known = gated.withColumns({c: F.when(unnamed, "").otherwise(F.col(c)) for c in ("status", "message")})
-    read = work.saved(read_artifacts(known, settings.calculate_sha256), "read", "parser")
+    # a deep or flat tree is listed by few tasks: its files are read by all
+    spread = known.repartition("relative_path")
+    read = work.saved(read_artifacts(spread, settings.calculate_sha256), "read", "parser")
     open_files = read.where("content is not null")
     parsers = [r["parser"] for r in open_files.select("parser").distinct().orderBy("parser").collect()]  # at most one per format
     parts, results = [], []
