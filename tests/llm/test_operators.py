@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 import xxhash
 
+import corpus_pipeline
 from ledgerline.llm import bpe, decontaminate, html_text, quality, queries, repeats, secrets, sharding, simhash
 from ledgerline.llm import token_counts, warc
 from ledgerline.llm.common import work_dir
@@ -630,6 +631,19 @@ def test_text_goes_on_behind_a_control_in_its_paragraph():
     assert [nodes[v.parent].tag for v in nodes if v.tag == "#text"] == ["p", "p"]
 
 
+# tables without rows
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = docs(spark, [])
+    assert secrets.secret_report(secrets.scan_secrets(none)).collect() == []
+    assert decontaminate.find_contaminated(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).collect() == []
+    assert decontaminate.find_contaminated(docs(spark, [(1, "a b c")]), spark.createDataFrame([], "item_id long, text string")).collect() == []
+    assert sharding.assign_shards(none, sharding.even_tree(4), sharding.even_tree(5)).collect() == []
+    assert bpe.round_trip_documents(none, RANKS, PATTERN).collect() == []
+    assert corpus_pipeline.tokens(spark, none, "").collect() == []
+
+
 # 10 repeats
 
 
