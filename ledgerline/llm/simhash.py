@@ -31,6 +31,8 @@ RADIUS = 2
 #: Fingerprints that one tree may hold.
 SHARD_LIMIT = 2048
 FAMILIES = list(combinations(range(4), 2))
+#: Rows of one fingerprint beyond which they are not shuffled by it.
+HOT_ROWS = 1 << 20
 
 
 def fingerprint(raw: bytes, width: int = 3) -> int:
@@ -262,16 +264,24 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> Data
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """near_duplicates() from rows of doc_id and fp."""
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def grouped(prints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """near_duplicates() from rows of doc_id and fp. Fingerprints of over hot_rows rows (of N
+    rows, at most N / hot_rows are such) meet their rows in a broadcast, the others in a
+    shuffle."""
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     least = saved(least, "distinct-fingerprints")
     roots = saved(components(near_links(least.select("fp"))), "roots")
     member = least.join(roots, least.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = member.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
-    return prints.join(of_fp, prints.fp == F.col("_fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root"
-    )
+    of_fp = member.join(of_root, "root").select(F.col("fp").alias("_fp"), "component_id", "root", "n")
+    hot = F.col("n") > hot_rows
+    if least.where(hot).isEmpty():
+        rows = prints.join(of_fp, prints.fp == F.col("_fp"))
+    else:
+        of_fp = saved(of_fp, "components")
+        few = F.broadcast(of_fp.where(hot))
+        calm = prints.join(few, prints.fp == F.col("_fp"), "left_anti")
+        rows = prints.join(few, prints.fp == F.col("_fp")).unionByName(calm.join(of_fp, calm.fp == F.col("_fp")))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root")
