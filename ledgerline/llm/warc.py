@@ -1,7 +1,8 @@
 """Operator 6: WARC archives in seekable Zstandard bundles.
 
-Each writing task makes one bundle: records are grouped into frames of about FRAME_BYTES,
-every frame is compressed by itself, and a seek table in a skippable frame at the end of
+Each writing task makes one bundle: records are grouped into frames of about FRAME_BYTES
+and at most FRAME_RECORDS (revisits are short, and frames are what reading tasks are
+dealt), every frame is compressed by itself, and a seek table in a skippable frame at the end of
 the file lists all frames. An index table maps each record to its bundle, its frame, and
 its offset inside the decompressed frame, so that one record costs one frame to read.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, saved, to_batch, work_dir
 
 FRAME_BYTES = 1 << 20
+FRAME_RECORDS = 64
 #: Fixed values of the seekable format: skippable frame, footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Payloads below this many bytes are never revisits.
@@ -80,14 +82,15 @@ class BundleWriter:
         import zstandard
 
         self.stream, self.level = stream, zstandard.ZstdCompressor(level=level)
-        self.frame, self.frames = bytearray(), []
+        self.frame, self.records, self.frames = bytearray(), 0, []
 
     def add(self, raw: bytes) -> tuple[int, int]:
         """The record's frame and its offset in that frame."""
-        if self.frame and len(self.frame) + len(raw) > FRAME_BYTES:
+        if self.frame and (len(self.frame) + len(raw) > FRAME_BYTES or self.records == FRAME_RECORDS):
             self.flush()
         at = len(self.frames), len(self.frame)
         self.frame += raw
+        self.records += 1
         return at
 
     def flush(self) -> None:
@@ -96,6 +99,7 @@ class BundleWriter:
             self.stream.write(packed)
             self.frames.append((len(packed), len(self.frame)))
             self.frame.clear()
+            self.records = 0
 
     def close(self) -> None:
         self.flush()
@@ -134,9 +138,14 @@ class BundleReader:
 
 
 def _filesystem(uri: str):
+    """The file system and the path of a folder: an absolute path, or a URI of a scheme that
+    pyarrow knows (file, hdfs, viewfs, s3, gs). Others are a ValueError."""
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    try:
+        return FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives can't be kept in {uri}: {e}") from e
 
 
 def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -178,6 +187,7 @@ def write_archives(
     writes no bundle. Other columns are ignored.
     """
     schema = arrow_schema(pages.sparkSession, INDEX)
+    _filesystem(folder)  # fails here, not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _filesystem(folder)

@@ -332,6 +332,8 @@ def test_simhash_of_documents(spark, corpus):
     got = simhash.near_duplicates(corpus).collect()
     want = sorted((str(i), f"{brute_print(t):016x}", roots[brute_print(t)]) for i, t in pairs(corpus))
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == want
+    crowds = simhash.grouped(simhash.fingerprints(corpus), hot_rows=1).collect()  # copies of two rows count as hot
+    assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in crowds) == want
     assert simhash.near_duplicates(corpus.limit(0)).collect() == []
 
 
@@ -462,6 +464,20 @@ def test_bundles_are_seekable_zstandard(monkeypatch):
     assert len(frames) > 5 and all(frames[f][o : o + len(r)] == r for (f, o), r in zip(places, records, strict=True))
 
 
+def test_frames_hold_a_bounded_number_of_records():
+    import io
+
+    writer = warc.BundleWriter(io.BytesIO())
+    frames = [writer.add(warc.record(i, "u", b"z" * 1200, 1, "1970-01-01T00:00:00Z"))[0] for i in range(3 * warc.FRAME_RECORDS)]
+    assert [frames.count(f) for f in range(3)] == [warc.FRAME_RECORDS] * 3
+
+
+def test_archives_name_a_scheme_that_is_not_known(spark):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    with pytest.raises(ValueError, match="can't be kept in nosuch"):
+        warc.write_archives(pages, "nosuch://bucket/warc")
+
+
 # 7 sharding
 
 
