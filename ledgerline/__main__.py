@@ -1,4 +1,4 @@
-"""python -m ledgerline --scan FOLDER --output FILE [--settings FILE]
+"""python -m ledgerline --scan FOLDER --output FILE [--settings FILE] [--cache FOLDER] [--refresh]
 
 Scans a folder and writes its inventory document. Exit code 0: written; 1: the scan or
 the writing failed; 2: wrong arguments or settings.
@@ -10,6 +10,7 @@ import argparse
 import os
 import sys
 import uuid
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from . import __doc__ as about
@@ -23,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--scan", required=True, metavar="FOLDER")
     out.add_argument("--output", required=True, metavar="FILE")
     out.add_argument("--settings", metavar="FILE")
+    out.add_argument("--cache", metavar="FOLDER", help="keep evidence there and reuse that of unchanged files; needed with use_rescan_cache")
+    out.add_argument("--refresh", action="store_true", help="parse every file and keep its evidence anew")
     out.add_argument("--version", action="version", version=VERSION)
     return out
 
@@ -48,6 +51,11 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
     except (OSError, ValueError) as e:
         print(f"settings: {e}", file=sys.stderr)
         return 2
+    if (settings.use_rescan_cache or given.refresh) and not given.cache:
+        print("name the cache's folder: --cache FOLDER", file=sys.stderr)
+        return 2
+    if given.refresh:
+        settings = replace(settings, refresh_rescan_cache=True)
     root = os.path.realpath(given.scan)
     if not os.path.isdir(root):
         print(f"no folder: {given.scan}", file=sys.stderr)
@@ -62,7 +70,7 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
     spark = spark or SparkSession.builder.appName("ledgerline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
     try:
-        found = scan(spark, root, settings)
+        found = scan(spark, root, settings, given.cache)
         task = document.Task(
             str(uuid.uuid4()), now, root, os.path.basename(root), settings.sbom_author_organization, settings.sbom_author_email,
             settings.include_absolute_paths, VERSION, found.artifacts.count(),

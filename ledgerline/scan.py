@@ -3,6 +3,7 @@
 Each step is written to the work folder and read back: the plans stay small, contents are
 read once, and a lost executor costs the tasks it ran and nothing before them. Parsers run
 one after the other, only those whose files exist, each over all files of its format.
+With a cache folder, files that an earlier scan parsed are hashed but not parsed again.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions.evidence import archive_url
 from .functions.text import base_name
-from .operators import classify, parse
+from .operators import cache, classify, parse
 from .operators.graph import HEADER
 from .operators.normalize import normalize
 from .schemas import ARTIFACT, COMPONENT, COMPONENT_FIELDS
@@ -35,8 +37,10 @@ MAGICS = (b"\x7fELF", b"MZ", b"\xfe\xed\xfa\xce", b"\xfe\xed\xfa\xcf", b"\xce\xf
 MAX_BINARY, BATCH = 256 << 20, 16 << 20
 READ = (
     "relative_path string, absolute_path string, artifact_type string, ecosystem string, status string, "
-    "file_size bigint, sha256 string, message string, content binary, parser string"
+    "file_size bigint, sha256 string, message string, content binary, identity string, content_sha256 string, parser string"
 )
+#: Component rows of a file beyond which its evidence is not kept: it is parsed in each scan.
+MAX_CACHED_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -75,11 +79,13 @@ def _sort(path: str, head: bytes) -> tuple[str, str, str] | None:
     return ("native binary", "native", HEADER) if head.startswith(MAGICS) else None
 
 
-def _read(row: dict, digest: bool) -> tuple | None:
-    """A row of READ, or None for what is no artifact."""
+def _read(row: dict, digest: bool, keyed: bool) -> tuple | None:
+    """A row of READ, or None for what is no artifact. Only with keyed, content_sha256 is
+    filled whatever digest says."""
     given = (row["artifact_type"], row["ecosystem"], row["parser"])
     status, message, size = row["status"] or "parsed", row["message"] or "", row["file_size"]
-    out = lambda s, m, sha="", content=None: (row["relative_path"], row["absolute_path"], *given[:2], s, size, sha, m, content, given[2])
+    identity = f"{row['storage_id']}-{row['file_id']}"
+    out = lambda s, m, sha="", content=None: (row["relative_path"], row["absolute_path"], *given[:2], s, size, sha if digest else "", m, content, identity, sha, given[2])
     if given[2] and (status == "failed" or given[2] == "license-evidence"):
         return out(status, message)
     try:
@@ -101,15 +107,14 @@ def _read(row: dict, digest: bool) -> tuple | None:
     if any((s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns) != listed for s in (at, after)):
         return out("failed", "The file changed during the scan.")
     wanted = status != "detected but unsupported"
-    return out(status, message, hashlib.sha256(raw).hexdigest() if digest else "", raw if wanted else None)
+    return out(status, message, hashlib.sha256(raw).hexdigest() if digest or keyed else "", raw if wanted else None)
 
 
-def read_artifacts(files: DataFrame, digest: bool = True) -> DataFrame:
+def read_artifacts(files: DataFrame, digest: bool = True, keyed: bool = False) -> DataFrame:
     """Opens classified files of the inventory, and those whose first bytes or suffix make
     them binaries or archives; others are left out. Contents come with their digest and
     only if the file is the one that was listed."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(READ))
 
@@ -118,7 +123,7 @@ def read_artifacts(files: DataFrame, digest: bool = True) -> DataFrame:
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for b in batches:
             for row in b.to_pylist():
-                found = _read(row, digest)
+                found = _read(row, digest, keyed)
                 if found is None:
                     continue
                 rows.append(found)
@@ -172,9 +177,38 @@ def _from_binaries(files: DataFrame) -> DataFrame:
     return _components(rows, place=F.when(header, 0).otherwise(1), sha256=F.when(header, F.col("sha256")).otherwise(""), evidence_paths=F.array("source_artifact"), **{c: F.col(c) for c in stated})
 
 
-def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> Scan:
+def _context(root: str, settings: Settings) -> str:
+    at = os.stat(root)
+    flags = {"links": settings.follow_symbolic_links, "outside": settings.allow_outside_root, "digests": settings.calculate_sha256}
+    return cache.context_hash(os.path.realpath(root), f"{at.st_dev}-{at.st_ino}", list(settings.ignore_patterns), **flags)
+
+
+def _evidence_type(raw: DataFrame) -> str:
+    row = StructType([f for f in raw.schema if f.name not in ("relative_path", "ordinal")])
+    return f"struct<outcome:string,note:string,rows:array<{row.simpleString()}>>"
+
+
+def _evidence(files: DataFrame, results: DataFrame, raw: DataFrame) -> DataFrame:
+    """A cache entry per file with an outcome: the outcome and the component rows in order.
+    Files with more than MAX_CACHED_ROWS rows have none, so that no list grows beyond it."""
+    most = raw.groupBy("relative_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_CACHED_ROWS)
+    row = F.struct(*[c for c in raw.columns if c not in ("relative_path", "ordinal")])
+    lists = raw.join(most, "relative_path", "left_anti").groupBy("relative_path").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("ordinal", row.alias("row")))), lambda x: x["row"]).alias("rows")
+    )
+    told = files.select(*cache.KEY).join(results, "relative_path").join(most, "relative_path", "left_anti")
+    evidence = F.struct("outcome", "note", F.coalesce("rows", F.array().cast(_evidence_type(raw).partition("rows:")[2][:-1])).alias("rows"))
+    return told.join(lists, "relative_path", "left").select(*cache.KEY, F.to_json(evidence).alias("evidence"))
+
+
+def scan(spark: SparkSession, root: str, settings: Settings = Settings(), cache_folder: str | None = None) -> Scan:
     """Scans the tree at root, which every executor must see. An empty tree gives empty
-    tables; files that can't be read or parsed become artifacts with status failed."""
+    tables; files that can't be read or parsed become artifacts with status failed.
+
+    With a cache folder, which every executor must see too, the outcome of each file is
+    kept there once the scan is complete, under its path, identity and the digest of its
+    content; a later scan with equal settings takes it from there. Contents are hashed
+    anew in every scan. With refresh_rescan_cache everything is parsed, and kept anew."""
     inventory.register(spark)
     work = Work(spark)
     options = {"path": root, "ignore": "\n".join(settings.ignore_patterns), "followLinks": str(settings.follow_symbolic_links), "allowOutsideRoot": str(settings.allow_outside_root)}
@@ -185,10 +219,21 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> Sca
     known = gated.withColumns({c: F.when(unnamed, "").otherwise(F.col(c)) for c in ("status", "message")})
     # a deep or flat tree is listed by few tasks: its files are read by all
     spread = known.repartition("relative_path")
-    read = work.saved(read_artifacts(spread, settings.calculate_sha256), "read", "parser")
+    read = work.saved(read_artifacts(spread, settings.calculate_sha256, cache_folder is not None), "read", "parser")
     open_files = read.where("content is not null")
-    parsers = [r["parser"] for r in open_files.select("parser").distinct().orderBy("parser").collect()]  # at most one per format
     parts, results = [], []
+    none = _components(listed.where("false"))
+    if cache_folder is not None:
+        context, known_files = _context(root, settings), open_files.drop("content")
+        old = cache.load(spark, cache_folder)
+        if old is not None:
+            kind = _evidence_type(none)
+            hits, _ = cache.split(known_files, old, context, settings.refresh_rescan_cache)
+            hits = work.saved(hits.select("relative_path", F.from_json("evidence", kind).alias("e")), "hits")
+            parts.append(hits.select("relative_path", F.explode("e.rows").alias("r")).select("relative_path", "r.*"))
+            results.append(hits.select("relative_path", "e.outcome", "e.note"))
+            open_files = open_files.join(hits.select("relative_path"), "relative_path", "left_anti")
+    parsers = [r["parser"] for r in open_files.select("parser").distinct().orderBy("parser").collect()]  # at most one per format
     for p in parsers:
         files = open_files.where(F.col("parser") == p)
         if p in parse.PARSERS:
@@ -210,7 +255,6 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> Sca
             done = files.select("relative_path", F.lit("parsed").alias("status"), F.lit("").alias("message"))
         parts.append(work.saved(rows, f"components-{p}"))
         results.append(done.select("relative_path", F.col("status").alias("outcome"), F.col("message").alias("note")))
-    none = _components(listed.where("false"))
     raw = none
     for part in parts:
         raw = raw.unionByName(part)
@@ -225,4 +269,6 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> Sca
     shown = F.col("absolute_path") if settings.include_absolute_paths else F.lit("")
     joined = joined.withColumns({"status": F.coalesce("outcome", "status"), "message": F.coalesce("note", "message"), "absolute_path": shown, "component_count": F.coalesce("component_count", F.lit(0))})
     artifacts = work.saved(joined.select(*[f.split(" ")[0] for f in ARTIFACT.split(", ")]), "artifacts")
+    if cache_folder is not None:
+        cache.commit(spark, work.saved(_evidence(known_files, outcome, raw), "evidence"), cache_folder, context)
     return Scan(artifacts, components, listed.where("message <> ''").select("relative_path", "message"))

@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+from ledgerline import scan as scanning
 from ledgerline.__main__ import main
 from ledgerline.scan import scan
 from ledgerline.settings import Settings
@@ -59,6 +60,7 @@ def test_command_line(spark, tmp_path, capsys):
     library = next(c for c in document["components"] if c["name"] == "libz.so.1")
     binary = next(c for c in document["components"] if c["name"] == "libdemo.so")
     assert library["bom-ref"] in next(d["dependsOn"] for d in document["dependencies"] if d["ref"] == binary["bom-ref"])
+    assert main(["--scan", str(tmp_path), "--output", str(output), "--refresh"], spark) == 2
     assert main(["--scan", str(tmp_path / "missing"), "--output", str(output)], spark) == 2
     (tmp_path / "s.json").write_text("[]")
     assert main(["--scan", str(tmp_path), "--output", str(output), "--settings", str(tmp_path / "s.json")], spark) == 2
@@ -68,3 +70,28 @@ def test_command_line(spark, tmp_path, capsys):
 def test_empty_tree(spark, tmp_path):
     found = scan(spark, str(tmp_path), Settings(calculate_sha256=False))
     assert found.artifacts.count() == found.components.count() == 0
+
+
+def test_unchanged_files_are_not_parsed_again(spark, tmp_path, monkeypatch):
+    root, kept = tmp_path / "in", f"file://{tmp_path}/cache"
+    root.mkdir()
+    tree(root)
+    rows = lambda found: [sorted(map(str, df.collect())) for df in (found.artifacts, found.components)]
+    plain = rows(scan(spark, str(root)))
+    assert rows(scan(spark, str(root), Settings(), kept)) == plain
+    parsed = []
+    own = scanning.parse.components
+    monkeypatch.setattr(scanning.parse, "components", lambda texts, ps: parsed.append(sorted(r[0] for r in texts.select("relative_path").collect())) or own(texts, ps))
+    monkeypatch.setattr(scanning.binaries, "archive_coordinates", lambda files: 1 / 0)
+    assert rows(scan(spark, str(root), Settings(), kept)) == plain and parsed == []
+    (root / "py/requirements.txt").write_bytes(b"requests==2.32.0\n")
+    found = scan(spark, str(root), Settings(), kept)
+    assert parsed == [["py/requirements.txt"]] and found.components.where("version = '2.32.0'").count() == 1
+    assert [r["name"] for r in found.components.where("name = 'left'").collect()] == ["left"]
+    # refresh parses everything, and so does a scan with other settings
+    for settings in (Settings(refresh_rescan_cache=True), Settings(calculate_sha256=False)):
+        try:
+            scan(spark, str(root), settings, kept)
+            raise AssertionError("an archive was not read")
+        except ZeroDivisionError:
+            pass
