@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .functions.evidence import archive_url
+from .functions.evidence import archive_url, evidence_cpe
+from .functions.purl import binary_url
 from .functions.text import base_name
 from .operators import cache, classify, parse
 from .operators.graph import HEADER
@@ -39,6 +40,8 @@ READ = (
     "relative_path string, absolute_path string, artifact_type string, ecosystem string, status string, "
     "file_size bigint, sha256 string, message string, content binary, identity string, content_sha256 string, parser string"
 )
+#: Fixed value: what a platform name was made from.
+CPE_EVIDENCE = "PE VERSIONINFO CompanyName + ProductName; inventory candidate only"
 #: Component rows of a file beyond which its evidence is not kept: it is parsed in each scan.
 MAX_CACHED_ROWS = 512
 
@@ -173,8 +176,10 @@ def _from_archives(found: DataFrame) -> DataFrame:
 def _from_binaries(files: DataFrame) -> DataFrame:
     rows = binaries.binary_components(files).join(files.select(F.col("relative_path"), "sha256"), F.col("source_artifact") == F.col("relative_path"))
     header = F.col("source_parser") == HEADER
-    stated = ("name", "component_type", "ecosystem", "source_artifact", "source_parser", "dependency_scope", "native_soname", "native_build_id")
-    return _components(rows, place=F.when(header, 0).otherwise(1), sha256=F.when(header, F.col("sha256")).otherwise(""), evidence_paths=F.array("source_artifact"), **{c: F.col(c) for c in stated})
+    stated = ("name", "version", "component_type", "ecosystem", "source_artifact", "source_parser", "dependency_scope", "native_soname", "native_build_id", "company_name", "product_name")
+    rows = rows.withColumns({"url": F.when(header, binary_url(F.col("name"), F.col("version"), F.col("sha256"))).otherwise(""), "cpe": evidence_cpe(F.col("company_name"), F.col("product_name"), F.col("version"))})
+    made = {"package_url": F.col("url"), "cpe": F.col("cpe"), "cpe_evidence": F.when(F.col("cpe") != "", CPE_EVIDENCE).otherwise("")}
+    return _components(rows, place=F.when(header, 0).otherwise(1), sha256=F.when(header, F.col("sha256")).otherwise(""), evidence_paths=F.array("source_artifact"), **made, **{c: F.col(c) for c in stated})
 
 
 def _context(root: str, settings: Settings) -> str:

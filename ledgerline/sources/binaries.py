@@ -7,11 +7,14 @@ import io
 import re
 import struct
 import zipfile
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.versions import native_library_version
+
 #: Machine numbers of the formats.
 PE_MACHINES = {0x14C: "x86", 0x8664: "x86_64", 0xAA64: "arm64", 0x1C0: "arm", 0x1C4: "arm"}
 ELF_MACHINES = {3: "x86", 40: "arm", 62: "x86_64", 183: "arm64", 243: "riscv", 20: "powerpc", 21: "powerpc64", 22: "s390"}
@@ -19,7 +22,13 @@ MACH_CPUS = {7: "x86", 0x01000007: "x86_64", 12: "arm", 0x0100000C: "arm64", 18:
 MACH_TYPES = {1: "object", 2: "executable", 6: "library", 8: "library"}
 DYLIB_COMMANDS = {0xC, 0x80000018, 0x8000001F, 0x20, 0x80000023}
 MAX_NAMES, MAX_HEADERS, MAX_DYNAMIC = 4096, 1024, 16384
-BINARY = "struct<format:string,architecture:string,kind:string,needed:array<string>,soname:string,build_id:string,diagnostic:string>"
+MAX_RESOURCES, MAX_VERSION_BYTES, MAX_VERSION_BLOCKS = 8192, 1 << 20, 4096
+VERSION_RESOURCE, FIXED_INFO = 16, 0xFEEF04BD
+STATED = ("file_version", "product_version", "company_name", "product_name")
+BINARY = (
+    "struct<format:string,architecture:string,kind:string,needed:array<string>,soname:string,build_id:string,diagnostic:string,"
+    "file_version:string,product_version:string,company_name:string,product_name:string>"
+)
 ARCHIVE = "array<struct<group_id:string,artifact_id:string,version:string,title:string,path:string>>"
 MAX_ENTRIES, MAX_METADATA_BYTES, MAX_METADATA = 32768, 2 << 20, 128
 
@@ -45,10 +54,10 @@ class Bytes:
         return self.raw[at:end].decode("utf-8", "replace")
 
 
-def _result(fmt: str, architecture: str, kind: str, needed=(), soname="", build_id="", diagnostic="") -> dict:
+def _result(fmt: str, architecture: str, kind: str, needed=(), soname="", build_id="", diagnostic="", **stated: str) -> dict:
     return {
         "format": fmt, "architecture": architecture, "kind": kind, "needed": list(dict.fromkeys(needed))[:MAX_NAMES],
-        "soname": soname, "build_id": build_id, "diagnostic": diagnostic,
+        "soname": soname, "build_id": build_id, "diagnostic": diagnostic, **{k: stated.get(k, "") for k in STATED},
     }
 
 
@@ -127,7 +136,96 @@ def pe(raw: bytes) -> dict:
                 needed.append(b.text(place))
                 start += step
     kind = "library" if flags & 0x2000 else "executable" if flags & 2 else "object"
-    return _result("PE", PE_MACHINES.get(machine, f"machine-{machine}"), kind, needed)
+    stated = {}
+    if optional and b.get(directories - 4, "I") > 2 and b.get(directories + 16, "I"):
+        try:
+            stated = version_resource(_resource(b, offset, b.get(directories + 16, "I")))
+        except (ValueError, struct.error):  # damaged resources state nothing
+            stated = {}
+    return _result("PE", PE_MACHINES.get(machine, f"machine-{machine}"), kind, needed, **stated)
+
+
+def _resource(b: Bytes, offset: Callable[[int], int | None], rva: int) -> bytes:
+    """The file's first version resource, empty without one: a tree of directories by type,
+    name and language, whose leaf says where the data lies."""
+    root = offset(rva)
+    if root is None:
+        return b""
+    at = 0
+    for level in range(3):
+        count = b.get(root + at + 12, "H") + b.get(root + at + 14, "H")
+        entries = [(b.get(root + at + 16 + 8 * k, "I"), b.get(root + at + 20 + 8 * k, "I")) for k in range(min(count, MAX_RESOURCES))]
+        found = next((where for name, where in entries if level or name == VERSION_RESOURCE), None)
+        if found is None:
+            return b""
+        at = found & 0x7FFFFFFF
+        if not found >> 31:
+            break
+    place, size = offset(b.get(root + at, "I")), b.get(root + at + 4, "I")
+    if place is None or size > MAX_VERSION_BYTES or place + size > len(b.raw):
+        return b""
+    return b.raw[place : place + size]
+
+
+def _block(raw: bytes, at: int, end: int) -> tuple[str, bytes, int, int]:
+    """Key, value, and where the children begin and end of a version block, which holds
+    its length, its value's length (in words for texts), its kind, key, value, children;
+    each part begins at a multiple of four."""
+    size, length, kind = struct.unpack_from("<HHH", raw, at)
+    stop, key = at + size, at + 6
+    if size < 6 or stop > end:
+        raise ValueError("a version block lies outside of its parent")
+    while key + 2 <= stop and raw[key : key + 2] != b"\0\0":
+        key += 2
+    value = min((key + 2 + 3) // 4 * 4, stop)
+    upto = min(value + length * (2 if kind == 1 else 1), stop)
+    return raw[at + 6 : key].decode("utf-16-le", "replace"), raw[value:upto], min((upto + 3) // 4 * 4, stop), stop
+
+
+def version_resource(raw: bytes) -> dict[str, str]:
+    """The versions and names that a version resource states. Fixed versions of zeros are
+    none; names come from the first table, by key and names, that has both."""
+    if not raw:
+        return {}
+    budget = MAX_VERSION_BLOCKS
+
+    def inner(at: int, end: int) -> Iterator[tuple[str, bytes, int, int]]:
+        nonlocal budget
+        while at + 6 <= end and budget > 0:
+            budget -= 1
+            try:
+                block = _block(raw, at, end)
+            except (ValueError, struct.error):
+                return
+            yield block
+            at = (block[3] + 3) // 4 * 4
+
+    key, fixed, at, end = _block(raw, 0, len(raw))
+    if key.upper() != "VS_VERSION_INFO":
+        return {}
+    out = {}
+    if len(fixed) >= 52 and struct.unpack_from("<I", fixed)[0] == FIXED_INFO:
+        for name, where in (("file_version", 8), ("product_version", 16)):
+            high, low = struct.unpack_from("<II", fixed, where)
+            if high or low:
+                out[name] = ".".join(str(n) for word in (high, low) for n in (word >> 16, word & 0xFFFF))
+    found = []
+    for group, _, start, stop in inner(at, end):
+        if group.lower() != "stringfileinfo":
+            continue
+        for table, _, first, last in inner(start, stop):
+            if not re.fullmatch("[0-9A-Fa-f]{8}", table):
+                continue
+            names: dict[str, list[str]] = {}
+            for name, value, *_ in inner(first, last):
+                text = value.decode("utf-16-le", "replace").partition("\0")[0].strip()
+                if text:
+                    names.setdefault(name.lower(), []).append(text)
+            if "companyname" in names and "productname" in names:
+                found.append((table.lower(), min(names["companyname"]), min(names["productname"])))
+    if found:
+        _, out["company_name"], out["product_name"] = min(found)
+    return out
 
 
 def mach(raw: bytes) -> dict:
@@ -231,17 +329,25 @@ def archive_coordinates(files: DataFrame) -> DataFrame:
 
 
 def binary_components(files: DataFrame) -> DataFrame:
-    """relative_path, content -> a header row per binary and a row per library it names."""
+    """relative_path, content -> a header row per binary and a row per library it names.
+    A version comes from the file's name, else from what a version resource states of the
+    product, else of the file."""
     found = files.select("relative_path", binary_evidence("content").alias("b")).where("b.format <> ''")
     name = F.regexp_extract("relative_path", r"([^/]*)$", 1)
+    none = F.lit("")
     base: list[Column] = [F.lit("native").alias("ecosystem"), F.col("relative_path").alias("source_artifact")]
+    version = F.coalesce(*[F.nullif(c, none) for c in (native_library_version(name), F.col("b.product_version"), F.col("b.file_version"))], none)
+    kind = F.col("b.kind")
     header = found.select(
-        name.alias("name"), F.when(F.col("b.kind") == "library", "library").otherwise("application").alias("component_type"), *base,
-        F.lit("binary-header").alias("source_parser"), F.lit("").alias("dependency_scope"), F.col("b.soname").alias("native_soname"), F.col("b.build_id").alias("native_build_id"),
+        name.alias("name"), version.alias("version"), F.when(kind == "executable", "application").when(kind.endswith("library"), "library").otherwise("file").alias("component_type"), *base,
+        F.lit("binary-header").alias("source_parser"), none.alias("dependency_scope"), F.col("b.soname").alias("native_soname"), F.col("b.build_id").alias("native_build_id"),
+        F.col("b.company_name").alias("company_name"), F.col("b.product_name").alias("product_name"),
     )
+    library = F.regexp_extract("library", r"([^/\\]*)$", 1)
     linked = found.select(*base, F.explode("b.needed").alias("library")).select(
-        F.regexp_extract("library", r"([^/\\]*)$", 1).alias("name"), F.lit("library").alias("component_type"), "ecosystem", "source_artifact",
-        F.lit("binary-dependency-table").alias("source_parser"), F.lit("runtime").alias("dependency_scope"), F.lit("").alias("native_soname"), F.lit("").alias("native_build_id"),
+        library.alias("name"), native_library_version(library).alias("version"), F.lit("library").alias("component_type"), "ecosystem", "source_artifact",
+        F.lit("binary-dependency-table").alias("source_parser"), F.lit("runtime").alias("dependency_scope"), none.alias("native_soname"), none.alias("native_build_id"),
+        none.alias("company_name"), none.alias("product_name"),
     )
     return header.unionByName(linked.where("name <> ''"))
 

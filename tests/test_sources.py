@@ -3,6 +3,9 @@ import os
 import struct
 import zipfile
 
+from pyspark.sql import functions as F
+
+from ledgerline import scan
 from ledgerline.operators import classify
 from ledgerline.sources import binaries, inventory
 from ledgerline.streaming import history
@@ -79,6 +82,53 @@ def test_pe_imports():
     assert found["kind"] == "library" and found["needed"] == ["KERNEL32.dll"] and found["architecture"] == "x86_64"
 
 
+def version_block(key, value=b"", children=b"", text=False):
+    head = key.encode("utf-16-le") + b"\0\0"
+    head += b"\0" * (-(6 + len(head)) % 4)
+    body = value + (b"\0" * (-len(value) % 4) if children else b"") + children
+    return struct.pack("<HHH", 6 + len(head) + len(body), len(value) // (2 if text else 1), int(text)) + head + body
+
+
+def padded(*blocks):
+    return b"".join(x + b"\0" * (-len(x) % 4) for x in blocks)
+
+
+def version_info(versions=(0x10002, 0x30004, 0, 0), tables=(("040904b0", {"CompanyName": "Acme", "ProductName": "Rocket"}),)):
+    texts = lambda names: padded(*[version_block(k, v.encode("utf-16-le") + b"\0\0", text=True) for k, v in names.items()])
+    inside = padded(*[version_block(key, b"", texts(names)) for key, names in tables])
+    fixed = struct.pack("<II4I", 0xFEEF04BD, 0x10000, *versions) + bytes(28)
+    return version_block("VS_VERSION_INFO", fixed, padded(version_block("VarFileInfo"), version_block("StringFileInfo", b"", inside)))
+
+
+def test_version_resources(spark):
+    names = {"file_version": "1.2.3.4", "company_name": "Acme", "product_name": "Rocket"}
+    assert binaries.version_resource(version_info()) == names
+    several = (("040904b1", {"CompanyName": "A", "ProductName": "A"}), ("040904B0", {"CompanyName": "Z", "ProductName": "Y"}), ("040904a0", {"CompanyName": "half"}), ("nokey", {"CompanyName": "A", "ProductName": "B"}))
+    assert binaries.version_resource(version_info((0, 0, 0x20000, 1), several)) == {"product_version": "2.0.0.1", "company_name": "Z", "product_name": "Y"}
+    assert binaries.version_resource(b"") == {} and binaries.version_resource(version_block("OTHER", bytes(52))) == {}
+    cut = version_info()
+    for n in range(6, len(cut), 7):  # damaged children are left out
+        assert set(binaries.version_resource(struct.pack("<H", n) + cut[2:n])) <= set(names)
+
+    data = version_info()
+    raw = bytearray(0x400) + bytearray(0x60) + data
+    raw[0:2], raw[60:64] = b"MZ", struct.pack("<I", 0x40)
+    raw[0x40:0x58] = b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, 240, 0x22)
+    raw[0x58:0x5A] = struct.pack("<H", 0x20B)
+    raw[0x58 + 108 : 0x58 + 112] = struct.pack("<I", 16)
+    raw[0x58 + 128 : 0x58 + 136] = struct.pack("<II", 0x1000, 0x60 + len(data))
+    raw[0x58 + 240 + 8 : 0x58 + 240 + 24] = struct.pack("<IIII", 0x1000, 0x1000, 0x1000, 0x400)
+    level = lambda name, where: struct.pack("<IIHHHHII", 0, 0, 0, 0, 0, 1, name, where)
+    tree = level(16, 1 << 31 | 24) + level(1, 1 << 31 | 48) + level(1033, 72) + struct.pack("<IIII", 0x1060, len(data), 0, 0)
+    raw[0x400 : 0x400 + len(tree)] = tree
+    files = spark.createDataFrame([("bin/rocket.exe", bytes(raw)), ("bin/plain.exe", bytes(raw[:0x400]))], "relative_path string, content binary")
+    rows = {r["name"]: r for r in binaries.binary_components(files).collect()}
+    assert (rows["rocket.exe"]["version"], rows["rocket.exe"]["company_name"], rows["rocket.exe"]["component_type"]) == ("1.2.3.4", "Acme", "application")
+    assert (rows["plain.exe"]["version"], rows["plain.exe"]["company_name"]) == ("", "")
+    made = scan._from_binaries(files.withColumn("sha256", F.sha2("content", 256))).where("name = 'rocket.exe'").first()
+    assert made["cpe"] == "cpe:2.3:a:acme:rocket:1.2.3.4:*:*:*:*:*:*:*" and made["package_url"].startswith("pkg:generic/rocket.exe@1.2.3.4?checksum=sha256:")
+
+
 def test_archives(spark):
     def jar(entries):
         out = io.BytesIO()
