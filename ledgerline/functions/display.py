@@ -49,6 +49,12 @@ def status_text(status: Column) -> Column:
     )
 
 
+def change_text(kind: Column) -> Column:
+    """A change's kind as lists show it."""
+    folded = lower(present(kind))
+    return F.when(folded == "added", "+ Added").when(folded == "removed", "- Removed").when(folded == "version_changed", "~ Changed").otherwise("Changed")
+
+
 def needs_review(status: Column, warnings: Column, errors: Column, files: Column, matches: Column) -> Column:
     return (status == "completed") & ((warnings > 0) | (errors > 0) | (files == 0) | (matches > 0))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.display import duration_ms, issue_text, needs_review
+from ..functions.display import change_text, duration_ms, issue_text, needs_review, size_text, status_text
 from ..functions.purl import with_lookup
 from ..functions.text import contains_text, join_values, lower, present, trim
 
@@ -71,6 +71,27 @@ def change_list(rows: DataFrame, search: str = "", kind: str | None = None, sort
     return _ordered(rows, [lower(present(sort)), present(sort), F.col("row_key")], descending)
 
 
+def _line(*values: Column | str) -> Column:
+    return F.array_join(F.array(*[present(v) for v in values]), "\t").alias("line")
+
+
+def change_lines(rows: DataFrame) -> DataFrame:
+    """row_key and a tab-separated line of each change, for pasting into tables."""
+    return rows.select("row_key", _line(change_text(F.col("kind")), "name", "before_version", "after_version", "ecosystem", "component_type", "identity_key"))
+
+
+def component_lines(rows: DataFrame) -> DataFrame:
+    """first_ordinal and a tab-separated line of each row of component_rows()."""
+    shown = status_text(F.col("status"))
+    return rows.select("first_ordinal", _line("name", "version", "ecosystem", "component_type", shown, "known_issues", "licenses", "publishers", "dependency_scope", "source_artifact"))
+
+
+def artifact_lines(rows: DataFrame) -> DataFrame:
+    """relative_path and a tab-separated line of each artifact."""
+    size = size_text(F.coalesce("file_size", F.lit(0)))
+    return rows.select("relative_path", _line("relative_path", "artifact_type", status_text(F.col("status")), "message", size, "ecosystem", "sha256"))
+
+
 def facets(rows: DataFrame, column: str) -> DataFrame:
     """The column's distinct non-empty values, sorted without regard to case."""
     return rows.where(present(column) != "").select(F.col(column).alias("value")).distinct().orderBy(lower(F.col("value")), "value")

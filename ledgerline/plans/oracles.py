@@ -224,6 +224,13 @@ SELECT doc_id, len(list_filter(segments, lambda s: {IGNORE_ANY} OR regexp_full_m
   UNION ALL SELECT 'duplicate-' || side, identity || ' ' || version FROM vers WHERE n > 1)""",
     "compare_search": f"""WITH {COMPARED} SELECT row_key, name, before_version FROM changes WHERE kind = 'removed' AND contains(lower(kind || ' ' || name || ' ' || ecosystem || ' ' || component_type || ' ' ||
   before_version || ' ' || after_version || ' ' || before_package_url || ' ' || after_package_url || ' ' || before_scope || ' ' || after_scope || ' ' || identity_key), 'brand2')""",
+    "change_lines": f"""WITH {COMPARED} SELECT row_key, CASE kind WHEN 'added' THEN '+ Added' WHEN 'removed' THEN '- Removed' ELSE '~ Changed' END || chr(9) || name || chr(9) || before_version || chr(9) ||
+  after_version || chr(9) || ecosystem || chr(9) || component_type || chr(9) || identity_key AS line FROM changes""",
+    "component_lines": f"""WITH {NORM}, {ADVISORIES}, issues AS (SELECT package_url, count(*) AS n FROM known GROUP BY 1)
+SELECT first_ordinal, name || chr(9) || version || chr(9) || ecosystem || chr(9) || component_type || chr(9) || CASE s_suppkey % 4 WHEN 0 THEN chr(10003) || ' parsed' WHEN 1 THEN chr(9888) || ' partial'
+  WHEN 2 THEN chr(9888) || ' unsupported' ELSE chr(10005) || ' failed' END || chr(9) || CASE WHEN i.n > 0 THEN chr(9888) || ' ' || i.n WHEN package_url = '' THEN 'Not queried' ELSE '0 observed' END ||
+  chr(9) || replace(licenses, ',', '; ') || chr(9) || chr(9) || dependency_scope || chr(9) || source_artifact AS line
+FROM norm LEFT JOIN issues i USING (package_url) JOIN supplier ON source_artifact = 'supplier-' || s_suppkey || '/manifest.json' WHERE side = 'current'""",
     "component_references": f"""WITH {NORM} SELECT first_ordinal, CASE WHEN package_url <> '' THEN package_url ELSE 'urn:ledgerline:component:' ||
   substr(sha256(lower(ecosystem) || chr(1) || lower(name) || chr(1) || version || chr(1) || lower(component_type)), 1, 32) END AS ref,
   CASE WHEN contains(dependency_scope, 'runtime') THEN '' WHEN contains(dependency_scope, 'optional') THEN 'optional' WHEN contains(dependency_scope, 'development') THEN 'excluded' ELSE '' END AS scope,

@@ -169,6 +169,16 @@ def compare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.change_list(rows, "brand2", kind="removed", sort="before_version", descending=True).select("row_key", "name", "before_version")
 
 
+def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.change_lines(compare.compare(_normalized(spark, sf_dir)))
+
+
+def component_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _current(spark, sf_dir)
+    found = advisories.matches(rows, adapters.advisories(spark, sf_dir))
+    return views.component_lines(views.component_rows(rows, adapters.manifests(spark, sf_dir), advisories.issue_counts(found)))
+
+
 def component_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _current(spark, sf_dir)
     return rows.select(
@@ -272,7 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         version_predicates, package_urls, percent_encoding, native_versions, lookup_eligibility, lookup_counts, lookup_rejections,
         integrity_hashes, display_texts, ignored_paths, classified, artifact_counters, artifact_facets, artifact_search, normalized,
-        live_components, compare_changes, compare_counts, compare_warnings, compare_search, component_references, component_view,
+        live_components, compare_changes, compare_counts, compare_warnings, compare_search, change_lines, component_lines, component_references, component_view,
         component_facets, advisory_matches, scan_summary, dependency_edges, dependency_sets, task_list, previous_tasks,
         initial_selection, strong_identities,
     )

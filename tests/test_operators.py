@@ -1,6 +1,6 @@
 import json
 
-from ledgerline.operators import advisories, cache, compare, document, graph, normalize, readiness
+from ledgerline.operators import advisories, cache, compare, document, graph, normalize, readiness, views
 from ledgerline.schemas import COMPONENT
 
 
@@ -126,3 +126,12 @@ def test_cache(spark, tmp_path):
     hits, misses = cache.split(files, cache.load(spark, folder), context)
     assert hits.count() == 1 and misses.count() == 2
     assert cache.split(files, cache.load(spark, folder), "other")[0].count() == 0 == cache.split(files, cache.load(spark, folder), context, refresh=True)[0].count()
+
+
+def test_lines_for_tables(spark):
+    rows = spark.createDataFrame(
+        [("a/go.mod", "Go module", "partially parsed", "", 2048, "Go", "ab"), ("b", None, "failed", "bad", None, "", "")],
+        "relative_path string, artifact_type string, status string, message string, file_size long, ecosystem string, sha256 string",
+    )
+    lines = {r["relative_path"]: r["line"] for r in views.artifact_lines(rows).collect()}
+    assert lines == {"a/go.mod": "a/go.mod\tGo module\t\u26a0 partial\t\t2.0 KiB\tGo\tab", "b": "b\t\t\u2715 failed\tbad\t0 B\t\t"}
