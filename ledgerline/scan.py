@@ -218,6 +218,8 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings(), cache_
     work = Work(spark)
     options = {"path": root, "ignore": "\n".join(settings.ignore_patterns), "followLinks": str(settings.follow_symbolic_links), "allowOutsideRoot": str(settings.allow_outside_root)}
     listed = work.saved(spark.read.format("file_inventory").options(**options).load().drop("content", "sha256"), "listed")
+    if settings.follow_symbolic_links:
+        listed = work.saved(inventory.visited_once(listed), "visited")
     files = listed.where("entry_kind = 'file'").drop("message")
     gated = classify.gate(classify.classify(files))
     unnamed = F.col("parser").isNull()  # its first bytes decide

@@ -2,6 +2,7 @@
 
 Each entry of the tree's first two levels is a partition, so a tree is walked by as many
 tasks as it has such entries. Rows carry what scans need before any content is read;
+folder is the real path of the folder that was listed, whatever links led there;
 content comes only with the option content=true, and only for names that match a pattern
 and files up to a size. Errors become rows with a message, not failures.
 """
@@ -14,14 +15,16 @@ import re
 import stat
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.patterns import DEFAULT_IGNORED, wildcard_regex
 
 SCHEMA = (
     "relative_path string, absolute_path string, entry_kind string, file_size bigint, mtime_ns bigint, storage_id bigint, "
-    "file_id bigint, was_link boolean, stable boolean, sha256 string, content binary, message string"
+    "file_id bigint, was_link boolean, stable boolean, sha256 string, content binary, message string, "
+    "folder string"
 )
 
 
@@ -124,24 +127,24 @@ class InventoryReader(DataSourceReader):
                 folder = self._is_folder(path, info)
                 if self.ignore(path, folder):
                     if folder:
-                        yield (path, None, "ignored", None, None, None, None, linked, True, None, None, "")
+                        yield (path, None, "ignored", None, None, None, None, linked, True, None, None, "", real)
                     continue
                 if folder:
                     inner.append(path)
                 else:
-                    yield self._file(path, linked)
+                    yield (*self._file(path, linked)[:-1], real)
             if partition.deep:
                 todo += reversed(inner)
 
     def _message(self, path: str, text: str) -> tuple:
-        return (path, None, "warning", None, None, None, None, False, False, None, None, text)
+        return (path, None, "warning", None, None, None, None, False, False, None, None, text, None)
 
     def _file(self, path: str, linked: bool) -> tuple:
         absolute = os.path.join(self.root, path)
         try:
             before = os.stat(absolute)
             if not stat.S_ISREG(before.st_mode):
-                return (path, absolute, "unsupported", None, None, None, None, linked, True, None, None, "Not a regular file.")
+                return (path, absolute, "unsupported", None, None, None, None, linked, True, None, None, "Not a regular file.", None)
             digest = content = None
             stable = True
             if (self.content or self.digest) and self.names.search(os.path.basename(path)) and before.st_size <= self.most:
@@ -160,7 +163,21 @@ class InventoryReader(DataSourceReader):
         except OSError as e:
             return self._message(path, str(e.strerror))
         message = "" if stable else "The file changed while it was read."
-        return (path, absolute, "file", before.st_size, before.st_mtime_ns, before.st_dev, before.st_ino, linked, stable, digest, content, message)
+        return (path, absolute, "file", before.st_size, before.st_mtime_ns, before.st_dev, before.st_ino, linked, stable, digest, content, message, None)
+
+
+def visited_once(listed: DataFrame) -> DataFrame:
+    """Rows of an inventory that followed links, without those of folders that another path
+    reached too: the least path counts, and a warning takes the place of each other one."""
+    at = listed.withColumn("_at", F.regexp_replace("relative_path", "/?[^/]*$", ""))
+    ways = at.where("folder is not null").select("folder", "_at").distinct()
+    first = ways.groupBy(F.col("folder").alias("_real")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = at.join(first, at.folder == F.col("_real"), "left")
+    again = F.col("_first").isNotNull() & (F.col("_at") != F.col("_first"))
+    kept = met.where(~again).select(listed.columns)
+    told = {"relative_path": F.col("_at"), "entry_kind": F.lit("warning"), "was_link": F.lit(False), "stable": F.lit(False), "message": F.lit("The folder was visited before.")}
+    others = met.where(again).select("_at").distinct()
+    return kept.unionByName(others.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in listed.schema]))
 
 
 class InventorySource(DataSource):

@@ -27,6 +27,15 @@ def test_inventory(spark, tmp_path):
     assert bytes(rows["a/b/c/pom.xml"]["content"]) == b"<p/>" and rows["x.txt"]["content"] is None and rows["a/b/c/pom.xml"]["stable"]
     followed = read(followLinks="true")
     assert "leaves the root" in followed["out"]["message"] and followed["loop/b/c/pom.xml"]["file_size"] == 4
+    (tmp_path / "z").mkdir()
+    os.symlink(tmp_path, tmp_path / "z/up")
+    whole = spark.read.format("file_inventory").options(path=str(tmp_path), followLinks="true").load()
+    once = inventory.visited_once(whole)
+    assert once.schema == whole.schema
+    files = [r["relative_path"] for r in once.where("entry_kind = 'file'").collect()]
+    assert sorted(files) == [".hidden", "_under", "a/b/c/pom.xml", "a/big", "x.txt"]
+    warned = {r["relative_path"] for r in once.where("message = 'The folder was visited before.'").collect()}
+    assert {"loop", "loop/b/c", "z/up"} <= warned
 
 
 def elf(needed, soname):
