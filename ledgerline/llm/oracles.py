@@ -58,4 +58,28 @@ OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (S
 SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN n > 1 AND page_id IS DISTINCT FROM largest AND largest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n > 1 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to FROM p LEFT JOIN g USING (h)"""
 
-ORACLES = {"op3_decontamination": OP3, "op5_quality": OP5, "op6_warc": OP6}
+#: The table of CRC-32 (reflected polynomial 0xEDB88320), as a one-row relation.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab"
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; needs tab of CRC_TABLE."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT"
+    return f"(4294967295 - list_reduce(list_transform(range(strlen({text})), lambda k: {byte}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+OP13 = f"""WITH crc AS ({CRC_TABLE}),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+hashed AS (SELECT conv_id, ts, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM own, crc),
+built AS (SELECT a.conv_id, list_concat(coalesce(b.ts[1:h], []), a.ts[h + 1:]) AS ts FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefix AS (SELECT conv_id, d, ts[1:d] AS node, len(ts) = d AS ends FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+node AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended FROM prefix GROUP BY node, d),
+child AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT node.*, coalesce(child.n, 0) AS n_children, (n_convs - 1) * CASE WHEN node.d > 0 THEN strlen(node.node[node.d].text) ELSE 0 END AS own FROM node LEFT JOIN child USING (node, d)),
+above AS (SELECT node[1:u] AS node, u AS d, n_children, own FROM (SELECT node, n_children, own, unnest(range(0, d + 1)) AS u FROM valued)),
+summed AS (SELECT node, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM above GROUP BY node, d)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(v.ended) AS ends_sha256
+FROM valued v JOIN summed s USING (node, d) LEFT JOIN node p ON p.d = v.d - 1 AND p.node = v.node[1:v.d - 1]"""
+
+ORACLES = {"op13_conversation_trie": OP13, "op3_decontamination": OP3, "op5_quality": OP5, "op6_warc": OP6}

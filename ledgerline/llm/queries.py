@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each over its whole table."""
+"""The queries op1 to op13 and the pipeline, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, quality, repeats, secrets, sharding, simhash, token_counts, warc
+from . import bpe, conversation_trie, decontaminate, html_text, quality, repeats, secrets, sharding, simhash, token_counts, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -79,6 +79,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_html,
         op10_suffix_dedup,
+        op13_conversation_trie,
     )
 }
