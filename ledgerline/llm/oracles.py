@@ -68,6 +68,19 @@ def _crc32(text: str) -> str:
     return f"(4294967295 - list_reduce(list_transform(range(strlen({text})), lambda k: {byte}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295))"
 
 
+OP11 = f"""WITH crc AS ({CRC_TABLE}),
+found AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT id, run, count(*) AS k FROM found WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (SELECT run, k, {_crc32("id || ':' || run")} AS h FROM runs, crc),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING sum(k) >= 2 AND length(word) >= 7),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.v = b.word UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON b.v = a.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (WITH RECURSIVE s AS (SELECT word, word AS root FROM forms UNION ALL SELECT s.word, f.form FROM s JOIN forms f ON f.word = s.root AND f.form IS NOT NULL) SELECT * FROM s)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s USING (word) JOIN forms r ON r.word = s.root AND r.form IS NULL"""
+
 OP13 = f"""WITH crc AS ({CRC_TABLE}),
 t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
@@ -82,4 +95,4 @@ summed AS (SELECT node, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own
 SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(v.ended) AS ends_sha256
 FROM valued v JOIN summed s USING (node, d) LEFT JOIN node p ON p.d = v.d - 1 AND p.node = v.node[1:v.d - 1]"""
 
-ORACLES = {"op13_conversation_trie": OP13, "op3_decontamination": OP3, "op5_quality": OP5, "op6_warc": OP6}
+ORACLES = {"op11_spelling_variants": OP11, "op13_conversation_trie": OP13, "op3_decontamination": OP3, "op5_quality": OP5, "op6_warc": OP6}

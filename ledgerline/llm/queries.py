@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_trie, decontaminate, html_text, quality, repeats, secrets, sharding, simhash, token_counts, warc
+from . import bpe, conversation_trie, decontaminate, html_text, neighbours, quality, repeats, secrets, sharding, simhash, spelling, token_counts, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -79,6 +79,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -96,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_html,
         op10_suffix_dedup,
+        op11_spelling_variants,
+        op12_nearest_neighbours,
         op13_conversation_trie,
     )
 }
