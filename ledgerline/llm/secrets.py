@@ -2,8 +2,9 @@
 
 A document is the first layer of a worklist. Each layer is scanned for secrets, then
 decoded in every way that applies: percent escapes, Unicode escapes, base64 runs (in
-each alignment, and joined over line breaks), and gzip or zlib streams inside base64,
-inside escaped bytes or inside each other. Every decoded text is a further layer, until nothing new appears. Layers carry, for each of their characters, the span of the document that
+each alignment, joined over line breaks, and as UTF-16), octal escapes, and gzip, zlib or
+raw deflate streams inside base64, inside escaped bytes or inside each other. Of a damaged
+stream all is read that comes before the damage. Every decoded text is a further layer, until nothing new appears. Layers carry, for each of their characters, the span of the document that
 it came from, so that what is found in any layer is reported as a span of the document.
 """
 
@@ -34,12 +35,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:\\[0-3][0-7]{2})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 #: Escaped bytes among plain characters, which stand for themselves: bytes, not all of
 #: them text, in URLs (no white space or quotes inside) and in string literals (to the line's end).
 URL_BYTES = re.compile(r"[^\s%]?(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*+)+")
-LITERAL_BYTES = re.compile(r"[^\s\\]?(?:\\(?:x[0-9A-Fa-f]{2}|[abfnrtv0\\'\"])[^\r\n\\]*+)+")
-ONE_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\(.)|([\s\S])")
+LITERAL_BYTES = re.compile(r"[^\s\\]?(?:\\(?:x[0-9A-Fa-f]{2}|[0-3][0-7]{2}|[abfnrtv0\\'\"])[^\r\n\\]*+)+")
+ONE_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([0-3][0-7]{2})|\\(.)|([\s\S])")
+BYTE_ESCAPE = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|[0-3][0-7]{2})")
 LETTERS = dict(zip("abfnrtv0\\'\"", b"\x07\x08\x0c\n\r\t\x0b\x00\\'\"", strict=True))
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64: runs that reach the line's end and go on in the next line.
@@ -51,11 +53,26 @@ CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 LEAST = len("token=") + MIN_ASSIGNED
 PRINTED = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{%d}" % LEAST)
 STRETCH = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]{%d,}" % LEAST)
-#: Bytes that pieces of a long stream share.
-OVERLAP = 1 << 20
-#: Pieces of a document's streams that are read at most.
+#: The same in UTF-16, of either byte order.
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){%d,}|(?:\x00[\t\n\r\x20-\x7e]){%d,}" % (LEAST, LEAST))
+#: Bytes that pieces of a long stream share, and those that are fed to it at once.
+OVERLAP, FEED = 1 << 20, 1 << 16
+#: Pieces that are read at most of one stream with all that is in it.
 MOST_PIECES = 64
-MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: A damaged stream with a zlib header counts as one if it held so much; fewer bytes come
+#: out of chance headers too.
+LEAST_INFLATED = 32
+GZIP = b"\x1f\x8b\x08"
+
+
+def _zlib_headers() -> bytes:
+    """A pattern of the two bytes that begin a zlib stream without a preset dictionary:
+    deflate with a window of 256 bytes to 32 KB, and the pair a multiple of 31."""
+    flags = {m: [f for f in range(256) if (256 * m + f) % 31 == 0 and not f & 32] for m in range(0x08, 0x80, 0x10)}
+    return b"|".join(b"\\x%02x[%s]" % (m, b"".join(b"\\x%02x" % f for f in fs)) for m, fs in flags.items())
+
+
+MAGIC = re.compile(re.escape(GZIP) + b"|" + _zlib_headers())
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -78,6 +95,8 @@ class Layer:
     #: where each character comes from in the document; None: from itself
     start: np.ndarray | None = None
     end: np.ndarray | None = None
+    #: bytes left for the stream that it comes from and all inside it; None: from none
+    left: list[int] | None = None
 
     def span(self, s: int, e: int) -> tuple[int, int]:
         if self.start is None:
@@ -91,18 +110,29 @@ class Layer:
         """start, end: in this layer's characters."""
         if self.start is not None:
             start, end = self.start[start], self.end[end - 1]
-        return Layer(text, (*self.path, how), start, end)
+        return Layer(text, (*self.path, how), start, end, self.left)
 
 
 @dataclass
 class Room:
-    """How streams of one document are read: most bytes in one piece, bytes left for all,
-    and the spans of those that were not read as a whole."""
+    """How streams of one document are read: most bytes in one piece and of one stream with
+    all inside it, and the spans of those that were not read as a whole."""
 
     most: int
-    left: int
+    each: int
     unread: set[tuple[int, int]] = field(default_factory=set)
     known: set[tuple] = field(default_factory=set)
+    #: (way, start, end) of damaged streams and of those read to their end
+    damaged: set[tuple] = field(default_factory=set)
+    whole: set[tuple] = field(default_factory=set)
+
+    def not_whole(self) -> list[tuple[int, int]]:
+        """Spans not read as a whole. A line of a wrapped stream breaks off, but isn't
+        damaged where the stream is read over all its lines."""
+        furthest: dict[tuple, int] = {}
+        for way, start, end in self.whole:
+            furthest[way, start] = max(end, furthest.get((way, start), 0))
+        return sorted(self.unread | {(s, e) for way, s, e in self.damaged if furthest.get((way, s), 0) <= e})
 
 
 def _escape(run: str) -> str | None:
@@ -111,6 +141,8 @@ def _escape(run: str) -> str | None:
             return chr(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]))
         if run[1] == "x":
             return bytes.fromhex(run.replace("\\x", "")).decode("utf-8")
+        if run[1].isdigit():
+            return bytes(int(o, 8) for o in run.split("\\")[1:]).decode("utf-8")
         if run.startswith("\\u{"):
             return chr(int(run[3:-1], 16))
         if run[1] == "U":
@@ -124,7 +156,7 @@ def _widths(run: str, decoded: str) -> list[int]:
     """How many characters of the run each decoded character took."""
     if run[0] == "%":
         return [3 * len(c.encode()) for c in decoded]
-    if run.startswith("\\x"):
+    if run.startswith("\\x") or run[0] == "\\" and run[1].isdigit():
         return [4 * len(c.encode()) for c in decoded]
     if run[:2] == "\\u" and run[2] != "{":
         return [12 if ord(c) > 0xFFFF else 6 for c in decoded]
@@ -160,29 +192,47 @@ def _percent(run: str) -> str | None:
         return None
 
 
-def _inflate(raw: bytes, at: int, most: int) -> Iterator[tuple[bytes, int | None]]:
+def _before_damage(d, feed: memoryview, most: int) -> bytes:
+    """What comes out of a stream up to the byte that breaks it."""
+    out = bytearray()
+    try:
+        for k in range(len(feed)):
+            out += d.decompress(feed[k : k + 1])
+            if len(out) > most:
+                break
+    except zlib.error:
+        pass
+    return bytes(out)
+
+
+def _inflate(raw: bytes, at: int, most: int, kind: int = 47) -> Iterator[tuple[bytes, int | None, bool]]:
     """The data of the gzip or zlib stream at a place and of all gzip members that follow
-    it, with where they end: in one piece if that is at most most bytes, else in pieces of
-    most bytes that overlap, each but the last with None. Nothing if there is no stream."""
-    held, ended, pieces = bytearray(), None, False
-    while True:
-        d, left = zlib.decompressobj(47), memoryview(raw)[at:]
-        try:
-            while left and not d.eof:
-                held += d.decompress(left, max(1, most + 1 - len(held)))
-                left = d.unconsumed_tail
-                if len(held) > most:
-                    yield bytes(held), None
-                    pieces, held = True, held[-min(OVERLAP, most // 2) :]
-        except zlib.error:
-            break
-        if not d.eof:
-            break
-        ended = at = len(raw) - len(d.unused_data)
-        if not raw.startswith(b"\x1f\x8b\x08", at):
-            break
-    if ended is not None or pieces:
-        yield bytes(held), ended or len(raw)
+    it, with where they end, and whether they are undamaged: in one piece if that is at
+    most most bytes, else in pieces of most bytes that overlap, each but the last with None.
+    A stream that breaks off or is damaged ends with raw. kind: as zlib's wbits."""
+    held, ended, whole = bytearray(), None, True
+    while whole:
+        d, left = zlib.decompressobj(kind), memoryview(raw)[at:]
+        while not d.eof:
+            feed, most_now = left[:FEED], max(1, most + 1 - len(held))
+            safe = d.copy()
+            try:
+                got = d.decompress(feed, most_now)
+                left = left[len(feed) - len(d.unconsumed_tail) - len(d.unused_data) :]
+            except zlib.error:
+                got, whole = _before_damage(safe, feed, most), False
+            held += got
+            if len(held) > most:
+                yield bytes(held), None, True
+                held = held[-min(OVERLAP, most // 2) :]
+            if not whole or not left and not got and not d.eof:
+                break
+        whole = whole and d.eof
+        if whole:
+            ended = at = len(raw) - len(left)
+            if not raw.startswith(GZIP, at):
+                break
+    yield bytes(held), ended if whole else len(raw), whole
 
 
 def _readable(raw: bytes) -> str | None:
@@ -199,9 +249,19 @@ def _sizes(text: str) -> np.ndarray:
     return np.fromiter((len(c.encode("utf-8", "surrogateescape")) for c in text), np.int64, len(text))
 
 
+def _wide_stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """As _stretches, of UTF-16."""
+    for m in WIDE.finditer(raw):
+        low = m[0][0] != 0
+        first = np.arange(m.start(), m.end(), 2)
+        yield m[0][not low :: 2].decode(), first, first + 1
+
+
 def _stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """The readable stretches of bytes that are long enough for a secret, with the first
     and last byte of each character; the whole, where it is readable."""
+    if b"\x00" in raw:
+        yield from _wide_stretches(raw)
     whole = _readable(raw)
     if whole is None and not PRINTED.search(raw):
         return
@@ -214,33 +274,64 @@ def _stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             yield text[a:z], last[a:z] - size[a:z] + 1, last[a:z]
 
 
+def _deflated(raw: bytes, most: int) -> bytes | None:
+    """What raw holds, if all of it is one raw deflate stream with room for a secret."""
+    d = zlib.decompressobj(-15)
+    try:
+        plain = d.decompress(raw, most + 1)
+    except zlib.error:
+        return None
+    return plain if d.eof and not d.unused_data and LEAST <= len(plain) <= most else None
+
+
 def _compressed_layers(layer: Layer, raw: bytes, how: str, place, room: Room) -> Iterator[Layer]:
     """The layers of all streams in raw, and of streams in what they hold. place(first,
     last byte) is a stream's span in the layer."""
 
-    def inside(raw: bytes, how: str, span: tuple | None) -> Iterator:
+    def inside(raw: bytes, how: str, span: tuple | None, left: list[int] | None) -> Iterator:
         """Layers, and iterators like this one over what a stream holds."""
         at = 0
+        deflated = span is None and _deflated(raw, room.most)
+        if deflated:
+            yield from read(raw, how, place(0, len(raw) - 1), left or [room.each], [(deflated, len(raw), True)], True)
         while m := MAGIC.search(raw, at):
             at = m.start() + 1
-            for plain, end in _inflate(raw, m.start(), room.most):
-                own = span or place(m.start(), (end or len(raw)) - 1)
-                outer = layer.outer(*own)
-                room.left -= len(plain)
-                if end is None or room.left < 0:
-                    room.unread.add(outer)
-                if room.left < 0:
-                    return
-                for text, first, _ in _stretches(plain):
-                    n = len(first)
-                    yield layer.child(how, text, np.full(n, own[0]), np.full(n, own[1]))
-                key = (hashlib.blake2b(plain, digest_size=16).digest(), *outer)
-                if key not in room.known:  # a stream can hold itself
-                    room.known.add(key)
-                    yield inside(plain, f"{how}>compressed", own)
-                at = max(at, end or 0)
-
-    way = [inside(raw, how, None)]
+            certain = m[0] == GZIP
+            ends: list[int] = []
+            pieces = ((x, (ends.append(e) or e) if e and ok else e, ok) for x, e, ok in _inflate(raw, m.start(), room.most))
+            own = span or (lambda end, start=m.start(): place(start, end - 1))
+            yield from read(raw, how, own, left or [room.each], pieces, certain)
+            at = max([at, *ends])
+
+    def read(raw: bytes, how: str, own, left: list[int], pieces, certain: bool) -> Iterator:
+        """The layers of one stream's pieces (data, end or None, undamaged)."""
+        n_bytes = 0
+        for plain, end, undamaged in pieces:
+            where = own(end or len(raw)) if callable(own) else own
+            outer = layer.outer(*where)
+            n_bytes += len(plain)
+            left[0] -= len(plain)
+            if end is None or left[0] < 0:
+                room.unread.add(outer)
+            elif undamaged:
+                room.whole.add((how, *outer))
+            elif certain or n_bytes >= LEAST_INFLATED:
+                room.damaged.add((how, *outer))
+            if left[0] < 0:
+                return
+            if not plain:
+                continue
+            for text, first, _ in _stretches(plain):
+                n = len(first)
+                found = layer.child(how, text, np.full(n, where[0]), np.full(n, where[1]))
+                found.left = left
+                yield found
+            key = (hashlib.blake2b(plain, digest_size=16).digest(), *outer)
+            if key not in room.known:  # a stream can hold itself
+                room.known.add(key)
+                yield inside(plain, f"{how}>compressed", where, left)
+
+    way = [inside(raw, how, None, layer.left)]
     while way:
         x = next(way[-1], None)
         if x is None:
@@ -288,18 +379,20 @@ def _base64_layers(layer: Layer, room: Room) -> Iterator[Layer]:
 def _escaped_layers(layer: Layer, room: Room) -> Iterator[Layer]:
     """The layers of escaped bytes that aren't text as a whole: readable stretches of them,
     and of the streams inside."""
-    for how, mark, pattern in (("url", "%", URL_BYTES), ("unicode", "\\x", LITERAL_BYTES)):
-        if mark not in layer.text:
+    for how, mark, pattern in (("url", PERCENT, URL_BYTES), ("unicode", BYTE_ESCAPE, LITERAL_BYTES)):
+        if not mark.search(layer.text):
             continue
         for m in pattern.finditer(layer.text):
-            if mark not in m[0]:
+            if not mark.search(m[0]):
                 continue
             parts, sizes, widths = [], [], []
             for one in ONE_BYTE.finditer(m[0]):
                 code = one[1] if how == "url" else one[2]
-                letter = one[3] if how == "unicode" else None
+                octal, letter = one.group(3, 4) if how == "unicode" else (None, None)
                 if code:
                     part = bytes.fromhex(code)
+                elif octal:
+                    part = bytes([int(octal, 8)])
                 elif letter in LETTERS:
                     part = bytes([LETTERS[letter]])
                 else:
@@ -343,7 +436,8 @@ def _layers(layer: Layer, room: Room) -> Iterator[Layer]:
 
 def unwrap(text: str, max_expanded: int) -> Found:
     """Layers are followed in depth, so that only those on the way to one are held; none
-    is left out but the rest of streams that expand beyond MOST_PIECES pieces."""
+    is left out but the rest of a stream that expands, with all inside it, beyond
+    MOST_PIECES pieces. Every stream of the document has pieces of its own."""
     out, seen, known = Found(), set(), set()
     most = max(max_expanded, 4 * len(text))
     room = Room(most, MOST_PIECES * most)
@@ -366,7 +460,7 @@ def unwrap(text: str, max_expanded: int) -> Found:
                 seen.add(span)
                 out.rows.append((*span, ">".join(layer.path)))
         way.append(_layers(layer, room))
-    out.unread = sorted(room.unread)
+    out.unread = room.not_whole()
     out.truncated = bool(out.unread)
     return out
 
@@ -383,7 +477,8 @@ def scan_secrets(
     Whole texts are scanned; null texts are empty and have no findings. max_expanded (at
     least four times the document's length) bounds the bytes of a compressed stream that
     are held at once: a longer one is read in overlapping pieces, up to MOST_PIECES of them
-    a document, and truncated is true. No other layer is bounded. Null ids and
+    with all inside it. truncated is true if a stream was not read in one piece to its end,
+    or is damaged. No other layer is bounded. Null ids and
     repeated rows are kept as they are; an empty table gives an empty result; other
     columns are ignored.
     """
@@ -432,12 +527,9 @@ def secret_report(found: DataFrame) -> DataFrame:
 
 def redact(text: str, rows: list[tuple[str, int, int, str]], mark: str = "[SECRET]") -> str:
     """The text with every found span, overlapping ones merged, replaced by mark."""
-    out, at = [], 0
-    spans = sorted((s, e) for _, s, e, _ in rows)
-    while spans:
-        s, e = spans.pop(0)
-        while spans and spans[0][0] < e:
-            e = max(e, spans.pop(0)[1])
-        out += [text[at:s], mark]
-        at = e
-    return "".join([*out, text[at:]])
+    out, upto = [], 0
+    for s, e in sorted((s, e) for _, s, e, _ in rows):
+        if not out or s >= upto:
+            out += [text[upto:s], mark]
+        upto = max(upto, e)
+    return "".join([*out, text[upto:]])

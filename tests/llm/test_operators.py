@@ -214,6 +214,67 @@ def test_secrets_in_streams_lines_and_glued_runs(text):
     assert not secrets.unwrap(left, 1 << 20).rows and left.startswith("head ") and left.endswith(" tail")
 
 
+def deflated(raw, wbits, level=9):
+    c = zlib.compressobj(level, zlib.DEFLATED, wbits)
+    return c.compress(raw) + c.flush()
+
+
+LONGER = bytes(random.Random(2).choices(b"abcdefghij klmnop", k=400)) + b" password=hunter22x " + bytes(random.Random(3).choices(b"abcdefghij", k=60))
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        gzip.compress(LONGER)[:-9],
+        gzip.compress(LONGER)[:-8] + b"\0\0\0\0" + gzip.compress(LONGER)[-4:],
+        gzip.compress(FILL) + gzip.compress(LONGER)[:-1],
+        zlib.compress(LONGER)[:-5],
+        zlib.compress(LONGER)[:-4] + b"xxxx",
+        deflated(LONGER, 15, 0)[:-60],
+    ],
+)
+def test_damaged_streams_are_read_to_the_damage_and_redacted(raw):
+    text = f"head {base64.b64encode(raw).decode()} tail"
+    found = secrets.unwrap(text, 1 << 20)
+    assert found.truncated and (5, len(text) - 5) in found.unread
+    assert [k for k, *_ in found.rows] == ["assign"] * len(found.rows) and found.rows
+    assert secrets.redact(text, [("unread", s, e, "") for s, e in found.unread]) == "head [SECRET] tail"
+
+
+@pytest.mark.parametrize("wbits", [9, 10, 11, 12, 13, 14, 15, -9, -15, 25, 31])
+@pytest.mark.parametrize("level", [0, 1, 9])
+def test_streams_of_every_window_and_wrapper(wbits, level):
+    text = f"head {base64.b64encode(deflated(LONGER, wbits, level)).decode()} tail"
+    found = secrets.unwrap(text, 1 << 20)
+    assert ("assign", 5, len(text) - 5) in {(k, s, e) for k, s, e, _ in found.rows} and not found.truncated
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_wide_text_in_base64(encoding):
+    text = "x" + base64.b64encode("é token=abcdef123 €".encode(encoding)).decode()
+    (kind, s, e, path), = secrets.unwrap(text, 1 << 20).rows
+    assert kind == "assign" and 1 <= s < e <= len(text) and path == "base64"
+
+
+def test_octal_escapes():
+    text = "a " + "".join(f"\\{b:03o}" for b in "é token=abcdef123".encode()) + " b"
+    (kind, s, e, path), = secrets.unwrap(text, 1 << 20).rows
+    assert (kind, text[s:e][:4], e, path) == ("assign", "\\164", len(text) - 2, "unicode")
+    blob = "".join(f"\\{b:03o}" for b in gzip.compress(SECRET))
+    assert secrets.unwrap(f"a {blob} b", 1 << 20).rows
+
+
+def test_each_stream_has_room_of_its_own():
+    large, small = nest("a" * 3_000_000, "gzip"), nest("z token=abcdefg z", "gzip")
+    found = secrets.unwrap(f"{large} {small}", 10_000)
+    assert small in {f"{large} {small}"[s:e] for _, s, e, _ in found.rows} and len(found.unread) == 1
+
+
+def test_long_random_runs_are_left_alone():
+    blob = base64.b64encode(random.Random(4).randbytes(30_000)).decode()
+    assert not secrets.unwrap(f"a {blob} b", 1 << 20).unread
+
+
 def test_decoding_ends_on_cycles_and_bombs():
     text = nest("a" * 100000 + " token=abcdef", "gzip")
     assert secrets.unwrap(text, 50).truncated
