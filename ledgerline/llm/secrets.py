@@ -59,8 +59,8 @@ WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){%d,}|(?:\x00[\t\n\r\x20-\x7e]){%d
 OVERLAP, FEED = 1 << 20, 1 << 16
 #: Pieces that are read at most of one stream with all that is in it.
 MOST_PIECES = 64
-#: A damaged stream with a zlib header counts as one if it held so much; fewer bytes come
-#: out of chance headers too.
+#: A damaged stream with a zlib header counts as one if it held so much text; fewer bytes,
+#: or others, come out of chance headers too.
 LEAST_INFLATED = 32
 GZIP = b"\x1f\x8b\x08"
 
@@ -243,6 +243,11 @@ def _readable(raw: bytes) -> str | None:
     return text if text and not CONTROL.search(text) else None
 
 
+def _texts(raw: bytes) -> bool:
+    """Whether bytes are text, nine in ten at least."""
+    return 10 * sum(map(len, re.findall(rb"[\t\n\r\x20-\x7e]+", raw))) >= 9 * len(raw) or not CONTROL.search(raw.decode("utf-8", "replace").rstrip("\ufffd").replace("\ufffd", "\0"))
+
+
 def _sizes(text: str) -> np.ndarray:
     if text.isascii():
         return np.ones(len(text), np.int64)
@@ -315,7 +320,7 @@ def _compressed_layers(layer: Layer, raw: bytes, how: str, place, room: Room) ->
                 room.unread.add(outer)
             elif undamaged:
                 room.whole.add((how, *outer))
-            elif certain or n_bytes >= LEAST_INFLATED:
+            elif certain or n_bytes >= LEAST_INFLATED and _texts(plain[:4096]):
                 room.damaged.add((how, *outer))
             if left[0] < 0:
                 return
