@@ -25,12 +25,10 @@ from .common import map_batches, texts_of
 from .html_training import labelled_page
 
 #: Pages that the model is fitted on, and the steps of that fit.
-TRAINING_PAGES, STEPS = 400, 200
+TRAINING_PAGES, STEPS = 800, 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-MAY_HIDE = re.compile(r"hidden|display", re.I)
 
 #: Sorts of HTML elements.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "annotation", "annotation-xml"}
@@ -45,6 +43,11 @@ INLINE = {
     "munderover", "semantics",
 }
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dt", "dd", "td", "th", "figcaption"}
+NESTED = {"svg", "object", "audio", "video", "canvas"}
+#: Elements that are regions of a page by their tag.
+REGIONS = {"nav", "aside", "header", "footer", "form", "article", "main", "section"}
+#: Elements that are parts of another, and so of its kind.
+PARTS = {"li", "dt", "dd", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "figcaption", "summary"}
 #: Elements that an opening tag of the named kind closes when they are open.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -81,34 +84,36 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-def _hidden(rest: str) -> bool:
-    """Whether a tag's attributes hide its element: hidden, or the style display: none."""
-    if not MAY_HIDE.search(rest):
-        return False
-    values: dict[str, str] = {}
-    for m in ANY_ATTRIBUTE.finditer(rest):
-        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    if "hidden" in values:
-        return True
-    rules = [r.partition(":") for r in unescape(values.get("style", "")).lower().split(";")]
-    shown = [v.replace("!important", "").strip() for name, _, v in rules if name.strip() == "display"]
-    return bool(shown) and shown[-1] == "none"
+class Ends:
+    """Which opening tags of a page have an end tag of their own. Objects and images lie
+    in each other, controls don't: there the next tag of the name must be the end."""
 
+    def __init__(self, page: str):
+        self.page, self.ended = page, {}
 
-def _has_end(page: str, tag: str, position: int) -> bool:
-    """Whether the next tag of this name is an end tag; only objects lie in each other."""
-    m = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(page, position)
-    return m is not None and (m[1] == "/" or tag == "object")
+    def has(self, tag: str, start: int) -> bool:
+        if tag not in self.ended:
+            found, opened = set(), []
+            for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", self.page, re.I):
+                if not m[1]:
+                    opened = [*opened, m.start()] if tag in NESTED else [m.start()]
+                elif opened:
+                    found.add(opened.pop())
+            self.ended[tag] = found
+        return start in self.ended[tag]
 
 
 def parse(page: str) -> list[Node]:
     """The nodes in page order, parents first. Inline elements dissolve into runs of
-    text; comments, scripts, styles, forms' controls and hidden elements are left out.
-    What is left out ends like any element: by its end tag, an ancestor's, or an opening
-    tag that implies it. A head has no text of its own, so its tags are passed over."""
+    text; comments, scripts, styles and forms' controls are left out. Hidden elements
+    aren't, as a script may show them. What is left out ends like any element: by its end
+    tag, an ancestor's, or an opening tag that implies it; the text that it stands in goes
+    on behind it. A head has no text of its own, so its tags are passed over."""
     nodes = [Node("#root")]
-    # every open element, its node (-1 where it is left out), and whether FLOW ends it
-    open_tags: list[tuple[str, int, bool]] = [("#root", 0, False)]
+    # every open element, its node (-1 where it is left out), whether FLOW ends it, and
+    # the run of text that goes on behind it, in a link or not
+    open_tags: list[tuple[str, int, bool, tuple[int, int]]] = [("#root", 0, False, (-1, 0))]
+    ends = Ends(page)
     here, run, links = 0, -1, 0
     position = 0
     end = len(page)
@@ -116,7 +121,7 @@ def parse(page: str) -> list[Node]:
         m = TOKEN.match(page, position)
         if m is None:  # a tag that the page's end cuts off
             break
-        position = m.end()
+        start, position = position, m.end()
         slash, tag, rest, text = m.groups()
         if text is not None:
             if text == "<" and page[position : position + 1].isalpha() or page.startswith("/", position) and text == "<":
@@ -152,16 +157,20 @@ def parse(page: str) -> list[Node]:
             if tag == "a":
                 links = 0 if slash else 1
             continue
+        before = (run, links) if tag in SKIPPED and here >= 0 else (-1, 0)
         run, links = -1, 0
         if tag == "head":
             continue
         if slash:
             for k in range(len(open_tags) - 1, 0, -1):
                 if open_tags[k][0] == tag:
+                    run, links = open_tags[k][3]
                     del open_tags[k:]
                     break
                 if open_tags[k][0] in LISTS and tag in ("li", "td", "th", "tr", "dt", "dd"):
                     break
+            else:
+                run, links = before
             here = open_tags[-1][1]
             continue
         if here < 0 and tag in FLOW:
@@ -169,8 +178,9 @@ def parse(page: str) -> list[Node]:
             if loose:
                 del open_tags[loose[0] :]
                 here = open_tags[-1][1]
-        left_out = tag in SKIPPED or _hidden(rest)
+        left_out = tag in SKIPPED
         if (left_out or here < 0) and rest.endswith("/"):
+            run, links = before
             continue
         closes = CLOSED_BY.get(tag, set())
         for k in range(len(open_tags) - 1, 0, -1):
@@ -184,14 +194,14 @@ def parse(page: str) -> list[Node]:
         here = open_tags[-1][1]
         if left_out or here < 0:
             here = -1
-            open_tags.append((tag, here, tag in SKIPPED and not _has_end(page, tag, position)))
+            open_tags.append((tag, here, left_out and not ends.has(tag, start), before))
             continue
         # classes of the whole page tell of its parts ("has-sidebar"), not of its text
         words = [] if tag in ("html", "body") else [w for a in ATTRIBUTE.finditer(rest) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower())]
         nodes.append(Node(tag, tuple(sorted({HINT_OF[w] for w in words if w in HINT_OF})), here))
         nodes[here].children.append(len(nodes) - 1)
         here = len(nodes) - 1
-        open_tags.append((tag, here, False))
+        open_tags.append((tag, here, False, (-1, 0)))
     for node in reversed(nodes):
         node.size += sum(map(len, node.parts))
         if node.parent >= 0:
@@ -207,9 +217,10 @@ def block_text(node: Node) -> str:
     return " ".join(unescape("".join(node.parts)).split())
 
 
-#: Sorts of edges: to a text run in a text block, to one elsewhere, to a text block
-#: or plain division, to another element, to an element right below the body or above it.
-SORTS = 5
+#: Sorts of edges: to a text run in a text block, to one elsewhere, to a block, list, table
+#: or division without a name, to one with a name or a region, to an element right below
+#: the body or above it, to a part of a list, table or figure.
+SORTS = 6
 
 
 def sort_of(nodes: list[Node], v: int) -> int:
@@ -218,11 +229,18 @@ def sort_of(nodes: list[Node], v: int) -> int:
         return 0 if parent in TEXT_BLOCKS else 1
     if parent in ("#root", "html", "body"):
         return 4
-    return 2 if node.tag in TEXT_BLOCKS or node.tag == "div" and not node.hints else 3
+    if node.tag in PARTS and not node.hints:
+        return 5
+    return 3 if node.hints or node.tag in REGIONS else 2
+
+
+def _tag(node: Node) -> str:
+    """A division with a name is another thing than one without."""
+    return f"tag={node.tag}{'+' if node.hints else ''}"
 
 
 def features(node: Node) -> list[str]:
-    out = ["bias", f"tag={node.tag}", *[f"hint={h}" for h in node.hints]]
+    out = ["bias", _tag(node), *[f"hint={h}" for h in node.hints]]
     kind = "text" if node.tag == "#text" else "all"
     out.append(f"text size={min(8, node.size.bit_length())}" if kind == "text" else f"share={node.share}")
     out.append(f"{kind} links={min(4, 4 * node.linked // max(node.size, 1))}")
@@ -234,10 +252,16 @@ class Model:
     weights: dict[str, float]
     edges: tuple[float, ...]
 
+    def own(self, node: Node) -> float:
+        """A node's own log odds. An element that training never met says nothing but by
+        the words in its attributes, so its parent and children decide."""
+        known = _tag(node) in self.weights
+        return sum(self.weights.get(f, 0.0) for f in features(node) if known or f.startswith("hint="))
+
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """P(content) of each node. Messages are log odds."""
         n = len(nodes)
-        total = [sum(self.weights.get(f, 0.0) for f in features(v)) for v in nodes]
+        total = [self.own(v) for v in nodes]
         pull = [0.0, *(self.edges[sort_of(nodes, v)] for v in range(1, n))]
         up = [0.0] * n
         for v in range(n - 1, 0, -1):  # children come after their parents
@@ -295,9 +319,8 @@ def fit(pages: list[tuple[list[Node], np.ndarray]], steps: int = STEPS, rate: fl
             parent.append(base + max(node.parent, 0))
             sort.append(0 if v == 0 else sort_of(nodes, v))
             truth.append(bool(inside[v]))
-    x = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        x[i, r] = 1
+    feature = np.array([f for r in rows for f in r])
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     y, depth, parent, sort = np.array(truth, float), np.array(depth), np.array(parent), np.array(sort)
     levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
     edge = np.flatnonzero(depth > 0)
@@ -307,11 +330,11 @@ def fit(pages: list[tuple[list[Node], np.ndarray]], steps: int = STEPS, rate: fl
     passed = lambda odds, j: 2 * np.arctanh(np.clip(np.tanh(j) * np.tanh(odds / 2), -1 + 1e-12, 1 - 1e-12))
     for t in range(1, steps + 1):
         pull = w[-SORTS:][sort]
-        below = x @ w[:-SORTS]  # own and children's log odds
+        below = np.bincount(owner, w[feature], len(y))  # own and children's log odds
         up = np.zeros(len(y))
         for v in reversed(levels):
             up[v] = passed(below[v], pull[v])
-            np.add.at(below, parent[v], up[v])
+            below += np.bincount(parent[v], up[v], len(y))
         total = below.copy()
         for v in levels:
             total[v] += passed(total[parent[v]] - up[v], pull[v])
@@ -320,7 +343,7 @@ def fit(pages: list[tuple[list[Node], np.ndarray]], steps: int = STEPS, rate: fl
         same = np.exp(2 * pull[edge]) * np.cosh((a + b) / 2)
         differ = np.cosh((a - b) / 2)
         surprise = seen - (same - differ) / (same + differ)
-        gradient = np.append(x.T @ (y - p), np.bincount(sort[edge], surprise, SORTS)) / len(y) - ridge * w
+        gradient = np.append(np.bincount(feature, (y - p)[owner], len(names)), np.bincount(sort[edge], surprise, SORTS)) / len(y) - ridge * w
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         w += rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
