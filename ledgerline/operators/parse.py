@@ -2,15 +2,18 @@
 
 Files come as (relative_path, parser, content); each parser turns the files of its kind
 into component rows with Spark's own functions: texts are split into lines or blocks, and
-regular expressions, from_json and from_xml read them. No file is handed to a Python
-worker. place keeps a file's row order.
+regular expressions and from_json read them. Only XML and the nested trees of old npm lock
+files go through Python workers, which turn each file into rows. place keeps a file's row
+order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from ..functions.identity import CARGO_MANIFEST
 from ..functions.purl import maven_url, package_url
 from ..functions.text import lower, present, trim
 from ..functions.versions import is_exact_in
+from .strict_json import json_error
+from .xml_events import xml_error, xml_events
 
 HASHES = "array<struct<algorithm:string,digest:string,subject:string>>"
 TEXTS = "array<string>"
@@ -263,8 +268,10 @@ def pyproject(files: DataFrame) -> DataFrame:
 
 
 def _json(files: DataFrame, schema: str) -> DataFrame:
-    """j, the document read by a schema; files whose root is no object are left out."""
-    return files.withColumn("j", F.from_json("content", schema)).where(F.try_parse_json("content").isNotNull() & trim(F.col("content")).startswith("{"))
+    """j, the document read by a schema; files that aren't strict JSON, or whose root is no
+    object, are left out."""
+    sound = trim(F.col("content")).startswith("{") & (json_error(F.col("content")) == "")
+    return files.where(sound).withColumn("j", F.from_json("content", schema))
 
 
 def _entries(df: DataFrame, column: str) -> DataFrame:
@@ -327,8 +334,8 @@ LOCK_ENTRY = "struct<name:string,version:string,integrity:string,dependencies:st
 
 
 def package_lock(files: DataFrame) -> DataFrame:
-    """The packages map, or else the nested dependencies of older files, level by level
-    until no level holds any."""
+    """The packages map, or else the nested dependencies of older files, at any depth and in
+    the order of the document."""
     rows = _json(files, f"packages map<string,{LOCK_ENTRY}>, dependencies string")
     each = _entries(rows.where("j.packages is not null"), "j.packages").where("entry.value is not null")
     key, value = F.col("entry.key"), F.col("entry.value")
@@ -340,16 +347,35 @@ def package_lock(files: DataFrame) -> DataFrame:
         each, "npm", place=F.col("place"), name=name, version=version, hashes=_integrity(name, version, value["integrity"]),
         scope=F.when(project, "project").otherwise("resolved"), component_type=F.when(project, "application").otherwise("library"),
     )
-    level = rows.where("j.packages is null and j.dependencies is not null").select("relative_path", F.lit(0).alias("base"), F.col("j.dependencies").alias("deps"))
-    for _ in range(128):
-        nested = level.select("relative_path", "base", F.posexplode(F.map_entries(F.from_json("deps", f"map<string,{LOCK_ENTRY}>"))).alias("n", "entry"))
-        nested = nested.where("entry.value is not null").withColumn("place", F.col("base") * 1000 + F.col("n") + 1)
-        if nested.isEmpty():
-            break
-        name, version = F.col("entry.key"), present("entry.value.version")
-        out = out.unionByName(_rows(nested, "npm", place=F.col("place"), name=name, version=version, hashes=_integrity(name, version, F.col("entry.value.integrity"))))
-        level = nested.select("relative_path", F.col("place").alias("base"), F.col("entry.value.dependencies").alias("deps")).where("deps is not null")
-    return out
+    older = rows.where("j.packages is null and j.dependencies is not null").select("relative_path", F.col("j.dependencies").alias("tree"))
+    nested = older.mapInArrow(_walk, LOCK_ROWS)
+    return out.unionByName(_rows(nested, "npm", place=F.col("place"), name=F.col("name"), version=F.col("version"), hashes=_integrity(F.col("name"), F.col("version"), F.col("integrity"))))
+
+
+LOCK_ROWS = "relative_path string, place long, name string, version string, integrity string"
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each tree of dependencies, each before those nested in it."""
+    text = lambda v: v if isinstance(v, str) else "" if v is None or isinstance(v, dict | list) else json.dumps(v)
+    for batch in batches:
+        for path, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, root = [], json.loads(tree.as_py())
+            way = [iter(root.items() if isinstance(root, dict) else ())]
+            while way:
+                name, entry = next(way[-1], (None, None))
+                if name is None:
+                    way.pop()
+                elif isinstance(entry, dict):
+                    rows.append((path, len(rows), name, text(entry.get("version")), text(entry.get("integrity"))))
+                    below = entry.get("dependencies")
+                    way.append(iter(below.items() if isinstance(below, dict) else ()))
+            for at in range(0, len(rows), 4096):
+                columns = zip(*rows[at : at + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(columns)],
+                    names=["relative_path", "place", "name", "version", "integrity"],
+                )
 
 
 def pipfile_lock(files: DataFrame) -> DataFrame:
@@ -417,73 +443,80 @@ def vcpkg(files: DataFrame) -> DataFrame:
     return _rows(each, "vcpkg", place=F.col("place"), name=F.when(whole, item["name"]).otherwise(_scalar(F.col("d"))), version=version, scope="runtime")
 
 
-# XML
+# XML: filters over the elements of all files
 
-XML_COMMENT = r"(?s)<!--.*?-->"
 
-
-def _unsafe(content: Column) -> Column:
-    return F.upper(content).contains("<!DOCTYPE") | F.upper(content).contains("<!ENTITY")
-
-
-def _element(body: Column, tag: str) -> Column:
-    return trim(_match(body, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"))
+def _first(text: Column, at: str, when: Column) -> Column:
+    """The trimmed text of the first element where a condition holds; else empty."""
+    return F.coalesce(trim(F.min_by(F.when(when, present(text)), F.when(when, F.col(at)))), F.lit(""))
 
 
 def maven_pom(files: DataFrame) -> DataFrame:
-    """Every dependency element at any depth, with its direct children; the project
-    itself only if it declares a license or an organization."""
-    rows = files.where(~_unsafe(F.col("content"))).withColumn("xml", F.regexp_replace("content", XML_COMMENT, ""))
-    each = rows.select("relative_path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<dependency(?:\s[^>]*)?>(.*?)</dependency\s*>"), F.lit(1))).alias("place", "d"))
-    body = F.regexp_replace("d", r"(?s)<exclusions>.*?</exclusions>", "")
-    group, artifact, version, scope = (_element(body, t) for t in ("groupId", "artifactId", "version", "scope"))
-    named = F.when(group != "", F.concat(group, F.lit(":"), artifact)).otherwise(artifact)
-    kind = F.when(scope.isin("", "compile", "runtime", "provided", "system"), F.coalesce(F.nullif(F.when(scope.isin("", "compile"), "runtime").otherwise(scope), F.lit("")), F.lit("runtime"))).otherwise(F.when(scope == "test", "test").otherwise(scope))
-    out = _rows(each.where((scope != "import") & (artifact != "")), "Maven", place=F.col("place"), name=named, version=version, scope=kind, purl=maven_url(group, artifact, version))
-    top = F.regexp_replace("xml", r"(?s)<(dependencies|dependencyManagement|build|profiles|reporting)(\s[^>]*)?>.*</\1\s*>", "")
-    parent = _element(top, "parent")
-    own = F.regexp_replace(top, r"(?s)<parent(\s[^>]*)?>.*?</parent\s*>", "")
-    bare = F.regexp_replace(own, r"(?s)<(licenses|organization|developers|scm|properties)(\s[^>]*)?>.*?</\1\s*>", "")
-    inherit = lambda t: F.coalesce(F.nullif(_element(bare, t), F.lit("")), _element(parent, t))
-    licenses = F.filter(
-        F.transform(F.regexp_extract_all(_element(own, "licenses"), F.lit(r"(?s)<name>(.*?)</name>"), F.lit(1)), trim), lambda v: (v != "") & ~v.contains("${")
+    """Every dependency element at any depth but in another, with its direct children; the
+    project itself only if it declares a license or an organization (names that it
+    inherits or computes don't count). Names are artifact ids."""
+    each = xml_events(files)
+    name = F.regexp_extract("folded", r"([^/\[]*)\[[0-9]+\]$", 1)
+    inside = F.col("folded").rlike(r"^(?:.*/)?dependency\[[0-9]+\]/[^/]*$") & ~F.col("folded").rlike(r"(?:^|/)dependency\[[0-9]+\]/.*/")
+    field = lambda k: _first(F.col("text"), "node", name == k).alias(k)
+    fields = ("groupid", "artifactid", "version", "scope", "optional")
+    rows = each.where(inside).groupBy("relative_path", F.col("parent").alias("place")).agg(*[field(k) for k in fields])
+    group, artifact, version, scope = (F.col(k) for k in fields[:4])
+    scope = lower(scope)
+    kind = (
+        F.when(lower(F.col("optional")) == "true", "optional")
+        .when(scope.isin("", "compile", "runtime"), "runtime")
+        .when(scope == "test", "development")
+        .otherwise(scope)
     )
-    organization = F.filter(F.array(_element(_element(own, "organization"), "name")), lambda v: (v != "") & ~v.contains("${"))
-    group, artifact, version = inherit("groupId"), _element(bare, "artifactId"), inherit("version")
-    whole = rows.where((artifact != "") & ((F.size(licenses) > 0) | (F.size(organization) > 0)))
+    out = _rows(rows.where(scope != "import"), "Maven", place=F.col("place"), name=artifact, version=version, scope=kind, purl=maven_url(group, artifact, version))
+    at = lambda path, column="folded": F.col(column).rlike(rf"^[^/]+/{path}$")
+    of = lambda path, column="folded": _first(F.col("text"), "node", at(path, column))
+    license_name = at(r"licenses\[1\]/license\[[0-9]+\]/name\[1\]", "path")
+    top = each.where(F.col("folded").rlike(r"^[^/]+/(?:groupid|artifactid|version|parent\[1\]/[a-z]+|organization|licenses)\b")).groupBy("relative_path").agg(
+        of(r"groupid\[1\]").alias("g"), of(r"artifactid\[1\]").alias("a"), of(r"version\[1\]").alias("v"),
+        of(r"parent\[1\]/groupid\[1\]").alias("pg"), of(r"parent\[1\]/version\[1\]").alias("pv"),
+        of(r"organization\[1\]/name\[1\]", "path").alias("who"),
+        F.sort_array(F.collect_list(F.when(license_name, F.struct("node", trim(present("text")).alias("text"))))).getField("text").alias("licenses"),
+    )
+    literal = lambda v: (v != "") & ~v.contains("${")
+    licenses, who = F.filter("licenses", literal), F.filter(F.array("who"), literal)
+    group, version = F.coalesce(F.nullif("g", F.lit("")), F.col("pg")), F.coalesce(F.nullif("v", F.lit("")), F.col("pv"))
     project = _rows(
-        whole, "Maven", place=F.lit(-1), name=F.when(group != "", F.concat(group, F.lit(":"), artifact)).otherwise(artifact), version=version,
-        scope="project", component_type="application", licenses=licenses, publishers=organization, purl=maven_url(group, artifact, version),
+        top.where((F.col("a") != "") & ((F.size(licenses) > 0) | (F.size(who) > 0))), "Maven", place=F.lit(-1), name=F.col("a"), version=version,
+        scope="project", component_type="application", licenses=licenses, publishers=who, purl=maven_url(group, F.col("a"), version),
     )
     return project.unionByName(out)
 
 
 def _msbuild(files: DataFrame, tag: str) -> DataFrame:
-    rows = files.where(~_unsafe(F.col("content"))).withColumn("xml", F.regexp_replace("content", XML_COMMENT, ""))
-    found = F.regexp_extract_all("xml", F.lit(rf"(?is)(<{tag}\b(?:[^>]*/>|[^>]*>.*?</{tag}\s*>))"), F.lit(1))
-    each = rows.select("relative_path", F.posexplode(found).alias("place", "e"))
-    start = _match(F.col("e"), "(?s)^(<[^>]*>)")
-    attribute = lambda k: _match(start, rf"""(?is)\s{k}\s*=\s*["']([^"']*)["']""")
-    name = F.coalesce(F.nullif(attribute("Include"), F.lit("")), attribute("Update"))
-    version = F.coalesce(F.nullif(attribute("Version"), F.lit("")), _element(F.col("e"), "Version"))
-    return _rows(each, "NuGet", place=F.col("place"), name=name, version=version, scope="runtime")
+    """Elements of a name in any case; the version is an attribute or else a child."""
+    each = xml_events(files)
+    own = F.col("folded").rlike(rf"(?:^|/){tag}\[[0-9]+\]$")
+    child = F.col("folded").rlike(rf"(?:^|/){tag}\[[0-9]+\]/version\[1\]$")
+    rows = each.where(own | child).groupBy("relative_path", F.when(own, F.col("node")).otherwise(F.col("parent")).alias("place"))
+    attribute = lambda k: F.coalesce(F.max(F.when(own, F.try_element_at("attributes", F.lit(k)))), F.lit("")).alias(k)
+    rows = rows.agg(*[attribute(k) for k in ("Include", "Update", "Version")], _first(F.col("text"), "node", child).alias("below"))
+    or_else = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), F.col(b))
+    return _rows(rows, "NuGet", place=F.col("place"), name=or_else("Include", "Update"), version=or_else("Version", "below"), scope="runtime")
 
 
 def msbuild(files: DataFrame) -> DataFrame:
-    return _msbuild(files, "PackageReference")
+    return _msbuild(files, "packagereference")
 
 
 def central_packages(files: DataFrame) -> DataFrame:
-    return _msbuild(files, "PackageVersion")
+    return _msbuild(files, "packageversion")
 
 
 def lazarus(files: DataFrame) -> DataFrame:
-    rows = files.where(~_unsafe(F.col("content"))).withColumn("xml", F.regexp_replace("content", XML_COMMENT, ""))
-    inside = F.array_join(F.regexp_extract_all("xml", F.lit(r"(?is)<RequiredPackages\b[^>]*>(.*?)</RequiredPackages\s*>"), F.lit(1)), " ")
-    each = rows.select("relative_path", F.posexplode(F.regexp_extract_all(inside, F.lit(r"(?s)<Item\w*[^>]*>(.*?)</Item\w*\s*>"), F.lit(1))).alias("place", "e"))
-    value = _match(F.col("e"), r"""(?s)<PackageName\s[^>]*?Value\s*=\s*["']([^"']*)["']""")
-    name = F.coalesce(F.nullif(value, F.lit("")), F.nullif(_element(F.col("e"), "PackageName"), F.lit("")), _element(F.col("e"), "Name"))
-    return _rows(each, "FreePascal", place=F.col("place"), name=name, scope="build")
+    """Item elements anywhere in RequiredPackages: the Value, or else the text, of their
+    PackageName, or of their Name if they have none."""
+    inside = F.col("folded").rlike(r"(?:^|/)requiredpackages\[[0-9]+\]/(?:.*/)?item[^/]*/(?:packagename|name)\[1\]$") & F.col("path").rlike(r"(?:^|/)Item[^/]*/[^/]*$")
+    rank = F.when(F.col("folded").endswith("/packagename[1]"), 0).otherwise(1)
+    value = F.coalesce(F.nullif(F.try_element_at("attributes", F.lit("Value")), F.lit("")), trim(present("text")))
+    rows = xml_events(files).where(inside).groupBy("relative_path", F.col("parent").alias("place")).agg(F.min_by(value, rank).alias("name"))
+    return _rows(rows, "FreePascal", place=F.col("place"), name=F.col("name"), scope="build")
 
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -528,10 +561,16 @@ def outcomes(files: DataFrame, rows: DataFrame) -> DataFrame:
     unsafe XML file fails alone, with no rows; so does a strict format without its row."""
     counts = rows.groupBy("relative_path").agg(F.count(F.lit(1)).cast("int").alias("component_count"))
     content = F.col("content")
-    broken = (F.col("parser").isin(JSON_PARSERS) & (F.try_parse_json(content).isNull() | ~trim(content).startswith("{"))) | (
-        F.col("parser").isin(XML_PARSERS) & (_unsafe(content) | ~trim(content).startswith("<"))
+    is_json, is_xml = F.col("parser").isin(JSON_PARSERS), F.col("parser").isin(XML_PARSERS)
+    judged = reduce(
+        DataFrame.unionByName,
+        [
+            files.where(is_json).select("relative_path", "parser", ((json_error(content) != "") | ~trim(content).startswith("{")).alias("broken")),
+            files.where(is_xml).select("relative_path", "parser", (xml_error(content) != "").alias("broken")),
+            files.where(~is_json & ~is_xml).select("relative_path", "parser", F.lit(False).alias("broken")),
+        ],
     )
-    out = files.select("relative_path", "parser", broken.alias("broken")).join(counts, "relative_path", "left").fillna(0, ["component_count"])
+    out = judged.join(counts, "relative_path", "left").fillna(0, ["component_count"])
     failed = F.col("broken") | (F.col("parser").isin(STRICT_PARSERS) & (F.col("component_count") == 0))
     part = F.col("parser").startswith("conservative-") | (F.col("parser") == "pipfile-lock-json")
     none = F.when(~failed & (F.col("component_count") == 0), "No dependency components were identified.")

@@ -87,8 +87,8 @@ FORMATS: dict[str, Format] = {
     ),
     "parsed_maven_pom": Format(
         "maven-pom-xml", "<project><!-- <dependency><artifactId>no</artifactId></dependency> --><dependencies>",
-        ("<dependency><groupId>org.g</groupId><artifactId>a$K</artifactId><version>1.$S</version></dependency>", [("org.g:a$K", "1.$S", "runtime", "pkg:maven/org.g/a$K@1.$S")]),
-        ("<dependency><groupId>org.g</groupId><artifactId>a$K</artifactId><version>${v}</version><scope>test</scope></dependency>", [("org.g:a$K", "${v}", "test", "")]),
+        ("<dependency><groupId>org.g</groupId><artifactId>a$K</artifactId><version>1.$S</version></dependency>", [("a$K", "1.$S", "runtime", "pkg:maven/org.g/a$K@1.$S")]),
+        ("<dependency><groupId>org.g</groupId><artifactId>a$K</artifactId><version>${v}</version><scope>test</scope></dependency>", [("a$K", "${v}", "development", "")]),
         "</dependencies></project>",
     ),
     "parsed_msbuild": Format(
@@ -180,7 +180,7 @@ FORMATS: dict[str, Format] = {
     ),
 }
 
-MARKS = re.compile(r"(\$[KSH])")
+MARKS = re.compile(r"(\$[KSHN])")
 
 
 def _column(template: str) -> Column:
@@ -244,8 +244,8 @@ def declared_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses and publishers that packages declare."""
-    found = parse.components(files(spark, sf_dir, "parsed_composer_lock"), ["composer-lock-json"]).where("name <> 't/t'")
-    return found.select("name", F.array_join("declared_licenses", ";").alias("licenses"), F.array_join("declared_publishers", ";").alias("publishers"))
+    found = parse.components(files(spark, sf_dir, "parsed_composer_lock"), ["composer-lock-json"])
+    return found.select("relative_path", "name", F.array_join("declared_licenses", ";").alias("licenses"), F.array_join("declared_publishers", ";").alias("publishers"))
 
 
 def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +266,7 @@ QUERIES = {n: query(n) for n in FORMATS} | {f.__name__: f for f in (declared_has
 ORACLES = {n: oracle(n) for n in FORMATS} | {
     "declared_hashes": """SELECT 'conservative-cargo-lock' AS source_parser, 'part-' || p_partkey AS name, 'SHA-256' AS algorithm, sha256(p_name) AS digest, 'part-' || p_partkey || '@1.' || p_size || '.0' AS subject FROM part
 UNION ALL SELECT 'conservative-poetry-lock', 'p' || p_partkey, 'SHA-256', sha256(p_name), 'p.whl' FROM part""",
-    "declarations": "SELECT 'v/p' || p_partkey AS name, 'MIT;L-' || p_size AS licenses, 'Ann ' || p_partkey AS publishers FROM part",
+    "declarations": f"SELECT DISTINCT 't/t' AS name, '' AS licenses, '' AS publishers, {SQL_FOLDER} AS relative_path FROM part UNION ALL SELECT 'v/p' || p_partkey AS name, 'MIT;L-' || p_size AS licenses, 'Ann ' || p_partkey AS publishers, {SQL_FOLDER} FROM part",
     "parse_outcomes": f"""WITH f AS (SELECT {SQL_FOLDER} AS relative_path, p_partkey // {KEYS_PER_FILE} AS number, count(*) AS n FROM part GROUP BY 1, 2)
 SELECT 'parsed_installed_package' AS format, {SQL_ONE} AS relative_path, CASE WHEN p_size % 2 = 0 THEN 'parsed' ELSE 'failed' END AS status,
   CASE WHEN p_size % 2 = 0 THEN '' ELSE '{BAD}' END AS message, CAST(1 - p_size % 2 AS INTEGER) AS component_count FROM part

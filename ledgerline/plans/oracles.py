@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.text import LOWER, UPPER
 from ..operators.classify import LIMITS, RULES
 from ..sources.adapters import FILES, LICENSES
-from . import formats, surface
+from . import formats, strictness, surface
 from .queries import ECOSYSTEMS, LIBRARIES, NAMES, PURL_VERSIONS, PURLS, VERSIONS
 
 
@@ -258,5 +258,6 @@ SELECT n.id AS comparison_id, (SELECT d.id FROM done d WHERE d.id <> n.id ORDER
     "strong_identities": """WITH o AS (SELECT p_partkey AS id, ['pkg:npm/%40a/b@1?z=1&a=%41#x/y', 'PKG:Npm//a@1', 'pkg:npm/a?b', 'pkg:npm/%7ea@1', 'pkg:npm/a@1', 'bad', '', 'pkg:deb/debian/c?arch=i386'] AS l FROM part)
 SELECT id, l[id % 8 + 1] AS package_url, ['purl:pkg:npm/%40a/b?a=A&z=1#x/y', 'purl:pkg:npm/a', '', 'purl:pkg:npm/~a', 'purl:pkg:npm/a', '', '', 'purl:pkg:deb/debian/c?arch=i386'][id % 8 + 1] AS strong FROM o""",
     **formats.ORACLES,
+    **strictness.ORACLES,
     **surface.oracles(NORM, TASKS, PATHS),
 }

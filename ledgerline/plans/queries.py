@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import display, hashes, identity, patterns, purl, text, versions
 from ..operators import advisories, classify, compare, graph, normalize, views
 from ..sources import adapters
-from . import formats, surface
+from . import formats, strictness, surface
 
 #: Texts that the scalar queries run over, picked by row number.
 VERSIONS = (
@@ -286,4 +286,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         component_facets, advisory_matches, scan_summary, dependency_edges, dependency_sets, task_list, previous_tasks,
         initial_selection, strong_identities,
     )
-} | formats.QUERIES | surface.QUERIES
+} | formats.QUERIES | strictness.QUERIES | surface.QUERIES

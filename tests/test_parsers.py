@@ -45,7 +45,7 @@ CASES = {
         "<!-- <dependency><artifactId>no</artifactId></dependency> --><dependencies><dependency><groupId>o.g</groupId><artifactId>a</artifactId><version>2.0</version></dependency>"
         "<dependency><groupId>g</groupId><artifactId>t</artifactId><version>${v}</version><scope>test</scope></dependency>"
         "<dependency><groupId>g</groupId><artifactId>bom</artifactId><scope>import</scope></dependency></dependencies></project>",
-        [("g:app", "1.0", "project", "pkg:maven/g/app@1.0"), ("o.g:a", "2.0", "runtime", "pkg:maven/o.g/a@2.0"), ("g:t", "${v}", "test", "")],
+        [("app", "1.0", "project", "pkg:maven/g/app@1.0"), ("a", "2.0", "runtime", "pkg:maven/o.g/a@2.0"), ("t", "${v}", "development", "")],
     ),
     "msbuild-package-reference": (
         '<Project><ItemGroup><PackageReference Include="A" Version="1.0.0" /><PackageReference Update="B"><Version>[2.0]</Version></PackageReference></ItemGroup></Project>',
