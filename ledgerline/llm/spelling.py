@@ -15,10 +15,11 @@ every word that looks it up goes to, so a task's index is bounded.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ MIN_LENGTH, MIN_COUNT = 7, 2
 DOMINANCE = 10
 #: Words that the index of one task's posting list holds.
 LIST_LIMIT = 4096
+#: Words of a posting list that are compared as they are.
+FEW = 16
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,86 +59,111 @@ def grams(word: str, q: int = Q) -> list[str]:
 
 
 def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one code point is replaced (equal lengths) or inserted in b."""
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[at:] == b[at + 1 :]
+    """Whether exactly one code point of a is replaced (equal lengths), or one inserted in
+    a, which gives b."""
+    more, half = len(b) - len(a), len(a) >> 1
+    if a[:half] == b[:half]:  # the edit lies behind
+        k = half
+    elif a[half:] == b[half + more :]:
+        k = 0
+    else:
+        return False
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    return a[k:] == b[k + 1 :] if more else k < len(a) and a[k + 1 :] == b[k + 1 :]
 
 
 class PostingIndex:
-    """The words of one posting list, all of one length, by their positional grams."""
+    """The words of one posting list, all of one length, by their positional grams. A list
+    of at most FEW words is merged as it is: all of it are candidates."""
 
-    def __init__(self, words: list[tuple[str, int]], q: int = Q):
-        self.words, self.q = words, q
+    def __init__(self, length: int, q: int = Q):
+        self.q, self.bound = q, length - q + 1 - q
+        self.words: list[tuple[str, int]] = []
         self.lists: dict[tuple[str, int], list[int]] = defaultdict(list)
-        for number, (word, _) in enumerate(words):
-            for at, gram in enumerate(grams(word, q)):
-                self.lists[gram, at].append(number)
 
-    def near(self, word: str) -> Iterator[int]:
-        """Numbers of the words one edit from a word of their length or one less."""
-        if not self.words:
+    def add(self, word: str, n: int) -> None:
+        self.words.append((word, n))
+        if len(self.words) > FEW:
+            first = len(self.words) - 1 if self.lists else 0
+            for number in range(first, len(self.words)):
+                for key in zip(grams(self.words[number][0], self.q), count(), strict=False):
+                    self.lists[key].append(number)
+
+    def near(self, word: str, shifts: tuple[int, ...]) -> Iterator[tuple[str, int]]:
+        """The words one edit from a word of their length (shifts: how much further than
+        in it its grams may lie; 0) or one less (0 and 1)."""
+        if not self.lists:
+            yield from (x for x in self.words if one_edit(word, x[0]))
             return
-        length = len(self.words[0][0])
-        own, shifts = grams(word, self.q), (0,) if len(word) == length else (0, 1)
-        bound = length - self.q + 1 - self.q
-        lists = [x for at, gram in enumerate(own) for s in shifts if (x := self.lists.get((gram, at + s)))]
-        if len(lists) < bound:
+        q, words, lists = self.q, self.words, []
+        for at in range(len(word) - q + 1):
+            gram = word[at : at + q]
+            for s in shifts:
+                if x := self.lists.get((gram, at + s)):
+                    lists.append((len(x), at + s, gram, x))
+        spare = len(lists) - self.bound
+        if spare < 0:
             return
-        lists.sort(key=len)
-        short, long = lists[: len(lists) - bound + 1], lists[len(lists) - bound + 1 :]
-
-        def judged(number: int, shared: int) -> bool:
-            for k, x in enumerate(long):
-                if shared + len(long) - k < bound:
-                    return False
-                at = bisect_left(x, number)
-                shared += at < len(x) and x[at] == number
-            return shared >= bound and one_edit(word, self.words[number][0])
-
-        last, shared = -1, 0
-        for number in heapq.merge(*short):
-            if number == last:
-                shared += 1
-                continue
-            if last >= 0 and judged(last, shared):
-                yield last
-            last, shared = number, 1
-        if last >= 0 and judged(last, shared):
-            yield last
+        lists.sort()  # by length; no two agree in position and gram
+        long = [(at, at + q, gram) for _, at, gram, _ in lists[spare + 1 :]]
+        merged = heapq.merge(*[x for *_, x in lists[: spare + 1]]) if spare else iter(lists[0][3])
+        number = next(merged)
+        while number is not None:
+            shared, following = 1, next(merged, None)
+            while following == number:
+                shared, following = shared + 1, next(merged, None)
+            found, missing = words[number], len(long) + shared - self.bound
+            for a, z, gram in long:  # a word is in a list if it has the gram there
+                if found[0][a:z] != gram:
+                    missing -= 1
+                    if missing < 0:
+                        break
+            if missing >= 0 and one_edit(word, found[0]):
+                yield found
+            number = following
 
 
 PAIRS = "a string, n_a long, b string, n_b long"
 
 
 def _meet(rows: DataFrame, q: int) -> DataFrame:
-    """Pairs one edit apart of rows (gram, pos, length, piece, asks, word, n), where those
-    that ask meet those that don't. Rows stream through sorted partitions; the words of
-    one piece of one posting list are held."""
+    """Pairs one edit apart of rows (gram, pos, length, piece, asks, word, n): of listed
+    words with each other, and of those that ask with the listed. Rows stream through
+    sorted partitions; the words of one piece of one posting list are held."""
     arrow = arrow_schema(rows.sparkSession, PAIRS)
     keys = ["gram", "pos", "length", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, words, index, out = None, [], None, ([], [], [], [])
+        key, index = None, PostingIndex(0, q)
         for batch in batches:
-            for *own, asks, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[], [], [], []]
+            grams, words, counts = (batch.column(k).to_pylist() for k in (0, 5, 6))
+            parts = [batch.column(0).dictionary_encode().indices.to_numpy(), *(batch.column(k).to_numpy() for k in (1, 2, 3)), batch.column(4).to_numpy(zero_copy_only=False)]
+            changes = np.zeros(batch.num_rows, bool)
+            changes[:1] = True
+            for x in parts:
+                changes[1:] |= x[1:] != x[:-1]
+            starts = np.flatnonzero(changes)
+            places, asking = [x[starts].tolist() for x in parts[1:4]], parts[4][starts].tolist()
+            for a, z, pos, length, piece, asks in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], *places, asking, strict=True):
+                own = (grams[a], pos, length, piece)
                 if own != key:
-                    key, words, index = own, [], None
-                if not asks:
-                    words.append((word, n))
+                    key, index = own, PostingIndex(length, q)
+                if asks and not index.words:
                     continue
-                index = index or PostingIndex(words, q)
-                for number in index.near(word):
-                    b, n_b = words[number]
-                    if len(b) > len(word) or b > word:
-                        for column, value in zip(out, (word, n, b, n_b), strict=True):
+                for k in range(a, z):
+                    x, n_x = words[k], counts[k]
+                    for y, n_y in index.near(x, (0, 1) if len(x) < length else (0,)):
+                        pair = (x, n_x, y, n_y) if (len(x), x) < (len(y), y) else (y, n_y, x, n_x)
+                        for column, value in zip(out, pair, strict=True):
                             column.append(value)
+                    if not asks:
+                        index.add(x, n_x)
             if out[0]:
                 yield to_batch(dict(zip(arrow.names, out, strict=True)), arrow)
-                out = ([], [], [], [])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "asks", "word").select(*keys, "asks", "word", "n").mapInArrow(run, PAIRS)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "asks").select(*keys, "asks", "word", "n").mapInArrow(run, PAIRS)
 
 
 def near_words(vocabulary: DataFrame, q: int = Q, limit: int = LIST_LIMIT) -> DataFrame:
@@ -151,27 +179,29 @@ def near_words(vocabulary: DataFrame, q: int = Q, limit: int = LIST_LIMIT) -> Da
         posted.join(common, "gram")
         .groupBy("word", "n", "length")
         .agg(F.slice(F.sort_array(F.collect_list(F.struct("spread", "gram", "pos"))), 1, q + 1).alias("keys"))
-        .select("word", "n", "length", F.explode("keys").alias("k"))
-        .select("word", "n", "length", "k.gram", "k.pos")
+        .select("word", "n", "length", F.posexplode("keys").alias("rank", "k"))
+        .select("word", "n", "length", "rank", "k.gram", "k.pos")
     )
     rarest = saved(rarest, "postings")
-    # replaced: same length and position; inserted: one longer, at the position or the next
-    moves = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("l")) for p, n in ((0, 0), (0, 1), (1, 1))])
-    asking = rarest.withColumn("m", F.explode(moves)).select(
+    # a longer word has its gram at the same position or the next, and misses no more than
+    # q - 1 of the shorter one's, so that asks for its q rarest only
+    moves = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("l")) for p, n in ((0, 1), (1, 1))])
+    asking = rarest.where(F.col("rank") < q).withColumn("m", F.explode(moves)).select(
         "gram", (F.col("pos") + F.col("m.p")).alias("pos"), (F.col("length") + F.col("m.l")).alias("length"), "word", "n", F.lit(True).alias("asks")
     )
-    listed = rarest.select("gram", "pos", "length", "word", "n", F.lit(False).alias("asks"))
+    rarest = rarest.drop("rank")
+    listed = rarest.withColumn("asks", F.lit(False))
     keys = ["gram", "pos", "length"]
     crowded = saved(rarest.groupBy(keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit), "crowded")
-
-    def pieces(rows: DataFrame, piece: Column) -> DataFrame:
-        return rows.join(crowded, keys, "left").withColumn("piece", piece).drop("size")
-
     if crowded.isEmpty():
         rows = listed.unionByName(asking).withColumn("piece", F.lit(0))
-    else:
+    else:  # words of one list in different pieces ask for each other
+        across = rarest.join(crowded.select(keys), keys).withColumn("asks", F.lit(True))
         n_pieces = F.coalesce(F.ceil(F.col("size") / limit).cast("int"), F.lit(1))
-        rows = pieces(listed, F.pmod(F.xxhash64("word"), n_pieces).cast("int")).unionByName(pieces(asking, F.explode(F.sequence(F.lit(0), n_pieces - 1))))
+        own, every = F.pmod(F.xxhash64("word"), n_pieces).cast("int"), F.explode(F.sequence(F.lit(0), n_pieces - 1))
+        rows = listed.join(crowded, keys, "left").withColumn("piece", own).unionByName(
+            asking.unionByName(across).join(crowded, keys, "left").withColumn("piece", every)
+        )
     return _meet(rows.select(*keys, "piece", "asks", "word", "n"), q).distinct()
 
 

@@ -102,10 +102,30 @@ def test_empty_table(spark):
     assert found(spelling.spelling_variants(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
-def test_index_merges_under_the_bound():
+def test_index_merges_under_the_bound(monkeypatch):
     words = sorted(["wording", "wordinx", "wxrding", "wordnig"])
-    index = spelling.PostingIndex([(w, 1) for w in words])
-    assert [words[i] for i in index.near("wording")] == ["wordinx", "wxrding"]
-    assert [words[i] for i in index.near("wordig")] == ["wording", "wordnig"]
+    for few in (0, 8):
+        monkeypatch.setattr(spelling, "FEW", few)
+        index = spelling.PostingIndex(7)
+        for w in words:
+            index.add(w, 1)
+        assert [w for w, _ in index.near("wording", (0,))] == ["wordinx", "wxrding"]
+        assert [w for w, _ in index.near("wordig", (0, 1))] == ["wording", "wordnig"]
     with pytest.raises(ValueError):
         spelling.variant_forms(None, dominance=1)
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_against_all_pairs_by_merging(spark, monkeypatch, few):
+    # one vocabulary in one task here, so that the lists are merged in this process too
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("ab") for _ in range(r.choice([7, 8, 9]))) for _ in range(300)})
+    monkeypatch.setattr(spelling, "FEW", few)
+    for length in (7, 8, 9):
+        index, held = spelling.PostingIndex(length), [w for w in words if len(w) == length]
+        for w in held:
+            index.add(w, 1)
+        for w in words:
+            if len(w) in (length - 1, length):
+                got = {x for x, _ in index.near(w, (0,) if len(w) == length else (0, 1))}
+                assert got == {x for x in held if x != w and near(w, x)}
