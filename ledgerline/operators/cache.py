@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 KEY = ["relative_path", "identity", "content_sha256"]
 
 
@@ -25,26 +26,24 @@ def split(files: DataFrame, snapshot: DataFrame, context: str, refresh: bool = F
     return files.join(entries, KEY), files.join(entries, KEY, "left_anti")
 
 
-def commit(spark: SparkSession, entries: DataFrame, folder: str, context: str) -> str:
-    """Writes a new version of the snapshot and only then names it current. Entries with
-    a missing key poison the version: nothing is committed."""
+def commit(spark: SparkSession, entries: DataFrame, folder: str, context: str) -> int:
+    """Commits the entries of a scan as a new version of the snapshot. Entries with a
+    missing key, or a key twice, poison it: nothing is committed (ValueError). Entries of
+    other contexts stay; of this context only those of this scan do. Another scan's commit
+    meanwhile is built upon, never lost."""
     bad = entries.where(" or ".join(f"{k} is null or {k} = ''" for k in KEY)).limit(1).count()
     if bad:
         raise ValueError("an entry has no key")
-    version = uuid.uuid4().hex
-    entries.withColumn("context", F.lit(context)).write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
-    return version
+    if not entries.groupBy(*KEY).count().where("count > 1").isEmpty():
+        raise ValueError("a key occurs twice")
+    own = entries.select(*KEY, "evidence").withColumn("context", F.lit(context))
 
+    def joined(rows: DataFrame | None) -> DataFrame:
+        return own if rows is None else rows.where(F.col("context") != context).select(own.columns).unionByName(own)
 
-def load(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The current snapshot, or None."""
-    try:
-        version = spark.read.schema("version string").json(f"{folder}/current").first()
-    except Exception as e:  # a missing folder
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return spark.read.parquet(f"{folder}/{version['version']}") if version else None
+    return store.update(spark, folder, joined)
 
 
+def load(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest sound snapshot, or None."""
+    return store.load(spark, folder)[0]

@@ -255,12 +255,21 @@ def history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "target_root_name", "scans", "files", "warnings")
 
 
+def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a log of tasks, one per user, that change, stay or go."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    given = {"id": F.concat(F.lit("u-"), "user_id"), "status": F.col("event_type"), "files_inspected": F.floor("value")}
+    names = [f.split(" ") for f in history.TASK.split(", ")]
+    log = events.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names], F.col("event_id").alias("seq"), (F.col("event_id") % 11 == 0).alias("removed"))
+    return history.change_events(log)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         license_expressions, hash_validity, canonical_digests, coordinates, binary_urls, root_references, path_checks, task_names, status_texts, field_checks,
         document_components, document_sections, document_artifacts, readiness_fields, readiness_summary, readiness_blockers, readiness_advisories,
-        cache_lookups, history_rows, history_days,
+        cache_lookups, history_rows, history_days, history_events,
     )
 }
 
@@ -353,5 +362,9 @@ SELECT 'head' AS section, 1 AS n, 0 AS held UNION ALL SELECT 'artifact', count(*
         "cache_lookups": """SELECT source || '/' || doc_id AS relative_path, false AS refresh, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN CAST(length(text) AS VARCHAR) END AS evidence FROM documents
 UNION ALL SELECT source || '/' || doc_id, true, NULL FROM documents""",
         "history_rows": f"""WITH {tasks} SELECT id, CASE WHEN status IN ('pending', 'running') THEN 'failed' ELSE status END AS status, errors + CAST(status IN ('pending', 'running') AS BIGINT) AS errors, warnings, matches FROM tasks""",
+        "history_events": """WITH l AS (SELECT 'u-' || user_id AS id, event_id AS seq, event_id % 11 = 0 AS removed, event_type || ' ' || floor(value) AS state FROM events),
+p AS (SELECT *, coalesce(lag(removed) OVER w, true) AS gone, lag(state) OVER w AS before FROM l WINDOW w AS (PARTITION BY id ORDER BY seq)),
+k AS (SELECT id, seq, CASE WHEN removed THEN CASE WHEN NOT gone THEN 'removed' END WHEN gone THEN 'added' WHEN before <> state THEN 'updated' END AS kind FROM p)
+SELECT id, seq, kind, row_number() OVER (PARTITION BY id ORDER BY seq) AS revision FROM k WHERE kind IS NOT NULL""",
         "history_days": f"""WITH {tasks} SELECT strftime(lo, '%Y-%m-%d') AS day, target_root_name, count(*) AS scans, CAST(sum(files_inspected) AS BIGINT) AS files, CAST(sum(warnings) AS BIGINT) AS warnings FROM tasks GROUP BY 1, 2""",
     }
