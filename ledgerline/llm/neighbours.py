@@ -9,6 +9,9 @@ partition, and sends a query to its several most probable ones, where all rows a
 by the exact measure. How many partitions a query needs is read off the sample, whose
 neighbours are known: as many as find the wanted share of them.
 
+A query first asks its most probable partition. The k-th score found there goes with it to
+the others, which answer only with rows that reach it, so few rows are merged.
+
 Rows are shuffled by (partition, piece); pieces hold a bounded number of rows, so a
 partition with very many equal vectors is many groups, each of which answers with its best.
 """
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, saved, to_batch
@@ -158,8 +161,11 @@ def _dots(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's position, id, score) of each query's k best rows, other than its own id."""
+def best_of(
+    query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's position, id, score) of each query's k best rows, other than its own id, of
+    those that reach its floor."""
     found: list[tuple[np.ndarray, ...]] = []
     lengths = np.sqrt((rows * rows).sum(axis=1)).max()
     for at in range(0, len(queries), 256):
@@ -169,6 +175,7 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: n
         # products summed in another order differ by rounding: keep what that could bring in
         margin = 1e-12 * len(q[0]) * lengths * np.sqrt((q * q).sum(axis=1))
         last = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
+        last = np.maximum(last, floors[at : at + 256])
         i, j = np.nonzero((s >= (last - margin)[:, None]) & (s > -np.inf))
         score = _dots(q[i], rows[j])
         order = np.lexsort((ids[j], -score, i))
@@ -193,7 +200,7 @@ RESULT = "query_id long, vec_id long, score double"
 
 def _search(rows: DataFrame, k: int) -> DataFrame:
     """Best rows for the queries of each (partition, piece); rows (partition, piece, asks,
-    vec_id, v) stream through sorted partitions, one piece's vectors are held."""
+    vec_id, v, floor) stream through sorted partitions, one piece's vectors are held."""
     arrow = arrow_schema(rows.sparkSession, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +221,8 @@ def _search(rows: DataFrame, k: int) -> DataFrame:
                 elif ids:
                     if len(ids) > 1:
                         ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-                    i, found, score = best_of(vec_id[a:b], x, ids[0], held[0], k)
+                    floors = batch.column(5).slice(a, b - a).to_numpy(zero_copy_only=False)
+                    i, found, score = best_of(vec_id[a:b], x, floors, ids[0], held[0], k)
                     yield to_batch({"query_id": pa.array(vec_id[a:b][i]), "vec_id": pa.array(found), "score": pa.array(score)}, arrow)
 
     return rows.repartition("partition", "piece").sortWithinPartitions("partition", "piece", "asks").mapInArrow(run, RESULT)
@@ -274,10 +282,28 @@ def nearest_neighbours(
         held[r["partition"]] = r["n"]
     pieces = F.element_at(F.array(*[F.lit(-(-int(n) // settings.piece)) for n in held]), F.col("partition") + 1)
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(lambda b: routed(b, router.probes, held), filed).select(F.explode("partitions").alias("partition"), "vec_id", "v")
-    rows = index.select("partition", F.pmod(F.xxhash64("vec_id", "v"), pieces).cast("int").alias("piece"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(
-        asked.select("partition", F.explode(F.slice(F.sequence(F.lit(0), pieces), 1, pieces)).alias("piece"), F.lit(True).alias("asks"), "vec_id", "v")
+    asked = saved(
+        asked.mapInArrow(lambda b: routed(b, router.probes, held), filed)
+        .select("vec_id", "v", F.posexplode("partitions").alias("turn", "partition"))
+        .withColumn("piece", F.explode(F.slice(F.sequence(F.lit(0), pieces), 1, pieces))),
+        "asked",
+    )
+    listed = index.select(
+        "partition", F.pmod(F.xxhash64("vec_id", "v"), pieces).cast("int").alias("piece"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(None).cast("double").alias("floor")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = _search(rows, settings.k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k)
-    return best.select("query_id", "rank", "vec_id", "score")
+
+    def answers(questions: DataFrame, floor: Column) -> DataFrame:
+        asks = questions.select("partition", "piece", F.lit(True).alias("asks"), "vec_id", "v", floor.alias("floor"))
+        return _search(listed.unionByName(asks), settings.k)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k)
+
+    lowest = float("-inf")
+    found = saved(best(answers(asked.where("turn = 0"), F.lit(lowest))), "first")
+    if parts > 1:
+        floors = found.where(F.col("rank") == settings.k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+        further = asked.where("turn > 0").join(floors, "vec_id", "left")
+        found = best(found.drop("rank").unionByName(answers(further, F.coalesce("kth", F.lit(lowest)))))
+    return found.select("query_id", "rank", "vec_id", "score")
