@@ -10,14 +10,15 @@ missing: the candidate search loses nothing. Candidates are verified by counting
 item's shingles in the document, compared as words.
 
 A pass over the documents carries one block of items, bounded by their text; documents
-are never shuffled.
+are never shuffled. Equal texts are one item until the end, and blocks follow each other,
+each dropped when its pass is written, so the driver and the tasks hold one at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -28,7 +29,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_batches, texts_of
+from .common import keyed, map_batches, saved, texts_of
 
 WORD = re.compile(r"\w+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +57,7 @@ class ItemIndex:
     numbers: dict[str, int]
     #: by width: sorted hashes of sketched shingles, and hash -> items
     widths: dict[int, tuple[np.ndarray, dict[int, list[int]]]]
-    items: list[tuple[int, int, set[tuple[str, ...]]]]
+    items: list[tuple[str, int, set[tuple[str, ...]]]]
     threshold: float
 
     def hashes(self, ids: np.ndarray, width: int) -> np.ndarray:
@@ -97,11 +98,11 @@ class ItemIndex:
         return out
 
 
-def build_index(items: list[tuple[int | None, str | None]], width: int, threshold: float) -> ItemIndex:
+def build_index(items: list[tuple], width: int, threshold: float) -> ItemIndex:
     parts: dict[tuple[int, int], list[int]] = defaultdict(list)
-    kept: list[tuple[int, int, set]] = []
+    kept: list[tuple[str, int, set]] = []
     numbers: dict[str, int] = {}
-    for item_id, text in items:
+    for item, text in items:
         words = words_of(text or "")
         if not words:
             continue
@@ -110,7 +111,7 @@ def build_index(items: list[tuple[int | None, str | None]], width: int, threshol
         own_width = min(width, len(words))
         found = shingles(words, own_width)
         parts[own_width, len(found).bit_length()].append(len(kept))
-        kept.append((item_id, own_width, found))
+        kept.append((item, own_width, found))
     index = ItemIndex(numbers, {}, kept, threshold)
     owners: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for (own_width, _), members in parts.items():
@@ -125,7 +126,7 @@ def build_index(items: list[tuple[int | None, str | None]], width: int, threshol
     return index
 
 
-PAIRS = "doc_id long, item_id long, n_shared long, n_item_shingles long, containment double"
+PAIRS = "doc_id long, item string, n_shared long, n_item_shingles long, containment double"
 
 
 def find_contaminated(
@@ -146,11 +147,9 @@ def find_contaminated(
     kept; empty tables give an empty result; other columns are ignored.
     """
     own = keyed(docs, id_col, text_col)
-    found = [
-        map_batches(own, partial(_pairs, index), PAIRS)
-        for index in _blocks(items, item_id_col, item_text_col, width, threshold)
-    ]
-    return reduce(DataFrame.unionByName, found)
+    tests = _named(items, item_id_col, item_text_col)
+    pairs = _passes(own, tests, width, threshold, lambda docs, index: map_batches(docs, partial(_pairs, index), PAIRS), union=True)
+    return pairs.join(tests.select("item", "item_id"), "item").select("doc_id", "item_id", "n_shared", "n_item_shingles", "containment")
 
 
 def drop_contaminated(
@@ -166,20 +165,33 @@ def drop_contaminated(
     dropped where they are read, each by its own text, so null and repeated ids need no
     join."""
     at = docs.columns.index(text_col)
-    for index in _blocks(items, item_id_col, item_text_col, width, threshold):
-        docs = docs.mapInArrow(partial(_clean, index, at), docs.schema)
-    return docs
+    tests = _named(items, item_id_col, item_text_col)
+    return _passes(docs, tests, width, threshold, lambda docs, index: docs.mapInArrow(partial(_clean, index, at), docs.schema), union=False)
+
+
+def _named(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item (a digest of the text), item_id and text of the items with a text."""
+    tests = keyed(items, id_col, text_col).where("text IS NOT NULL")
+    return tests.select(F.sha2("text", 256).alias("item"), F.col("doc_id").alias("item_id"), "text")
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Iterator[Broadcast]:
-    """Indexes of the items, each of a block of about BLOCK_CHARS of their text."""
-    tests = keyed(items, id_col, text_col)
-    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = int(total // BLOCK_CHARS) + 1
+def _passes(docs: DataFrame, tests: DataFrame, width: int, threshold: float, one: Callable, union: bool) -> DataFrame:
+    """one(docs, index) for each block of the items' texts of about BLOCK_CHARS: all its
+    results together, or one after the other."""
+    spark, texts = docs.sparkSession, tests.select("item", "text").distinct()
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks, results = int(total // BLOCK_CHARS) + 1, []
     for b in range(n_blocks):
-        block = tests.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)) == b).collect()
-        index = build_index([(r["doc_id"], r["text"]) for r in block], width, threshold)
-        yield items.sparkSession.sparkContext.broadcast(index)
+        block = texts.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect()
+        index = spark.sparkContext.broadcast(build_index([(r["item"], r["text"]) for r in block], width, threshold))
+        del block
+        found = one(docs, index)
+        if n_blocks > 1:
+            found = saved(found, "contaminated")
+            index.destroy()
+        results.append(found)
+        docs = docs if union else found
+    return reduce(DataFrame.unionByName, results) if union else docs
 
 
 def _clean(shared: Broadcast, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,15 +16,17 @@ def _divergence(p: str, q: str) -> str:
 
 
 OP3 = r"""WITH item AS (
-  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
-shingled AS (SELECT i, item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM item WHERE len(w) >= 5),
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w, least(5, len(w)) AS width FROM benchmark),
+shingled AS (SELECT i, item_id, width, unnest(list_distinct(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' ')))) AS s FROM item WHERE width > 0),
 sizes AS (SELECT i, count(*) AS n FROM shingled GROUP BY i),
 doc AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
-held AS (SELECT d, doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM doc WHERE len(w) >= 5)
+held AS (SELECT d, doc_id, width, unnest(list_distinct(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' ')))) AS s
+  FROM doc, (SELECT DISTINCT width FROM item WHERE width > 0) WHERE len(w) >= width)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item_shingles, count(*) / any_value(n) AS containment
-FROM held JOIN shingled USING (s) JOIN sizes USING (i) GROUP BY d, doc_id, i, item_id HAVING count(*) >= 0.8 * any_value(n)"""
+FROM held JOIN shingled USING (width, s) JOIN sizes USING (i) GROUP BY d, doc_id, i, item_id HAVING count(*) >= 0.8 * any_value(n)"""
 
-OP5 = rf"""WITH doc AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, {WORDS} AS w FROM documents),
+OP5 = rf"""WITH langs AS (SELECT coalesce(lang, '') AS lang, CASE WHEN count(*) * 1024 < sum(count(*)) OVER () THEN chr(1) || 'rare' ELSE coalesce(lang, '') END AS named FROM documents GROUP BY coalesce(lang, '')),
+doc AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t, named AS lang, {WORDS} AS w FROM documents JOIN langs ON langs.lang = coalesce(documents.lang, '')),
 wins AS (SELECT d, k, array_to_string(w[k:k + 7], chr(1)) AS s FROM (SELECT d, w, unnest(range(1, len(w) - 6)) AS k FROM doc WHERE len(w) >= 8)),
 twice AS (SELECT d, k FROM (SELECT d, k, count(*) OVER (PARTITION BY d, s) AS c FROM wins) WHERE c > 1),
 repeated AS (SELECT d, count(DISTINCT p) AS n FROM (SELECT d, unnest(range(k, k + 8)) AS p FROM twice) GROUP BY d),

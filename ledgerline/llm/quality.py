@@ -6,8 +6,10 @@ over every document of the language. Short documents have noisy histograms, so e
 comparison has a guard on the document's length. Small languages have noisy references:
 to every reference of classes some characters of all languages together are added, which
 say much where the language says little (only how many are letters, not which), and the
-limit of the words' distance is wider the fewer words the language has. The rules are the
-same at every size.
+limit of the words' distance is wider the fewer words the language has. Languages of less
+than one in min_share documents have one reference together, so there are no more than
+min_share + 1 references, whatever stands in the column. The rules are the same at every
+size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Character classes, by byte: 0 lower, 1 upper, 2 digit, 3 space, 4 symbol, 5 other
 #: punctuation and controls, 6 first byte of a non-ASCII character, 7 its other bytes.
 N_CLASSES = 7
+#: The language of all rare ones, and the class that counts documents among partial sums.
+RARE, DOCUMENTS = "\x01rare", -1
 LETTERS = [0, 1, 6]
 
 
@@ -61,6 +65,8 @@ class Rules:
     word_noise: float = 0.9
     #: characters of all languages that are added to each reference
     pooled_chars: int = 30_000
+    #: languages of fewer documents than one in so many are one language
+    min_share: int = 1024
 
 
 def class_counts(raw: bytes) -> np.ndarray:
@@ -132,12 +138,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums of a task: (lang, word or null, class, n)."""
     words: dict[str, Counter] = defaultdict(Counter)
     classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES, np.int64))
+    documents: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
         rows = [(g, w, None, n) for g, c in words.items() for w, n in c.items()]
         rows += [(g, None, k, int(n)) for g, c in classes.items() for k, n in enumerate(c)]
+        rows += [(g, None, DOCUMENTS, n) for g, n in documents.items()]
         words.clear()
         classes.clear()
+        documents.clear()
         g, w, k, n = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(g, pa.string()), pa.array(w, pa.binary()), pa.array(k, pa.int32()), pa.array(n, pa.int64())],
@@ -148,15 +157,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, raw in zip(batch.column(1).to_pylist(), bytes_of(batch.column(0)), strict=True):
             words[lang or ""].update(raw.lower().split())
             classes[lang or ""] += class_counts(raw)
-        if sum(map(len, words.values())) > 200_000:
+            documents[lang or ""] += 1
+        if sum(map(len, words.values())) + len(classes) > 200_000:
             yield flush()
     yield flush()
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """By language: summed class counts, its common words, and their counts with the
-    rest of the words last. Sums over all documents; what comes to the driver has
-    languages x (common_words + classes) rows."""
+    rest of the words last; RARE is the language of all rare ones. Sums over all documents;
+    what comes to the driver has (min_share + 1) x (common_words + classes) rows at most."""
     langs = docs.select(
         F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit("")).alias("lang")
     )
@@ -168,6 +178,13 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, lis
     # one pass over the sums: the most common words by rank, the rest in one total
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
     sums = saved(sums, "word-sums")
+    each = sums.where(F.col("class") == DOCUMENTS).groupBy("lang").agg(F.sum("n").alias("docs"))
+    rare = each.crossJoin(F.broadcast(each.agg(F.sum("docs").alias("all"))))  # one row
+    rare = saved(rare.where(F.col("docs") * rules.min_share < F.col("all")).select("lang", F.lit(RARE).alias("to")), "rare-languages")
+    if not rare.isEmpty():
+        named = sums.join(rare, "lang", "left").select(F.coalesce("to", "lang").alias("lang"), "word", "class", "n")
+        sums = saved(named.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "pooled-sums")
+    sums = sums.where(F.col("class").isNull() | (F.col("class") != DOCUMENTS))
     top = (
         sums.where("word is not null").withColumn("r", rank).where(F.col("r") <= rules.common_words).drop("r")
     )
@@ -201,7 +218,7 @@ def judge(texts: list[bytes], langs: list[str | None], refs: dict, rules: Rules)
         words, chars, symbols, dup_lines, repeat = base_measures(raw)
         n = len(words)
         failed = n < 20 or 100 * repeat > 30 * n
-        class_ref, common, word_ref = refs.get(lang or "", (np.zeros(N_CLASSES), [], np.zeros(1)))
+        class_ref, common, word_ref = refs.get(lang or "") or refs.get(RARE) or (np.zeros(N_CLASSES), [], np.zeros(1))
         class_d = word_d = None
         counts = class_counts(raw)
         if counts.sum() >= rules.min_class_chars:
@@ -230,7 +247,7 @@ def quality(
     """One row per input row: doc_id, the measures, base_failed, kept and the distances.
 
     Null texts are empty (no words, so base_failed). A null language is a language of
-    its own. A distance is null where its guard holds; then it rejects nothing. Null ids
+    its own, as the empty one. A distance is null where its guard holds; then it rejects nothing. Null ids
     and repeated rows are kept as they are; an empty table gives an empty result; other
     columns of the input are ignored.
     """

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 from urllib.parse import quote_from_bytes
 
 import numpy as np
@@ -14,6 +15,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerline.llm import bpe, decontaminate, html_text, quality, queries, repeats, secrets, sharding, simhash
@@ -320,7 +322,7 @@ def test_secret_report_and_redaction(spark, corpus):
 
 def test_containment_matches_brute_force(spark):
     r = random.Random(1)
-    items = [(i, prose(1000 + i, r.choice((2, 4, 6, 12, 30, 60)))) for i in range(25)] + [(90, None), (91, "..."), (92, "w1"), (None, prose(7, 20)), (0, prose(1000, 12))]
+    items = [(i, prose(1000 + i, r.choice((2, 4, 6, 12, 30, 60)))) for i in range(25)] + [(90, None), (91, "..."), (92, "w1"), (None, prose(7, 20)), (0, prose(1000, 12)), (7, prose(7, 20)), (8, prose(7, 20))]
     rows = EDGES + [(10 + i, prose(i, 300)) for i in range(20)]
     for i in range(60):
         words = decontaminate.words_of(items[i % 25][1])
@@ -345,12 +347,15 @@ def test_containment_matches_brute_force(spark):
     assert got == sorted(want, key=str) and len(want) > 30
     left = decontaminate.drop_contaminated(docs(spark, rows), bench)
     bad = {d for d, *_ in want}
+    assert len(items) > len({t for _, t in items})  # a text that is an item twice
     assert left.columns == docs(spark, rows).columns
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
     old, decontaminate.BLOCK_CHARS = decontaminate.BLOCK_CHARS, 1000
     try:  # several blocks of items give the same
         again = decontaminate.find_contaminated(docs(spark, rows), bench)
         assert sorted(((x["doc_id"], x["item_id"], x["n_shared"], x["n_item_shingles"]) for x in again.collect()), key=str) == got
+        left = decontaminate.drop_contaminated(docs(spark, rows), bench)
+        assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in bad)
     finally:
         decontaminate.BLOCK_CHARS = old
 
@@ -417,6 +422,30 @@ def test_links_join_what_brute_force_joins(spark, limit):
 # 5 quality
 
 
+def test_rare_languages_are_one(spark):
+    rows = [(i, prose(i, 60), "aa") for i in range(40)] + [(50, prose(50, 60) * 2, "bb"), (51, "x y z 1 2 3 " * 30, "cc"), (52, prose(52, 70), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = quality.Rules(min_share=20)
+    refs = quality.references(df, rules)
+    assert set(refs) == {"aa", quality.RARE}
+    renamed = df.withColumn("lang", F.when(df.lang == "aa", "aa").otherwise(quality.RARE))
+    same = quality.references(renamed, rules)
+    assert all((a[0] == b[0]).all() and a[1] == b[1] and (a[2] == b[2]).all() for a, b in ((refs[k], same[k]) for k in refs))
+    got = sorted(map(tuple, quality.quality(df, rules=rules).collect()))
+    assert got == sorted(map(tuple, quality.quality(renamed, rules=rules).collect()))
+    assert set(quality.references(df, quality.Rules())) == {"aa", "bb", "cc", ""}
+
+
+def test_quality_of_a_very_long_text(spark):
+    text = "\n".join(f"{prose(i, 50)} #%" for i in range(2000)) + "\n" + prose(3, 50)
+    (row,) = quality.quality(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).collect()
+    words = text.split()
+    seen = Counter(zip(*(words[i:] for i in range(8)), strict=False))
+    hit = {p + k for p in range(len(words) - 7) if seen[tuple(words[p : p + 8])] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\r\v\f")]
+    assert (row["n_words"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == (len(words), 4000, len(lines) - len(set(lines)), len(hit))
+
+
 def brute_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]

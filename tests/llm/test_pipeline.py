@@ -59,6 +59,28 @@ def test_stages_return_the_columns_of_documents_even_when_empty(spark, tmp_path,
     assert out.dtypes == empty.dtypes and out.collect() == []
 
 
+def test_last_stage_on_an_empty_table(spark, tmp_path):
+    write(spark, str(tmp_path), [(1, prose(1, 40))], [(1, "a b c d e f")])
+    out = corpus_pipeline.tokens(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "ids"] and out.collect() == []
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_columns_of_clashing_names(spark, tmp_path, name, stage):
+    rows = [(i, prose(i % 9, 90), "en", "s", 5, i, "x", "y", 1, i, 2.5) for i in range(12)]
+    more = TYPES + ", _fp long, _id string, _print string, fp int, component_id long, root double"
+    docs = spark.createDataFrame(rows, more)
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    got, want = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)), stage(spark, plain, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in want.collect()) != []
+    if name != "tokens":
+        assert got.columns == docs.columns
+        given = {r[0]: r[5:] for r in rows}
+        assert all(tuple(r)[5:] == given[r["doc_id"]] for r in got.collect())
+
+
 def test_runs_that_are_not_read_as_a_whole_are_redacted(spark, tmp_path):
     run = base64.b64encode(gzip.compress(b"a" * 300_000)).decode()
     write(spark, str(tmp_path), [(1, f"head {run} tail"), (2, "plain text")], [(1, "a b c d e f")])
