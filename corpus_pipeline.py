@@ -29,7 +29,9 @@ def _kept(docs: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> Data
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, judged by references over all of docs."""
+    """Documents that the quality rules keep, judged by references over all of docs. Null
+    texts have no words and go; a null lang is the empty one; null ids and repeated rows are
+    judged like any other; an empty table stays empty."""
     rules = quality.Rules()
     refs = quality.references(docs, rules)
     return _kept(
@@ -41,33 +43,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: of its least doc_id (null if it has no
     other), of that id's least fingerprint, and of equal rows the least by its columns."""
-    marked = simhash.with_fingerprint(docs, "_fp")
-    prints = saved(marked.select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
+    fp, own_id, own_fp = _fresh(docs, "fp", "id", "print")  # names that docs doesn't have
+    marked = simhash.with_fingerprint(docs, fp)
+    prints = saved(marked.select(F.col("doc_id"), F.col(fp).alias("fp")), "fingerprints")
     groups = simhash.grouped(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     least = groups.groupBy("root").agg(F.min_by(F.struct("doc_id", "fp"), "fp").alias("k")).select("k.*")
-    kept = saved(least.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print")), "kept")
-    same = marked.doc_id.eqNullSafe(kept["_id"]) & (marked["_fp"] == kept["_print"])
+    kept = saved(least.select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)), "kept")
+    same = marked["doc_id"].eqNullSafe(kept[own_id]) & (marked[fp] == kept[own_fp])
     left = marked.join(kept, same, "left_semi")
     several = saved(
-        prints.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_print")), "repeats"
+        prints.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(own_id), F.col("fp").alias(own_fp)), "repeats"
     )
+    columns = [f"`{c}`" for c in docs.columns]
     if several.isEmpty():
-        return left.select(docs.columns)
-    again = left.doc_id.eqNullSafe(several["_id"]) & (left["_fp"] == several["_print"])
-    once = left.join(several, again, "left_anti").select(docs.columns)
+        return left.select(columns)
+    again = left["doc_id"].eqNullSafe(several[own_id]) & (left[fp] == several[own_fp])
+    once = left.join(several, again, "left_anti").select(columns)
     others = [c for c in docs.columns if c != "doc_id"]
-    first = left.join(several, again, "left_semi").groupBy("doc_id", "_fp").agg(F.min(F.struct(*others)).alias("r"))
-    return once.unionByName(first.select("doc_id", *[F.col(f"r.`{c}`") for c in others]))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    first = left.join(several, again, "left_semi").groupBy("doc_id", fp).agg(F.min(row).alias(own_id))
+    return once.unionByName(first.select("doc_id", *[F.col(f"{own_id}.c{k}").alias(c) for k, c in enumerate(others)]))
+
+
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    taken = {c.lower() for c in docs.columns}
+    mark = next("_" * n for n in range(1, len(taken) + 2) if not any("_" * n + x in taken for x in names))
+    return [mark + x for x in names]
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts hold none, null and wordless items
+    are in no document; null ids and repeated rows are kept; empty tables drop nothing."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str, max_expanded: int = 64 << 20) -> DataFrame:
     """All documents, with every secret's span replaced, and that of every compressed run
-    which was not read as a whole; n_chars is counted anew where a text changed."""
+    which was not read as a whole; n_chars is counted anew where a text changed. Null texts
+    stay null; null ids and repeated rows are kept; an empty table stays empty."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +103,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str, max_expa
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids of each document."""
+    """doc_id, n_tokens and the ids of each document. A null text is empty and has no ids;
+    null ids and repeated rows are kept; an empty table gives an empty result."""
     ids = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select(
         "doc_id",
