@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import component_ref
 from ..functions.text import base_name, has_token, lower, present, trim
+from ..shared import saved
 
 HEADER, TABLE = "binary-header", "binary-dependency-table"
 
@@ -23,19 +24,21 @@ def dependency_edges(components: DataFrame, artifacts: DataFrame, root_ref: str,
 
     components: columns of a component and first_ordinal; artifacts: relative_path and
     parser. All joins are on paths or references. Where several components claim a
-    binary's path, header rows win, then the first.
+    binary's path, header rows win, then the first. The components are read once: what
+    several steps need is written between them.
     """
     rows = components.withColumn("ref", component_ref())
+    rows = saved(rows.select("ref", "name", "source_artifact", "evidence_paths", "source_parser", "dependency_scope", "first_ordinal"), "referenced")
     parser = lower(present("source_parser"))
     headers = rows.where(parser == HEADER)
-    located = _with_paths(rows.select("ref", "name", "source_artifact", "evidence_paths", "source_parser", "dependency_scope", "first_ordinal"))
-    binaries = artifacts.where((lower(present("parser")) == HEADER) & (F.col("relative_path") != "")).select(F.col("relative_path").alias("path")).distinct()
+    located = _with_paths(rows)
+    binaries = saved(artifacts.where((lower(present("parser")) == HEADER) & (F.col("relative_path") != "")).select(F.col("relative_path").alias("path")).distinct(), "binaries")
     header_paths = headers.where("source_artifact <> ''").select(F.col("source_artifact").alias("path"))
     binary_paths = binaries.unionByName(header_paths).distinct()
 
     preference = F.struct((parser != HEADER).cast("int").alias("later"), F.col("first_ordinal"))
     named = located.where(lower(trim(F.col("name"))) == lower(base_name(F.col("path"))))
-    owned = binaries.join(named, "path").groupBy("path").agg(F.min_by("ref", preference).alias("owner_ref"))
+    owned = saved(binaries.join(named, "path").groupBy("path").agg(F.min_by("ref", preference).alias("owner_ref")), "owned")
     spare = (
         headers.where("source_artifact <> ''")
         .groupBy(F.col("source_artifact").alias("path"))
@@ -45,13 +48,14 @@ def dependency_edges(components: DataFrame, artifacts: DataFrame, root_ref: str,
     owners = owned.unionByName(spare)
     every_owner = owned.select("owner_ref").unionByName(headers.select(F.col("ref").alias("owner_ref"))).distinct()
 
-    derived = (
+    derived = saved(
         located.join(binary_paths, "path", "left_semi").select("ref")
         .unionByName(rows.where(parser.isin(HEADER, TABLE)).select("ref"))
-        .distinct()
+        .distinct(),
+        "derived",
     )
     candidates = located.where(has_token(F.col("dependency_scope"), "runtime")).join(derived, "ref", "left_semi")
-    linked = candidates.join(owners, "path").where("ref <> owner_ref").select("owner_ref", F.col("ref").alias("dep_ref")).distinct()
+    linked = saved(candidates.join(owners, "path").where("ref <> owner_ref").select("owner_ref", F.col("ref").alias("dep_ref")).distinct(), "linked")
     alone = every_owner.join(linked, "owner_ref", "left_anti").select("owner_ref", F.lit(None).cast("string").alias("dep_ref"))
 
     direct = rows.where(trim(present("source_parser")) != "").select("ref").distinct().join(derived, "ref", "left_anti")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,16 +33,18 @@ def normalize(raw: DataFrame, by: list[str] | None = None, ordinal: str = "ordin
     first = [F.min_by(c, ordinal).alias(c) for c in FIRST_FIELDS]
     scalars = rows.groupBy(*keys).agg(*first, *[_least(c) for c in LEAST_FIELDS], F.min(ordinal).alias("first_ordinal"))
 
-    def members(name: str, values: Column, folds: bool) -> DataFrame:
-        exploded = rows.select(*keys, ordinal, F.posexplode(values).alias("place", "value"))
-        folded = lower(F.col("value")) if folds else F.col("value")
-        return exploded.select(*keys, F.lit(name).alias("field"), folded.alias("folded"), F.struct(ordinal, "place").alias("at"), "value")
+    def members(name: str, values: Column, folds: bool) -> Column:
+        fold = lower if folds else lambda v: v
+        return F.transform(
+            values, lambda v, i: F.struct(F.lit(name).alias("field"), fold(v).alias("folded"), i.alias("place"), v.alias("value"))
+        )
 
-    sets = [members(c, F.col(c), folds) for c, folds in SET_FIELDS.items()]
+    none = F.array().cast("array<string>")
+    sets = [members(c, F.coalesce(c, none), folds) for c, folds in SET_FIELDS.items()]
     sets.append(members("dependency_scope", tokens(F.col("dependency_scope")), True))
-    distinct = (
-        reduce(DataFrame.unionByName, sets).where("value <> ''").groupBy(*keys, "field", "folded").agg(F.min_by("value", "at").alias("value"))
-    )
+    each = rows.select(*keys, ordinal, F.explode(F.concat(*sets)).alias("m")).where("m.value <> ''")
+    at = F.struct(ordinal, F.col("m.place"))
+    distinct = each.groupBy(*keys, F.col("m.field").alias("field"), F.col("m.folded").alias("folded")).agg(F.min_by("m.value", at).alias("value"))
     listed = distinct.groupBy(*keys).agg(
         *[
             F.array_sort(F.collect_list(F.when(F.col("field") == c, F.struct("folded", "value")))).getField("value").alias(c)
@@ -52,7 +52,8 @@ def normalize(raw: DataFrame, by: list[str] | None = None, ordinal: str = "ordin
         ]
     )
     hashes = (
-        rows.select(*keys, ordinal, F.posexplode("declared_hashes").alias("place", "hash"))
+        rows.where(F.size("declared_hashes") > 0)
+        .select(*keys, ordinal, F.posexplode("declared_hashes").alias("place", "hash"))
         .groupBy(*keys, "hash")
         .agg(F.min(F.struct(ordinal, "place")).alias("at"))
         .withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at", "hash")))
@@ -61,7 +62,6 @@ def normalize(raw: DataFrame, by: list[str] | None = None, ordinal: str = "ordin
         .agg(F.array_sort(F.collect_list("hash")).alias("declared_hashes"))
     )
     out = scalars.join(listed, keys, "left").join(hashes, keys, "left")
-    none = F.array().cast("array<string>")
     out = out.withColumns({c: F.coalesce(F.col(c), none) for c in SET_FIELDS})
     out = out.withColumn("dependency_scope", F.coalesce(F.array_join("dependency_scope", ", "), F.lit("")))
     no_hash = F.array().cast(raw.schema["declared_hashes"].dataType)
