@@ -50,10 +50,12 @@ def batches(rows: DataFrame, purl: str = "package_url") -> DataFrame:
     return distinct.withColumn("bucket", bucket).select("canonical", "bucket", F.floor(rank / BATCH).cast("int").alias("batch"))
 
 
-def matches(rows: DataFrame, advisories: DataFrame, purl: str = "package_url") -> DataFrame:
-    """package_url (canonical), advisory_id, and the latest modified of the pair. Which
-    side is broadcast, if one is small enough, is left to Spark's size check."""
-    wanted = distinct_candidates(rows, purl).where("reason = ''").select(F.col("canonical").alias("package_url")).distinct()
+def matches(rows: DataFrame, advisories: DataFrame, purl: str = "package_url", judged: DataFrame | None = None) -> DataFrame:
+    """package_url (canonical), advisory_id, and the latest modified of the pair. judged:
+    the rows' distinct_candidates, where they are at hand. Which side is broadcast, if one
+    is small enough, is left to Spark's size check."""
+    judged = distinct_candidates(rows, purl) if judged is None else judged
+    wanted = judged.where("reason = ''").select(F.col("canonical").alias("package_url")).distinct()
     known = advisories.groupBy("package_url", "advisory_id").agg(F.max("modified").alias("modified"))
     return known.join(wanted, "package_url")
 

@@ -10,6 +10,7 @@ from ..functions.identity import row_key, weak_identity
 from ..functions.purl import strong_identity
 from ..functions.text import excerpt, key_part, present, trim
 from ..schemas import CHANGE_KINDS
+from ..shared import saved
 
 FIELDS = ["name", "version", "ecosystem", "component_type", "package_url", "scope", "source_artifact", "source_parser", "sha256"]
 
@@ -105,13 +106,13 @@ def changes(found: DataFrame, before: str = "baseline", after: str = "current")
 
 
 def compare(components: DataFrame, side: str = "side") -> DataFrame:
-    rows = snapshots(components, side)
+    rows = saved(snapshots(components, side), "snapshots")  # for the index, and for the rows
     return changes(versions(assigned(rows, weak_index(rows)))).where("kind <> 'unchanged'")
 
 
 def counters(components: DataFrame, side: str = "side") -> DataFrame:
     """One row: added, removed, unchanged, version_changed."""
-    rows = snapshots(components, side)
+    rows = saved(snapshots(components, side), "snapshots")  # for the index, and for the rows
     found = changes(versions(assigned(rows, weak_index(rows))))
     return found.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in (*CHANGE_KINDS, "unchanged")])
 
@@ -120,7 +121,7 @@ def warnings(components: DataFrame, side: str = "side") -> DataFrame:
     """kind and subject of what a reader of the comparison should know: an identity that
     fell back on fields, one that maps to several package URLs, duplicates of a version,
     and the number of identities that no package URL backs."""
-    rows = snapshots(components, side)
+    rows = saved(snapshots(components, side), "snapshots")  # for the index, and for the rows
     index = weak_index(rows)
     fell = index.where("missing and only is not null").select(F.lit("fallback").alias("kind"), excerpt(F.col("weak")).alias("subject"))
     several = index.where("missing and several").select(F.lit("ambiguous").alias("kind"), excerpt(F.col("weak")).alias("subject"))

@@ -27,11 +27,17 @@ def _facet(rows: DataFrame, column: str, value: str | None) -> DataFrame:
     return rows if value is None else rows.where(lower(present(column)) == lower(F.lit(value)))
 
 
-def component_rows(components: DataFrame, artifacts: DataFrame, issues: DataFrame, requested: bool = True, complete: bool = True) -> DataFrame:
+def component_rows(
+    components: DataFrame, artifacts: DataFrame, issues: DataFrame, requested: bool = True, complete: bool = True, judged: DataFrame | None = None
+) -> DataFrame:
     """Components with the status of their artifact (parsed where it isn't known) and
-    their number of issues. Of artifacts with one path the first in order counts."""
+    their number of issues. Of artifacts with one path the first in order counts. judged:
+    the components' distinct_candidates, where they are at hand."""
     status = artifacts.groupBy(F.col("relative_path").alias("source_artifact")).agg(F.min_by("status", "ordinal").alias("status"))
-    rows = with_lookup(components, present("package_url"))
+    if judged is None:
+        rows = with_lookup(components, present("package_url"))
+    else:
+        rows = components.join(judged.select("purl", "reason", "canonical"), present("package_url") == F.col("purl")).drop("purl")
     rows = rows.join(status, "source_artifact", "left").join(issues, "package_url", "left")
     rows = rows.withColumns({"status": F.coalesce("status", F.lit("parsed")), "issues": F.coalesce("issues", F.lit(0)).cast("long")})
     return rows.withColumns(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, hashes, identity, patterns, purl, text, versions
 from ..operators import advisories, classify, compare, graph, normalize, views
+from ..shared import saved
 from ..sources import adapters
 from . import formats, strictness, surface
 
@@ -192,9 +193,10 @@ def component_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components with artifact status and issue counts, searched and sorted."""
-    rows = _current(spark, sf_dir)
-    found = advisories.matches(rows, adapters.advisories(spark, sf_dir))
-    joined = views.component_rows(rows, adapters.manifests(spark, sf_dir), advisories.issue_counts(found))
+    rows = saved(_current(spark, sf_dir), "components")
+    judged = saved(advisories.distinct_candidates(rows), "judged")
+    found = advisories.matches(rows, adapters.advisories(spark, sf_dir), judged=judged)
+    joined = views.component_rows(rows, adapters.manifests(spark, sf_dir), advisories.issue_counts(found), judged=judged)
     listed = views.component_list(joined, "widget", ecosystem="NPM", sort="issues", descending=True)
     return listed.select("first_ordinal", "name", "version", "status", "issues", "known_issues", "licenses")
 
