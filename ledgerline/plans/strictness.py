@@ -1,12 +1,15 @@
-"""Registered queries of the strict readers: JSON with its limits, XML as events, and the
-nested trees of old lock files. Inputs are made from whole tables so that each row has its
+"""Registered queries of the strict readers: JSON with its limits, XML as events, the nested
+trees of old lock files, and license expressions. Inputs are made from whole tables so that each row has its
 own text; what each must give follows from the same columns in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import spdx
 from ..operators import parse, strict_json
 from .formats import MARKS
 
@@ -181,5 +184,77 @@ LOCK_TREES_SQL = f"""WITH e AS (
 SELECT relative_path, count(*) AS n, count(*) AS n_places, max(place) AS last_place, CAST(sum(place * number) AS BIGINT) AS places_by_number,
   CAST(sum(length(version)) AS BIGINT) AS version_chars, max('pkg:npm/' || name || '@' || version) AS last_url FROM e GROUP BY relative_path"""
 
-QUERIES = {f.__name__: f for f in (json_checks, xml_checks, lock_trees)}
-ORACLES = {"json_checks": _json_checks_sql(), "xml_checks": _xml_checks_sql(), "lock_trees": LOCK_TREES_SQL}
+#: Operands and exceptions of license expressions, and their shapes: A and B operands, E an
+#: exception, O an operator, D a depth and M a number, all by the part.
+OPERANDS = (
+    "MIT", "Apache-2.0", "mit", "GPL-2.0-only", "LicenseRef-$K", "BSD-3-Clause+", "Licence-$K", "ISC", "DocumentRef-d$S:LicenseRef-$N", "Zlib", "GPL-2.0-or-later+", "LicenseRef-$S+",
+    "DocumentRef-$K:LicenseRef-x.$S", "AND", "MIT-0",
+)
+EXCEPTIONS = ("Classpath-exception-2.0", "LLVM-exception", "Exception-$K", "GCC-exception-3.1")
+SHAPES = (
+    "A", "A O B", "(A O B) O A", "A O (B O (A))", "A WITH E", "(A) WITH E", "A O", "(A O B", "A O B)", "A B", "()", "A  O   B", " A O B ", "(A)O B", "A O(B)", "A WITH A", "A WITH E O B",
+    "A O B WITH E O (A WITH E)", "OPEN A CLOSE", "A MANY", "A\tO B", "A +", "A O O B", "", "( A )", "A WITH E WITH E", "O A", "(A WITH E) O B",
+)
+
+
+def _picked(values: tuple[str, ...], by: Column, fill: Callable | None = None) -> Column:
+    out = F.lit(None).cast("string")
+    for n, v in enumerate(values):
+        out = F.when(by % len(values) == n, (fill or _filled)(v)).otherwise(out)
+    return out
+
+
+def license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression per part, of its own names and shape, and whether it is valid: by the
+    built-in names, and by the same names as a table."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name")
+    key = F.col("p_partkey")
+    rows = part.select(
+        "p_partkey", _picked(OPERANDS, F.col("p_size")).alias("a"), _picked(OPERANDS, F.floor(key / 5)).alias("b"), _picked(EXCEPTIONS, key).alias("e"),
+        F.when(key % 2 == 0, "AND").otherwise("OR").alias("o"), (28 + key % 10).cast("int").alias("d"), (120 + key % 16).cast("int").alias("m"), _picked(SHAPES, F.floor(key / 3), F.lit).alias("s"),
+    )
+    text = F.regexp_replace("s", r"\bE\b", "\x10")
+    text = F.replace(text, F.lit("OPEN"), F.repeat(F.lit("("), F.col("d")))
+    text = F.replace(F.replace(text, F.lit("CLOSE"), F.repeat(F.lit(")"), F.col("d"))), F.lit("MANY"), F.repeat(F.lit("O B "), F.col("m")))
+    for mark, code in (("A", "\x11"), ("B", "\x12"), ("O", "\x13")):
+        text = F.regexp_replace(text, rf"\b{mark}\b", code)
+    for code, name in (("\x10", "e"), ("\x11", "a"), ("\x12", "b"), ("\x13", "o")):
+        text = F.replace(text, F.lit(code), F.col(name))
+    rows = rows.select("p_partkey", text.alias("expression"))
+    names = [(n, False) for n in spdx.LICENSES] + [(n, True) for n in spdx.EXCEPTIONS]
+    table = spark.createDataFrame(names, "name string, is_exception boolean")
+    return spdx.valid_expressions(rows, "expression", table).withColumn("by_list", spdx.is_valid_expression(F.col("expression")))
+
+
+def _names(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _license_sql() -> str:
+    pick = lambda values, by: "CASE " + " ".join(f"WHEN {by} % {len(values)} = {n} THEN {_filled_sql(v)}" for n, v in enumerate(values)) + " END"
+    shape = "CASE " + " ".join(f"WHEN (p_partkey // 3) % {len(SHAPES)} = {n} THEN '{v}'".replace("\t", "' || chr(9) || '") for n, v in enumerate(SHAPES)) + " END"
+    word = lambda x, mark, code: f"regexp_replace({x}, '\\b{mark}\\b', chr({code}), 'g')"
+    s = f"replace(replace(replace({word('s', 'E', 16)}, 'OPEN', repeat('(', d)), 'CLOSE', repeat(')', d)), 'MANY', repeat('O B ', m))"
+    for mark, code in (("A", 17), ("B", 18), ("O", 19)):
+        s = word(s, mark, code)
+    for code, name in ((16, "e"), (17, "a"), (18, "b"), (19, "o")):
+        s = f"replace({s}, chr({code}), {name})"
+    kind = f"""CASE WHEN t IN ('(', ')', chr(2), chr(3)) THEN t WHEN regexp_replace(t, '[+]$', '') IN {_names(spdx.LICENSES)} THEN 'l' WHEN t IN {_names(spdx.EXCEPTIONS)} THEN 'e'
+    WHEN regexp_full_match(t, '(DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]+') THEN 'x' ELSE '?' END"""
+    reduced = "replace(replace(replace(s, 'l' || chr(3) || 'e', 'x'), '(x)', 'x'), 'x' || chr(2) || 'x', 'x')"
+    return f"""WITH RECURSIVE g AS (SELECT p_partkey, {pick(OPERANDS, 'p_size')} AS a, {pick(OPERANDS, '(p_partkey // 5)')} AS b, {pick(EXCEPTIONS, 'p_partkey')} AS e,
+    CASE WHEN p_partkey % 2 = 0 THEN 'AND' ELSE 'OR' END AS o, 28 + p_partkey % 10 AS d, 120 + p_partkey % 16 AS m, {shape} AS s FROM part),
+t AS (SELECT p_partkey, {s} AS expression FROM g),
+c AS (SELECT p_partkey, expression, trim(expression) AS x, regexp_extract_all(regexp_replace(regexp_replace(trim(expression), ' +(AND|OR) ', chr(2), 'g'), ' +WITH ', chr(3), 'g'), '[()\x02\x03]|[A-Za-z0-9.:-]+[+]?|[^ ]') AS ts FROM t),
+k AS (SELECT p_partkey, expression, list_transform(ts, lambda t: {kind}) AS ks,
+    strlen(x) BETWEEN 1 AND 4096 AND len(ts) + len(string_split(expression, '+')) - 1 <= 256 AND NOT regexp_matches(expression, '[\x00-\x1f\x7f]') AS sized FROM c),
+depth AS (SELECT p_partkey, max(n) AS most FROM (SELECT p_partkey, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS n
+    FROM (SELECT p_partkey, unnest(ks) AS c, generate_subscripts(ks, 1) AS i FROM k)) GROUP BY p_partkey),
+r AS (SELECT p_partkey, replace(replace(array_to_string(ks, ''), 'l' || chr(3) || 'e', 'x'), 'l', 'x') AS s, 0 AS n FROM k
+  UNION ALL SELECT p_partkey, {reduced}, n + 1 FROM r WHERE s <> {reduced}),
+last AS (SELECT p_partkey, arg_max(s, n) AS s FROM r GROUP BY p_partkey)
+SELECT p_partkey, expression, sized AND last.s = 'x' AND coalesce(most, 0) <= 32 AS valid, valid AS by_list FROM k JOIN last USING (p_partkey) LEFT JOIN depth USING (p_partkey)"""
+
+
+QUERIES = {f.__name__: f for f in (json_checks, xml_checks, lock_trees, license_expressions)}
+ORACLES = {"json_checks": _json_checks_sql(), "xml_checks": _xml_checks_sql(), "lock_trees": LOCK_TREES_SQL, "license_expressions": _license_sql()}

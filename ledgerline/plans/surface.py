@@ -6,17 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import display, evidence, hashes, identity, purl, spdx
+from ..functions import display, evidence, hashes, identity, purl
 from ..operators import cache, document, normalize, readiness
 from ..sources import adapters
 from ..streaming import history
 
-#: License expressions with their validity, picked by row number.
-EXPRESSIONS = (
-    ("MIT", True), ("MIT OR Apache-2.0", True), ("(MIT AND ISC) OR GPL-2.0-only WITH Classpath-exception-2.0", True), ("MIT OR", False), ("mit", False),
-    ("((MIT))", True), ("(MIT", False), ("LicenseRef-own", True), ("DocumentRef-a:LicenseRef-b", True), ("GPL-2.0-or-later+", True), ("MIT MIT", False),
-    ("", False), ("NotALicense-9", False), ("MIT AND (ISC OR (Zlib AND X11))", True), ("WITH MIT", False),
-)
 STATUSES = ("Completed", "RUNNING", "failed", "cancelled", "paused", "", " completed", "Parsed", "partially parsed", "detected but unsupported", "FAILED")
 HASH_NAMES = ("SHA-1", "SHA-256", "SHA-512", "MD5")
 
@@ -33,13 +27,6 @@ def _cols() -> tuple[Column, Column]:
     return F.col("p_partkey"), F.col("p_size")
 
 
-def license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, _ = _cols()
-    text = adapters._choice(key % len(EXPRESSIONS), [e for e, _ in EXPRESSIONS])
-    rows = _part(spark, sf_dir).select("p_partkey", text.alias("expression"))
-    return rows.withColumn("valid", spdx.is_valid_expression(F.col("expression")))
-
-
 def hash_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of parts' names under an algorithm that may be another one."""
     key, size = _cols()
@@ -120,9 +107,12 @@ def task_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, _ = _cols()
+    """States in any case, some with a part's name or a blank behind them."""
+    key, size = _cols()
     text = adapters._choice(key % len(STATUSES), STATUSES)
-    rows = _part(spark, sf_dir).select("p_partkey", text.alias("s"))
+    cased = F.when(size % 3 == 0, F.upper(text)).when(size % 3 == 1, F.initcap(text)).otherwise(text)
+    cased = F.concat(cased, F.when(size % 7 == 0, F.col("p_name")).when(size % 11 == 0, " ").otherwise(""))
+    rows = _part(spark, sf_dir).select("p_partkey", cased.alias("s"))
     return rows.select("p_partkey", display.task_status(F.col("s")).alias("task"), display.artifact_status(F.col("s")).alias("artifact"))
 
 
@@ -267,7 +257,7 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        license_expressions, hash_validity, canonical_digests, coordinates, binary_urls, root_references, path_checks, task_names, status_texts, field_checks,
+        hash_validity, canonical_digests, coordinates, binary_urls, root_references, path_checks, task_names, status_texts, field_checks,
         document_components, document_sections, document_artifacts, readiness_fields, readiness_summary, readiness_blockers, readiness_advisories,
         cache_lookups, history_rows, history_days, history_events,
     )
@@ -322,7 +312,6 @@ def oracles(norm: str, tasks: str, paths: str) -> dict[str, str]:
     pairs = """[{'n': 'ecosystem', 'v': ecosystem}, {'n': 'source-artifact', 'v': source_artifact}, {'n': 'source-parser', 'v': source_parser},
       {'n': 'dependency-scope', 'v': dependency_scope}, {'n': 'pe-company-name', 'v': company_name}] || list_transform(string_split(evidence, ','), lambda e: {'n': 'evidence-path', 'v': e})"""
     return {
-        "license_expressions": f"SELECT p_partkey, {_pick_sql([e for e, _ in EXPRESSIONS])} AS expression, CAST({_pick_sql([str(v).lower() for _, v in EXPRESSIONS])} AS BOOLEAN) AS valid FROM part",
         "hash_validity": f"""SELECT p_partkey, p_size % 10 <> 0 AND ((p_partkey % 3 = 0 AND {_pick_sql(HASH_NAMES)} = 'SHA-1') OR (p_partkey % 3 = 1 AND {_pick_sql(HASH_NAMES)} = 'SHA-256')) AS valid FROM part""",
         "canonical_digests": "SELECT p_partkey, CASE WHEN p_size % 4 = 2 THEN '' ELSE sha256(p_name) END AS digest FROM part",
         "coordinates": f"""WITH c AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '${{g}}' ELSE 'org.b' || {size} END AS g, CASE WHEN p_size % 5 = 0 THEN p_name ELSE {name} END AS a, p_size, {size} || '.0' AS v FROM part)
@@ -336,7 +325,7 @@ SELECT p_partkey, CASE WHEN v = '0.0' OR p_size % 5 = 0 THEN '' ELSE 'pkg:generi
   CASE WHEN doc_id % 6 = 1 THEN doc_id % 4 = 1 ELSE doc_id % 3 = 0 END AS same FROM files""",
         "task_names": f"""WITH {tasks}, h AS (SELECT *, md5(id) AS h FROM tasks)
 SELECT id, warnings = 0 AS is_id, strftime(lo, '%Y%m%d_%H%M%S') || '_' || target_root_name || '_' || '_' || {made} || '.cdx.json' AS export FROM h""",
-        "status_texts": f"""WITH s AS (SELECT p_partkey, lower({_pick_sql(STATUSES)}) AS s FROM part)
+        "status_texts": f"""WITH s AS (SELECT p_partkey, lower({_pick_sql(STATUSES)} || CASE WHEN p_size % 7 = 0 THEN p_name WHEN p_size % 11 = 0 THEN ' ' ELSE '' END) AS s FROM part)
 SELECT p_partkey, CASE WHEN s IN ('running', 'completed', 'cancelled', 'failed') THEN s ELSE 'pending' END AS task,
   CASE WHEN s IN ('parsed', 'partially parsed', 'failed') THEN s ELSE 'detected but unsupported' END AS artifact FROM s""",
         "field_checks": "SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 3 AS is_time, o_orderkey % 7 > 2 AS is_token FROM orders",

@@ -51,9 +51,13 @@ def test_ignore_rules(spark):
 
 def test_license_expressions(spark):
     good = ["MIT", "MIT OR Apache-2.0", "(MIT AND (ISC OR BSD-3-Clause)) OR GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0+", "DocumentRef-a:LicenseRef-b", "((MIT))"]
-    bad = ["", "mit", "MIT AND", "MIT and ISC", "(MIT", "MIT)", "MIT WITH MIT", "Nope", "MIT ISC", "(MIT) WITH Classpath-exception-2.0"]
+    good += ["( MIT )", "MIT  AND   ISC", " MIT ", "GPL-2.0-or-later+ OR LicenseRef-x", "(" * 32 + "MIT" + ")" * 32, "MIT" + " AND ISC" * 127]
+    bad = ["(" * 33 + "MIT" + ")" * 33, "MIT" + " AND ISC" * 128, "MIT +", "LicenseRef-x+", "LicenseRef-x WITH LLVM-exception", "(MIT)AND ISC", "MIT AND(ISC)", "MIT\tAND ISC", "MIT\n", "MIT/ISC", "()", "x" * 5000][:-1] + ["", "mit", "MIT AND", "MIT and ISC", "(MIT", "MIT)", "MIT WITH MIT", "Nope", "MIT ISC", "(MIT) WITH Classpath-exception-2.0"]
     assert all(column(spark, [(x,) for x in good], spdx.is_valid_expression(F.col("x")), "x string"))
     assert not any(column(spark, [(x,) for x in bad], spdx.is_valid_expression(F.col("x")), "x string"))
+    names = spark.createDataFrame([("MIT", False), ("New-1.0", False), ("Some-exception", True)], "name string, is_exception boolean")
+    rows = spark.createDataFrame([("New-1.0 WITH Some-exception",), ("MIT OR New-1.0+",), ("ISC",), (None,), ("MIT OR New-1.0+",), ("MIT " * 5000,)], "x string")
+    assert sorted((r["x"] or "", r["valid"]) for r in spdx.valid_expressions(rows, "x", names).collect())[:5] == [("", False), ("ISC", False), ("MIT " * 5000, False), ("MIT OR New-1.0+", True), ("MIT OR New-1.0+", True)]
 
 
 def test_texts(spark):
