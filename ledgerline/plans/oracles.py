@@ -6,7 +6,7 @@ from ..functions.text import LOWER, UPPER
 from ..operators.classify import LIMITS, RULES
 from ..sources.adapters import FILES, LICENSES
 from . import formats, strictness, surface
-from .queries import ECOSYSTEMS, LIBRARIES, NAMES, PURL_VERSIONS, PURLS, VERSIONS
+from .queries import ECOSYSTEMS, LIBRARIES, NAMES, PURL_VERSIONS, PURLS, STRONG, VERSIONS
 
 
 def _text(s: str) -> str:
@@ -23,7 +23,8 @@ def _low(x: str) -> str:
 
 
 def _pick(**lists) -> str:
-    columns = ", ".join(f"{_list(v)}[p_partkey % {len(v)} + 1] AS {k}" for k, v in lists.items())
+    filled = lambda v: strictness.filled_sql(v).replace(chr(9), "' || chr(9) || '")
+    columns = ", ".join(f"[{', '.join(map(filled, v))}][p_partkey % {len(v)} + 1] AS {k}" for k, v in lists.items())
     return f"SELECT p_partkey AS id, {columns} FROM part"
 
 
@@ -255,8 +256,13 @@ SELECT (SELECT count(*) FROM raw) AS components, (SELECT count(*) FROM raw WHERE
     "previous_tasks": f"WITH {TASKS} SELECT id, lag(id) OVER (PARTITION BY target_root_name ORDER BY created_utc, id DESC) AS previous_id FROM tasks WHERE status = 'completed'",
     "initial_selection": f"""WITH {TASKS}, done AS (SELECT * FROM tasks WHERE status = 'completed'), newest AS (SELECT * FROM done ORDER BY created_utc DESC, id LIMIT 1)
 SELECT n.id AS comparison_id, (SELECT d.id FROM done d WHERE d.id <> n.id ORDER BY d.target_root_name = n.target_root_name DESC, d.created_utc DESC, d.id LIMIT 1) AS baseline_id FROM newest n""",
-    "strong_identities": """WITH o AS (SELECT p_partkey AS id, ['pkg:npm/%40a/b@1?z=1&a=%41#x/y', 'PKG:Npm//a@1', 'pkg:npm/a?b', 'pkg:npm/%7ea@1', 'pkg:npm/a@1', 'bad', '', 'pkg:deb/debian/c?arch=i386'] AS l FROM part)
-SELECT id, l[id % 8 + 1] AS package_url, ['purl:pkg:npm/%40a/b?a=A&z=1#x/y', 'purl:pkg:npm/a', '', 'purl:pkg:npm/~a', 'purl:pkg:npm/a', '', '', 'purl:pkg:deb/debian/c?arch=i386'][id % 8 + 1] AS strong FROM o""",
+    "strong_identities": f"""WITH picked AS ({_pick(package_url=STRONG)}),
+q AS (SELECT *, regexp_extract(package_url, '#(.*)$', 1) AS sub, regexp_extract(package_url, '[?]([^#]*)', 1) AS qual, regexp_replace(package_url, '[?#].*$', '') AS rest FROM picked),
+p AS (SELECT *, lower(regexp_extract(rest, '^[Pp][Kk][Gg]:/*([^/]+)', 1)) AS t, ltrim(regexp_replace(regexp_extract(rest, '^[Pp][Kk][Gg]:/*[^/]+/(.*)$', 1), '@[^@/]*$', ''), '/') AS path FROM q),
+v AS (SELECT *, replace(replace(path, '%7e', '~'), '%41', 'A') AS clear,
+    list_sort(list_transform(list_filter(string_split(qual, '&'), lambda x: x <> ''), lambda x: replace(x, '%41', 'A'))) AS quals FROM p)
+SELECT id, package_url, CASE WHEN t = '' OR clear = '' OR len(list_filter(quals, lambda x: NOT contains(x, '='))) > 0 THEN ''
+  ELSE 'purl:pkg:' || t || '/' || clear || CASE WHEN len(quals) > 0 THEN '?' || array_to_string(quals, '&') ELSE '' END || CASE WHEN sub <> '' THEN '#' || sub ELSE '' END END AS strong FROM v""",
     **formats.ORACLES,
     **strictness.ORACLES,
     **surface.oracles(NORM, TASKS, PATHS),

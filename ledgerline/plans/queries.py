@@ -14,32 +14,37 @@ from ..shared import saved
 from ..sources import adapters
 from . import formats, strictness, surface
 
-#: Texts that the scalar queries run over, picked by row number.
+#: Shapes of the texts that the scalar queries run over, dealt by row number and filled from
+#: the row: $K the part's key, $S its size, $N its name.
 VERSIONS = (
-    "1.2.3", "v1.2", "^1.0", "~2.1", " >=1,<2", "*", "1.x", "x", "1.0-x", "latest", "NEXT", "latest.release",
-    "git+https://a", "file:../a", "1.2.3-beta.1", "1.2", "1", "1.2.3+", "1.2.3+b", "[1,2)", "workspace:*", "npm:a@1",
-    "1.0/2", "1#2", "${v}", "1.2.3.4", "1.2.3-", "  ", "1 || 2", "xy", "1-x-2", "Stable", "path:x", "1..2", "01.2.3",
-    "1.2.3_a", "0.0.0", "V2.0.1-rc.1+x", "1.2-rc", "\t3.1.4 ",
+    "$S.2.$K", "v$S.$K", "^$K.0", "~$S.$K", " >=$S,<$K", "*", "$S.x", "x", "$K.0-x", "latest", "NEXT", "latest.$S",
+    "git+https://$N", "file:../$K", "$S.$K.3-beta.$S", "$S.$K", "$K", "$S.2.$K+", "$K.2.3+b$S", "[$S,$K)", "workspace:$S", "npm:a@$K",
+    "$S.0/$K", "$K#$S", "${v$K}", "$S.$K.3.4", "$S.2.$K-", "  ", "$S || $K", "xy$K", "$S-x-$K", "Stable", "path:$N", "$S..$K", "0$S.$K.3",
+    "$S.2.3_$K", "0.0.0", "V$S.0.$K-rc.$S+x", "$S.$K-rc", "\t$K.1.$S ", "$N", "$S $N",
 )
-NAMES = ("@Scope/Name", "plain", "a/b", "Foo.Bar_baz--qux", "-bad", "g:a", "g:", "a:b:c", "With Space", "é~x*", "@/x", "@a/", "UP+1", "")
+NAMES = ("@Scope$S/Name$K", "plain$K", "a$K/b$S", "Foo.Bar_baz--qux$K", "-bad$K", "g$S:a$K", "g$K:", "a:b$K:c", "With Space $K", "é~x*$K", "@/x$K", "@a$K/", "UP+$K", "", "$N", "@$N/$K")
 ECOSYSTEMS = ("npm", "PyPI", "Gradle", "conda", "Go", "Cargo", "NuGet", "Composer", "RubyGems", "CocoaPods", "Swift", "vcpkg", "Conan", "Maven", " NPM ")
-PURL_VERSIONS = ("1.2.3", "^1", "1.2", "1.0+b", "2:3")
+PURL_VERSIONS = ("$S.2.$K", "^$K", "$S.$K", "$S.0+b$K", "$S:$K", "$K.0.0-rc.$S", "$N")
 LIBRARIES = (
-    "libz.so.1", "libssl.so.1.1.0", "libc.so", "libfoo.1.2.dylib", "libbar.dylib", "kernel32.dll", "a/libq.so.6",
-    "LIBX.SO.2.0", "libm.so.6a", "x.so.1.so.2",
+    "libz$K.so.$S", "libssl.so.$S.1.$K", "lib$K.so", "libfoo.$S.$K.dylib", "libbar$K.dylib", "kernel$K.dll", "a$S/libq.so.$K",
+    "LIBX.SO.$S.$K", "libm.so.${S}a".replace("{S}", "S"), "x.so.$S.so.$K", "lib$N.so.$S", "dir $N/lib$K.so.0.$S",
 )
 PURLS = (
-    "", "pkg:npm/left@1.0", "pkg:npm/left", "pkg:generic/x@1", "pkg:foo/x@1", "pkg:npm/a b@1", "npm/left@1", "pkg:npm/x@1?a=b",
-    "pkg:npm/x@1#s", "pkg:deb/debian/curl@7.1", "pkg:deb/mint/curl@7.1", "pkg:npm/%40a/b@1.0", "pkg:NPM/left@1.0", "pkg:npm/@1",
-    "pkg:npm/x@", "pkg:rpm/curl@1", "pkg:/x@1", "pkg:npm//x@1", "pkg:npm/a@b@c", "pkg:pypi/a/../b@1",
+    "", "pkg:npm/left$S@1.0", "pkg:npm/left$K", "pkg:generic/x$K@$S", "pkg:foo$S/x@$K", "pkg:npm/a b@$K", "npm/left@$K", "pkg:npm/x$K@1?a=$S",
+    "pkg:npm/x@$K#s$S", "pkg:deb/debian/curl$S@7.1", "pkg:deb/mint/curl@$K", "pkg:npm/%40a$S/b@1.0", "pkg:NPM/left$S@1.0", "pkg:npm/@$K",
+    "pkg:npm/x$K@", "pkg:rpm/curl@$K", "pkg:/x@$K", "pkg:npm//x@$K", "pkg:npm/a@b@$K", "pkg:pypi/a$K/../b@1", "pkg:pypi/p$S@$K", "pkg:npm/$N@$S",
+)
+STRONG = (
+    "pkg:npm/%40a$K/b@$S?z=$S&a=%41#x/$K", "PKG:Npm//a$K@$S", "pkg:npm/a?b$K", "pkg:npm/%7ea$K@$S", "pkg:npm/a$S@$K", "bad$K", "",
+    "pkg:deb/debian/c$K?arch=i$S",
 )
 IGNORED = (*patterns.DEFAULT_IGNORED, "# note", "", "*.lp?", "src*/gradle", "src1/*.lock", "/bin/")
 
 
 def _pick(spark: SparkSession, sf_dir: str, **lists) -> DataFrame:
     """part keys, each with one value of every list; lists go round at their own pace."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
-    return part.select("id", *[adapters._choice(F.col("id") % len(v), v).alias(k) for k, v in lists.items()])
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name")
+    return part.select(F.col("p_partkey").alias("id"), *[strictness.picked(v, F.col("p_partkey")).alias(k) for k, v in lists.items()])
 
 
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +279,7 @@ def initial_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strong_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = ("pkg:npm/%40a/b@1?z=1&a=%41#x/y", "PKG:Npm//a@1", "pkg:npm/a?b", "pkg:npm/%7ea@1", "pkg:npm/a@1", "bad", "", "pkg:deb/debian/c?arch=i386")
-    rows = _pick(spark, sf_dir, package_url=odd)
+    rows = _pick(spark, sf_dir, package_url=STRONG)
     return rows.withColumn("strong", purl.strong_identity(F.col("package_url")))
 
 

@@ -108,12 +108,12 @@ XML_KINDS: tuple[tuple[str, str, list[tuple[str, str, str]] | None], ...] = (
 )
 
 
-def _filled(template: str) -> Column:
+def filled(template: str) -> Column:
     of = {"$K": F.col("p_partkey").cast("string"), "$S": F.col("p_size").cast("string"), "$N": F.col("p_name")}
     return F.concat(F.lit(""), *[of[x] if x in of else F.lit(x) for x in MARKS.split(template) if x])
 
 
-def _filled_sql(template: str) -> str:
+def filled_sql(template: str) -> str:
     of = {"$K": "CAST(p_partkey AS VARCHAR)", "$S": "CAST(p_size AS VARCHAR)", "$N": "p_name"}
     return " || ".join(["''", *[of.get(x) or "'" + x.replace("'", "''") + "'" for x in MARKS.split(template) if x]])
 
@@ -125,7 +125,7 @@ def xml_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_partkey") % len(XML_KINDS)
     parser, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (p, template, _) in enumerate(XML_KINDS):
-        parser, content = F.when(kind == n, p).otherwise(parser), F.when(kind == n, _filled(template)).otherwise(content)
+        parser, content = F.when(kind == n, p).otherwise(parser), F.when(kind == n, filled(template)).otherwise(content)
     files = part.select(F.col("p_partkey").cast("string").alias("relative_path"), parser.alias("parser"), content.alias("content"))
     rows = parse.components(files, sorted({p for p, *_ in XML_KINDS}))
     done = parse.outcomes(files, rows).select("relative_path", "status")
@@ -136,7 +136,7 @@ def _xml_checks_sql() -> str:
     out = []
     for n, (_, _, rows) in enumerate(XML_KINDS):
         for row in rows or [None]:
-            values = ["'failed'", "NULL", "NULL", "NULL"] if row is None else ["'parsed'", *map(_filled_sql, row)]
+            values = ["'failed'", "NULL", "NULL", "NULL"] if row is None else ["'parsed'", *map(filled_sql, row)]
             columns = ", ".join(f"{v} AS {c}" for v, c in zip(values, ("status", "name", "version", "dependency_scope"), strict=True))
             out.append(f"SELECT CAST(p_partkey AS VARCHAR) AS relative_path, {columns} FROM part WHERE p_partkey % {len(XML_KINDS)} = {n}")
     return "\nUNION ALL ".join(out)
@@ -197,10 +197,10 @@ SHAPES = (
 )
 
 
-def _picked(values: tuple[str, ...], by: Column, fill: Callable | None = None) -> Column:
+def picked(values: tuple[str, ...], by: Column, fill: Callable | None = None) -> Column:
     out = F.lit(None).cast("string")
     for n, v in enumerate(values):
-        out = F.when(by % len(values) == n, (fill or _filled)(v)).otherwise(out)
+        out = F.when(by % len(values) == n, (fill or filled)(v)).otherwise(out)
     return out
 
 
@@ -210,8 +210,8 @@ def license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name")
     key = F.col("p_partkey")
     rows = part.select(
-        "p_partkey", _picked(OPERANDS, F.col("p_size")).alias("a"), _picked(OPERANDS, F.floor(key / 5)).alias("b"), _picked(EXCEPTIONS, key).alias("e"),
-        F.when(key % 2 == 0, "AND").otherwise("OR").alias("o"), (28 + key % 10).cast("int").alias("d"), (120 + key % 16).cast("int").alias("m"), _picked(SHAPES, F.floor(key / 3), F.lit).alias("s"),
+        "p_partkey", picked(OPERANDS, F.col("p_size")).alias("a"), picked(OPERANDS, F.floor(key / 5)).alias("b"), picked(EXCEPTIONS, key).alias("e"),
+        F.when(key % 2 == 0, "AND").otherwise("OR").alias("o"), (28 + key % 10).cast("int").alias("d"), (120 + key % 16).cast("int").alias("m"), picked(SHAPES, F.floor(key / 3), F.lit).alias("s"),
     )
     text = F.regexp_replace("s", r"\bE\b", "\x10")
     text = F.replace(text, F.lit("OPEN"), F.repeat(F.lit("("), F.col("d")))
@@ -231,7 +231,7 @@ def _names(values: tuple[str, ...]) -> str:
 
 
 def _license_sql() -> str:
-    pick = lambda values, by: "CASE " + " ".join(f"WHEN {by} % {len(values)} = {n} THEN {_filled_sql(v)}" for n, v in enumerate(values)) + " END"
+    pick = lambda values, by: "CASE " + " ".join(f"WHEN {by} % {len(values)} = {n} THEN {filled_sql(v)}" for n, v in enumerate(values)) + " END"
     shape = "CASE " + " ".join(f"WHEN (p_partkey // 3) % {len(SHAPES)} = {n} THEN '{v}'".replace("\t", "' || chr(9) || '") for n, v in enumerate(SHAPES)) + " END"
     word = lambda x, mark, code: f"regexp_replace({x}, '\\b{mark}\\b', chr({code}), 'g')"
     s = f"replace(replace(replace({word('s', 'E', 16)}, 'OPEN', repeat('(', d)), 'CLOSE', repeat(')', d)), 'MANY', repeat('O B ', m))"
