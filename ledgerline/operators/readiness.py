@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import present
+from ..functions.evidence import is_task_id
+from ..functions.text import lower, present, trim
 from .document import PREFIX
+from .strict_json import json_error
 
 MUST, IF_EXISTS, MAY = "MUST", "MUST_IF_EXISTS", "MAY"
 MAPPED, DERIVABLE, BLOCKED, UNSEEN = "mapped", "derivable", "blocked", "not-observed"
@@ -142,13 +144,47 @@ def document_rules(d: Column, graph_complete: Column) -> list[tuple[str, str, Co
     ]
 
 
+#: Why a document isn't assessed.
+ID_INVALID, SIZE_INVALID, HASH_MISSING, HASH_MISMATCH, JSON_INVALID = (
+    "BSI210-E001-SOURCE-TASK-ID-INVALID", "BSI210-E002-SOURCE-SIZE-INVALID", "BSI210-E003-SOURCE-HASH-MISSING", "BSI210-E004-SOURCE-HASH-MISMATCH",
+    "BSI210-E005-SOURCE-JSON-INVALID",
+)
+MAX_SOURCE = 64 << 20
+SOURCE = "source"
+
+
+def _json_code(text: Column) -> Column:
+    whole = (json_error(text, MAX_SOURCE) == "") & trim(present(text)).startswith("{")
+    return F.when(whole, "").otherwise(JSON_INVALID)
+
+
+def source_errors(documents: DataFrame, id_col: str = "task_id", content_col: str = "content", digest_col: str = "expected_sha256") -> DataFrame:
+    """task_id and code of every document: the first thing that keeps its bytes from being
+    assessed, or ''. The id must be canonical, there must be bytes and not too many, and they
+    must be those of the digest that was kept, and a strict JSON object in UTF-8."""
+    raw, digest = F.coalesce(F.col(content_col).cast("binary"), F.lit(b"")), lower(trim(present(digest_col)))
+    size = F.octet_length(raw)
+    text = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.lit(""))
+    code = (
+        F.when(~is_task_id(F.col(id_col)), ID_INVALID)
+        .when((size == 0) | (size > MAX_SOURCE), SIZE_INVALID)
+        .when(~digest.rlike(r"^[0-9a-f]{64}\z"), HASH_MISSING)
+        .when(F.sha2(raw, 256) != digest, HASH_MISMATCH)
+        .otherwise(_json_code(text))
+    )
+    return documents.select(F.col(id_col).alias("task_id"), code.alias("code"))
+
+
 def audit(documents: DataFrame, id_col: str = "task_id", json_col: str = "json") -> DataFrame:
     """task_id, scope, component_id, field, requirement, status: the document's fields
     and, per component with the primary one first, its fields and two facts that
-    documents don't state. Documents that aren't JSON objects give no rows."""
-    d = documents.select(F.col(id_col).alias("task_id"), F.from_json(json_col, DOCUMENT).alias("d")).where(
-        F.try_parse_json(documents[json_col]).isNotNull() & F.col("d").isNotNull()
+    documents don't state. A document that isn't a strict JSON object gives one row of
+    scope source, whose field is the error's code."""
+    judged = documents.select(F.col(id_col).alias("task_id"), F.col(json_col).alias("_json"), F.explode(F.array(_json_code(F.col(json_col)))).alias("_code"))
+    failed = judged.where("_code <> ''").select(
+        "task_id", F.lit(SOURCE).alias("scope"), F.lit("").alias("component_id"), F.col("_code").alias("field"), F.lit(MUST).alias("requirement"), F.lit(BLOCKED).alias("status")
     )
+    d = judged.where("_code = ''").select("task_id", F.from_json("_json", DOCUMENT).alias("d"))
     listed = F.concat(
         F.when(F.col("d.metadata.component").isNotNull(), F.array("d.metadata.component")).otherwise(F.array().cast(f"array<{COMPONENT}>")),
         F.coalesce("d.components", F.array().cast(f"array<{COMPONENT}>")),
@@ -166,7 +202,7 @@ def audit(documents: DataFrame, id_col: str = "task_id", json_col: str = "json")
         ("component.descriptionLevel", MUST, F.lit(BLOCKED)),
     ]
     rules = component_rules(F.col("c"), F.col("complete"), F.array_contains("owners", present(F.col("c")["bom-ref"])))
-    return own.unionByName(_unpivoted(each, facts + rules, F.lit("component"), F.col("component_id")))
+    return own.unionByName(_unpivoted(each, facts + rules, F.lit("component"), F.col("component_id"))).unionByName(failed)
 
 
 def _unpivoted(rows: DataFrame, rules: list[tuple[str, str, Column]], scope: Column, component: Column) -> DataFrame:
@@ -175,8 +211,9 @@ def _unpivoted(rows: DataFrame, rules: list[tuple[str, str, Column]], scope: Col
 
 
 def summary(fields: DataFrame) -> DataFrame:
-    """Per document: counts of each status and the verdict. The two facts beside the
-    fields count as blockers only."""
+    """Per assessed document: counts of each status and the verdict. The two facts beside
+    the fields count as blockers only."""
+    fields = fields.where(F.col("scope") != SOURCE)
     fact = F.col("field").isin("component.descriptionKind", "component.descriptionLevel")
     count = lambda s: F.count_if((F.col("status") == s) & ~fact).alias(s.replace("-", "_"))
     blocked = F.count_if(F.col("status") == BLOCKED)
@@ -189,7 +226,7 @@ def summary(fields: DataFrame) -> DataFrame:
 
 
 def blockers(fields: DataFrame) -> DataFrame:
-    return fields.where(F.col("status") == BLOCKED).select("task_id", "scope", "component_id", "field")
+    return fields.where((F.col("status") == BLOCKED) & (F.col("scope") != SOURCE)).select("task_id", "scope", "component_id", "field")
 
 
 ADVISORIES = (
@@ -201,6 +238,6 @@ ADVISORIES = (
 
 def advisories(fields: DataFrame) -> DataFrame:
     rows = F.explode(F.array(*[F.lit(a) for a in ADVISORIES])).alias("text")
-    return fields.select("task_id").distinct().select("task_id", rows)
+    return fields.where(F.col("scope") != SOURCE).select("task_id").distinct().select("task_id", rows)
 
 

@@ -18,6 +18,8 @@ MAX_DEPTH, MAX_NODES, MAX_TOKENS = 128, 262_144, 1_048_576
 MAX_BYTES = 32 << 20
 
 STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
+#: The same without control characters.
+PLAIN_STRING = r'"(?:[^"\\\x00-\x1f]|\\[^\x00-\x1f])*+"'
 ATOM = r'[^\s"{}\[\],:]+'
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 #: What may follow a value, and stand before one.
@@ -75,7 +77,7 @@ def _judged(text: Column, bare: Column, escapes: Column, max_bytes: int) -> Colu
         # an atom that is no number or word of the grammar
         & ~bare.rlike(rf"(?<![^\x20\t\n\r\"{{}}\[\],:])(?!{VALUE}(?![^\x20\t\n\r{{}}\[\],:])){ATOM}")
         # control characters in strings, and escapes that don't exist
-        & ~text.rlike(r'"(?:[^"\\\x00-\x1f]|\\[\s\S])*+[\x00-\x1f]')
+        & (F.regexp_replace(text, PLAIN_STRING, '"') == bare)
         & ~F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})', "").contains("\\")
     )
     whole = lambda n: (n["open"] == "") & ~n["early"] & ~n["crossed"]

@@ -201,6 +201,25 @@ def readiness_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readiness.audit(_documents(spark, sf_dir))
 
 
+def readiness_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the documents of tasks, with the digests that were kept of them: ids, sizes,
+    digests, encodings and JSON that are not what they should be among them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    key = F.col("page_id")
+    task = F.concat(F.lit("cccccccc-cccc-4ccc-8ccc-"), F.lpad(_text(key), 12, "0"))
+    task = F.when(key % 9 == 1, F.concat(F.lit("{"), task, F.lit("}"))).when(key % 9 == 2, F.col("url")).when(key % 9 == 3, F.upper(task)).otherwise(task)
+    sound = F.to_json(F.struct("url", "html"))
+    content = (
+        F.when(key % 11 == 1, "").when(key % 11 == 2, F.concat(F.lit("["), sound, F.lit("]"))).when(key % 11 == 3, F.concat(F.lit('{"a": 1, "a": '), sound, F.lit("}")))
+        .when(key % 11 == 4, F.col("html")).otherwise(sound)
+    ).cast("binary")
+    content = F.when(key % 11 == 5, F.concat(F.lit(b'{"a": "\xc0\xaf"}'), F.lit(b"").cast("binary"))).otherwise(content)
+    digest = F.sha2(content, 256)
+    digest = F.when(key % 7 == 1, "").when(key % 7 == 2, F.col("url")).when(key % 7 == 3, F.sha2("url", 256)).when(key % 7 == 4, F.concat(F.lit(" "), F.upper(digest))).otherwise(digest)
+    rows = pages.select("page_id", task.alias("task_id"), content.alias("content"), digest.alias("expected_sha256"))
+    return readiness.source_errors(rows)
+
+
 def readiness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readiness.summary(readiness_fields(spark, sf_dir))
 
@@ -258,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hash_validity, canonical_digests, coordinates, binary_urls, root_references, path_checks, task_names, status_texts, field_checks,
-        document_components, document_sections, document_artifacts, readiness_fields, readiness_summary, readiness_blockers, readiness_advisories,
+        document_components, document_sections, document_artifacts, readiness_fields, readiness_sources, readiness_summary, readiness_blockers, readiness_advisories,
         cache_lookups, history_rows, history_days, history_events,
     )
 }
@@ -342,7 +361,12 @@ r AS (SELECT count(DISTINCT CASE WHEN package_url <> '' THEN package_url ELSE lo
 SELECT 'head' AS section, 1 AS n, 0 AS held UNION ALL SELECT 'artifact', count(*), 0 FROM supplier UNION ALL SELECT 'component', n, 0 FROM c UNION ALL SELECT 'dependency', 1, n FROM r""",
         "document_artifacts": """SELECT 'ledgerline:artifact' AS name, 'supplier-' || s_suppkey || '/manifest.json | package.json | ' ||
   ['parsed', 'partially parsed', 'detected but unsupported', 'failed'][s_suppkey % 4 + 1] || ' | package-json' AS value FROM supplier""",
-        "readiness_fields": f"WITH {_audit_sql()} SELECT * FROM audit",
+        "readiness_fields": f"""WITH {_audit_sql()} SELECT * FROM audit
+UNION ALL SELECT c_custkey, 'source', '', '{readiness.JSON_INVALID}', 'MUST', 'blocked' FROM customer WHERE c_custkey % 50 = 0""",
+        "readiness_sources": f"""WITH i AS (SELECT page_id AS k, url, html, 'cccccccc-cccc-4ccc-8ccc-' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS t FROM pages)
+SELECT CASE k % 9 WHEN 1 THEN '{{' || t || '}}' WHEN 2 THEN url WHEN 3 THEN upper(t) ELSE t END AS task_id, CASE WHEN k % 9 IN (1, 2) THEN '{readiness.ID_INVALID}'
+  WHEN k % 11 = 1 OR k % 11 = 4 AND coalesce(html, '') = '' THEN '{readiness.SIZE_INVALID}' WHEN k % 7 IN (1, 2) THEN '{readiness.HASH_MISSING}' WHEN k % 7 = 3 THEN '{readiness.HASH_MISMATCH}'
+  WHEN k % 11 IN (2, 3, 4, 5) THEN '{readiness.JSON_INVALID}' ELSE '' END AS code FROM i""",
         "readiness_summary": f"""WITH {_audit_sql()} SELECT task_id, count(DISTINCT component_id) FILTER (scope = 'component') AS components_assessed, count(*) FILTER (status = 'mapped' AND {fact}) AS mapped,
   count(*) FILTER (status = 'derivable' AND {fact}) AS derivable, count(*) FILTER (status = 'not-observed' AND {fact}) AS not_observed,
   count(*) FILTER (status = 'blocked') AS blocked, {verdict} AS verdict FROM audit GROUP BY task_id""",

@@ -70,6 +70,10 @@ CASES = [
     ('{"a":{},"b":[]}', ''),
     ('{"a":"\u2028"}', ''),
     ('{"a":1\xa0}', 'syntax'),
+    (json.dumps({"a": [1, "x", {"b": None, "c": ["d", "e\\n"]}], "f": {}}, indent=2) + "\n", ""),
+    ('{"a": "x",\r\n\t"b": "y"}', ""),
+    ('{"a": "x", "b": "tab\there"}', "syntax"),
+    ('{"a": "x", "b": "escaped\\\nbreak"}', "syntax"),
     ("[" * 128 + "]" * 128, ""),
     ("[" * 129 + "]" * 129, "depth"),
     ('{"a":' * 128 + "1" + "}" * 128, ""),
