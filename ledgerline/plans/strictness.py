@@ -36,6 +36,7 @@ JSON_KINDS: tuple[tuple[str, str], ...] = (
     ("""left(concat('{"a":', X, ',"b":', S, '}'), 12 + cast(K % 9 as int))""", "'syntax'"),
     ("""concat('{"a":"tab\\t', K, '"}')""", "'syntax'"),
     ("""repeat(' ', cast(K % 7 as int))""", "'empty'"),
+    ("""concat('{\n  "a": ', X, ',\n\t"b": [\r\n', S, ', ', K, '\n]\n}\n')""", "''"),
 )
 
 

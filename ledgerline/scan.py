@@ -214,12 +214,9 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings(), cache_
     kept there once the scan is complete, under its path, identity and the digest of its
     content; a later scan with equal settings takes it from there. Contents are hashed
     anew in every scan. With refresh_rescan_cache everything is parsed, and kept anew."""
-    inventory.register(spark)
     work = Work(spark)
     options = {"path": root, "ignore": "\n".join(settings.ignore_patterns), "followLinks": str(settings.follow_symbolic_links), "allowOutsideRoot": str(settings.allow_outside_root)}
-    listed = work.saved(spark.read.format("file_inventory").options(**options).load().drop("content", "sha256"), "listed")
-    if settings.follow_symbolic_links:
-        listed = work.saved(inventory.visited_once(listed), "visited")
+    listed = work.saved(inventory.walk(spark, options).drop("content", "sha256"), "listed")
     files = listed.where("entry_kind = 'file'").drop("message")
     gated = classify.gate(classify.classify(files))
     unnamed = F.col("parser").isNull()  # its first bytes decide

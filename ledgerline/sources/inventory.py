@@ -1,7 +1,8 @@
 """A Python data source that lists a directory tree: spark.read.format("file_inventory").
 
-Each entry of the tree's first two levels is a partition, so a tree is walked by as many
-tasks as it has such entries. Rows carry what scans need before any content is read;
+walk() lists a tree level by level: the folders of a level are a table that all tasks list,
+and the folders found in it, less those visited before, are the next. The data source lists
+without that: each entry of the tree's first two levels is a partition. Rows carry what scans need before any content is read;
 folder is the real path of the folder that was listed, whatever links led there;
 content comes only with the option content=true, and only for names that match a pattern
 and files up to a size. Errors become rows with a message, not failures.
@@ -14,12 +15,17 @@ import os
 import re
 import stat
 from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.patterns import DEFAULT_IGNORED, wildcard_regex
+from ..shared import saved
 
 SCHEMA = (
     "relative_path string, absolute_path string, entry_kind string, file_size bigint, mtime_ns bigint, storage_id bigint, "
@@ -28,6 +34,10 @@ SCHEMA = (
 )
 
 
+FOLDER = "folder"
+VISITED = "The folder was visited before."
+
+
 class Ignore:
     """The same rules as functions.patterns.ignores, for one path at a time."""
 
@@ -99,8 +109,7 @@ class InventoryReader(DataSourceReader):
         return self.outside or real == self.root or real.startswith(self.root + os.sep)
 
     def read(self, partition: Start) -> Iterator[tuple]:
-        at = os.stat(self.root)
-        if (at.st_dev, at.st_ino) != self.pinned:
+        if not self.pinned_still():
             yield self._message(partition.relative, "The root was replaced during the scan.")
             return
         seen = set()
@@ -109,33 +118,46 @@ class InventoryReader(DataSourceReader):
             relative = todo.pop()
             real = os.path.realpath(os.path.join(self.root, relative))
             if real in seen:
-                yield self._message(relative, "The folder was visited before.")
+                yield self._message(relative, VISITED)
                 continue
             seen.add(real)
             inner = []
-            for name, info in self._entries(relative):
-                path = f"{relative}/{name}".strip("/")
-                if isinstance(info, str):
-                    yield self._message(path, info)
-                    continue
-                linked = stat.S_ISLNK(info.st_mode)
-                if linked and not self.follow:
-                    continue
-                if linked and not self._allowed(path):
-                    yield self._message(path, "The link leaves the root.")
-                    continue
-                folder = self._is_folder(path, info)
-                if self.ignore(path, folder):
-                    if folder:
-                        yield (path, None, "ignored", None, None, None, None, linked, True, None, None, "", real)
-                    continue
-                if folder:
-                    inner.append(path)
+            for row in self.listed(relative):
+                if row[2] != FOLDER:
+                    yield row
                 else:
-                    yield (*self._file(path, linked)[:-1], real)
+                    inner.append(row[0])
             if partition.deep:
                 todo += reversed(inner)
 
+    def listed(self, relative: str) -> Iterator[tuple]:
+        """The rows of one folder's entries; a folder to be listed in turn is a row of kind
+        FOLDER, its real path as absolute_path."""
+        real = os.path.realpath(os.path.join(self.root, relative))
+        for name, info in self._entries(relative):
+            path = f"{relative}/{name}".strip("/")
+            if isinstance(info, str):
+                yield self._message(path, info)
+                continue
+            linked = stat.S_ISLNK(info.st_mode)
+            if linked and not self.follow:
+                continue
+            if linked and not self._allowed(path):
+                yield self._message(path, "The link leaves the root.")
+                continue
+            folder = self._is_folder(path, info)
+            if self.ignore(path, folder):
+                if folder:
+                    yield (path, None, "ignored", None, None, None, None, linked, True, None, None, "", real)
+            elif folder:
+                yield (path, os.path.realpath(os.path.join(self.root, path)), FOLDER, None, None, None, None, linked, True, None, None, "", real)
+            else:
+                yield (*self._file(path, linked)[:-1], real)
+
+    def pinned_still(self) -> bool:
+        at = os.stat(self.root)
+        return (at.st_dev, at.st_ino) == self.pinned
+
     def _message(self, path: str, text: str) -> tuple:
         return (path, None, "warning", None, None, None, None, False, False, None, None, text, None)
 
@@ -166,6 +188,54 @@ class InventoryReader(DataSourceReader):
         return (path, absolute, "file", before.st_size, before.st_mtime_ns, before.st_dev, before.st_ino, linked, stable, digest, content, message, None)
 
 
+def walk(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """The rows of a whole tree, with the data source's options. Levels follow each other,
+    and every folder is listed once, by its real path: of several paths to it the one of
+    the least level counts, of those the least, and a warning takes the place of each
+    other. What is held besides the tables of a level is its number of folders."""
+    reader = InventoryReader({k.lower(): v for k, v in options.items()})
+    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for relative in batch.column(0).to_pylist():
+                sound = reader.pinned_still()
+                for row in reader.listed(relative) if sound else [reader._message(relative, "The root was replaced during the scan.")]:
+                    rows.append(row)
+                    held += len(row[10] or b"")
+                    if len(rows) == 1000 or held > 64 << 20:
+                        yield _batch(rows, arrow)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows, arrow)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([("", reader.root)], "relative_path string, folder string")
+    seen, found, others, n = frontier.select("folder"), [], [], 1
+    while n:
+        level = saved(frontier.repartition(min(n, tasks)).select("relative_path").mapInArrow(run, SCHEMA), "level")
+        found.append(level.where(F.col("entry_kind") != FOLDER))
+        folders = level.where(F.col("entry_kind") == FOLDER).select("relative_path", F.col("absolute_path").alias("folder"))
+        frontier = folders
+        if reader.follow:  # else every folder has one path
+            least = folders.groupBy("folder").agg(F.min("relative_path").alias("relative_path"))
+            frontier = saved(least.join(seen, "folder", "left_anti").select("relative_path", "folder"), "frontier")
+            others.append(folders.join(frontier, ["relative_path", "folder"], "left_anti"))
+            seen = saved(seen.unionByName(frontier.select("folder")), "visited")
+        n = frontier.count()
+    told = {"entry_kind": F.lit("warning"), "was_link": F.lit(False), "stable": F.lit(False), "message": F.lit(VISITED)}
+    fields = StructType.fromDDL(SCHEMA)
+    for again in others:
+        found.append(again.select("relative_path", *[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields[1:]]))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def visited_once(listed: DataFrame) -> DataFrame:
     """Rows of an inventory that followed links, without those of folders that another path
     reached too: the least path counts, and a warning takes the place of each other one."""

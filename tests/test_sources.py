@@ -160,6 +160,53 @@ def test_classifier(spark):
     assert {r["relative_path"]: r["parser"] for r in df.collect()} == paths
 
 
+def walked(spark, root, **options):
+    rows = inventory.walk(spark, {"path": str(root), **options}).collect()
+    return sorted((r["relative_path"], r["entry_kind"], r["message"]) for r in rows)
+
+
+def test_walk_lists_what_the_data_source_lists(spark, tmp_path):
+    inventory.register(spark)
+    for at in ("a/b/c/d/e", "a/.git/x", "f", "g/h"):
+        os.makedirs(tmp_path / at)
+        (tmp_path / at / "file.txt").write_text(at)
+    (tmp_path / "top.txt").write_text("x")
+    os.mkfifo(tmp_path / "a/pipe")
+    os.symlink(tmp_path / "top.txt", tmp_path / "f/link")
+    for options in ({}, {"followLinks": "true"}, {"content": "true", "sha256": "true"}):
+        source = spark.read.format("file_inventory").options(path=str(tmp_path), **options).load()
+        names = [c for c in source.columns if c != "folder"]
+        of = lambda df, names=names: sorted(tuple(map(str, r)) for r in df.select(names).collect())
+        assert of(source) == of(inventory.walk(spark, {"path": str(tmp_path), **options}))
+
+
+def test_walk_of_a_deep_a_flat_and_a_cyclic_tree(spark, tmp_path):
+    deep = tmp_path / "deep"
+    os.makedirs(deep / "/".join(["d"] * 25))
+    (deep / "/".join(["d"] * 25) / "end").write_text("x")
+    assert walked(spark, deep) == [("/".join(["d"] * 25) + "/end", "file", "")]
+    flat = tmp_path / "flat"
+    for k in range(60):
+        os.makedirs(flat / f"n{k}")
+        (flat / f"n{k}" / "file").write_text("x")
+    rows = inventory.walk(spark, {"path": str(flat)})
+    assert rows.count() == 60 and sum(1 for p in rows.rdd.glom().collect() if p) >= 4  # many tasks wrote them
+    ring = tmp_path / "ring"
+    os.makedirs(ring / "a/b")
+    os.makedirs(ring / "z")
+    (ring / "a/b/file").write_text("x")
+    os.symlink(ring, ring / "a/b/up")
+    os.symlink(ring / "a", ring / "z/again")
+    os.symlink(ring / "a/b", ring / "shallow")
+    os.symlink(tmp_path / "flat", ring / "outside")
+    visited = "The folder was visited before."
+    assert walked(spark, ring, followLinks="true") == [
+        ("a/b", "warning", visited), ("outside", "warning", "The link leaves the root."), ("shallow/file", "file", ""), ("shallow/up", "warning", visited), ("z/again", "warning", visited),
+    ]
+    everything = walked(spark, ring, followLinks="true", allowOutsideRoot="true")
+    assert [p for p, k, _ in everything if k == "file"] == sorted(["shallow/file", *[f"outside/n{k}/file" for k in range(60)]])
+
+
 def test_history_and_stream(spark, tmp_path):
     folder = str(tmp_path / "history")
     row = lambda i, s, day: (i, f"2024-01-0{day}T10:00:00.000Z", "", "", "", "root", s, 3, 10, 1, 0, 0)
