@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.text import LOWER, UPPER
 from ..operators.classify import LIMITS, RULES
 from ..sources.adapters import FILES, LICENSES
-from . import formats, strictness, surface
+from . import formats, images, strictness, surface
 from .queries import ECOSYSTEMS, LIBRARIES, NAMES, PURL_VERSIONS, PURLS, STRONG, VERSIONS
 
 
@@ -265,5 +265,6 @@ SELECT id, package_url, CASE WHEN t = '' OR clear = '' OR len(list_filter(quals,
   ELSE 'purl:pkg:' || t || '/' || clear || CASE WHEN len(quals) > 0 THEN '?' || array_to_string(quals, '&') ELSE '' END || CASE WHEN sub <> '' THEN '#' || sub ELSE '' END END AS strong FROM v""",
     **formats.ORACLES,
     **strictness.ORACLES,
+    **images.ORACLES,
     **surface.oracles(NORM, TASKS, PATHS),
 }

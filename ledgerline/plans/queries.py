@@ -12,7 +12,7 @@ from ..functions import display, hashes, identity, patterns, purl, text, version
 from ..operators import advisories, classify, compare, graph, normalize, views
 from ..shared import saved
 from ..sources import adapters
-from . import formats, strictness, surface
+from . import formats, images, strictness, surface
 
 #: Shapes of the texts that the scalar queries run over, dealt by row number and filled from
 #: the row: $K the part's key, $S its size, $N its name.
@@ -292,4 +292,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         component_facets, advisory_matches, scan_summary, dependency_edges, dependency_sets, task_list, previous_tasks,
         initial_selection, strong_identities,
     )
-} | formats.QUERIES | strictness.QUERIES | surface.QUERIES
+} | formats.QUERIES | strictness.QUERIES | images.QUERIES | surface.QUERIES
