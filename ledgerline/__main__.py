@@ -66,6 +66,7 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
 
     from .operators import document
     from .scan import scan
+    from .shared import folder
 
     spark = spark or SparkSession.builder.appName("ledgerline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     now = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
@@ -75,7 +76,11 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
             str(uuid.uuid4()), now, root, os.path.basename(root), settings.sbom_author_organization, settings.sbom_author_email,
             settings.include_absolute_paths, VERSION, found.artifacts.count(),
         )
-        write(given.output, document.render(document.document_rows(task, found.components, found.artifacts)))
+        try:
+            write(given.output, document.render(document.document_rows(task, found.components, found.artifacts)))
+        except document.TooLarge:
+            lines = document.document_lines(task, found.components, found.artifacts)
+            document.assemble(document.write_lines(lines, f"{folder(spark)}/document-{uuid.uuid4().hex}"), given.output)
     except (OSError, ValueError, PySparkException) as e:
         print(f"scan: {e}", file=sys.stderr)
         return 1

@@ -4,15 +4,22 @@ dependency entries and the metadata, as rows that sort into a document."""
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions.spdx import is_valid_expression
 from ..functions.text import lower, present, trim
 from ..functions.versions import soname_abi
+from ..shared import saved
 from .graph import dependency_edges, dependency_sets, sole_project
 from .normalize import sort_order
 
@@ -21,6 +28,10 @@ SPEC_VERSIONS = ("1.6", "1.7")
 MAX_TEXT_BYTES = 64 << 20
 
 
+class TooLarge(ValueError):
+    """A document that is not rendered as one text."""
+
+
 @dataclass(frozen=True)
 class Task:
     """What a document states about its scan."""
@@ -136,7 +147,32 @@ def component_object(task: Task) -> Column:
 
 def document_rows(task: Task, components: DataFrame, artifacts: DataFrame, spec_version: str = "1.7") -> DataFrame:
     """section, rank, json: metadata (one row), component rows in list order, dependency
-    rows with the root first. Documents of any size stay distributed."""
+    rows with the root first. An owner's dependencies are one list here; document_lines()
+    has none."""
+    parts = _sections(task, components, artifacts, spec_version)
+    first = components.sparkSession.createDataFrame([("head", "", json.dumps(parts.head, ensure_ascii=False))], "section string, rank string, json string")
+    entry = F.to_json(F.struct(F.col("owner_ref").alias("ref"), F.col("depends_on").alias("dependsOn")))
+    graph = dependency_sets(parts.edges).select(F.lit("dependency").alias("section"), _owner_rank(parts).alias("rank"), entry.alias("json"))
+    return first.unionByName(parts.found).unionByName(parts.body).unionByName(graph)
+
+
+@dataclass
+class _Parts:
+    """head: what is stated once; rows of artifacts and components (section, rank, json);
+    edges of the graph; the primary component's reference."""
+
+    head: dict
+    found: DataFrame
+    body: DataFrame
+    edges: DataFrame
+    primary: str
+
+
+def _owner_rank(parts: _Parts) -> Column:
+    return F.concat(F.when(F.col("owner_ref") == parts.primary, "0").otherwise("1"), F.col("owner_ref"))
+
+
+def _sections(task: Task, components: DataFrame, artifacts: DataFrame, spec_version: str) -> _Parts:
     if spec_version not in SPEC_VERSIONS:
         raise ValueError(f"unknown version {spec_version}")
     spark = components.sparkSession
@@ -175,18 +211,128 @@ def document_rows(task: Task, components: DataFrame, artifacts: DataFrame, spec_
         "metadata": metadata,
         "compositions": [{"aggregate": "incomplete"}],
     }
-    first = spark.createDataFrame([("head", "", json.dumps(head, ensure_ascii=False))], "section string, rank string, json string")
     order = F.concat_ws("\x01", *[k.cast("string") for k in sort_order()[:-1]], F.lpad(F.col("first_ordinal").cast("string"), 20, "0"))
     body = components.select(F.lit("component").alias("section"), order.alias("rank"), F.to_json(component_object(task)).alias("json"))
     edges = dependency_edges(components, artifacts, primary["bom-ref"], primary["bom-ref"] if promoted is not None else None)
-    entry = F.to_json(F.struct(F.col("owner_ref").alias("ref"), F.col("depends_on").alias("dependsOn")))
-    is_root = F.col("owner_ref") == primary["bom-ref"]
-    graph = dependency_sets(edges).select(F.lit("dependency").alias("section"), F.concat(F.when(is_root, "0").otherwise("1"), F.col("owner_ref")).alias("rank"), entry.alias("json"))
     found = listed.select(
         F.lit("artifact").alias("section"), F.concat_ws("\x01", "relative_path", "artifact_type").alias("rank"),
         F.to_json(F.struct(F.lit(f"{PREFIX}:artifact").alias("name"), F.col("value"))).alias("json"),
     )
-    return first.unionByName(found).unionByName(body).unionByName(graph)
+    return _Parts(head, found, body, edges, primary["bom-ref"])
+
+
+LINES = "part int, k1 string, k2 string, text string"
+
+
+def document_lines(task: Task, components: DataFrame, artifacts: DataFrame, spec_version: str = "1.7") -> DataFrame:
+    """The document's text as rows of whole lines, in the order of part, k1 and k2: equal to
+    render(), at any size. No list is held; what ends a list knows that it does by the
+    list's greatest key."""
+    parts = _sections(task, components, artifacts, spec_version)
+    spark = components.sparkSession
+    own = F.concat("rank", F.lit("\x01"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))  # none twice
+    found, body = saved(parts.found.withColumn("rank", own), "artifacts"), saved(parts.body.withColumn("rank", own), "components")
+    edges = parts.edges.withColumn("k1", _owner_rank(parts))
+    root = spark.createDataFrame([(parts.primary, None)], "owner_ref string, dep_ref string").withColumn("k1", _owner_rank(parts))
+    edges = saved(edges.unionByName(root.select(edges.columns)).distinct(), "edges")
+    ends = {n: df.agg(F.max("rank").alias("last")).first()["last"] for n, df in (("artifact", found), ("component", body))}
+    owners = saved(edges.groupBy("k1", "owner_ref").agg(F.max("dep_ref").alias("last")), "owners")
+    last_owner = owners.agg(F.max("k1")).first()[0]
+
+    head = json.loads(json.dumps(parts.head))
+    compositions = head.pop("compositions")
+    frame = json.dumps(head | {"components": [0], "dependencies": [0], "compositions": compositions}, indent=2, ensure_ascii=False).split("\n")
+    at = next(k for k, line in enumerate(frame) if line == '  "components": [')
+    close = at - 1 - frame[at - 1 :: -1].index("    ]")  # of the properties, which end the metadata
+    comma = "," if ends["artifact"] is not None else ""
+    some = ends["component"] is not None
+    fixed = [
+        (0, "\n".join(frame[: close - 1] + [frame[close - 1] + comma])),
+        (2, "\n".join([*frame[close:at], frame[at] if some else '  "components": [],'])),
+        *([(4, frame[at + 2])] if some else []),
+        (5, frame[at + 3]),
+        (7, "\n".join(frame[at + 5 :])),
+    ]
+    rows = spark.createDataFrame([(p, "", "", t) for p, t in fixed], LINES)
+
+    def items(df: DataFrame, part: int, depth: int, last: str | None) -> DataFrame:
+        given = df.select(F.lit(part).alias("part"), F.col("rank").alias("k1"), F.lit("").alias("k2"), "json", (F.col("rank") != F.lit(last)).alias("more"))
+        return _formatted(given, depth)
+
+    lone = owners.where("last IS NULL")
+    held = owners.where("last IS NOT NULL")
+    opened = _formatted(owners.select(F.lit(6).alias("part"), "k1", F.lit("0").alias("k2"), F.to_json(F.struct("owner_ref")).alias("json"), F.col("last").isNotNull().alias("more")), -1)
+    linked = edges.where("dep_ref IS NOT NULL").join(owners.select("k1", "last"), "k1")
+    linked = _formatted(linked.select(F.lit(6).alias("part"), "k1", F.concat(F.lit("1"), "dep_ref").alias("k2"), F.to_json(F.struct("dep_ref")).alias("json"), (F.col("dep_ref") != F.col("last")).alias("more")), -2)
+    comma_or_not = F.when(F.col("k1") == F.lit(last_owner), "    }").otherwise("    },")
+    ended = held.select(F.lit(6).alias("part"), "k1", F.lit("2").alias("k2"), F.concat(F.lit("      ]\n"), comma_or_not).alias("text")).unionByName(
+        lone.select(F.lit(6).alias("part"), "k1", F.lit("2").alias("k2"), comma_or_not.alias("text"))
+    )
+    for more in (items(found, 1, 6, ends["artifact"]), items(body, 3, 4, ends["component"]), opened, linked, ended):
+        rows = rows.unionByName(more)
+    return rows
+
+
+def _formatted(rows: DataFrame, depth: int) -> DataFrame:
+    """(part, k1, k2, text) of rows (part, k1, k2, json, more): the value's lines at a depth
+    of blanks, with a comma if more follow. -1: an owner's first lines, which open its list
+    if more; -2: one of its dependencies."""
+
+    def text(value: str, more: bool) -> str:
+        found = json.loads(value)
+        if depth == -1:
+            ref = json.dumps(found["owner_ref"], ensure_ascii=False)
+            return f'    {{\n      "ref": {ref},\n      "dependsOn": [' + ("" if more else "]")
+        if depth == -2:
+            return " " * 8 + json.dumps(found["dep_ref"], ensure_ascii=False) + ("," if more else "")
+        lines = json.dumps(found, indent=2, ensure_ascii=False).split("\n")
+        return "\n".join(" " * depth + x for x in lines) + ("," if more else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text(j, m) for j, m in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["part", "k1", "k2", "text"])
+
+    return rows.mapInArrow(run, LINES)
+
+
+def write_lines(lines: DataFrame, folder: str) -> DataFrame:
+    """Writes document_lines as text files whose names give their order, and returns path,
+    n_bytes and offset of each in the document. The sort deals ranges, so parts are written
+    by all tasks at once."""
+    spark = lines.sparkSession
+    lines.orderBy("part", "k1", "k2").select("text").write.text(folder)
+    sizes = spark.read.text(f"{folder}/part-*").groupBy(F.input_file_name().alias("path"), F.lit(0).alias("all")).agg(F.sum(F.octet_length("value") + 1).alias("n_bytes"))
+    before = Window.partitionBy("all").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    return sizes.select("path", "n_bytes", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("offset"))
+
+
+def assemble(parts: DataFrame, path: str) -> int:
+    """One file of the parts of write_lines, on a folder that every executor sees as a local
+    one: each task copies its parts to their place, and the file gets its name when all
+    are there. Returns its size."""
+    unfinished = f"{path}.{uuid.uuid4().hex}.part"
+    total = parts.agg(F.sum("n_bytes")).first()[0] or 0
+    with open(unfinished, "xb") as f:
+        f.truncate(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, offset in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                with open(unquote(urlsplit(source).path), "rb") as given, open(unfinished, "r+b") as out:
+                    out.seek(offset)
+                    shutil.copyfileobj(given, out, 1 << 20)
+                    out.flush()
+                    os.fsync(out.fileno())
+            yield batch
+
+    try:
+        parts.repartition("path").mapInArrow(run, parts.schema).count()
+        os.replace(unfinished, path)
+    finally:
+        if os.path.exists(unfinished):
+            os.unlink(unfinished)
+    return total
 
 
 def _pruned(value):
@@ -200,7 +346,7 @@ def render(rows: DataFrame) -> str:
     MAX_TEXT_BYTES, which is checked before anything is collected; larger ones stay rows."""
     size = rows.agg(F.sum(F.octet_length("json"))).first()[0] or 0
     if size > MAX_TEXT_BYTES:
-        raise ValueError(f"{size} bytes; write the rows instead")
+        raise TooLarge(f"{size} bytes; write its lines instead")
     parts: dict[str, list] = {"head": [], "artifact": [], "component": [], "dependency": []}
     for r in rows.orderBy("section", "rank").collect():
         parts[r["section"]].append(json.loads(r["json"]))

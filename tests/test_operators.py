@@ -1,4 +1,5 @@
 import json
+import os
 
 from ledgerline.operators import advisories, cache, compare, document, graph, normalize, readiness, views
 from ledgerline.schemas import COMPONENT
@@ -59,7 +60,7 @@ def test_ambiguous_fallbacks_stay_apart(spark):
     assert {r["kind"] for r in compare.warnings(frame(spark, rows)).collect()} == {"ambiguous"}
 
 
-def test_graph_and_document(spark):
+def test_graph_and_document(spark, tmp_path):
     rows = [
         component("tool", "1", ordinal=1, source_artifact="bin/tool", source_parser="binary-header", dependency_scope="", ecosystem="native", evidence_paths=["bin/tool"]),
         component("libz.so.1", "1", ordinal=2, source_artifact="bin/tool", source_parser="binary-dependency-table", ecosystem="native", evidence_paths=["bin/tool"]),
@@ -72,6 +73,13 @@ def test_graph_and_document(spark):
     task = document.Task(id="0" * 8, target_directory="/x/demo/", timestamp="2024-01-01T00:00:00.000Z", author_email="a@b.c")
     text = document.render(document.document_rows(task, components.repartition(5), artifacts))
     assert text == document.render(document.document_rows(task, components.coalesce(1), artifacts)) and text.endswith("}\n")
+    for k, (own, listed) in enumerate(((components.repartition(3), artifacts), (components.limit(0), artifacts), (components, artifacts.limit(0)), (components.limit(0), artifacts.limit(0)))):
+        whole = document.render(document.document_rows(task, own, listed))
+        lines = document.document_lines(task, own, listed)
+        parts = document.write_lines(lines, f"file://{tmp_path}/lines {k}")
+        assert document.assemble(parts, str(tmp_path / f"out{k}.json")) == len(whole.encode())
+        assert (tmp_path / f"out{k}.json").read_text() == whole
+    assert len(os.listdir(tmp_path)) == 8
     doc = json.loads(text)
     assert doc["metadata"]["component"]["name"] == "demo" and doc["metadata"]["component"]["bom-ref"] == "pkg:npm/app@1.0.0"
     by = {c["name"]: c for c in doc["components"]}
