@@ -33,7 +33,7 @@ DOMINANCE = 10
 #: Words that the index of one task's posting list holds.
 LIST_LIMIT = 4096
 #: Words of a posting list that are compared as they are.
-FEW = 16
+FEW = 32
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,7 +94,10 @@ class PostingIndex:
         """The words one edit from a word of their length (shifts: how much further than
         in it its grams may lie; 0) or one less (0 and 1)."""
         if not self.lists:
-            yield from (x for x in self.words if one_edit(word, x[0]))
+            head, tail = word[: len(word) >> 1], word[len(word) >> 1 :]  # one edit leaves one of them
+            for found in self.words:
+                if (found[0].startswith(head) or found[0].endswith(tail)) and one_edit(word, found[0]):
+                    yield found
             return
         q, words, lists = self.q, self.words, []
         for at in range(len(word) - q + 1):
