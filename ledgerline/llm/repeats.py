@@ -23,6 +23,7 @@ its windows, so no partition depends on one anchor.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -350,6 +351,22 @@ def shared_parts(bodies: list[bytes], owners: np.ndarray, length: int = LENGTH)
     return Intervals(np.frombuffer(b"".join(bodies), np.uint8), sizes, owners, length).later_parts()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, compressed plane by plane: first their lowest bytes, then the next."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
     """Buckets are ranges of keys, so what is sorted by key is sorted by bucket."""
     return ((key >> U(16)) * U(n_buckets) >> U(KEY_BITS - 16)).astype(np.int64)
@@ -433,17 +450,56 @@ ANSWERS = "block long, step int, bucket int, a binary, b binary"
 BODIES = "bucket int, block long, sizes binary, least binary, most binary, bodies binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 GROUPS = "repeat binary, doc_id long, start long, end long"
-ASKED_BYTES = 7  # a key, a bit for several documents, seven for the power of two
+TEXTS = "block long, texts binary"
+#: Text bytes that a task holds while it packs them by block.
+PACKED_BYTES = 32 << 20
+
+
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, raw) as a compressed Arrow stream per block, so that the
+    exchange holds fewer bytes than the texts have."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACKED_BYTES:
+            yield _packed_texts(held)
+            held, size = [], 0
+    if held:
+        yield _packed_texts(held)
+
+
+def _packed_texts(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).sort_by("block")
+    block = table.column("block").to_numpy()
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+    rows, own = [], table.select(["doc_id", "raw"])
+    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True):
+        sink = pa.BufferOutputStream()
+        part = own.slice(a, z - a).combine_chunks()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(part)
+        rows.append((int(block[a]), sink.getvalue().to_pybytes()))
+    numbers, texts = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(texts, pa.binary())], names=["block", "texts"])
+
+
+def unpack_texts(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("texts")])
+
+
 
 
 def ask_anchors(block_id: int, block: Block) -> list[tuple]:
     several, power = block.asked()
     bucket = bucket_of(block.anchors, block.n_buckets)
-    stored = block.anchors << U(8) | several.astype(U) << U(7) | power.astype(U)
-    stored = stored.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ASKED_BYTES]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    # keys ascend: the steps between them, a bit for several documents, seven for the power of two
+    step = np.diff(block.anchors, prepend=U(0))
+    step[cuts] = block.anchors[cuts]
+    stored = (step << U(8) | several.astype(U) << U(7) | power.astype(U)).astype("<u8")
     return [
-        (int(bucket[a]), block_id, stored[a:z].tobytes())
+        (int(bucket[a]), block_id, packed(stored[a:z]))
         for a, z in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True)
     ]
 
@@ -451,16 +507,14 @@ def ask_anchors(block_id: int, block: Block) -> list[tuple]:
 def answer_anchors(bucket: int, blocks: list[int], asked: list[bytes], crowded: int = CROWDED) -> list[tuple]:
     """For each block, a bit for each anchor it asked about: whether two documents have
     it; and another, if any is set: whether its segments are too many for one place."""
-    sizes = [len(a) // ASKED_BYTES for a in asked]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :ASKED_BYTES] = np.frombuffer(b"".join(asked), np.uint8).reshape(-1, ASKED_BYTES)
-    stored = wide.view("<u8").reshape(-1)
-    key = stored >> U(8)
+    each = [unpacked(a, "<u8") for a in asked]
+    sizes = [len(a) for a in each]
+    key, held = np.concatenate([np.cumsum(a >> U(8)) for a in each]), np.concatenate(each)
     order = np.argsort(key)
     ranked = key[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
     size = np.diff(np.append(first, len(key)))
-    held = stored[order]
+    held = held[order]
     several = np.maximum.reduceat((held >> U(7)) & U(1), first).astype(bool) | (size > 1)
     many = np.add.reduceat(np.int64(1) << (held & U(127)).astype(np.int64), first) > crowded
     shared, split = np.zeros(len(key), bool), np.zeros(len(key), bool)
@@ -483,14 +537,14 @@ def ask_bodies(block_id: int, block: Block, pieces: Pieces) -> list[tuple]:
     most = np.maximum.reduceat(pieces.ids, pieces.first)
     start = pieces.start[pieces.first]
     size = pieces.end[pieces.first] - start
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=3)
     return [
         (
             bucket,
             block_id,
-            size[a:z].astype(np.uint8).tobytes(),
-            least[a:z].astype("<i8").tobytes(),
-            (most[a:z] != least[a:z]).astype(np.uint8).tobytes(),
+            packed(size[a:z].astype(np.uint8)),
+            packed(least[a:z].astype("<i8")),
+            packed((most[a:z] != least[a:z]).astype(np.uint8)),
             packer.compress(gathered(block.text, start[a:z], size[a:z]).tobytes()),
         )
         for bucket, a, z in pieces.parts
@@ -505,11 +559,11 @@ class Bucket:
 
         unpacker = zstandard.ZstdDecompressor()
         self.blocks = [block for block, *_ in asked]
-        n = [len(sizes) for _, sizes, *_ in asked]
-        self.edges = np.cumsum([0, *n])
-        size = np.frombuffer(b"".join(a[1] for a in asked), np.uint8).astype(np.int64)
-        self.mine = np.frombuffer(b"".join(a[2] for a in asked), "<i8")
-        several = np.frombuffer(b"".join(a[3] for a in asked), np.uint8)
+        sizes = [unpacked(a[1], "u1") for a in asked]
+        self.edges = np.cumsum([0, *map(len, sizes)])
+        size = np.concatenate(sizes).astype(np.int64)
+        self.mine = np.concatenate([unpacked(a[2], "<i8") for a in asked])
+        several = np.concatenate([unpacked(a[3], "u1") for a in asked])
         text = np.frombuffer(b"".join(unpacker.decompress(a[4]) for a in asked), np.uint8)
         end = np.cumsum(size)
         first, self.which = alike(text, end - size, end)
@@ -540,7 +594,7 @@ def answer_bodies(bucket: int, asked: list[tuple]) -> list[tuple]:
     held = Bucket(asked)
     of, start, end, _ = held.intervals.later_parts()
     return [
-        (block, 2, bucket, held.least[w].astype("<i8").tobytes(), np.stack([k, s, e], axis=1).astype("<i4").tobytes())
+        (block, 2, bucket, packed(held.least[w].astype("<i8")), packed(np.concatenate([k, s, e]).astype("<i4")))
         for block, w, k, s, e, _ in held.parts_by_block(of, start, end, True)
     ]
 
@@ -569,8 +623,8 @@ def apply_answers(block: Block, pieces: Pieces, second: dict[int, tuple[bytes, b
     rows = [np.zeros((0, 3), np.int64)]
     for bucket, a, z in pieces.parts:
         own, parts = second[bucket]
-        least[a:z] = np.frombuffer(own, "<i8")
-        rows.append(np.frombuffer(parts, "<i4").reshape(-1, 3).astype(np.int64) + [a, 0, 0])
+        least[a:z] = unpacked(own, "<i8")
+        rows.append(unpacked(parts, "<i4").reshape(3, -1).T.astype(np.int64) + [a, 0, 0])
     later = pieces.ids > least[pieces.which]
     group, low, high = np.concatenate(rows).T
     # a part belongs to every piece of its group whose document is the least one
@@ -636,11 +690,12 @@ def _repeats(
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = max(n_tasks, int(total // block_bytes) + 1)
     n_buckets = max(n_tasks, int(total // (32 << 20)) + 1)
-    texts = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_blocks))).repartition(n_blocks, "block")
+    dealt = own.select(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n_blocks)).cast("long").alias("block"), "doc_id", "raw")
+    texts = dealt.mapInArrow(pack_texts, TEXTS).repartition(n_blocks, "block")
     schemas = {k: arrow_schema(spark, d) for k, d in (("a", ANCHORS), ("r", ANSWERS), ("b", BODIES), ("o", result))}
 
     def first(key, table):
-        return _table(ask_anchors(key[0].as_py(), Block(table, n_buckets)), schemas["a"])
+        return _table(ask_anchors(key[0].as_py(), Block(unpack_texts(table), n_buckets)), schemas["a"])
 
     def first_answer(key, table):
         asked = table.column("block").to_pylist(), table.column("anchors").to_pylist()
@@ -653,7 +708,7 @@ def _repeats(
     def second(key, table, answers):
         if not table.num_rows or not answers.num_rows:
             return _table([], schemas["b"])
-        block = Block(table, n_buckets)
+        block = Block(unpack_texts(table), n_buckets)
         return _table(ask_bodies(key[0].as_py(), block, block.pieces(told(answers)[0])), schemas["b"])
 
     def second_answer(key, table):
@@ -661,7 +716,7 @@ def _repeats(
         return _table(answer(key[0].as_py(), asked), schemas["r"])
 
     def last(key, table, answers):
-        block = Block(table, n_buckets)
+        block = Block(unpack_texts(table), n_buckets)
         one, two = told(answers)
         return apply(block, block.pieces(one), two).cast(schemas["o"])
 

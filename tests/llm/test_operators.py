@@ -941,3 +941,16 @@ def test_suffix_array_and_intervals():
     where = np.arange(len(text))
     order = repeats.suffix_order(text, where, len(text) - where)
     assert [bytes(text[i:]) for i in order] == sorted(bytes(text[i:]) for i in range(len(text)))
+
+
+def test_what_blocks_exchange_is_smaller_than_their_texts():
+    rows = [(i, prose(i, 300, 4000).encode()) for i in range(200)] + [(None, None), (900, b"")]
+    size = sum(len(t or b"") for _, t in rows)
+    table = repeats.pa.table({"block": [k % 3 for k in range(len(rows))], "doc_id": [i for i, _ in rows], "raw": repeats.pa.array([t for _, t in rows], repeats.pa.binary())})
+    sent = repeats.pa.Table.from_batches(repeats.pack_texts(iter(table.to_batches(max_chunksize=50))))
+    assert sum(len(x) for x in sent.column("texts").to_pylist()) < size / 2
+    got = repeats.unpack_texts(sent).to_pylist()
+    assert sorted(map(repr, got)) == sorted(repr({"doc_id": i, "raw": t}) for i, t in rows)
+    block = repeats.Block(repeats.pa.table({"doc_id": [i for i, t in rows if t], "raw": [t for _, t in rows if t]}), 5)
+    asked = repeats.ask_anchors(0, block)
+    assert sum(len(a) for *_, a in asked) < 5 * len(block.anchors)  # 7 bytes a key before
