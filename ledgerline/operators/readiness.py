@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import is_task_id
 from ..functions.text import lower, present, trim
+from ..shared import saved
 from .document import PREFIX
 from .strict_json import json_error
 
@@ -181,10 +182,12 @@ def audit(documents: DataFrame, id_col: str = "task_id", json_col: str = "json")
     documents don't state. A document that isn't a strict JSON object gives one row of
     scope source, whose field is the error's code."""
     judged = documents.select(F.col(id_col).alias("task_id"), F.col(json_col).alias("_json"), F.explode(F.array(_json_code(F.col(json_col)))).alias("_code"))
+    parsed = F.when(F.col("_code") == "", F.from_json("_json", DOCUMENT)).alias("d")
+    judged = saved(judged.select("task_id", "_code", parsed), "judged")  # for the document's rows, its components' and the refused
     failed = judged.where("_code <> ''").select(
         "task_id", F.lit(SOURCE).alias("scope"), F.lit("").alias("component_id"), F.col("_code").alias("field"), F.lit(MUST).alias("requirement"), F.lit(BLOCKED).alias("status")
     )
-    d = judged.where("_code = ''").select("task_id", F.from_json("_json", DOCUMENT).alias("d"))
+    d = judged.where("_code = ''").select("task_id", "d")
     listed = F.concat(
         F.when(F.col("d.metadata.component").isNotNull(), F.array("d.metadata.component")).otherwise(F.array().cast(f"array<{COMPONENT}>")),
         F.coalesce("d.components", F.array().cast(f"array<{COMPONENT}>")),

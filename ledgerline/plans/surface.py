@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, evidence, hashes, identity, purl
 from ..operators import cache, document, normalize, readiness
+from ..shared import spread
 from ..sources import adapters
 from ..streaming import history
 
@@ -194,7 +195,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('], "compositions": [{"aggregate": "'), F.when(c % 2 == 1, "complete").otherwise("incomplete"), F.lit('"}]}'),
     )
     text = F.when(c % 50 == 0, "{").otherwise(text)  # no document at all
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("task_id"), text.alias("json"))
+    keys = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    return keys.select(F.col("c_custkey").alias("task_id"), text.alias("json"))
 
 
 def readiness_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
