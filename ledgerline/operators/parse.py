@@ -23,6 +23,7 @@ from ..functions.identity import CARGO_MANIFEST
 from ..functions.purl import maven_url, package_url
 from ..functions.text import lower, present, trim
 from ..functions.versions import is_exact_in
+from ..shared import saved
 from .strict_json import json_error
 from .xml_events import xml_error, xml_events
 
@@ -271,7 +272,10 @@ def _json(files: DataFrame, schema: str) -> DataFrame:
     """j, the document read by a schema; files that aren't strict JSON, or whose root is no
     object, are left out."""
     sound = trim(F.col("content")).startswith("{") & (json_error(F.col("content")) == "")
-    return files.where(sound).withColumn("j", F.from_json("content", schema))
+    # generated, so that no filter is moved below what makes or deals out the documents, where
+    # it would make and judge them again, and those on j read the document once
+    judged = files.select("*", F.explode(F.array(sound)).alias("_sound")).where("_sound").drop("_sound")
+    return judged.select("*", F.explode(F.array(F.from_json("content", schema))).alias("j"))
 
 
 def _entries(df: DataFrame, column: str) -> DataFrame:
@@ -336,7 +340,8 @@ LOCK_ENTRY = "struct<name:string,version:string,integrity:string,dependencies:st
 def package_lock(files: DataFrame) -> DataFrame:
     """The packages map, or else the nested dependencies of older files, at any depth and in
     the order of the document."""
-    rows = _json(files, f"packages map<string,{LOCK_ENTRY}>, dependencies string")
+    rows = _json(files, f"packages map<string,{LOCK_ENTRY}>, dependencies string").select("relative_path", "j")
+    rows = saved(rows, "locks")  # for either form
     each = _entries(rows.where("j.packages is not null"), "j.packages").where("entry.value is not null")
     key, value = F.col("entry.key"), F.col("entry.value")
     from_path = _match(key, r"(?s)^(?:.*node_modules/)?(.*)$")
@@ -358,24 +363,32 @@ LOCK_ROWS = "relative_path string, place long, name string, version string, inte
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of each tree of dependencies, each before those nested in it."""
     text = lambda v: v if isinstance(v, str) else "" if v is None or isinstance(v, dict | list) else json.dumps(v)
+
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))],
+            names=["relative_path", "place", "name", "version", "integrity"],
+        )
+
+    rows: list[tuple] = []  # of several files, so that small ones share a batch
     for batch in batches:
         for path, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows, root = [], json.loads(tree.as_py())
+            place, root = 0, json.loads(tree.as_py())
             way = [iter(root.items() if isinstance(root, dict) else ())]
             while way:
                 name, entry = next(way[-1], (None, None))
                 if name is None:
                     way.pop()
                 elif isinstance(entry, dict):
-                    rows.append((path, len(rows), name, text(entry.get("version")), text(entry.get("integrity"))))
+                    rows.append((path, place, name, text(entry.get("version")), text(entry.get("integrity"))))
+                    place += 1
+                    if len(rows) == 4096:
+                        yield handed(rows)
+                        rows = []
                     below = entry.get("dependencies")
                     way.append(iter(below.items() if isinstance(below, dict) else ()))
-            for at in range(0, len(rows), 4096):
-                columns = zip(*rows[at : at + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(columns)],
-                    names=["relative_path", "place", "name", "version", "integrity"],
-                )
+    if rows:
+        yield handed(rows)
 
 
 def pipfile_lock(files: DataFrame) -> DataFrame:

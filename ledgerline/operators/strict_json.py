@@ -28,19 +28,20 @@ VALUE = rf'(?:"|true|false|null|{NUMBER})'
 
 def _nesting(brackets: Column) -> Column:
     """(now, most, closed, crossed) over an array of brackets: whether the outermost one
-    was closed before the last bracket, and whether one was closed by the other kind."""
+    was closed before the last bracket, and whether one was closed by the other kind. A dot
+    is a bracket that is closed at once."""
     start = F.struct(F.lit("").alias("open"), F.lit(0).alias("most"), F.lit(False).alias("early"), F.lit(False).alias("crossed"))
 
     def step(acc: Column, c: Column) -> Column:
         opens = c.isin("{", "[")
         opened = F.concat(F.when(c == "{", "}").otherwise("]"), acc["open"])
         # a document too deep fails by that; the rest of its stack is not needed
-        kept = F.when(acc["most"] > MAX_DEPTH, acc["open"]).when(opens, opened).otherwise(F.substring(acc["open"], 2, MAX_DEPTH + 2))
+        kept = F.when((acc["most"] > MAX_DEPTH) | (c == "."), acc["open"]).when(opens, opened).otherwise(F.substring(acc["open"], 2, MAX_DEPTH + 2))
         return F.struct(
             kept.alias("open"),
-            F.greatest(acc["most"], F.length(kept)).alias("most"),
+            F.greatest(acc["most"], F.length(kept) + (c == ".").cast("int")).alias("most"),
             (acc["early"] | ((acc["most"] > 0) & (acc["open"] == ""))).alias("early"),
-            (acc["crossed"] | (~opens & (F.substring(acc["open"], 1, 1) != c))).alias("crossed"),
+            (acc["crossed"] | (~opens & (c != ".") & (F.substring(acc["open"], 1, 1) != c))).alias("crossed"),
         )
 
     return F.aggregate(brackets, start, step)
@@ -90,5 +91,12 @@ def _judged(text: Column, bare: Column, escapes: Column, max_bytes: int) -> Colu
         .when(alone.rlike(r"\\u[dD][89a-fA-F]"), "surrogate")
         .when(F.regexp_count(bare, F.lit(rf'["{{}}\[\],:]|{ATOM}')) > MAX_TOKENS, "tokens")
         .when(nodes > MAX_NODES, "nodes")
-        .otherwise(_let(_nesting(F.regexp_extract_all(bare, F.lit(r"([{}\[\]])"), F.lit(1))), nested))
+        .otherwise(_let(_nesting(_brackets(bare)), nested))
     )
+
+
+def _brackets(bare: Column) -> Column:
+    """The brackets of a text; those closed at once are dots, and of a run of dots two stand
+    for all, so that wide documents have few."""
+    text = F.regexp_replace(F.regexp_replace(bare, r"[^{}\[\]]+", ""), r"\{\}|\[\]", ".")
+    return F.regexp_extract_all(F.regexp_replace(text, r"\.{3,}", ".."), F.lit(r"([{}\[\].])"), F.lit(1))

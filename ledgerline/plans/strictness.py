@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spdx
 from ..operators import parse, strict_json
+from ..shared import saved, spread
 from .formats import MARKS
 
 #: Of event_id % n: what is done to a sound text, as (Spark expression, SQL code).
@@ -122,13 +123,13 @@ def filled_sql(template: str) -> str:
 def xml_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and status of an XML manifest per part: CDATA, references, prefixes, '>' in
     attributes, comments in names, and what must fail."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name"))
     kind = F.col("p_partkey") % len(XML_KINDS)
     parser, content = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n, (p, template, _) in enumerate(XML_KINDS):
         parser, content = F.when(kind == n, p).otherwise(parser), F.when(kind == n, filled(template)).otherwise(content)
     files = part.select(F.col("p_partkey").cast("string").alias("relative_path"), parser.alias("parser"), content.alias("content"))
-    rows = parse.components(files, sorted({p for p, *_ in XML_KINDS}))
+    rows = saved(parse.components(files, sorted({p for p, *_ in XML_KINDS})), "rows")  # to be counted, and listed
     done = parse.outcomes(files, rows).select("relative_path", "status")
     return done.join(rows.select("relative_path", "name", "version", "dependency_scope"), "relative_path", "left")
 
@@ -148,7 +149,7 @@ CHAIN, WIDE, KEYS = 40, 256, 500
 
 
 def _lock_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_brand")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_brand"))
     depth = (F.col("p_partkey") % CHAIN + 1).cast("int")
     name = lambda i: F.concat(F.lit('{"c'), "p_partkey", F.lit("-"), i, F.lit('": {"version": "1.'), i, F.lit("."), "p_size", F.lit('"'))
     opened = F.array_join(F.transform(F.sequence(F.lit(1), depth), name), ', "dependencies": ')
@@ -167,14 +168,24 @@ def lock_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _lock_files(spark, sf_dir)
     rows = parse.components(files, ["package-lock-json"])
     number = F.split_part("name", F.lit("-"), F.lit(-1)).cast("long")
-    return rows.groupBy("relative_path").agg(
+    # distinct places are the bits of 64 at a time, so that few rows are shuffled
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
+    words = rows.groupBy("relative_path", F.floor(F.col("place") / 64).alias("word")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.countDistinct("place").alias("n_places"),
+        F.bit_or(bit).alias("places"),
         F.max("place").alias("last_place"),
         F.sum(F.col("place") * number).alias("places_by_number"),
         F.sum(F.length("version")).alias("version_chars"),
         F.max("package_url").alias("last_url"),
     )
+    return words.groupBy("relative_path").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.bit_count("places")).alias("n_places"),
+        F.max("last_place").alias("last_place"),
+        F.sum("places_by_number").alias("places_by_number"),
+        F.sum("version_chars").alias("version_chars"),
+        F.max("last_url").alias("last_url"),
+    )
 
 
 LOCK_TREES_SQL = f"""WITH e AS (

@@ -5,10 +5,13 @@ from __future__ import annotations
 import contextlib
 import io
 
-import pytest
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from ledgerline.operators import readiness
-from ledgerline.plans import surface
+from ledgerline.operators import parse, readiness, strict_json
+from ledgerline.plans import images, strictness, surface
+from ledgerline.shared import spread
+from ledgerline.sources import binaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +27,36 @@ def test_documents_are_dealt_and_judged_once(spark):
     docs = surface._documents(spark, SF)
     assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "from_json" not in plan(readiness.audit(docs))
+
+
+def test_documents_are_judged_where_they_are_dealt(spark):
+    files = strictness._lock_files(spark, SF).where("relative_path like 'chain/%'")
+    assert "regexp" not in plan(parse._json(files, "dependencies string")).split("RoundRobinPartitioning")[1]
+
+
+def test_trees_of_several_files_share_a_batch():
+    files = pa.RecordBatch.from_pydict({"relative_path": [f"f{k}" for k in range(100)], "tree": ['{"a": {"version": "1", "dependencies": {"b": {}}}}'] * 100})
+    found = list(parse._walk(iter([files])))
+    assert len(found) == 1 and found[0].to_pylist()[:3:2] == [
+        {"relative_path": f"f{k}", "place": 0, "name": "a", "version": "1", "integrity": ""} for k in (0, 1)
+    ]
+
+
+def test_wide_documents_have_few_brackets(spark):
+    texts = ["[" + "{}," * 999 + "{}]", "{}{}", "[]", "[" * 127 + "{}" + "]" * 127, "[" * 128 + "{}" + "]" * 128, "[[]{}", "[{]}", "[[{}],{},{},{},[]]", "{}]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = rows.select(strict_json.json_error(F.col("t")), F.size(strict_json._brackets(F.col("t")))).orderBy("n").collect()
+    assert [r[0] for r in got] == ["", "syntax", "", "", "depth", "syntax", "syntax", "", "syntax"]
+    assert got[0][1] == 4
+
+
+def test_binaries_are_dealt_and_inspected_once(spark):
+    files = images._pe_files(spark, SF)
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan(binaries.binary_components(files)).count("ArrowEvalPython") == 1
+
+
+def test_small_tables_are_dealt(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    assert spread(part).count() == part.count()
+    assert spread(part).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
