@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from ..sources import binaries
 
 FILES = "relative_path string, content binary"
@@ -125,7 +126,7 @@ def _elf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size"))
 
     def one(r) -> tuple[str, bytes]:
         k = r.p_partkey
@@ -136,7 +137,7 @@ def _pe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mach_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    rows = spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey"))
 
     def one(r) -> tuple[str, bytes]:
         return f"mac/s{r.s_suppkey}", mach_image("<" if r.s_suppkey % 2 else ">", [f"/usr/lib/n{r.s_nationkey}.1.2.dylib"], f"@rpath/s{r.s_suppkey}.dylib")
@@ -180,7 +181,7 @@ def _jar(entries: list[tuple[str, str]], stored: bool = False) -> bytes:
 
 
 def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size"))
 
     def from_part(r) -> tuple[str, bytes]:
         k, group, artifact = r.p_partkey, f"org.b{r.p_size}", r.p_name.replace(" ", "-")
