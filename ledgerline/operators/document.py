@@ -172,6 +172,17 @@ def _owner_rank(parts: _Parts) -> Column:
     return F.concat(F.when(F.col("owner_ref") == parts.primary, "0").otherwise("1"), F.col("owner_ref"))
 
 
+def artifact_rows(task: Task, artifacts: DataFrame) -> DataFrame:
+    """section, rank, json of a document's artifacts, which nothing else of it changes."""
+    listed = artifacts.select(
+        F.concat_ws(" | ", output_path(F.col("relative_path"), task), "artifact_type", "status", F.nullif("parser", F.lit(""))).alias("value"), "relative_path", "artifact_type"
+    )
+    return listed.select(
+        F.lit("artifact").alias("section"), F.concat_ws("\x01", "relative_path", "artifact_type").alias("rank"),
+        F.to_json(F.struct(F.lit(f"{PREFIX}:artifact").alias("name"), F.col("value"))).alias("json"),
+    )
+
+
 def _sections(task: Task, components: DataFrame, artifacts: DataFrame, spec_version: str) -> _Parts:
     if spec_version not in SPEC_VERSIONS:
         raise ValueError(f"unknown version {spec_version}")
@@ -186,9 +197,6 @@ def _sections(task: Task, components: DataFrame, artifacts: DataFrame, spec_vers
         components = components.where(F.col("first_ordinal") != promoted["first_ordinal"])
     author = {"name": task.author_organization.strip(), "email": task.author_email.strip() if valid_email(task.author_email) else ""}
     author = {k: v for k, v in author.items() if v and len(v) <= 4096}
-    listed = artifacts.select(
-        F.concat_ws(" | ", output_path(F.col("relative_path"), task), "artifact_type", "status", F.nullif("parser", F.lit(""))).alias("value"), "relative_path", "artifact_type"
-    )
     metadata = {
         "timestamp": task.timestamp,
         "lifecycles": [{"phase": "post-build"}],
@@ -214,11 +222,7 @@ def _sections(task: Task, components: DataFrame, artifacts: DataFrame, spec_vers
     order = F.concat_ws("\x01", *[k.cast("string") for k in sort_order()[:-1]], F.lpad(F.col("first_ordinal").cast("string"), 20, "0"))
     body = components.select(F.lit("component").alias("section"), order.alias("rank"), F.to_json(component_object(task)).alias("json"))
     edges = dependency_edges(components, artifacts, primary["bom-ref"], primary["bom-ref"] if promoted is not None else None)
-    found = listed.select(
-        F.lit("artifact").alias("section"), F.concat_ws("\x01", "relative_path", "artifact_type").alias("rank"),
-        F.to_json(F.struct(F.lit(f"{PREFIX}:artifact").alias("name"), F.col("value"))).alias("json"),
-    )
-    return _Parts(head, found, body, edges, primary["bom-ref"])
+    return _Parts(head, artifact_rows(task, artifacts), body, edges, primary["bom-ref"])
 
 
 LINES = "part int, k1 string, k2 string, text string"

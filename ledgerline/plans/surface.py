@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, evidence, hashes, identity, purl
 from ..operators import cache, document, normalize, readiness
-from ..shared import spread
+from ..shared import saved, spread
 from ..sources import adapters
 from ..streaming import history
 
@@ -157,7 +157,8 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each section of the whole document has, and what the root holds."""
-    rows = document.document_rows(TASK, _current(spark, sf_dir), _manifests(spark, sf_dir))
+    components = saved(_current(spark, sf_dir), "components")  # for the sole project, the objects and the graph
+    rows = document.document_rows(TASK, components, _manifests(spark, sf_dir))
     held = F.size(F.from_json("json", "dependsOn array<string>")["dependsOn"])
     return rows.groupBy("section").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("section") == "dependency", held)), F.lit(0)).cast("long").alias("held")
@@ -165,7 +166,7 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document.document_rows(TASK, _current(spark, sf_dir), _manifests(spark, sf_dir)).where("section = 'artifact'")
+    rows = document.artifact_rows(TASK, _manifests(spark, sf_dir))
     return rows.select(F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.value").alias("value"))
 
 

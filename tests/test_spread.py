@@ -8,8 +8,8 @@ import io
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerline.operators import parse, readiness, strict_json
-from ledgerline.plans import images, strictness, surface
+from ledgerline.operators import document, parse, readiness, strict_json
+from ledgerline.plans import images, queries, strictness, surface
 from ledgerline.shared import spread
 from ledgerline.sources import binaries
 
@@ -60,3 +60,15 @@ def test_small_tables_are_dealt(spark):
     part = spark.read.parquet(f"{SF}/part.parquet")
     assert spread(part).count() == part.count()
     assert spread(part).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_artifacts_need_no_components(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(document, "dependency_edges", never)
+    assert surface.document_artifacts(spark, SF).count() == spark.read.parquet(f"{SF}/supplier.parquet").count()
+
+
+def test_components_are_merged_once(spark):
+    assert "l_orderkey" not in plan(queries.component_lines(spark, SF))
