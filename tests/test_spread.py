@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerline.operators import document, parse, readiness, strict_json
+from ledgerline.functions.text import has_token
+from ledgerline.operators import document, graph, parse, readiness, strict_json
 from ledgerline.plans import images, queries, strictness, surface
 from ledgerline.shared import spread
 from ledgerline.sources import binaries
@@ -72,3 +74,31 @@ def test_artifacts_need_no_components(spark, monkeypatch):
 
 def test_components_are_merged_once(spark):
     assert "l_orderkey" not in plan(queries.component_lines(spark, SF))
+
+
+def test_references_are_written_as_bytes(spark, monkeypatch):
+    urn = "urn:ledgerline:component:"
+    refs = [urn + "0a" * 16, urn + "0A" * 16, urn + "0a", urn, "pkg:npm/é@1", "", urn + "zz" * 16, urn + "0a" * 17]
+    rows = spark.createDataFrame([(r,) for r in refs], "r string").withColumn("p", graph.packed(F.col("r")))
+    got = rows.select(graph.unpacked(F.col("p")), "p").collect()
+    assert [r[0] for r in got] == refs and len(got[0][1]) == 17 and len({bytes(r[1]) for r in got}) == len(refs)
+    kinds = []
+    monkeypatch.setattr(graph, "saved", lambda df, name: kinds.extend(t for c, t in df.dtypes if c.endswith("ref")) or df)
+    queries.dependency_edges(spark, SF)
+    assert kinds and set(kinds) == {"binary"}
+
+
+def test_no_list_of_dependencies_is_held(spark):
+    edges = spark.createDataFrame([("a", "y"), ("b", None), ("a", "x"), ("a", "é"), ("a", "x"), ("", "z")], "owner_ref string, dep_ref string")
+    got = {r["owner_ref"]: (r["n"], r["digest"]) for r in graph.dependency_digests(edges).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {"a": (3, sha("x,y,é")), "b": (0, sha("")), "": (1, sha("z"))}
+    assert graph.dependency_digests(edges.limit(0)).count() == 0
+    assert "collect_" not in plan(queries.dependency_sets(spark, SF))
+
+
+def test_tokens_are_looked_for_without_lists(spark):
+    texts = ["runtime", "a, RunTime\t", "\nruntime\n,b", "runtimes", "a runtime", "", ",", None, "runtime b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(has_token(F.col("t"), "runtime")).collect()] == [True, True, True, False, False, False, False, None, False]
+    assert "lambda" not in plan(rows.select(has_token(F.col("t"), "runtime")))
