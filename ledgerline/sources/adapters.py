@@ -75,7 +75,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.create_map(*[F.lit(x) for kv in SCOPE_OF.items() for x in kv])[F.col("l_returnflag")].alias("dependency_scope"),
             empty.alias("sha256"),
             F.array(path).alias("evidence_paths"),
-            F.filter(F.array(license_), lambda v: v != "").alias("declared_licenses"),
+            F.when(license_ == "", F.array().cast("array<string>")).otherwise(F.array(license_)).alias("declared_licenses"),
             F.array().cast("array<string>").alias("declared_publishers"),
             F.array().cast("array<struct<algorithm:string,digest:string,subject:string,source_artifact:string,source_parser:string>>").alias("declared_hashes"),
             "side",

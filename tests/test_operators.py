@@ -32,6 +32,15 @@ def test_merging(spark):
     assert len(found) == 256 and found[0]["digest"] == f"{0:064d}" and found[-1]["digest"] == f"{255:064d}"
 
 
+def test_merging_without_lists(spark):
+    rows = [component("A", purl=" pkg:npm/a@1", ordinal=2, dependency_scope=", runtime,Peer"), component("a", purl="pkg:npm/a@1\n", ordinal=1, dependency_scope="peer"), component("b\t", ordinal=4, dependency_scope=None), component("B", ordinal=3)]
+    whole = normalize.normalize(frame(spark, rows), ["side"])
+    few = normalize.normalize(frame(spark, rows), ["side"], lists=False)
+    assert set(whole.columns) - set(few.columns) == {"evidence_paths", "declared_licenses", "declared_publishers", "declared_hashes"}
+    got = sorted(few.collect())
+    assert got == sorted(whole.select(few.columns).collect()) and [(r["first_ordinal"], r["name"], r["dependency_scope"]) for r in got] == [(3, "B", "runtime"), (1, "a", "peer, runtime")]
+
+
 def kinds(spark, rows):
     return sorted((r["kind"], r["name"], r["before_version"], r["after_version"]) for r in compare.compare(frame(spark, rows)).collect())
 
