@@ -102,3 +102,14 @@ def test_tokens_are_looked_for_without_lists(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in rows.select(has_token(F.col("t"), "runtime")).collect()] == [True, True, True, False, False, False, False, None, False]
     assert "lambda" not in plan(rows.select(has_token(F.col("t"), "runtime")))
+
+
+def test_members_are_told_apart_without_a_sort(spark):
+    below = plan(queries.normalized(spark, SF)).split("posexplode")[1]
+    first = [line for line in below.split("\n") if "Aggregate" in line][0]
+    assert "HashAggregate" in first and "ObjectHash" not in first and "lambda" not in below.split("Exchange", 1)[1]
+
+
+def test_comparison_reads_no_lists(spark):
+    text = plan(queries._compared(spark, SF))
+    assert "l_orderkey" in text and "manifest.json" in text and "evidence_paths" not in text and "declared_licenses" not in text
