@@ -7,7 +7,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlsplit
 
@@ -69,7 +69,7 @@ def valid_email(value: str) -> bool:
 
 def output_path(path: Column, task: Task) -> Column:
     """Root-relative with forward slashes, or absolute where the scan asks for it."""
-    slashed = F.translate(path, "\\", "/")
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     if not task.include_absolute_paths:
         return slashed
     return F.concat(F.lit(task.target_directory.replace("\\", "/").rstrip("/") + "/"), slashed)
@@ -77,7 +77,12 @@ def output_path(path: Column, task: Task) -> Column:
 
 def _some(values: Column) -> Column:
     """An array, or null where it is empty: null members don't appear in the JSON."""
-    return F.when(F.size(values) > 0, values)
+    return _bound(values, lambda v: F.when(F.size(v) > 0, v))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _text(name: str) -> Column:
@@ -85,26 +90,29 @@ def _text(name: str) -> Column:
 
 
 def _properties(task: Task) -> Column:
-    """name and value pairs, distinct and sorted."""
+    """name and value pairs, distinct and sorted: by name here, each name's values as
+    texts, which are told apart by their hashes."""
     pair = lambda n, v: F.struct(F.lit(f"{PREFIX}:{n}").alias("name"), v.alias("value"))
+    many = lambda values: F.sort_array(F.array_distinct(values))
     native = (lower(present("ecosystem")) == "native") & F.col("package_url").startswith("pkg:generic/")
-    one = [
-        pair("ecosystem", present("ecosystem")),
-        pair("source-artifact", F.when(present("source_artifact") == "", "").otherwise(output_path(present("source_artifact"), task))),
-        pair("source-parser", present("source_parser")),
-        pair("dependency-scope", present("dependency_scope")),
-        pair("binary-package-url-evidence", F.when(native, "binary name + exact fixed version + verified SHA-256").otherwise("")),
-        pair("cpe-evidence", present("cpe_evidence")),
-        pair("pe-company-name", present("company_name")),
-        pair("pe-product-name", present("product_name")),
-        pair("elf-soname", present("native_soname")),
-        pair("elf-build-id", present("native_build_id")),
-        pair("requested-range", identity.requested_range()),
-        pair("soname-abi-version", soname_abi(F.col("ecosystem"), F.col("name"))),
-    ]
-    paths = F.transform("evidence_paths", lambda p: pair("evidence-path", output_path(p, task)))
-    hashes = F.transform("declared_hashes", lambda h: pair("declared-hash-provenance", F.to_json(h)))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(*one), paths, hashes), lambda p: p["value"] != "")))
+    values = {
+        "ecosystem": F.array(present("ecosystem")),
+        "source-artifact": F.array(F.when(present("source_artifact") == "", "").otherwise(output_path(present("source_artifact"), task))),
+        "source-parser": F.array(present("source_parser")),
+        "dependency-scope": F.array(present("dependency_scope")),
+        "binary-package-url-evidence": F.array(F.when(native, "binary name + exact fixed version + verified SHA-256").otherwise("")),
+        "cpe-evidence": F.array(present("cpe_evidence")),
+        "pe-company-name": F.array(present("company_name")),
+        "pe-product-name": F.array(present("product_name")),
+        "elf-soname": F.array(present("native_soname")),
+        "elf-build-id": F.array(present("native_build_id")),
+        "requested-range": F.array(identity.requested_range()),
+        "soname-abi-version": F.array(soname_abi(F.col("ecosystem"), F.col("name"))),
+        "evidence-path": many(F.transform("evidence_paths", lambda p: output_path(p, task))),
+        "declared-hash-provenance": many(F.transform("declared_hashes", lambda h: F.to_json(h))),
+    }
+    pairs = lambda n: F.transform(values[n], lambda v: pair(n, v))
+    return F.filter(F.concat(*[pairs(n) for n in sorted(values)]), lambda p: p["value"] != "")
 
 
 def _hashes() -> Column:
@@ -127,8 +135,8 @@ def _licenses() -> Column:
 def component_object(task: Task) -> Column:
     """A component as a struct in the members' order; absent members are null."""
     exact = identity.has_exact_version()
-    paths = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(present("source_artifact")), F.col("evidence_paths")), lambda p: p != "")))
-    occurrences = F.transform(paths, lambda p: F.struct(output_path(p, task).alias("location")))
+    paths = F.sort_array(F.array_distinct(F.filter(F.concat(F.array(present("source_artifact")), F.col("evidence_paths")), lambda p: p != "")))
+    occurrences = lambda p: F.transform(p, lambda x: F.struct(output_path(x, task).alias("location")))
     return F.struct(
         F.col("component_type").alias("type"),
         identity.component_ref().alias("bom-ref"),
@@ -141,7 +149,7 @@ def component_object(task: Task) -> Column:
         _text("cpe").alias("cpe"),
         _some(_hashes()).alias("hashes"),
         _some(_properties(task)).alias("properties"),
-        F.when(F.size(occurrences) > 0, F.struct(occurrences.alias("occurrences"))).alias("evidence"),
+        _bound(paths, lambda p: F.when(F.size(p) > 0, F.struct(occurrences(p).alias("occurrences")))).alias("evidence"),
     )
 
 
