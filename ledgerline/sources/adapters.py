@@ -36,7 +36,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw component rows of two snapshots: columns of a component, side, ordinal."""
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    pick = lambda k: F.create_map(*[F.lit(x) for t, v in ECOSYSTEM_OF.items() for x in (t, v[k])])[F.col("p_type")]
+    folder = F.concat(F.lit("pkg:"), pick(1), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"))
+    # what a part alone decides is made once for all of its lines
+    part = _table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", "p_size", F.replace("p_name", F.lit(" "), F.lit("-")).alias("stem"), pick(0).alias("ecosystem"), folder.alias("folder")
+    )
     lines = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"
     )
@@ -45,7 +50,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a fifth of the parts is renamed on either side: removed, and added
     renamed = F.when((F.col("side") == "baseline") & (key % 5 == 1), "-old").when((F.col("side") == "current") & (key % 5 == 0), "-new").otherwise("")
     minor = F.when((F.col("side") == "current") & (key % 6 == 2), "1").otherwise("0")
-    pick = lambda k: F.create_map(*[F.lit(x) for t, v in ECOSYSTEM_OF.items() for x in (t, v[k])])[F.col("p_type")]
     path = F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"), F.lit("/manifest.json"))
     license_ = _choice(F.col("p_size") % 4, LICENSES)
     empty = F.lit("")
@@ -53,17 +57,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(part, F.col("l_partkey") == key)
         .withColumn("side", side)
         .withColumn("version", F.concat((key % 7).cast("string"), F.lit("."), minor, F.lit(".0")))
-        .withColumn("name", F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), renamed))
+        .withColumn("name", F.concat("stem", renamed))
         .select(
             _choice(F.col("p_size") % 3, ("library", "application", "file")).alias("component_type"),
             "name",
             "version",
-            pick(0).alias("ecosystem"),
-            F.when(key % 4 == 0, "")
-            .otherwise(
-                F.concat(F.lit("pkg:"), pick(1), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), F.col("name"), F.lit("@"), F.col("version"))
-            )
-            .alias("package_url"),
+            "ecosystem",
+            F.when(key % 4 == 0, "").otherwise(F.concat("folder", "name", F.lit("@"), "version")).alias("package_url"),
             empty.alias("cpe"),
             empty.alias("cpe_evidence"),
             F.when(key % 3 == 0, F.col("p_brand")).otherwise("").alias("company_name"),
