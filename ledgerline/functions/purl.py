@@ -42,12 +42,12 @@ def percent_encode(c: Column, keep_slash: bool = False) -> Column:
 
 def package_url(ecosystem: Column, name: Column, version: Column) -> Column:
     """The package URL of an exact version in a known ecosystem; else empty."""
+    # nothing to trim, fold or encode, and a version that is exact: most of a lock file's entries
+    plain = (ecosystem == "npm") & name.rlike(r"^[a-z0-9][a-z0-9._\-]*+\z") & version.rlike(r"^[0-9]++\.[0-9]++\.[0-9]++\z")
+    quick = F.concat(F.lit("pkg:npm/"), name, F.lit("@"), version)
     eco, name, version = lower(trim(ecosystem)), trim(name), trim(version)
     folded = lower(name)
-    scope, package = F.split_part(folded, F.lit("/"), F.lit(1)), F.split_part(folded, F.lit("/"), F.lit(2))
-    npm = F.when(folded.rlike(r"(?s)^@[^/]+/[^/]+\z"), F.concat(percent_encode(scope), F.lit("/"), percent_encode(package))).when(
-        ~folded.rlike("(?s)^@|/"), percent_encode(folded)
-    )
+    npm = F.when(name.rlike(r"(?s)^(?:@[^/]+/|[^@/])[^/]*+(?<!/)\z"), percent_encode(folded, keep_slash=True))
     pypi = F.when(
         name.rlike(r"^[A-Za-z0-9]([A-Za-z0-9._\-]*[A-Za-z0-9])?\z"),
         F.regexp_replace(folded, r"[._\-]+", "-"),
@@ -66,7 +66,7 @@ def package_url(ecosystem: Column, name: Column, version: Column) -> Column:
     )
     kinds = F.create_map(*[F.lit(x) for pair in PURL_TYPES.items() for x in pair])
     made = F.concat(F.lit("pkg:"), kinds[eco], F.lit("/"), path, F.lit("@"), percent_encode(version))
-    return F.when((name != "") & is_exact_in(eco, version), F.coalesce(made, F.lit(""))).otherwise("")
+    return F.when(plain, quick).when((name != "") & is_exact_in(eco, version), F.coalesce(made, F.lit(""))).otherwise("")
 
 
 def maven_url(group: Column, artifact: Column, version: Column) -> Column:

@@ -23,7 +23,6 @@ from ..functions.identity import CARGO_MANIFEST
 from ..functions.purl import maven_url, package_url
 from ..functions.text import lower, present, trim
 from ..functions.versions import is_exact_in
-from ..shared import saved
 from .strict_json import json_error
 from .xml_events import xml_error, xml_events
 
@@ -271,7 +270,7 @@ def pyproject(files: DataFrame) -> DataFrame:
 def _json(files: DataFrame, schema: str) -> DataFrame:
     """j, the document read by a schema; files that aren't strict JSON, or whose root is no
     object, are left out."""
-    sound = trim(F.col("content")).startswith("{") & (json_error(F.col("content")) == "")
+    sound = F.col("content").rlike(r"^[\x00-\x20]*+\{") & (json_error(F.col("content")) == "")
     # generated, so that no filter is moved below what makes or deals out the documents, where
     # it would make and judge them again, and those on j read the document once
     judged = files.select("*", F.explode(F.array(sound)).alias("_sound")).where("_sound").drop("_sound")
@@ -339,56 +338,77 @@ LOCK_ENTRY = "struct<name:string,version:string,integrity:string,dependencies:st
 
 def package_lock(files: DataFrame) -> DataFrame:
     """The packages map, or else the nested dependencies of older files, at any depth and in
-    the order of the document."""
-    rows = _json(files, f"packages map<string,{LOCK_ENTRY}>, dependencies string").select("relative_path", "j")
-    rows = saved(rows, "locks")  # for either form
-    each = _entries(rows.where("j.packages is not null"), "j.packages").where("entry.value is not null")
-    key, value = F.col("entry.key"), F.col("entry.value")
+    the order of the document. Both forms take one pass, in which texts follow each other and
+    no column of them is held."""
+    rows = _json(files, f"packages map<string,{LOCK_ENTRY}>, dependencies string")
+    tree = F.when(F.col("j.packages").isNull(), F.col("j.dependencies"))
+    each = rows.select("relative_path", tree.alias("tree"), F.map_entries("j.packages").alias("listed"))
+    each = each.select("relative_path", "tree", F.posexplode_outer("listed").alias("place", "entry"))
+    each = each.where("tree is not null or entry.value is not null")
+    found = each.select("relative_path", "tree", F.col("place").cast("long"), "entry.key", "entry.value.name", "entry.value.version", "entry.value.integrity").mapInArrow(_lock_rows, f"{LOCK_ROWS}, key string")
+    key, stated = F.col("key"), present("name")
     from_path = _match(key, r"(?s)^(?:.*node_modules/)?(.*)$")
-    name = F.when(present("entry.value.name") != "", value["name"]).otherwise(from_path)
-    version = present("entry.value.version")
-    project = key == ""
-    out = _rows(
-        each, "npm", place=F.col("place"), name=name, version=version, hashes=_integrity(name, version, value["integrity"]),
+    name = F.when(key.isNull() | (stated != ""), stated).otherwise(from_path)
+    version = present("version")
+    project = F.coalesce(key == "", F.lit(False))
+    return _rows(
+        found, "npm", place=F.col("place"), name=name, version=version, hashes=_integrity(name, version, F.col("integrity")),
         scope=F.when(project, "project").otherwise("resolved"), component_type=F.when(project, "application").otherwise("library"),
     )
-    older = rows.where("j.packages is null and j.dependencies is not null").select("relative_path", F.col("j.dependencies").alias("tree"))
-    nested = older.mapInArrow(_walk, LOCK_ROWS)
-    return out.unionByName(_rows(nested, "npm", place=F.col("place"), name=F.col("name"), version=F.col("version"), hashes=_integrity(F.col("name"), F.col("version"), F.col("integrity"))))
 
 
 LOCK_ROWS = "relative_path string, place long, name string, version string, integrity string"
 
 
+def _lock_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of packages maps as they are, and those of trees, which have no key."""
+    names = ["relative_path", "place", "name", "version", "integrity", "key"]
+    for batch in batches:
+        older, listed = batch, None
+        if batch.column(1).null_count:
+            older, listed = batch.filter(batch.column(1).is_valid()), batch.filter(batch.column(1).is_null()).select(names)
+        for rows in _walk(iter([older])):
+            yield rows.append_column("key", pa.nulls(rows.num_rows, pa.string()))
+        if listed is not None:
+            yield listed
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The entries of each tree of dependencies, each before those nested in it."""
-    text = lambda v: v if isinstance(v, str) else "" if v is None or isinstance(v, dict | list) else json.dumps(v)
+    text = lambda v: "" if v is None or isinstance(v, dict | list) else json.dumps(v)
+    columns: tuple[list, ...] = ([], [], [], [], [])  # of several files, so that small ones share a batch
+    paths, places, names, versions, integrities = columns
 
-    def handed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))],
-            names=["relative_path", "place", "name", "version", "integrity"],
-        )
+    def handed() -> pa.RecordBatch:
+        made = [pa.array(c, pa.int64() if k == 1 else pa.string()) for k, c in enumerate(columns)]
+        for c in columns:
+            c.clear()
+        return pa.RecordBatch.from_arrays(made, names=["relative_path", "place", "name", "version", "integrity"])
 
-    rows: list[tuple] = []  # of several files, so that small ones share a batch
     for batch in batches:
         for path, tree in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             place, root = 0, json.loads(tree.as_py())
             way = [iter(root.items() if isinstance(root, dict) else ())]
             while way:
-                name, entry = next(way[-1], (None, None))
-                if name is None:
-                    way.pop()
-                elif isinstance(entry, dict):
-                    rows.append((path, place, name, text(entry.get("version")), text(entry.get("integrity"))))
+                for name, entry in way[-1]:
+                    if not isinstance(entry, dict):
+                        continue
+                    version, integrity, below = entry.get("version"), entry.get("integrity"), entry.get("dependencies")
+                    paths.append(path)
+                    places.append(place)
+                    names.append(name)
+                    versions.append(version if isinstance(version, str) else text(version))
+                    integrities.append(integrity if isinstance(integrity, str) else text(integrity))
                     place += 1
-                    if len(rows) == 4096:
-                        yield handed(rows)
-                        rows = []
-                    below = entry.get("dependencies")
-                    way.append(iter(below.items() if isinstance(below, dict) else ()))
-    if rows:
-        yield handed(rows)
+                    if len(paths) == 4096:
+                        yield handed()
+                    if below and isinstance(below, dict):
+                        way.append(iter(below.items()))
+                        break
+                else:
+                    way.pop()
+    if paths:
+        yield handed()
 
 
 def pipfile_lock(files: DataFrame) -> DataFrame:
@@ -557,13 +577,14 @@ def components(files: DataFrame, parsers: list[str] | None = None) -> DataFrame:
         for p in parsers or PARSERS
     ]
     rows = reduce(DataFrame.unionByName, out)
-    name, version = trim(present("name")), trim(present("version"))
+    rows = rows.withColumns({"name": trim(present("name")), "version": trim(present("version"))})
+    name, version = F.col("name"), F.col("version")
     requirement = (F.col("source_parser") == CARGO_MANIFEST) & (F.col("scope") != "project")
     built = package_url(F.col("ecosystem"), name, version)
     purl = F.coalesce(F.col("purl"), F.when(requirement, "").otherwise(built))
     clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast(TEXTS)), trim), lambda v: v != "")
     return rows.where(name != "").select(
-        "relative_path", "place", "component_type", name.alias("name"), version.alias("version"), "ecosystem", purl.alias("package_url"),
+        "relative_path", "place", "component_type", "name", "version", "ecosystem", purl.alias("package_url"),
         "source_parser", F.col("scope").alias("dependency_scope"), clean(F.col("licenses")).alias("declared_licenses"),
         clean(F.col("publishers")).alias("declared_publishers"), F.coalesce("hashes", F.array().cast(HASHES)).alias("hashes"),
     )

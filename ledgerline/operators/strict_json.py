@@ -17,9 +17,9 @@ MAX_DEPTH, MAX_NODES, MAX_TOKENS = 128, 262_144, 1_048_576
 #: Bytes of a manifest.
 MAX_BYTES = 32 << 20
 
-STRING = r'"(?:[^"\\]|\\[\s\S])*+"'
+STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
 #: The same without control characters.
-PLAIN_STRING = r'"(?:[^"\\\x00-\x1f]|\\[^\x00-\x1f])*+"'
+PLAIN_STRING = r'"[^"\\\x00-\x1f]*+(?:\\[^\x00-\x1f][^"\\\x00-\x1f]*+)*+"'
 ATOM = r'[^\s"{}\[\],:]+'
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 #: What may follow a value, and stand before one.
@@ -67,10 +67,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _judged(text: Column, bare: Column, escapes: Column, max_bytes: int) -> Column:
     alone = F.regexp_replace(escapes, r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}", " ")
-    nodes = F.regexp_count(bare, F.lit(rf'["{{\[]|{ATOM}'))
+    # no more of them than bytes, so that they are counted in large documents alone
+    over = lambda pattern, most: (F.octet_length(bare) > most) & (F.regexp_count(bare, F.lit(pattern)) > most)
     grammar = (
         bare.rlike(rf"^[\x20\t\n\r]*[{{\[]|^[\x20\t\n\r]*{VALUE}[\x20\t\n\r]*\z")
-        & ~bare.rlike(r"[^\x20\t\n\r\"{}\[\],:0-9a-zA-Z+.\-]")
+        # white space that JSON doesn't know; other characters are in atoms, see below
+        & ~bare.contains("\x0b") & ~bare.contains("\x0c")
         # nothing between commas and colons, or before and behind them
         & ~bare.rlike(r"[,:\[{][\x20\t\n\r]*,|[,:{\[][\x20\t\n\r]*:|[,:][\x20\t\n\r]*[}\]]|[,:][\x20\t\n\r]*\z")
         # two values side by side
@@ -78,19 +80,19 @@ def _judged(text: Column, bare: Column, escapes: Column, max_bytes: int) -> Colu
         # an atom that is no number or word of the grammar
         & ~bare.rlike(rf"(?<![^\x20\t\n\r\"{{}}\[\],:])(?!{VALUE}(?![^\x20\t\n\r{{}}\[\],:])){ATOM}")
         # control characters in strings, and escapes that don't exist
-        & (F.regexp_replace(text, PLAIN_STRING, '"') == bare)
-        & ~F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})', "").contains("\\")
+        & (~text.rlike(r"[\x00-\x1f]") | (F.regexp_replace(text, PLAIN_STRING, '"') == bare))
+        & (~text.contains("\\") | ~F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})', "").contains("\\"))
     )
     whole = lambda n: (n["open"] == "") & ~n["early"] & ~n["crossed"]
     parsed = F.when(F.try_parse_json(text).isNotNull(), "").otherwise(F.when(F.get_json_object(text, "$").isNull(), "syntax").otherwise("duplicate"))
     nested = lambda n: F.when(n["most"] > MAX_DEPTH, "depth").when(~grammar | ~whole(n), "syntax").otherwise(parsed)
     return (
-        F.when(text.rlike(r"^[\x20\t\n\r]*\z"), "empty")
+        F.when(bare.rlike(r"^[\x20\t\n\r]*\z"), "empty")
         .when(F.octet_length(text) > max_bytes, "size")
         .when(escapes.rlike(r"\\u(?![0-9A-Fa-f]{4})"), "escape")
         .when(alone.rlike(r"\\u[dD][89a-fA-F]"), "surrogate")
-        .when(F.regexp_count(bare, F.lit(rf'["{{}}\[\],:]|{ATOM}')) > MAX_TOKENS, "tokens")
-        .when(nodes > MAX_NODES, "nodes")
+        .when(over(rf'["{{}}\[\],:]|{ATOM}', MAX_TOKENS), "tokens")
+        .when(over(rf'["{{\[]|{ATOM}', MAX_NODES), "nodes")
         .otherwise(_let(_nesting(_brackets(bare)), nested))
     )
 

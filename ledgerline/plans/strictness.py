@@ -154,11 +154,13 @@ def _lock_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda i: F.concat(F.lit('{"c'), "p_partkey", F.lit("-"), i, F.lit('": {"version": "1.'), i, F.lit("."), "p_size", F.lit('"'))
     opened = F.array_join(F.transform(F.sequence(F.lit(1), depth), name), ', "dependencies": ')
     chains = part.select(F.concat(F.lit("chain/"), "p_partkey").alias("relative_path"), F.concat(F.lit('{"dependencies": '), opened, F.repeat(F.lit("}}"), depth), F.lit("}")).alias("content"))
-    entry = lambda j: F.concat(F.lit('"w'), "p_partkey", F.lit("-"), j, F.lit('": {"version": "'), j, F.lit("."), "p_size", F.lit('.0"}'))
-    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(WIDE)), entry), ", ")
+    # parts are dealt by their file, and texts made where they are judged
     path = F.concat(F.lit("wide/"), "p_brand", F.lit("/"), F.floor(F.col("p_partkey") / KEYS))
-    listed = F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", own.alias("own")))).getField("own"), ", ")
-    wide = part.groupBy(path.alias("relative_path")).agg(F.concat(F.lit('{"dependencies": {'), listed, F.lit("}}")).alias("content"))
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("relative_path"), "p_partkey", "p_size"), "relative_path")
+    entry = lambda p: lambda j: F.concat(F.lit('"w'), p["p_partkey"], F.lit("-"), j, F.lit('": {"version": "'), j, F.lit("."), p["p_size"], F.lit('.0"}'))
+    own = lambda p: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(WIDE)), entry(p)), ", ")
+    grouped = parts.groupBy("relative_path").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))
+    wide = grouped.select("relative_path", F.concat(F.lit('{"dependencies": {'), F.array_join(F.transform("parts", own), ", "), F.lit("}}")).alias("content"))
     return chains.unionByName(wide).withColumn("parser", F.lit("package-lock-json"))
 
 
