@@ -69,23 +69,24 @@ def _judged(text: Column, bare: Column, escapes: Column, max_bytes: int) -> Colu
     alone = F.regexp_replace(escapes, r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}", " ")
     # no more of them than bytes, so that they are counted in large documents alone
     over = lambda pattern, most: (F.octet_length(bare) > most) & (F.regexp_count(bare, F.lit(pattern)) > most)
-    grammar = (
+    # f is bare with whole members folded
+    grammar = lambda f: (
         bare.rlike(rf"^[\x20\t\n\r]*[{{\[]|^[\x20\t\n\r]*{VALUE}[\x20\t\n\r]*\z")
         # white space that JSON doesn't know; other characters are in atoms, see below
-        & ~bare.contains("\x0b") & ~bare.contains("\x0c")
+        & ~f.contains("\x0b") & ~f.contains("\x0c")
         # nothing between commas and colons, or before and behind them
-        & ~bare.rlike(r"[,:\[{][\x20\t\n\r]*,|[,:{\[][\x20\t\n\r]*:|[,:][\x20\t\n\r]*[}\]]|[,:][\x20\t\n\r]*\z")
+        & ~f.rlike(r"[,:\[{][\x20\t\n\r]*,|[,:{\[][\x20\t\n\r]*:|[,:][\x20\t\n\r]*[}\]]|[,:][\x20\t\n\r]*\z")
         # two values side by side
-        & ~bare.rlike(r"[}\]\"a-z0-9A-Z][\x20\t\n\r]*[{\[\"]|[}\]\"][\x20\t\n\r]*[a-z0-9A-Z+.\-]|[a-z0-9A-Z.][\x20\t\n\r]+[a-z0-9A-Z+.\-]")
+        & ~f.rlike(r"[}\]\"a-z0-9A-Z][\x20\t\n\r]*[{\[\"]|[}\]\"][\x20\t\n\r]*[a-z0-9A-Z+.\-]|[a-z0-9A-Z.][\x20\t\n\r]+[a-z0-9A-Z+.\-]")
         # an atom that is no number or word of the grammar
-        & ~bare.rlike(rf"(?<![^\x20\t\n\r\"{{}}\[\],:])(?!{VALUE}(?![^\x20\t\n\r{{}}\[\],:])){ATOM}")
+        & ~f.rlike(rf"(?<![^\x20\t\n\r\"{{}}\[\],:])(?!{VALUE}(?![^\x20\t\n\r{{}}\[\],:])){ATOM}")
         # control characters in strings, and escapes that don't exist
         & (~text.rlike(r"[\x00-\x1f]") | (F.regexp_replace(text, PLAIN_STRING, '"') == bare))
         & (~text.contains("\\") | ~F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})', "").contains("\\"))
     )
     whole = lambda n: (n["open"] == "") & ~n["early"] & ~n["crossed"]
     parsed = F.when(F.try_parse_json(text).isNotNull(), "").otherwise(F.when(F.get_json_object(text, "$").isNull(), "syntax").otherwise("duplicate"))
-    nested = lambda n: F.when(n["most"] > MAX_DEPTH, "depth").when(~grammar | ~whole(n), "syntax").otherwise(parsed)
+    nested = lambda n, f: F.when(n["most"] > MAX_DEPTH, "depth").when(~grammar(f) | ~whole(n), "syntax").otherwise(parsed)
     return (
         F.when(bare.rlike(r"^[\x20\t\n\r]*\z"), "empty")
         .when(F.octet_length(text) > max_bytes, "size")
@@ -93,7 +94,7 @@ def _judged(text: Column, bare: Column, escapes: Column, max_bytes: int) -> Colu
         .when(alone.rlike(r"\\u[dD][89a-fA-F]"), "surrogate")
         .when(over(rf'["{{}}\[\],:]|{ATOM}', MAX_TOKENS), "tokens")
         .when(over(rf'["{{\[]|{ATOM}', MAX_NODES), "nodes")
-        .otherwise(_let(_nesting(_brackets(bare)), nested))
+        .otherwise(_let(F.struct(_nesting(_brackets(bare)).alias("n"), _folded(bare).alias("f")), lambda x: nested(x["n"], x["f"])))
     )
 
 
@@ -102,3 +103,13 @@ def _brackets(bare: Column) -> Column:
     for all, so that wide documents have few."""
     text = F.regexp_replace(F.regexp_replace(bare, r"[^{}\[\]]+", ""), r"\{\}|\[\]", ".")
     return F.regexp_extract_all(F.regexp_replace(text, r"\.{3,}", ".."), F.lit(r"([{}\[\].])"), F.lit(1))
+
+
+def _folded(bare: Column) -> Column:
+    """A text whose neighbours are such as bare's, but shorter: members and items that are
+    strings are told as one string, and so is an object of one. The grammar asks but which
+    token may stand beside which; a string is beside a token what a closed object is."""
+    out = bare
+    for whole, one in ((", ", ","), (": ", ":"), ('":"', '"'), ('{"}', '"'), ('":"', '"'), ('","', '"'), ('","', '"'), ('","', '"')):
+        out = F.replace(out, F.lit(whole), F.lit(one))
+    return out

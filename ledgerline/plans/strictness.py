@@ -169,7 +169,7 @@ def lock_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     one: per file their number, and sums that tell their order and versions."""
     files = _lock_files(spark, sf_dir)
     rows = parse.components(files, ["package-lock-json"])
-    number = F.split_part("name", F.lit("-"), F.lit(-1)).cast("long")
+    number = F.substring_index("name", "-", -1).cast("long")
     # distinct places are the bits of 64 at a time, so that few rows are shuffled
     bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
     words = rows.groupBy("relative_path", F.floor(F.col("place") / 64).alias("word")).agg(
