@@ -2,9 +2,8 @@
 
 Files come as (relative_path, parser, content); each parser turns the files of its kind
 into component rows with Spark's own functions: texts are split into lines or blocks, and
-regular expressions and from_json read them. Only XML and the nested trees of old npm lock
-files go through Python workers, which turn each file into rows. place keeps a file's row
-order.
+regular expressions and from_json read them. Only XML and npm lock files go through Python
+workers, which turn each file or tree into rows. place keeps a file's row order.
 """
 
 from __future__ import annotations
